@@ -24,6 +24,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    # Without it every store reserves megabytes of disk, however few keys it has.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Digests of hits up to this many rows (about 40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
