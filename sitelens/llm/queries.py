@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact import exact_dedup
 from .language import language_id
+from .minhash import near_duplicates
+from .substring import remove_repeats
 from .tokencount import count_tokens
 from .urls import Rule, url_filter
 
@@ -22,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str) -> str:
     """Place of a public vocabulary file, the same on every machine."""
     import public_tokenizers
@@ -33,6 +40,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -46,7 +58,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op3_url_filter": op3_url_filter,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
@@ -70,6 +84,24 @@ WITH r(rule, host, path, verdict) AS (
   FROM q LEFT JOIN r ON (q.host = r.host OR ends_with(q.host, '.' || r.host)) AND starts_with(q.path, r.path)
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+""",
+    "op4_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p, len(w) AS n FROM d
+), y AS (
+  SELECT doc_id, p, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS s FROM x
+), z AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY s) AS k FROM y WHERE p + 34 <= n) WHERE k > 1
+), c AS (
+  SELECT DISTINCT doc_id, p + k AS p FROM z, range(0, 35) t(k)
+), kept AS (
+  SELECT x.doc_id, count(*) AS n_kept, string_agg(x.word, ' ' ORDER BY x.p) AS body
+  FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.p = c.p GROUP BY x.doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(kept.n_kept, 0) AS n_removed, sha256(coalesce(kept.body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op8_exact_dedup": r"""
 WITH d AS (
