@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embeddings import near_duplicate_vectors
 from .exact import exact_dedup
 from .language import language_id
 from .minhash import near_duplicates
@@ -57,6 +58,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_url_filter": op3_url_filter,
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES = {
