@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embeddings import near_duplicate_vectors
 from .exact import exact_dedup
 from .language import language_id
 from .minhash import near_duplicates
+from .mixing import mix
 from .substring import remove_repeats
 from .tokencount import count_tokens
 from .urls import Rule, url_filter
@@ -58,6 +59,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+MIX_WEIGHTS = {("src0",): 3, ("src1",): 2, ("*", "en"): 4, ("*", "de"): 2, ("*", "fr"): 2}
+
+
+def mix_levels() -> dict[str, Column]:
+    """Domains are the families of sources with the same first four characters."""
+    return {"domain": F.col("source").substr(1, 4), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, F.floor(F.col("total") * 3 / 4), epochs=2, seed=17)
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +82,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_source_mixing": op9_source_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
@@ -119,5 +133,56 @@ SELECT doc_id,
        doc_id = min(doc_id) OVER w AS kept,
        sha256(body) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY body)
+""",
+    "op9_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id AS id, doc_id, coalesce(source[1:4], '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents
+), leaf AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens, 2 * CAST(sum(n_tokens) AS HUGEINT) AS holds FROM d GROUP BY ALL
+), a0 AS (
+  SELECT domain, domain AS name, sum(holds) AS holds, CASE domain WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 ELSE 1 END AS weight,
+         (SELECT least(CAST(floor(sum(tokens) * 3 / 4) AS HUGEINT), sum(holds)) FROM leaf) AS budget
+  FROM leaf GROUP BY domain
+), a1 AS (
+  SELECT *, holds * sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+            <= (budget - coalesce(sum(holds) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS is_full
+  FROM a0 WINDOW o AS (ORDER BY CAST(holds AS DOUBLE) / weight, name)
+), a AS (
+  SELECT domain, CASE WHEN is_full THEN holds ELSE
+    ((budget - coalesce(sum(holds) FILTER (is_full) OVER (), 0)) * weight) // sum(weight) FILTER (NOT is_full) OVER () END AS share
+  FROM a1
+), b0 AS (
+  SELECT domain, lang, lang AS name, sum(holds) AS holds, CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight, min(share) AS budget
+  FROM leaf JOIN a USING (domain) GROUP BY domain, lang
+), b1 AS (
+  SELECT *, holds * sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+            <= (budget - coalesce(sum(holds) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS is_full
+  FROM b0 WINDOW o AS (PARTITION BY domain ORDER BY CAST(holds AS DOUBLE) / weight, name)
+), b AS (
+  SELECT domain, lang, CASE WHEN is_full THEN holds ELSE
+    ((budget - coalesce(sum(holds) FILTER (is_full) OVER p, 0)) * weight) // sum(weight) FILTER (NOT is_full) OVER p END AS share
+  FROM b1 WINDOW p AS (PARTITION BY domain)
+), c0 AS (
+  SELECT domain, lang, source, source AS name, tokens, holds, 1 AS weight, share AS budget FROM leaf JOIN b USING (domain, lang)
+), c1 AS (
+  SELECT *, holds * sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+            <= (budget - coalesce(sum(holds) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS is_full
+  FROM c0 WINDOW o AS (PARTITION BY domain, lang ORDER BY CAST(holds AS DOUBLE) / weight, name)
+), c2 AS (
+  SELECT domain, lang, source, tokens, CASE WHEN is_full THEN holds ELSE
+    ((budget - coalesce(sum(holds) FILTER (is_full) OVER p, 0)) * weight) // sum(weight) FILTER (NOT is_full) OVER p END AS leaf_budget
+  FROM c1 WINDOW p AS (PARTITION BY domain, lang)
+), c AS (
+  SELECT domain, lang, source, leaf_budget, tokens, CASE WHEN tokens > 0 THEN leaf_budget // tokens ELSE 2 END AS whole FROM c2
+), e AS (
+  SELECT d.*, leaf_budget, whole, leaf_budget - whole * tokens AS rest,
+         sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || CAST(whole AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), doc_id) AS seen
+  FROM d JOIN c USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(leaf_budget AS BIGINT) AS leaf_budget,
+       CAST(least(whole + CASE WHEN seen <= rest THEN 1 ELSE 0 END, 2) AS BIGINT) AS copies
+FROM e
 """,
 }
