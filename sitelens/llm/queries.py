@@ -10,6 +10,7 @@ from .exact import exact_dedup
 from .language import language_id
 from .minhash import near_duplicates
 from .mixing import mix
+from .pieces import decode, encode
 from .substring import remove_repeats
 from .tokencount import count_tokens
 from .urls import Rule, url_filter
@@ -51,6 +52,22 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    model = vocabulary("piece_bpe_32k.model")
+    found = encode(docs, model, n=4, keep=("text_sha256",)).select(
+        "doc_id",
+        "text_sha256",
+        "ids",
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.transform("n_best", lambda p: p["score"]).alias("scores"),
+    )
+    kept = ("text_sha256", "n_pieces", "ids_sha256", "scores")
+    back = decode(found, model, keep=kept)
+    return back.select("doc_id", *kept[1:], (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +97,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_source_mixing": op9_source_mixing,
