@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .embeddings import near_duplicate_vectors
 from .exact import exact_dedup
 from .language import language_id
+from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .pieces import decode, encode
@@ -28,6 +29,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -93,6 +99,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_minhash": op2_minhash,
     "op3_url_filter": op3_url_filter,
     "op4_substring_dedup": op4_substring_dedup,

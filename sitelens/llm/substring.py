@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import Scratch
+from .bits import bit_table, hits
 from .minhash import _FACTOR, _mix
 
 WINDOW, GRAM = 35, 8
@@ -32,8 +33,6 @@ WINDOW, GRAM = 35, 8
 HOT = 10_000
 #: Super-k-mers a bucket task sorts at a time.
 CHUNK = 8_000
-#: Bits of a table of minimisers: 16 for each, up to 16 MB.
-BITS_EACH, MOST_BITS = 16, 1 << 27
 _PLACE = np.uint64((1 << 28) - 1)
 REMEMBERED_WORDS = 500_000
 
@@ -93,24 +92,6 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def _bit_table(keys: DataFrame, n: int) -> tuple[int, bytes]:
-    """A table of the keys' bits (column ``key``), at most ``MOST_BITS``, gathered by blocks of 4 kB."""
-    bits = 1 << 15
-    while bits < min(n * BITS_EACH, MOST_BITS):
-        bits *= 2
-    at = F.col("key").bitwiseAND(F.lit(bits - 1))
-    blocks = keys.select(F.shiftright(at, 15).alias("block"), (at % 32768).alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
-    table = bytearray(bits // 8)
-    for row in blocks.collect():
-        table[row["block"] * 4096 : (row["block"] + 1) * 4096] = row["bits"]
-    return bits, bytes(table)
-
-
-def _hit(table: tuple[int, bytes], keys: np.ndarray) -> np.ndarray:
-    at = (keys & np.uint64(table[0] - 1)).astype(np.int64)
-    return ((np.frombuffer(table[1], dtype=np.uint8)[at >> 3] >> (at & 7)) & 1).astype(bool)
-
-
 def _minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [cut(_words(t))[0] for t in batch.column(0).to_pylist()]
@@ -129,10 +110,10 @@ def _sender(tables):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _words(text)
                 keys, start, stop = cut(words)
-                sent = np.flatnonzero(_hit(repeated, keys))
+                sent = np.flatnonzero(hits(repeated, keys))
                 if not len(sent):
                     continue
-                often = _hit(hot, keys[sent])
+                often = hits(hot, keys[sent])
                 for i, is_hot in zip(sent.tolist(), often.tolist(), strict=True):
                     a, b = int(start[i]), int(stop[i])
                     if is_hot:
@@ -251,7 +232,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = distinct.select("body").mapInArrow(_minimisers, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     repeated = scratch.save(counts.filter("n > 1"), "repeated")
     hot = repeated.filter(F.col("n") > HOT)
-    tables = spark.sparkContext.broadcast((_bit_table(repeated, repeated.count()), _bit_table(hot, hot.count())))
+    tables = spark.sparkContext.broadcast((bit_table(repeated, repeated.count()), bit_table(hot, hot.count())))
     sent = scratch.save(distinct.mapInArrow(_sender(tables), "bucket bigint, hot boolean, doc bigint, start bigint, packed binary"), "sent")
     buckets = sent.filter("not hot").select("bucket", "doc", "start", "packed").repartition("bucket").sortWithinPartitions("bucket")
     spans = buckets.mapInArrow(_count_buckets, "doc bigint, start bigint, stop bigint")
