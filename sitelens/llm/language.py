@@ -9,6 +9,7 @@ n-gram of the longer length is known.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 #: The model keeps this many words and this many n-grams of each length, by frequency; the rest back off.
 #: Together they bound what is sent to each executor: about 80 bytes and 8 bytes a language for each.
-MAX_WORDS, MAX_GRAMS = 60_000, 20_000
+MAX_WORDS, MAX_GRAMS = 100_000, 20_000
 #: Lengths of the n-grams an unseen word falls back to.
 GRAM_LENGTHS = (4, 3, 2, 1)
 #: Added to every count, so that a word of one language is possible in the others.
@@ -38,53 +40,75 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def _top(counts: DataFrame, key: str, limit: int) -> DataFrame:
-    """Counts per language of the ``limit`` most frequent keys."""
-    totals = counts.groupBy(key).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), key).limit(limit)
-    return counts.join(F.broadcast(totals), key).select(key, "lang", "n")
-
-
 @dataclass
 class Model:
+    """Rows of ``table`` hold log frequencies by language; the last row is all zeros."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]  # log frequencies by language
-    grams: dict[str, np.ndarray]
-    floor: np.ndarray  # of a word with no known n-gram
+    words: dict[str, int]
+    grams: list[tuple[int, dict[str, int]]]  # by length, longest first
+    table: np.ndarray
 
-    def predict(self, text: str | None, seen: dict[str, np.ndarray]) -> tuple[str, float]:
+    def predict(self, text: str | None, unseen: Unseen) -> tuple[str, float]:
         counts = Counter(_WORD.findall(text.lower())) if text else {}
-        vectors, times = [], []
-        for word, n in counts.items():
-            found = self.words.get(word)
-            if found is None:
-                found = seen.get(word)
-                if found is None:
-                    if not any(map(str.isalpha, word)):
-                        continue
-                    found = self.back_off(word)
-                    if len(word) <= 80:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen[word] = found
-            vectors.append(found)
-            times.append(n)
-        if not vectors or not self.langs:
+        if not counts or not self.langs:
+            return UNKNOWN, 0.0
+        words = list(counts)
+        rows = list(map(self.words.get, words))
+        new = [w for w, r in zip(words, rows, strict=True) if r is None]
+        found = unseen.rows(self, new)
+        known = [r for r in rows if r is not None]
+        n = np.fromiter(counts.values(), dtype=np.float64, count=len(words))
+        is_new = np.fromiter((r is None for r in rows), dtype=bool, count=len(rows))
+        spoken = n.copy()
+        spoken[np.flatnonzero(is_new)[found < 0]] = 0
+        total = n[~is_new] @ self.table[known] if known else np.zeros(len(self.langs))
+        if len(new):
+            total = total + spoken[is_new] @ unseen.table[found]
+        words_counted = spoken.sum()
+        if not words_counted:
             return UNKNOWN, 0.0
-        n = np.array(times, dtype=np.float64)
-        total = n @ np.array(vectors)
         # The mean evidence of a word, times at most ten words: long texts aren't surer than the model is.
-        scaled = (total - total.max()) * min(1.0, 10.0 / n.sum())
-        share = np.exp(scaled)
+        share = np.exp((total - total.max()) * min(1.0, 10.0 / words_counted))
         best = int(np.argmax(total))  # the languages are sorted: ties go to the first
         return self.langs[best], float(share[best] / share.sum())
 
-    def back_off(self, word: str) -> np.ndarray:
+    def gram_rows(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of a word that are known; the zero row where none is."""
         padded = f"<{word}>" if len(word) <= 200 else word
-        for size in GRAM_LENGTHS:
-            known = [g for i in range(len(padded) - size + 1) if (g := self.grams.get(padded[i : i + size])) is not None]
+        for size, grams in self.grams:
+            known = [r for i in range(len(padded) - size + 1) if (r := grams.get(padded[i : i + size])) is not None]
             if known:
-                return GRAM_WEIGHT * np.mean(known, axis=0)
-        return self.floor
+                return known
+        return [len(self.table) - 1]
+
+
+class Unseen:
+    """Evidence of words the model doesn't know, remembered by a task; -1 stands for no letter."""
+
+    def __init__(self, langs: int):
+        self.known: dict[str, int] = {}
+        self.table, self.used = np.zeros((1024, max(langs, 1))), 0
+
+    def rows(self, model: Model, words: list[str]) -> np.ndarray:
+        if self.used + len(words) > REMEMBERED:
+            self.known.clear()
+            self.used = 0
+        new = [w for w in words if w not in self.known]
+        spoken = [w for w in new if w.isalpha() or any(map(str.isalpha, w))]
+        if len(spoken) < len(new):
+            self.known |= dict.fromkeys(set(new) - set(spoken), -1)
+        if spoken:
+            grams = [model.gram_rows(w) for w in spoken]
+            sizes = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
+            flat = np.fromiter(itertools.chain.from_iterable(grams), dtype=np.int64, count=int(sizes.sum()))
+            sums = np.add.reduceat(model.table[flat], np.cumsum(sizes) - sizes, axis=0)
+            while self.used + len(spoken) > len(self.table):
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+            self.table[self.used : self.used + len(spoken)] = GRAM_WEIGHT * sums / sizes[:, None]
+            self.known |= dict(zip(spoken, range(self.used, self.used + len(spoken)), strict=True))
+            self.used += len(spoken)
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
@@ -96,31 +120,31 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wor
     )
     padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
     grams = [
-        words.filter(F.length("word") <= 200)
+        (size, words.filter(F.length("word") <= 200)
         .select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") + 3 - size, F.lit(1))), lambda i, size=size: F.substring(padded, i, F.lit(size)))).alias("gram"))
-        .filter(F.length("gram") == size)
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        .filter(F.length("gram") == size))
         for size in GRAM_LENGTHS
     ]
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
-    at = {lang: i for i, lang in enumerate(langs)}
-
-    def table(counts: DataFrame, key: str, limit: int) -> dict[str, np.ndarray]:
-        found: dict[str, np.ndarray] = {}
-        for key_, lang, n in _top(counts, key, limit).collect():  # at most the limit times the languages
-            found.setdefault(key_, np.zeros(len(langs)))[at[lang]] = n
-        size = sum(found.values(), np.zeros(len(langs)))
-        return {k: np.log((v + SMOOTHING) / (size + SMOOTHING * len(found))) for k, v in found.items()}
-
-    model = Model(langs, table(words, "word", max_words), {}, np.zeros(len(langs)))
-    for counts in grams:
-        model.grams |= table(counts, "gram", max_grams)
+    tables: list[np.ndarray] = []
+
+    def frequent(counts: DataFrame, key: str, limit: int) -> dict[str, int]:
+        """The most frequent keys, numbered; their log frequencies join the tables."""
+        by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+        top = counts.groupBy(key).agg(F.sum("n").alias("total"), *by_lang).orderBy(F.desc("total"), key).limit(limit).drop("total").toPandas()
+        n = top.drop(columns=key).to_numpy(dtype=np.float64).reshape(len(top), len(langs))
+        at = sum(map(len, tables))
+        tables.append(np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * len(n))))
+        return dict(zip(top[key], range(at, at + len(top)), strict=True))
+
+    known = frequent(words, "word", max_words)
+    by_size = [(size, frequent(counts, "gram", max_grams)) for size, counts in grams]
     words.unpersist()
-    return model
+    return Model(langs, known, by_size, np.vstack([*tables, np.zeros((1, len(langs)))]))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Language of every whole text: ``id_col``, lang_pred, score (0 to 1).
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Language of every whole text: ``id_col``, the columns named in ``keep``, lang_pred, score (0 to 1).
 
     Only the text counts.  Ties go to the language that sorts first.
 
@@ -129,17 +153,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     * empty table: empty result; other columns, whatever their names, are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
-    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = sent.value, {}
+        known, seen = sent.value, Unseen(len(sent.value.langs))
         for batch in batches:
             found = [known.predict(t, seen) for t in batch.column(1).to_pylist()]
             langs, scores = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_body"), *keep)
+    schema = T.StructType([rows.schema[c] for c in (id_col, *keep)]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
