@@ -1,20 +1,67 @@
-"""The corpus pipeline: documents through stages of the operators in ``sitelens.llm``."""
+"""The corpus pipeline: documents through stages of the operators in ``sitelens.llm``.
+
+Each stage takes what its predecessor kept and returns the columns of
+``documents``; the last one returns token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitelens.llm.exact import exact_dedup
+from sitelens.llm.language import UNKNOWN, fit, held_out, identify
+from sitelens.llm.minhash import near_duplicates
+from sitelens.llm.mixing import mix
+from sitelens.llm.pieces import encode
+from sitelens.llm.queries import MIX_WEIGHTS, mix_levels, vocabulary
 from sitelens.plans.durable import Scratch
 
+#: Share of the tokens that the mixture takes.
+MIX_SHARE = 0.9
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents but those with the given ids."""
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found (no text, no letters) go."""
+    model = fit(docs.filter(~held_out(F.col("doc_id"))))
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    return identify(docs, model, keep=rest).filter(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest id stays."""
+    return _without(docs, exact_dedup(docs).filter("not kept").select("doc_id"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id stays."""
+    return _without(docs, near_duplicates(docs).filter("not kept").select("doc_id"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are cut to their share of nine tenths of the tokens; no document is repeated."""
+    plan = mix(docs, mix_levels(), MIX_WEIGHTS, F.floor(F.col("total") * MIX_SHARE), epochs=1, seed=17)
+    return _without(docs, plan.filter("copies = 0").select("doc_id"))
+
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and the scores of its four best segmentations."""
+    found = encode(docs, vocabulary("piece_bpe_32k.model"), n=4, keep=("lang", "source"))
+    return found.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_pieces"), F.transform("n_best", lambda p: p["score"]).alias("scores"))
 
 
-STAGES = [("exact_dedup", exact_copies)]
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("minhash_dedup", near_stage),
+    ("source_mixing", mixing_stage),
+    ("sentencepiece", encoding_stage),
+]
 
 #: The stages learn a language model and search a piece lattice, which SQL doesn't express.
 ORACLE_SQL = None
