@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import Scratch
 from .bits import bit_table, hits
+from .frequent import most_frequent
 from .minhash import _mix
 
 #: Lines match where 100 * common words >= PERCENT * all words.
@@ -193,8 +194,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("body"))
     named = texts.filter("doc is not null and body is not null")
     counts = named.select("body").mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(RANKED).select("word").toPandas()
+    top = most_frequent(scratch.save(counts, "counts"), RANKED).toPandas().sort_values(["n", "word"], ascending=[False, True])
     order = spark.sparkContext.broadcast(top["word"].to_numpy(dtype=np.int64).view(np.uint64))
+    scratch.drop("counts")
     sets = named.mapInArrow(_sets(order), "doc bigint, line bigint, d1 bigint, d2 bigint, n bigint, bits bigint, prefix array<bigint>")
     reps = scratch.save(
         sets.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "line")).alias("lead"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
