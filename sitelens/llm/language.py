@@ -21,6 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.durable import Scratch
+from .frequent import most_frequent
+
 UNKNOWN = "und"
 #: The model keeps this many words and this many n-grams of each length, by frequency; the rest back off.
 #: Together they bound what is sent to each executor: about 80 bytes and 8 bytes a language for each.
@@ -113,33 +116,32 @@ class Unseen:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Learn from every row of ``docs`` whose language is not null; null texts teach nothing."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    words = (
-        rows.select(F.col(lang_col).cast("string").alias("lang"), F.explode(_words(F.col(text_col))).alias("word"))
-        .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).cache()
-    )
-    padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
-    grams = [
-        (size, words.filter(F.length("word") <= 200)
-        .select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") + 3 - size, F.lit(1))), lambda i, size=size: F.substring(padded, i, F.lit(size)))).alias("gram"))
-        .filter(F.length("gram") == size))
-        for size in GRAM_LENGTHS
-    ]
-    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    scratch = Scratch(docs.sparkSession, "language")
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("body"))
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    by_lang = [f"n{i}" for i in range(len(langs))]
+    spoken = rows.select("lang", F.explode(_words(F.col("body"))).alias("key"))
+    words = scratch.save(
+        spoken.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("lang") == lang).alias(c) for c, lang in zip(by_lang, langs, strict=True)]), "words"
+    )
     tables: list[np.ndarray] = []
 
-    def frequent(counts: DataFrame, key: str, limit: int) -> dict[str, int]:
+    def frequent(counts: DataFrame, limit: int) -> dict[str, int]:
         """The most frequent keys, numbered; their log frequencies join the tables."""
-        by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
-        top = counts.groupBy(key).agg(F.sum("n").alias("total"), *by_lang).orderBy(F.desc("total"), key).limit(limit).drop("total").toPandas()
-        n = top.drop(columns=key).to_numpy(dtype=np.float64).reshape(len(top), len(langs))
+        top = most_frequent(counts, limit).select("key", *by_lang).toPandas()
+        n = top[by_lang].to_numpy(dtype=np.float64).reshape(len(top), len(langs))
         at = sum(map(len, tables))
         tables.append(np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * len(n))))
-        return dict(zip(top[key], range(at, at + len(top)), strict=True))
-
-    known = frequent(words, "word", max_words)
-    by_size = [(size, frequent(counts, "gram", max_grams)) for size, counts in grams]
-    words.unpersist()
+        return dict(zip(top["key"], range(at, at + len(top)), strict=True))
+
+    known = frequent(words, max_words)
+    padded = F.concat(F.lit("<"), F.col("key"), F.lit(">"))
+    by_size = []
+    for size in GRAM_LENGTHS:
+        places = F.sequence(F.lit(1), F.greatest(F.length("key") + 3 - size, F.lit(1)))
+        grams = words.filter(F.length("key") <= 200).select("n", *by_lang, F.explode(F.transform(places, lambda i, size=size: F.substring(padded, i, F.lit(size)))).alias("key"))
+        counts = grams.filter(F.length("key") == size).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", *by_lang)])
+        by_size.append((size, frequent(scratch.save(counts, f"grams-{size}"), max_grams)))
     return Model(langs, known, by_size, np.vstack([*tables, np.zeros((1, len(langs)))]))
 
 
