@@ -487,8 +487,8 @@ def account_alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # As a pattern: a stream takes a plain path for a folder, and a table may be one file.
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @_query(
@@ -496,7 +496,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     "SELECT user_id AS owner_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS pages FROM events WHERE event_type = 'view' GROUP BY ALL",
 )
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _stream(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("user_id").alias("owner_id"), "ts")
+    events = _stream(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("user_id").alias("owner_id"), F.col("ts").cast("timestamp").alias("ts"))
     out = fresh_path(spark, "stream-usage")
 
     def keep(batch: DataFrame, epoch: int) -> None:
