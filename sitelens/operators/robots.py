@@ -80,11 +80,11 @@ def _pattern(pattern: Column) -> Column:
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Whether each URL (host, user_agent, url) may be fetched: the longest matching rule wins, allow wins ties."""
     best = _best_groups(urls, rules).filter("pattern is not null").select("host", "user_agent", "allow", "pattern").distinct()
-    best = best.withColumn("regex", _pattern(F.col("pattern"))).withColumn("len", F.length(F.replace(F.regexp_replace("pattern", r"\$$", ""), F.lit("*"))))
+    best = best.withColumn("regex", _pattern(F.col("pattern"))).withColumn("len", F.length(F.regexp_replace(F.regexp_replace("pattern", r"\$$", ""), r"\*", "")))
     target = F.concat(path(F.col("url")), F.when(query(F.col("url")) != "", F.concat(F.lit("?"), query(F.col("url")))).otherwise(""))
     rows = urls.withColumn("_target", target)
     plain = lambda c: F.coalesce(percent_decoded(c), c)
-    hit = F.col("_target").rlike(F.col("regex")) | plain(F.col("_target")).rlike(plain(F.col("regex")))
+    hit = F.rlike("_target", F.col("regex")) | F.rlike(plain(F.col("_target")), plain(F.col("regex")))
     decided = rows.join(best, ["host", "user_agent"]).filter(hit).groupBy("host", "user_agent", "url").agg(F.max_by("allow", F.struct("len", "allow")).alias("allow"))
     return urls.join(decided, ["host", "user_agent", "url"], "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
 
