@@ -8,12 +8,16 @@ probability equal to its similarity.
 
 1. Documents with the same set form a class; only its smallest id goes on.
 2. Bands of compressed registers are the candidate buckets.  First each member
-   is compared with the leads (smallest ids) of its buckets only: candidates
-   grow with the documents, not with the square of a bucket.
+   is compared with two of each of its buckets only, the smallest id and the
+   member with the most neighbours: candidates grow with the documents, not
+   with the square of a bucket.
 3. Candidates are screened by the collision-corrected estimate of their
    similarity and confirmed on full shingle sets.
-4. Whatever a bucket still holds in several components is compared pair by pair
-   across those components, so no link that joins two of them is left out.
+4. Where a bucket still holds several components, its members are compared
+   across them in blocks of bounded size.  Each document has one home block,
+   taken from its largest bucket; two blocks meet once, however many buckets
+   their members share, and hand on a spanning forest of the links they find.
+   No link that joins two components is left out, and no pairs are listed.
 
 A pair at similarity 0.75 misses all 51 bands of 5 registers with probability
 1e-6; the screen lies five standard errors below the threshold.
@@ -30,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..plans.durable import Scratch
+from ..plans.durable import Scratch, small_batches
+from .blocks import groups
 
 BUCKETS, MANTISSA, ROWS = 256, 10, 5
 BANDS = BUCKETS // ROWS
@@ -39,6 +44,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Estimates from 256 registers have a standard error of 0.027 at 0.75.
 SCREEN = 0.6
+#: Documents of a home block; two of them are compared at a time.
+BLOCK = 200
 REMEMBERED_WORDS = 500_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -170,6 +177,63 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _across_components(scratch: Scratch, across: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share buckets: across has bucket, id, component."""
+    sizes = across.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    largest = across.join(sizes, "bucket").groupBy("id").agg(F.max_by("bucket", F.struct("size", "bucket")).alias("own"), F.min("component").alias("component"))
+    largest = scratch.save(largest, "largest")
+    parts = largest.groupBy("own").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    homes = largest.join(parts, "own").select("id", "component", F.xxhash64("own", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("home"))
+    homes = scratch.save(homes, "homes")
+    # Which blocks meet: those with members of different components in one bucket.
+    inside = across.select("bucket", "id").join(homes, "id").groupBy("bucket", "home").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    inside = scratch.save(inside, "inside")
+    x, y = inside.alias("x"), inside.alias("y")
+    differ = F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")
+    meet = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.home") <= F.col("y.home")) & differ).select(F.col("x.home").alias("p"), F.col("y.home").alias("q")).distinct()
+    meet = scratch.save(meet, "meet")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+
+    wanted = texts.join(homes.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id bigint, shingles binary")
+    full = scratch.save(homes.join(wanted, "id").join(reps.select("id", "regs"), "id"), "full")
+    left = meet.join(full, meet["p"] == full["home"]).withColumn("side", F.lit(0))
+    right = meet.filter("p < q").join(full, F.col("q") == F.col("home")).withColumn("side", F.lit(1))
+    columns = ["p", "q", "side", "id", "component", "regs", "shingles"]
+    blocks = left.select(*columns).unionByName(right.select(*columns)).repartition("p", "q").sortWithinPartitions("p", "q", "side")
+    return blocks.mapInArrow(_linked_blocks, "a bigint, b bigint")
+
+
+def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks, links that join components: as many as it takes, no more."""
+    for rows in groups(batches, ["p", "q"]):
+        ids, side, component = (rows[c].to_numpy() for c in ("id", "side", "component"))
+        regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), dtype="<u2").reshape(len(ids), BUCKETS)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        joined = component.copy()
+        one_block = not side.any()
+        a, b = [], []
+        for i in np.flatnonzero(side == 0):
+            others = np.arange(i + 1, len(ids)) if one_block else np.flatnonzero(side == 1)
+            others = others[(joined[others] != joined[i]) & (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i]))]
+            # Agreement by chance only raises this share, so the screen is on the safe side.
+            others = others[(regs[others] == regs[i]).mean(axis=1) >= SCREEN]
+            for j in others:
+                if joined[i] == joined[j]:
+                    continue
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= PERCENT * (n[i] + n[j] - common):
+                    a.append(ids[i])
+                    b.append(ids[j])
+                    joined[joined == joined[j]] = joined[i]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 0.75 or more.
 
@@ -185,6 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * empty table: empty result; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
     sketch = scratch.save(sketches(texts), "sketches")
@@ -198,10 +263,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = reps.select(
         "id", F.posexplode(F.array(*[F.substring("regs", 1 + 2 * ROWS * i, 2 * ROWS) for i in range(BANDS)]))
     ).select("id", F.xxhash64("pos", "col").alias("bucket"))
-    leads = bands.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+    leads = bands.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = scratch.save(bands.join(leads, "bucket"), "members")
-    stars = members.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    # One confirmation a document: with the lead most like it.
+    # The member with the most neighbours over all its buckets is the likeliest original of the others.
+    weight = members.groupBy("id").agg(F.sum("members").alias("weight"))
+    centres = members.join(weight, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"))
+    stars = members.join(centres, "bucket").select("id", F.explode(F.array("lead", "centre")).alias("b")).filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    # One confirmation a document: with the lead or centre most like it.
     best = _screened(stars, reps).groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
     tried = scratch.save(best, "tried")
     links = scratch.save(_confirmed(tried, texts), "links")
@@ -210,11 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     across = scratch.save(placed.join(mixed, "bucket"), "across")
-    other = across.select("bucket", F.col("id").alias("b"), F.col("component").alias("component_b"))
-    pairs = across.withColumnRenamed("id", "a").join(other, "bucket").filter("component > component_b").select("a", "b").distinct()
-    left = scratch.save(_screened(pairs, reps).select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "left")
-    more = _confirmed(left, texts)
-    more = scratch.save(more, "more")
+    more = scratch.save(_across_components(scratch, across, reps, texts), "more")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
