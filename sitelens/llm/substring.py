@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import Scratch
+from ..plans.durable import Scratch, small_batches
 from .bits import bit_table, hits
 from .minhash import _FACTOR, _mix
 
 WINDOW, GRAM = 35, 8
-#: More super-k-mers of one minimiser than this go window by window; it bounds what a bucket holds in memory.
-HOT = 10_000
+#: More super-k-mers of one minimiser than this go window by window; it bounds what a bucket holds in memory (100 MB).
+HOT = 50_000
 #: Super-k-mers a bucket task sorts at a time.
 CHUNK = 8_000
 _PLACE = np.uint64((1 << 28) - 1)
@@ -223,6 +223,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     * empty table: empty result; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "substring")
     body = F.col(text_col)
     doc: Column = F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(body))
