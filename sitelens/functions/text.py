@@ -78,8 +78,13 @@ def content_hash(normalized: Column) -> Column:
 def shingles(normalized: Column) -> Column:
     """Distinct word triples; the distinct words of a text with fewer than three."""
     words = F.filter(F.split(normalized, " "), lambda w: w != "")
-    triples = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))
-    return F.array_distinct(F.when(F.size(words) < 3, words).otherwise(triples))
+
+    def of(own: Column) -> Column:
+        triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - 2, F.lit(1))), lambda i: F.array_join(F.slice(own, i, 3), " "))
+        return F.when(F.size(own) < 3, own).otherwise(triples)
+
+    # As the one element of an array the words are split once, not once for each triple.
+    return F.array_distinct(F.element_at(F.transform(F.array(words), of), 1))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -126,9 +131,8 @@ def top_terms(pages: DataFrame, id_col: str = "page_id", text_col: str = "text",
     """The most frequent words and word pairs of each page: term, n, density (%), size, stuffing, rank."""
     words = F.transform(word_list(F.col(text_col)), F.lower)
     rows = pages.select(F.col(id_col).alias("id"), words.alias("words")).withColumn("total", F.size("words"))
-    stops = [F.lit(w) for w in STOP_WORDS]
-    is_stop = lambda w: F.array_contains(F.array(*stops), w)
-    singles = F.filter("words", lambda w: (F.length(w) >= 3) & ~is_stop(w) & F.expr("true") & w.try_cast("int").isNull())
+    is_stop = lambda w: w.isin(STOP_WORDS)
+    singles = F.filter("words", lambda w: (F.length(w) >= 3) & ~is_stop(w) & w.try_cast("int").isNull())
     pairs = F.filter(
         F.zip_with(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
         lambda p: (F.length(p["a"]) >= 2) & (F.length(p["b"]) >= 2) & ~(is_stop(p["a"]) & is_stop(p["b"])),
