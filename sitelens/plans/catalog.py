@@ -16,6 +16,7 @@ from ..operators.robots import discover_urls
 from ..operators.rules import evaluate_rules
 from ..operators.scoring import issues, recommendations, scores
 from ..plans.durable import fresh_path
+from ..sources import ingest
 from ..sources.tables import read_table
 from ..streaming import streams
 from . import accounts, audit, competitors, keywords, snapshots, visibility
@@ -515,3 +516,121 @@ def stream_new_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "stream-metrics")
     streams.stream_new_rows(rows, ["keyword_id", "date", "page"], out, fresh_path(spark, "stream-metrics-state")).awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{out}/epoch=*")
+
+
+# Newest rows, retention, limits, ingestion
+
+
+@_query("crawl_latest", "SELECT project_id, crawl_id, rank FROM (SELECT o_custkey AS project_id, o_orderkey AS crawl_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders) WHERE rank <= 3")
+def crawl_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawls = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("crawl_id"), F.col("o_orderdate").alias("created_at"))
+    return audit.latest_per(crawls, "project_id", "created_at", "crawl_id", 3).select("project_id", "crawl_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@_query(
+    "serp_results",
+    f"""WITH {ctes("v_serp")} SELECT keyword_id AS snapshot_id, url, old_rank AS position, count(*) OVER (PARTITION BY keyword_id) > 5 AS truncated FROM v_serp WHERE keyword_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY keyword_id ORDER BY old_rank, url) <= 5""",
+)
+def serp_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = view(spark, sf_dir, "v_serp").select(F.col("keyword_id").alias("snapshot_id"), "url", F.col("old_rank").alias("position"))
+    state = v.select("snapshot_id", F.when(F.col("snapshot_id") % 3 == 0, "Unavailable").otherwise("Available").alias("availability")).distinct()
+    return snapshots.serp_results(state, v, 5).select("snapshot_id", "url", "position", "truncated")
+
+
+@_query(
+    "serp_ingest",
+    f"""WITH {ctes("v_serp")}, v AS (SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY old_rank, url) AS k, count(*) OVER (PARTITION BY keyword_id) AS total FROM v_serp)
+SELECT keyword_id AS snapshot_id, least(total, 4) AS result_count, total > 4 AS truncated, min(CASE WHEN url LIKE '%-000000007.example/%' AND k <= 4 THEN old_rank END) AS own_position FROM v GROUP BY keyword_id, total""",
+)
+def serp_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = view(spark, sf_dir, "v_serp").select(F.col("keyword_id").alias("snapshot_id"), F.col("old_rank").alias("position"), "url", F.lit("t").alias("title"))
+    return ingest.ingest_serp(payload, "supplier-000000007.example", 4)[1].select("snapshot_id", "result_count", "truncated", "own_position")
+
+
+@_query(
+    "backlink_ingest",
+    "SELECT l_suppkey AS snapshot_id, least(count(*), 100) AS observation_count, count(*) > 100 AS truncated FROM lineitem GROUP BY l_suppkey",
+)
+def backlink_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("snapshot_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.lit("s").alias("source_url"), F.lit("t").alias("target_url"), F.lit("a").alias("anchor")
+    )
+    return ingest.ingest_backlinks(payload, 100)[1].select("snapshot_id", "observation_count", "truncated")
+
+
+@_query(
+    "keyword_ingest",
+    """WITH p AS (SELECT p_partkey % 7 AS project_id, p_partkey AS ordinal, trim(p_name) AS phrase FROM part), o AS (SELECT project_id, lower(phrase) AS k, min(ordinal) AS ordinal FROM p GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ordinal) AS n FROM o), a AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ordinal) AS m FROM f WHERE n <= 100 AND NOT starts_with(k, 'red'))
+SELECT project_id, k AS normalized_phrase FROM a WHERE m <= 12""",
+)
+def keyword_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = read_table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("project_id"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("phrase"))
+    known = phrases.filter(F.lower("phrase").startswith("red")).select("project_id", F.lower("phrase").alias("normalized_phrase")).distinct()
+    return ingest.ingest_keywords(phrases, known, 12)[0].select("project_id", "normalized_phrase")
+
+
+@_query(
+    "keyword_valid_metrics",
+    "SELECT l_orderkey, l_linenumber, upper(CASE WHEN l_returnflag = 'N' THEN 'ALL' ELSE l_returnflag END) AS country, CAST(round_even(CAST(l_discount AS DECIMAL(18,10)), 6) AS DOUBLE) AS ctr FROM lineitem WHERE l_quantity - 10 >= 0",
+)
+def keyword_valid_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_quantity") - 10).alias("clicks"), F.col("l_quantity").alias("impressions"), F.col("l_tax").alias("position"), F.col("l_discount").alias("ctr"),
+        F.when(F.col("l_returnflag") == "N", " ").otherwise(F.lower("l_returnflag")).alias("country"), F.lit("").alias("device"),
+    )
+    return _plain(keywords.valid_metrics(rows)[0].select("l_orderkey", "l_linenumber", "country", "ctr"))
+
+
+@_query(
+    "account_limits",
+    """WITH u AS (SELECT c_nationkey AS owner_id, count(*) AS projects, CAST(sum(c_custkey) AS BIGINT) AS pages FROM customer GROUP BY ALL),
+p AS (SELECT owner_id, CASE WHEN owner_id % 5 = 4 THEN 'free' ELSE ['free', 'starter', 'pro', 'enterprise'][owner_id % 4 + 1] END AS plan, owner_id % 5 <> 4 AS is_active FROM u),
+l(plan, max_projects, max_pages) AS (VALUES ('free', 1, 100), ('starter', 3, 1000), ('pro', 10, 10000), ('enterprise', 50, 100000))
+SELECT owner_id, plan, is_active, projects >= max_projects AS projects_full, pages + 1 > max_pages AS pages_full FROM u JOIN p USING (owner_id) JOIN l USING (plan)""",
+)
+def account_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = read_table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("owner_id")).agg(F.count(F.lit(1)).alias("projects"), F.sum("c_custkey").alias("pages"))
+    used = used.withColumn("keywords", F.lit(0)).withColumn("competitors", F.lit(0))
+    names = F.array(*[F.lit(p) for p in ("free", "starter", "pro", "enterprise")])
+    bought = used.select("owner_id", F.element_at(names, F.col("owner_id") % 4 + 1).alias("plan"), F.when(F.col("owner_id") % 5 == 4, "Canceled").otherwise("Active").alias("status"), F.lit(None).cast("timestamp").alias("period_end"))
+    limits = accounts.entitlements(used, bought, F.current_timestamp())
+    full = accounts.quota_check(used, limits).select("owner_id", "projects_full", "pages_full")
+    return limits.select("owner_id", "plan", "is_active").join(full, "owner_id")
+
+
+@_query(
+    "account_expired_rows",
+    """SELECT event_type AS status, count(*) FILTER (CASE event_type WHEN 'view' THEN ts < TIMESTAMP '2024-01-21' WHEN 'click' THEN ts < TIMESTAMP '2024-01-30' ELSE false END) AS expired, count(*) AS total FROM events GROUP BY event_type""",
+)
+def account_expired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("status"))
+    kept, gone = audit.kept_rows(rows, "ts", {"view": 10, "click": 0}, F.lit("2024-01-31").cast("timestamp"))
+    both = kept.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)))
+    return both.groupBy("status").agg(F.count_if("gone").alias("expired"), F.count(F.lit(1)).alias("total"))
+
+
+@_query(
+    "account_visible_projects",
+    "SELECT DISTINCT * FROM (SELECT c_nationkey AS user_id, c_custkey AS project_id FROM customer UNION ALL SELECT CAST(o_orderkey % 40 AS INT), o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O'))",
+)
+def account_visible_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    projects = read_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("owner_id"), F.col("c_custkey").alias("project_id"))
+    role = F.when(F.col("o_orderstatus") == "F", "Viewer").when(F.col("o_orderstatus") == "O", "Admin").otherwise("Guest")
+    members = read_table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 40).cast("int").alias("user_id"), F.col("o_custkey").alias("project_id"), role.alias("role"))
+    return audit.visible_projects(projects, members)
+
+
+@_query(
+    "account_delivery_backlog",
+    """SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank, least(60, CAST(2 ** least(6, event_id % 11) AS INT)) AS backoff_minutes, event_id % 11 + 1 >= 10 AS dead_letter
+FROM events WHERE event_type IN ('error', 'view') AND ts <= TIMESTAMP '2024-01-15'""",
+)
+def account_delivery_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", "Failed").when(F.col("event_type") == "view", "Pending").otherwise("Delivered")
+    rows = read_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("project_id"), status.alias("status"), F.col("ts").alias("next_attempt_at"), F.lit(None).cast("timestamp").alias("locked_until"), (F.col("event_id") % 11).alias("attempts")
+    )
+    found = audit.delivery_backlog(rows, F.lit("2024-01-15").cast("timestamp"))
+    return found.select(F.col("id").alias("event_id"), F.col("rank").cast("bigint").alias("rank"), "backoff_minutes", "dead_letter")
+
