@@ -437,7 +437,7 @@ def serp_own_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.own_position(v, F.when(F.col("url").contains("-000000001"), F.regexp_extract("url", "//www.([^/]+)/", 1)).otherwise("none.example"))
 
 
-_LINKS = "concat('http://s', CAST(l_suppkey AS VARCHAR(20)), '.example/') AS source_url, concat('/P', CAST(l_partkey % 50 AS VARCHAR(20))) AS target_url"
+_LINKS = "concat('http://s', CAST(l_suppkey AS STRING), '.example/') AS source_url, concat('/P', CAST(l_partkey % 50 AS STRING)) AS target_url"
 
 
 @_query(

@@ -16,7 +16,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
   CASE page_id % 20 WHEN 3 THEN 404 WHEN 7 THEN 301 WHEN 11 THEN 500 ELSE 200 END AS status,
   page_id * 37 % 3000 AS response_ms, page_id % 6 AS depth, page_id * 29 % 700 AS word_count, page_id % 4 AS missing_alt, page_id % 5 AS hops,
   CASE WHEN page_id % 9 = 0 THEN NULL ELSE repeat('d', CAST(page_id * 13 % 220 AS INT)) END AS meta_description,
-  CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '/relative' WHEN 2 THEN concat('https://other.example/', CAST(page_id AS VARCHAR(20))) ELSE url END AS canonical,
+  CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '/relative' WHEN 2 THEN concat('https://other.example/', CAST(page_id AS STRING)) ELSE url END AS canonical,
   CASE WHEN page_id % 10 = 4 THEN 'NoIndex, follow' ELSE 'index' END AS robots_meta, CASE WHEN page_id % 13 = 5 THEN 'noindex' END AS x_robots,
   CASE WHEN page_id % 17 = 6 THEN ' ' ELSE 'text/html' END AS content_type,
   page_id % 3 AS n_h1, page_id % 8 AS ld_kind, page_id % 6 AS lang_kind, page_id % 16 AS header_kind, page_id % 30 AS n_scripts, page_id % 5 AS n_images
@@ -25,14 +25,14 @@ FROM {pages}""",
     "v_link": (
         ["lineitem"],
         """SELECT l_partkey AS source_id, (l_partkey * 7 + l_suppkey * 13 + l_linenumber * l_linenumber) % 1000 AS target_id,
-  CASE l_orderkey % 6 WHEN 0 THEN 'Read more' WHEN 1 THEN ' here ' WHEN 2 THEN 'HERE' WHEN 3 THEN concat('Part ', CAST(l_suppkey % 20 AS VARCHAR(20))) WHEN 4 THEN '' ELSE 'Catalogue' END AS anchor
+  CASE l_orderkey % 6 WHEN 0 THEN 'Read more' WHEN 1 THEN ' here ' WHEN 2 THEN 'HERE' WHEN 3 THEN concat('Part ', CAST(l_suppkey % 20 AS STRING)) WHEN 4 THEN '' ELSE 'Catalogue' END AS anchor
 FROM {lineitem}""",
     ),
     "v_node": (["part"], "SELECT p_partkey AS page_id, p_partkey % 50 = 0 AS is_root, p_partkey % 3 <> 0 AS in_seeds FROM {part}"),
     "v_metric": (
         ["lineitem"],
         """SELECT l_partkey % 5 AS project_id, l_partkey % 500 AS keyword_id, CAST(l_shipdate AS DATE) AS date, CAST(l_quantity AS INT) AS impressions,
-  CAST(floor(l_quantity * l_discount) AS INT) AS clicks, CAST(1 + round(l_tax * 200) AS INT) AS position, concat('/p/', CAST(l_suppkey % 4 AS VARCHAR(20))) AS page_url,
+  CAST(floor(l_quantity * l_discount) AS INT) AS clicks, CAST(1 + round(l_tax * 200) AS INT) AS position, concat('/p/', CAST(l_suppkey % 4 AS STRING)) AS page_url,
   CASE WHEN l_linenumber % 2 = 0 THEN 'api' ELSE 'import' END AS source
 FROM {lineitem}""",
     ),
@@ -46,8 +46,8 @@ FROM {supplier}""",
     ),
     "v_rival": (
         ["orders", "customer"],
-        """SELECT c.c_mktsegment AS competitor_id, concat(c.c_mktsegment, '-', CAST(o.o_orderkey % 3 AS VARCHAR(20))) AS crawl_id, o.o_orderkey % 3 AS created_at, CASE o.o_orderstatus WHEN 'F' THEN 404 ELSE 200 END AS status,
-  concat('/o/', CAST(o.o_orderkey AS VARCHAR(20))) AS url, CASE WHEN o.o_orderkey % 11 = 0 THEN '  ' ELSE concat(replace(o.o_orderpriority, '-', ' '), ' order ', CAST(o.o_custkey % 97 AS VARCHAR(20)), ' | shop') END AS title,
+        """SELECT c.c_mktsegment AS competitor_id, concat(c.c_mktsegment, '-', CAST(o.o_orderkey % 3 AS STRING)) AS crawl_id, o.o_orderkey % 3 AS created_at, CASE o.o_orderstatus WHEN 'F' THEN 404 ELSE 200 END AS status,
+  concat('/o/', CAST(o.o_orderkey AS STRING)) AS url, CASE WHEN o.o_orderkey % 11 = 0 THEN '  ' ELSE concat(replace(o.o_orderpriority, '-', ' '), ' order ', CAST(o.o_custkey % 97 AS STRING), ' | shop') END AS title,
   o.o_orderkey % 900 AS word_count, o.o_orderkey * 31 % 2000 AS response_ms, o.o_orderkey % 5 <> 0 AS is_indexable, o.o_orderkey % 4 <> 1 AS has_description, o.o_orderkey % 40 AS internal_links
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey""",
     ),

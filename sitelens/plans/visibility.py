@@ -32,7 +32,9 @@ def profiles(spark: SparkSession) -> DataFrame:
 
 def ai_crawler_access(hosts: DataFrame, rules: DataFrame, crawlers: DataFrame) -> DataFrame:
     """Access of every enabled crawler to each host's root: Blocked, Allowed (named and let in) or Unspecified."""
-    asked = hosts.select("host").distinct().join(F.broadcast(crawlers.filter("is_enabled").limit(1000)), F.lit(True)).withColumn("url", F.concat(F.lit("https://"), F.col("host"), F.lit("/")))
+    profile = F.struct("key", "user_agent", "purpose", "weight")
+    every = crawlers.filter("is_enabled").agg(F.collect_list(profile).alias("profiles")).scalar()  # a short list of names
+    asked = hosts.select("host").distinct().withColumn("p", F.explode(every)).select("host", "p.*").withColumn("url", F.concat(F.lit("https://"), F.col("host"), F.lit("/")))
     judged = robots_allowed(asked, rules)
     named = rules.select("host", "agent").distinct().filter("agent <> '*'")
     found = judged.select("host", "user_agent").join(named, "host").filter(F.lower("user_agent").contains(F.col("agent"))).select("host", "user_agent").distinct().withColumn("named", F.lit(True))
