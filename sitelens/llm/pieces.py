@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.durable import small_batches
+
 #: The mark that stands for a space, and what an unknown character costs below the worst piece.
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 #: Parts a task remembers, about 300 bytes each.
@@ -49,7 +52,8 @@ class Model:
         self.bytes = {sp.piece_to_id(f"<0x{b:02X}>"): b for b in range(256)}
         self.byte_id = {b: i for i, b in self.bytes.items()}
         self.raw = [bytes([self.bytes[i]]) if i in self.bytes else t.encode() for i, t in enumerate(self.text)]
-        self.longest = max(map(len, self.pieces), default=1)
+        # What pieces begin with: the piece itself, or None where only longer ones do.
+        self.starts = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.splits_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
@@ -61,9 +65,11 @@ class Model:
     def edges_from(self, part: str, i: int) -> list[tuple[int, int, float]]:
         """(end, id, score) of the pieces that begin at i; id -1 is the unknown character."""
         found = []
-        get = self.pieces.get
-        for j in range(i + 1, min(i + self.longest, len(part)) + 1):
-            hit = get(part[i:j])
+        get = self.starts.get
+        for j in range(i + 1, len(part) + 1):
+            hit = get(part[i:j], False)
+            if hit is False:  # no piece begins like this
+                break
             if hit is not None:
                 found.append((j, hit[0], hit[1]))
         if not found or found[0][0] != i + 1:
@@ -82,8 +88,9 @@ class Model:
             edges.append(own)
             b = best[i]
             for j, piece, score in own:
-                if b + score > best[j]:
-                    best[j] = b + score
+                total = b + score
+                if total > best[j]:
+                    best[j] = total
                     last[j] = (i, piece)
         return best, edges, last
 
@@ -111,17 +118,17 @@ class Model:
         path.reverse()
         ids = self._ids(part, path)
         # Every other path has a piece outside the best one: the best such piece tells the loss.
-        chosen = {(i, j) for i, j, _ in path}
+        step = {i: j for i, j, _ in path}
         after = [float("-inf")] * n + [0.0]
         second = float("-inf")
         for i in range(n - 1, -1, -1):
-            top = float("-inf")
+            top, before, used = float("-inf"), best[i], step.get(i)
             for j, _, score in edges[i]:
                 rest = score + after[j]
                 if rest > top:
                     top = rest
-                if best[i] + rest > second and (i, j) not in chosen:
-                    second = best[i] + rest
+                if j != used and before + rest > second:
+                    second = before + rest
             after[i] = top
         return best[n], _packed(ids), best[n] - second
 
@@ -190,7 +197,9 @@ class Model:
         words = self.cut(text)
         if not words:
             return b"", [(0.0, [])]
-        found = list(map(self.word, words))
+        found = list(map(self.words.get, words))
+        if None in found:
+            found = [x or self.word(w) for x, w in zip(found, words, strict=True)]
         ids = b"".join([x[1] for x in found])
         total = float(sum([x[0] for x in found]))
         out = [(total, [])]
@@ -228,7 +237,7 @@ class Model:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<i4").tobytes()
+    return struct.pack(f"<{len(ids)}i", *ids)
 
 
 def _smallest(x: np.ndarray, k: int) -> np.ndarray:
@@ -277,6 +286,7 @@ def encode(
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], lists, pa.array(paths, pa.list_(_ENCODED))], [*names, "ids", "n_best"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_body"), *keep)
     names = [id_col, *keep]
     schema = T.StructType([rows.schema[c] for c in names])
