@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,8 +84,7 @@ def shingles(normalized: Column) -> Column:
         triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - 2, F.lit(1))), lambda i: F.array_join(F.slice(own, i, 3), " "))
         return F.when(F.size(own) < 3, own).otherwise(triples)
 
-    # As the one element of an array the words are split once, not once for each triple.
-    return F.array_distinct(F.element_at(F.transform(F.array(words), of), 1))
+    return F.array_distinct(once(words, of))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -98,56 +98,71 @@ def word_list(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def readability(text: Column) -> Column:
     """Struct of word, sentence and paragraph counts with a score and a grade."""
     empty = blank(text)
-    words = F.size(word_list(text))
+
+    def counts(parts: Column) -> Column:
+        return F.struct(
+            F.size(word_list(text)).alias("words"),
+            F.greatest(F.size(parts), F.lit(1)).alias("sentences"),
+            F.size(F.filter(parts, lambda s: F.size(word_list(s)) > 25)).alias("long"),
+            F.greatest(F.size(F.filter(F.split(text, "\r\n\r\n|\n\n"), lambda p: p != "")), F.lit(1)).alias("paragraphs"),
+        )
+
+    def shares(c: Column) -> Column:
+        average = F.bround(c["words"].cast("decimal(18,6)") / c["sentences"], 1)
+        long_share = F.bround(c["long"].cast("decimal(18,6)") / c["sentences"] * 100, 1)
+        return F.struct(c.alias("c"), average.alias("average"), long_share.alias("long_share"))
+
+    def measured(m: Column) -> Column:
+        raw = 100 - F.greatest(m["average"] - 15, F.lit(0)) * 2 - m["long_share"] * F.lit("0.4").cast("decimal(3,1)")
+        score = F.bround(F.greatest(F.least(raw, F.lit(100)), F.lit(0)), 1)
+        grade = F.when(score >= 75, "Easy").when(score >= 55, "Standard").when(score >= 35, "Difficult").otherwise("VeryDifficult")
+        c = m["c"]
+        return F.struct(
+            c["words"].cast("int").alias("words"),
+            c["sentences"].cast("int").alias("sentences"),
+            m["average"].cast("decimal(10,1)").alias("average_sentence"),
+            c["long"].cast("int").alias("long_sentences"),
+            m["long_share"].cast("decimal(10,1)").alias("long_share"),
+            c["paragraphs"].cast("int").alias("paragraphs"),
+            score.cast("decimal(5,1)").alias("score"),
+            grade.alias("grade"),
+        )
+
+    zero = lambda kind: F.lit(0).cast(kind)
+    nothing = F.struct(
+        zero("int").alias("words"), zero("int").alias("sentences"), zero("decimal(10,1)").alias("average_sentence"), zero("int").alias("long_sentences"),
+        zero("decimal(10,1)").alias("long_share"), zero("int").alias("paragraphs"), zero("decimal(5,1)").alias("score"), F.lit("VeryDifficult").alias("grade"),
+    )
     parts = F.filter(F.split(text, r"(?U)(?<=[.!?؟;\n])\s+"), lambda s: s.rlike(r"(?U)\S"))
-    sentences = F.greatest(F.size(parts), F.lit(1))
-    long_ones = F.size(F.filter(parts, lambda s: F.size(word_list(s)) > 25))
-    average = F.bround(words.cast("decimal(18,6)") / sentences, 1)
-    long_share = F.bround(long_ones.cast("decimal(18,6)") / sentences * 100, 1)
-    paragraphs = F.greatest(F.size(F.filter(F.split(text, "\r\n\r\n|\n\n"), lambda p: p != "")), F.lit(1))
-    raw = 100 - F.greatest(average - 15, F.lit(0)) * 2 - long_share * F.lit("0.4").cast("decimal(3,1)")
-    score = F.bround(F.greatest(F.least(raw, F.lit(100)), F.lit(0)), 1)
-    grade = F.when(score >= 75, "Easy").when(score >= 55, "Standard").when(score >= 35, "Difficult").otherwise("VeryDifficult")
-
-    def unless(value: Column, kind: str) -> Column:
-        return F.when(empty, F.lit(0)).otherwise(value).cast(kind)
-
-    return F.struct(
-        unless(words, "int").alias("words"),
-        unless(sentences, "int").alias("sentences"),
-        unless(average, "decimal(10,1)").alias("average_sentence"),
-        unless(long_ones, "int").alias("long_sentences"),
-        unless(long_share, "decimal(10,1)").alias("long_share"),
-        unless(paragraphs, "int").alias("paragraphs"),
-        unless(score, "decimal(5,1)").alias("score"),
-        F.when(empty, "VeryDifficult").otherwise(grade).alias("grade"),
-    )
+    return F.when(empty, nothing).otherwise(once(once(once(parts, counts), shares), measured))
 
 
 def top_terms(pages: DataFrame, id_col: str = "page_id", text_col: str = "text", limit: int = 30) -> DataFrame:
     """The most frequent words and word pairs of each page: term, n, density (%), size, stuffing, rank."""
-    words = F.transform(word_list(F.col(text_col)), F.lower)
-    rows = pages.select(F.col(id_col).alias("id"), words.alias("words")).withColumn("total", F.size("words"))
     is_stop = lambda w: w.isin(STOP_WORDS)
-    singles = F.filter("words", lambda w: (F.length(w) >= 3) & ~is_stop(w) & w.try_cast("int").isNull())
-    pairs = F.filter(
-        F.zip_with(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        lambda p: (F.length(p["a"]) >= 2) & (F.length(p["b"]) >= 2) & ~(is_stop(p["a"]) & is_stop(p["b"])),
-    )
-    terms = rows.select(
-        "id",
-        "total",
-        F.explode(
-            F.concat(
-                F.transform(singles, lambda w: F.struct(w.alias("term"), F.lit(1).alias("size"))),
-                F.transform(pairs, lambda p: F.struct(F.concat_ws(" ", p["a"], p["b"]).alias("term"), F.lit(2).alias("size"))),
-            )
-        ).alias("t"),
-    )
-    counts = terms.groupBy("id", "total", "t.term", "t.size").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+
+    def terms_of(words: Column) -> Column:
+        total = F.size(words)
+        singles = F.filter(words, lambda w: (F.length(w) >= 3) & ~is_stop(w) & w.try_cast("int").isNull())
+        most = F.greatest(total - 1, F.lit(0))
+        joined = F.zip_with(F.slice(words, F.lit(1), most), F.slice(words, F.lit(2), most), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        pairs = F.filter(joined, lambda p: (F.length(p["a"]) >= 2) & (F.length(p["b"]) >= 2) & ~(is_stop(p["a"]) & is_stop(p["b"])))
+        return F.concat(
+            F.transform(singles, lambda w: F.struct(w.alias("term"), F.lit(1).alias("size"), total.alias("total"))),
+            F.transform(pairs, lambda p: F.struct(F.concat_ws(" ", p["a"], p["b"]).alias("term"), F.lit(2).alias("size"), total.alias("total"))),
+        )
+
+    words = F.transform(word_list(F.col(text_col)), F.lower)
+    terms = pages.select(F.col(id_col).alias("id"), F.explode(once(words, terms_of)).alias("t")).select("id", "t.*")
+    counts = terms.groupBy("id", "total", "term", "size").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     density = F.bround((F.col("n") * F.col("size")).cast("decimal(18,6)") / F.col("total") * 100, 2).cast("decimal(10,2)")
     stuffed = F.when(F.col("size") == 1, (F.col("density") >= 3.5) & (F.col("n") >= 4)).otherwise((F.col("density") >= 2.5) & (F.col("n") >= 3))
     ranked = counts.withColumn("density", density).withColumn("stuffing", stuffed)
