@@ -32,8 +32,8 @@ from ..plans.durable import small_batches
 
 #: The mark that stands for a space, and what an unknown character costs below the worst piece.
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
-#: Parts a task remembers, about 300 bytes each.
-REMEMBERED = 600_000
+#: Words and parts a task remembers twice over, about 300 bytes each.
+REMEMBERED = 500_000
 LONG = 60
 _PARTS = re.compile("▁*[^▁]+|▁+")
 
@@ -57,8 +57,10 @@ class Model:
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.splits_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
-        self.words: dict[str, tuple[float, bytes, float]] = {}
-        self.parts: dict[str, tuple[float, bytes, float]] = {}
+        # Words and parts seen of late, and those of the time before; what is asked for again moves up.
+        self.recent: dict[str, tuple[float, bytes, float]] = {}
+        self.older: dict[str, tuple[float, bytes, float]] = {}
+        self.others: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
 
     # The lattice of one part
 
@@ -162,25 +164,34 @@ class Model:
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.joined]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def part(self, part: str) -> tuple[float, bytes, float]:
-        found = self.parts.get(part)
+    def word(self, word: str) -> tuple[float, bytes, float]:
+        """Best score, ids and loss of the second best path of a word or a part of one."""
+        found = self.recent.get(word)
+        if found is not None:
+            return found
+        found = self.older.get(word)
         if found is None:
-            found = self._best(part)
-            if len(part) <= LONG:
-                if len(self.parts) >= REMEMBERED:
-                    self.parts.clear()
-                self.parts[part] = found
+            parts = self.split(word)
+            if len(parts) == 1:
+                found = self._best(word)
+            else:
+                own = list(map(self.word, parts))
+                found = (sum([x[0] for x in own]), b"".join([x[1] for x in own]), min([x[2] for x in own]))
+        if len(word) <= LONG:
+            if len(self.recent) >= REMEMBERED:
+                self.recent, self.older = {}, self.recent
+            self.recent[word] = found
         return found
 
-    def word(self, word: str) -> tuple[float, bytes, float]:
-        found = self.words.get(word)
+    def alternatives(self, part: str, n: int) -> list[tuple[float, list[int]]]:
+        """``n_best`` of a part, remembered for short ones."""
+        found = self.others.get((part, n))
         if found is None:
-            own = [self.part(p) for p in self.split(word)]
-            found = own[0] if len(own) == 1 else (sum(x[0] for x in own), b"".join([x[1] for x in own]), min(x[2] for x in own))
-            if len(word) <= LONG:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[word] = found
+            found = self.n_best(part, n)
+            if len(part) <= LONG:
+                if len(self.others) >= REMEMBERED // 10:
+                    self.others.clear()
+                self.others[part, n] = found
         return found
 
     def cut(self, text: str) -> list[str]:
@@ -197,7 +208,7 @@ class Model:
         words = self.cut(text)
         if not words:
             return b"", [(0.0, [])]
-        found = list(map(self.words.get, words))
+        found = list(map(self.recent.get, words))
         if None in found:
             found = [x or self.word(w) for x, w in zip(found, words, strict=True)]
         ids = b"".join([x[1] for x in found])
@@ -213,10 +224,10 @@ class Model:
                 continue
             start = sum(len(x[1]) for x in found[:w]) // 4
             for k, part in enumerate(self.split(words[w])):
-                score, own, loss = self.part(part)
+                score, own, loss = self.word(part)
                 stop = start + len(own) // 4
                 if loss != float("inf"):
-                    for rank, (other, new) in enumerate(self.n_best(part, n)):
+                    for rank, (other, new) in enumerate(self.alternatives(part, n)):
                         if rank:
                             changes.append((score - other, (w, k), rank, start, stop, new))
                 start = stop
