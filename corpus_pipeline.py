@@ -21,8 +21,14 @@ from sitelens.plans.durable import Scratch
 MIX_SHARE = 0.9
 
 
+#: Ids of dropped documents are broadcast up to this many (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents but those with the given ids."""
+    ids = Scratch(docs.sparkSession, "dropped").save(ids, "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_merge")
     return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
 
 
