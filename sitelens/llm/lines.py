@@ -7,7 +7,7 @@ goes on only if
 
 * the sizes allow the similarity (length filter),
 * the words left behind the shared one can still make up the overlap (positional filter),
-* the 64-bit summaries of the sets don't differ in more bits than the sets may differ in words,
+* the 128-bit, then the 512-bit summaries of the sets don't differ in more bits than the sets may differ in words,
 
 and is then verified on the whole lines.  Equal sets are one class, led by the
 first of its lines, before anything is joined, so copies make no pairs.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import Scratch
+from ..plans.durable import Scratch, small_batches
 from .bits import bit_table, hits
 from .frequent import most_frequent
 from .minhash import _mix
@@ -39,6 +39,10 @@ PERCENT = 75
 RANKED = 100_000
 #: Words prepared at a time.
 CHUNK = 300_000
+#: Lists of kept lines are broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
+#: Bits of the long summary of a set, which is fetched for candidates only.
+LONG_BITS = 512
 REMEMBERED_WORDS = 500_000
 _COMMON = 1 << 63
 
@@ -70,7 +74,7 @@ class _Order(dict):
 
 
 def line_sets(lines: list[list[bytes]], order: dict) -> tuple[np.ndarray, ...]:
-    """Of lines with words: two set digests, sizes, summaries, and prefix keys with the sizes of the prefixes."""
+    """Of lines with words: two set digests, sizes, short and long summaries, and prefix keys with the sizes of the prefixes."""
     counts = np.array([len(x) for x in lines])
     owner = np.repeat(np.arange(len(lines)), counts)
     keys = np.fromiter((order[w] for x in lines for w in x), dtype=np.uint64, count=int(counts.sum()))
@@ -83,11 +87,15 @@ def line_sets(lines: list[list[bytes]], order: dict) -> tuple[np.ndarray, ...]:
     mixed = _mix(keys)
     d1 = np.add.reduceat(mixed, first)
     d2 = np.add.reduceat(_mix(keys + np.uint64(0x9E3779B97F4A7C15)), first)
-    bits = np.bitwise_or.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), first)
+    half = (mixed >> np.uint64(57)) & np.uint64(1)
+    one = np.uint64(1) << (mixed >> np.uint64(58))
+    low, high = np.bitwise_or.reduceat(one * (np.uint64(1) - half), first), np.bitwise_or.reduceat(one * half, first)
+    long = np.zeros((len(lines), LONG_BITS), dtype=bool)
+    long[owner, (mixed & np.uint64(LONG_BITS - 1)).astype(np.int64)] = True
     prefix = n - -(-PERCENT * n // 100) + 1
     inside = np.arange(len(keys)) - first[owner]
     short = inside < prefix[owner]
-    return d1, d2, n, bits, keys[short] & np.uint64((1 << 40) - 1), prefix
+    return d1, d2, n, low, high, np.packbits(long, axis=1), keys[short] & np.uint64((1 << 40) - 1), prefix
 
 
 def _sets(order_of):
@@ -95,13 +103,13 @@ def _sets(order_of):
         order = _Order(order_of.value)
 
         def made(docs: list[int], numbers: list[int], lines: list[list[bytes]]) -> pa.RecordBatch:
-            d1, d2, n, bits, keys, sizes = line_sets(lines, order)
+            d1, d2, n, low, high, long, keys, sizes = line_sets(lines, order)
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.astype(np.int64)))
-            columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), *(pa.array(x.view(np.int64)) for x in (d1, d2)), pa.array(n), pa.array(bits.view(np.int64)), prefix]
+            columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), *(pa.array(x.view(np.int64)) for x in (d1, d2)), pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array([x.tobytes() for x in long], pa.binary()), prefix]
             if len(order) > REMEMBERED_WORDS:
                 order.clear()
-            return pa.RecordBatch.from_arrays(columns, ["doc", "line", "d1", "d2", "n", "bits", "prefix"])
+            return pa.RecordBatch.from_arrays(columns, ["doc", "line", "d1", "d2", "n", "low", "high", "long", "prefix"])
 
         for batch in batches:
             docs, numbers, lines, words = [], [], [], 0
@@ -128,8 +136,8 @@ def _lines(text: str | None) -> list[bytes]:
 
 def _candidates(reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes that pass the length, positional and summary filters."""
-    rows = reps.select("id", "n", "bits", F.posexplode("prefix").alias("pos", "key"))
-    rows = rows.select("key", "id", (F.col("n") * (1 << 26) + F.col("pos")).alias("place"), "bits")
+    rows = reps.select("id", "n", "low", "high", F.posexplode("prefix").alias("pos", "key"))
+    rows = rows.select("key", "id", (F.col("n") * (1 << 26) + F.col("pos")).alias("place"), "low", "high")
     x, y = rows.alias("x"), rows.alias("y")
     n_x, n_y = (F.shiftright(f"{s}.place", 26) for s in "xy")
     pos_x, pos_y = (F.col(f"{s}.place") % (1 << 26) for s in "xy")
@@ -138,24 +146,52 @@ def _candidates(reps: DataFrame) -> DataFrame:
     enough = (100 + PERCENT) * behind >= PERCENT * (n_x + n_y)
     lengths = 100 * F.least(n_x, n_y) >= PERCENT * F.greatest(n_x, n_y)
     # words that differ >= bits that differ; at most 25 / 175 of both sizes may
-    differ = (100 + PERCENT) * F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= (100 - PERCENT) * (n_x + n_y)
+    differ = (100 + PERCENT) * (F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))) <= (100 - PERCENT) * (n_x + n_y)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & lengths & enough & differ)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs whose long summaries don't differ in more bits than the sets may differ in words."""
+    used = reps.select("id", "n", "long").join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "id", "left_semi")
+    both = pairs.join(used.withColumnsRenamed({"id": "a", "n": "n_a", "long": "long_a"}), "a").join(used.withColumnsRenamed({"id": "b", "n": "n_b", "long": "long_b"}), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u8").reshape(batch.num_rows, -1) for i in (2, 3))
+            words = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((100 + PERCENT) * differ <= (100 - PERCENT) * words))
+
+    return both.select("a", "b", "long_a", "long_b", "n_a", "n_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _place_keys(docs: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    return _mix(docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lines.astype(np.uint64))
+
+
 def _fetched(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """The lines at the given places (doc, line): doc, line, words."""
-    keyed = places.select(F.col("doc").alias("key"))
-    wanted = texts.sparkSession.sparkContext.broadcast(bit_table(keyed, places.count()))
+    """The lines at the given places (doc, line): doc, line, words.  A bit table leaves out the others where they lie."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _place_keys(*(batch.column(i).to_numpy() for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
+
+    wanted = texts.sparkSession.sparkContext.broadcast(bit_table(places.select("doc", "line").mapInArrow(keys, "key bigint"), places.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.filter(pa.array(hits(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
-            for doc, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
+            docs, numbers, words = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = _lines(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * len(lines), pa.int64()), pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.binary())], ["doc", "line", "words"]
-                )
+                at = np.flatnonzero(hits(wanted.value, _place_keys(np.full(len(lines), doc), np.arange(len(lines)))))
+                docs += [doc] * len(at)
+                numbers += at.tolist()
+                words += [lines[i] for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(words, pa.binary())], ["doc", "line", "words"])
 
     return texts.mapInArrow(run, "doc bigint, line bigint, words binary").join(places, ["doc", "line"], "left_semi")
 
@@ -190,6 +226,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     * empty table: empty result; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "lines")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("body"))
     named = texts.filter("doc is not null and body is not null")
@@ -197,13 +234,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     top = most_frequent(scratch.save(counts, "counts"), RANKED).toPandas().sort_values(["n", "word"], ascending=[False, True])
     order = spark.sparkContext.broadcast(top["word"].to_numpy(dtype=np.int64).view(np.uint64))
     scratch.drop("counts")
-    sets = named.mapInArrow(_sets(order), "doc bigint, line bigint, d1 bigint, d2 bigint, n bigint, bits bigint, prefix array<bigint>")
+    sets = named.mapInArrow(_sets(order), "doc bigint, line bigint, d1 bigint, d2 bigint, n bigint, low bigint, high bigint, long binary, prefix array<bigint>")
     reps = scratch.save(
-        sets.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "line")).alias("lead"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-        .select("lead.doc", "lead.line", F.monotonically_increasing_id().alias("id"), "n", "bits", "prefix"),
+        sets.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "line")).alias("lead"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("long").alias("long"), F.first("prefix").alias("prefix"))
+        .select("lead.doc", "lead.line", F.monotonically_increasing_id().alias("id"), "n", "low", "high", "long", "prefix"),
         "reps",
     )
-    pairs = scratch.save(_candidates(reps), "pairs")
+    pairs = scratch.save(_close(scratch.save(_candidates(reps), "candidates"), reps), "pairs")
+    scratch.drop("candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     places = scratch.save(reps.select("id", "doc", "line").join(ids, "id", "left_semi"), "places")
     words = _fetched(named, places.select("doc", "line")).dropDuplicates(["doc", "line"]).join(places, ["doc", "line"]).select("id", "words")
@@ -211,7 +249,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lead = places.select("id", F.struct("doc", "line").alias("lead"))
     ordered = matched.join(lead.withColumnsRenamed({"id": "a", "lead": "lead_a"}), "a").join(lead.withColumnsRenamed({"id": "b", "lead": "lead_b"}), "b")
     later = ordered.select(F.when(F.col("lead_a") < F.col("lead_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-    kept = reps.select("id", "doc", "line").join(later, "id", "left_anti").groupBy("doc").agg(F.collect_list("line").alias("lines"))
+    kept = scratch.save(reps.select("id", "doc", "line").join(later, "id", "left_anti").groupBy("doc").agg(F.collect_list(F.col("line").cast("int")).alias("lines")), "kept")
+    size = kept.agg(F.coalesce(F.sum(F.size("lines") * 4 + 32), F.lit(0)).alias("bytes")).first()["bytes"]
+    # Few and short lists go to the texts; otherwise the texts go to the lists.
+    kept = F.broadcast(kept) if size <= BROADCAST_BYTES else kept.hint("shuffle_merge")
     rows = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("body")).join(kept, "doc", "left")
     kind = rows.schema["id"].dataType.simpleString()
 
