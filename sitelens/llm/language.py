@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.durable import Scratch
+from ..plans.durable import Scratch, small_batches
 from .frequent import most_frequent
 
 UNKNOWN = "und"
@@ -35,7 +35,7 @@ SMOOTHING = 0.5
 #: Weight of an n-gram against a word.
 GRAM_WEIGHT = 0.5
 #: Unseen words a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -154,6 +154,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     * null ids and repeated rows: judged one by one;
     * empty table: empty result; other columns, whatever their names, are ignored.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

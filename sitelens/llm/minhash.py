@@ -46,7 +46,7 @@ PERCENT = 75
 SCREEN = 0.6
 #: Documents of a home block; two of them are compared at a time.
 BLOCK = 200
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 150_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
