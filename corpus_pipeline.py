@@ -21,15 +21,22 @@ from sitelens.plans.durable import Scratch
 MIX_SHARE = 0.9
 
 
-#: Ids of dropped documents are broadcast up to this many (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Names the row of a written table: ids may be null, repeated, or shared by several texts.
+ROW = "_row"
+#: Dropped rows are broadcast up to this many (16 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents but those with the given ids."""
-    ids = Scratch(docs.sparkSession, "dropped").save(ids, "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_merge")
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents with the number of their row, written so that each reading finds the same numbers."""
+    return Scratch(docs.sparkSession, "numbered").save(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents but the dropped rows."""
+    dropped = Scratch(rows.sparkSession, "dropped").save(dropped.select(ROW), "rows")
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped.hint("shuffle_merge")
+    return rows.join(dropped, ROW, "left_anti").select([c for c in rows.columns if c != ROW])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +47,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest id stays."""
-    return _without(docs, exact_dedup(docs).filter("not kept").select("doc_id"))
+    """Of equal texts the one with the smallest id stays; a row without an id only if none has one."""
+    rows = _numbered(docs)
+    return _without(rows, exact_dedup(rows, keep=(ROW,)).filter("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
-    return _without(docs, near_duplicates(docs).filter("not kept").select("doc_id"))
+    """Of each component of near-duplicates the document with the smallest id stays; every row is a document."""
+    rows = _numbered(docs)
+    found = near_duplicates(rows, id_col=ROW).select(ROW, "component_id")
+    placed = Scratch(spark, "near").save(rows.select(ROW, "doc_id").join(found, ROW), "placed")
+    firsts = placed.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", ROW)).alias("first"))
+    return _without(rows, placed.join(firsts.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are cut to their share of nine tenths of the tokens; no document is repeated."""
-    plan = mix(docs, mix_levels(), MIX_WEIGHTS, F.floor(F.col("total") * MIX_SHARE), epochs=1, seed=17)
-    return _without(docs, plan.filter("copies = 0").select("doc_id"))
+    """Sources are cut to their share of nine tenths of the tokens; no document is repeated.  Rows without an id are drawn by their text."""
+    rows = _numbered(docs)
+    drawn = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.sha2("text", 256)))
+    plan = mix(drawn, mix_levels(), MIX_WEIGHTS, F.floor(F.col("total") * MIX_SHARE), epochs=1, seed=17, keep=(ROW,))
+    return _without(rows, plan.filter("copies = 0"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,11 +81,13 @@ def exact_dedup(
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256,
     files_per_trigger: int = 1000,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Groups of equal texts.
 
     Texts are equal when their normalised forms are the same bytes.  Returns a
-    row per input row: ``id_col``, keep_id, group_size, kept, text_sha256.
+    row per input row: ``id_col``, the columns named in ``keep`` (narrow ones,
+    they go through the shuffles), keep_id, group_size, kept, text_sha256.
 
     * null text: as empty; all empty texts form one group;
     * null id: the row counts in its group and leads it only if no row has an id;
@@ -95,10 +97,11 @@ def exact_dedup(
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     text = normalised(F.col(text_col))
-    source = docs.select(F.col(id_col).alias("id"), text.alias("body"))
+    carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
+    source = docs.select(F.col(id_col).alias("id"), text.alias("body"), carried.alias("carried"))
     # The locator is the row's place in the written arrivals, fixed from then on.
     scratch.save(
-        source.select("id", digest(F.col("body")).alias("digest"), sha256(F.col("body")).alias("sha"), F.monotonically_increasing_id().alias("locator")),
+        source.select("id", digest(F.col("body")).alias("digest"), sha256(F.col("body")).alias("sha"), F.monotonically_increasing_id().alias("locator"), "carried"),
         "arrivals",
     )
     path = scratch.paths["arrivals"][0]
@@ -118,6 +121,7 @@ def exact_dedup(
         found = found.join(collisions, "digest", "left_anti").unionByName(split)
     return found.select(
         F.col("id").alias(id_col),
+        *[F.col("carried")[c].alias(c) for c in keep],
         F.col("first.id").alias("keep_id"),
         F.col("n").alias("group_size"),
         (F.col("locator") == F.col("first.locator")).alias("kept"),
@@ -129,7 +133,7 @@ def _by_text(scratch: Scratch, source: DataFrame, collisions: DataFrame, digest:
     """Rows of colliding digests, grouped by their whole texts."""
     rows = scratch.save(
         source.withColumn("digest", digest(F.col("body"))).join(collisions, "digest", "left_semi")
-        .select("id", "digest", sha256(F.col("body")).alias("sha"), F.monotonically_increasing_id().alias("locator"), "body"),
+        .select("id", "digest", sha256(F.col("body")).alias("sha"), F.monotonically_increasing_id().alias("locator"), "carried", "body"),
         "colliding",
     )
     groups = rows.groupBy("body").agg(

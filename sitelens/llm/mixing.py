@@ -78,8 +78,9 @@ def mix(
     tokens: Column | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """How often each document is taken: ``id_col``, the levels, n_tokens, leaf_budget, copies.
+    """How often each document is taken: ``id_col``, the columns named in ``keep``, the levels, n_tokens, leaf_budget, copies.
 
     ``levels`` names the tree's columns from the top, ``weights`` gives whole
     weights of node paths (``*`` stands for any name; 1 where none is given, the
@@ -97,6 +98,7 @@ def mix(
     scratch = Scratch(docs.sparkSession, "mixing")
     counted = docs.select(
         F.col(id_col).alias("id"),
+        *keep,
         *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
         (word_count(F.col(text_col)) if tokens is None else tokens.cast("bigint")).alias("n_tokens"),
     )
@@ -122,4 +124,4 @@ def mix(
     cut = cut.withColumn("more", F.col("before") + seen <= F.col("left"))
     out = sure.unionByName(cut)
     copies = F.least(F.col("whole") + F.col("more").cast("int"), F.lit(epochs)).cast("bigint")
-    return out.select(F.col("id").alias(id_col), *names, "n_tokens", "leaf_budget", copies.alias("copies"))
+    return out.select(F.col("id").alias(id_col), *keep, *names, "n_tokens", "leaf_budget", copies.alias("copies"))

@@ -124,3 +124,45 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     assert p.run(spark, str(tmp_path)).collect() == []
+
+
+def rows_of(spark, docs):
+    made = [(i, t, "en", "src0-a", len(t)) for i, t in docs]
+    return spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def unlike(k):
+    return " ".join(f"w{k}x{j}" for j in range(30))
+
+
+def test_pipeline_stages_decide_by_row(spark):
+    import corpus_pipeline as p
+
+    docs = [
+        (1, unlike("a")), (1, unlike("a")),  # a row appended twice
+        (2, unlike("b")), (3, unlike("b")), (3, unlike("c")),  # 3 has a copy and a text of its own
+        (None, unlike("d")), (None, unlike("d")), (4, unlike("e")), (None, unlike("e")),
+    ]
+    out = p.exact_stage(spark, rows_of(spark, docs), "")
+    pairs = sorted((r.doc_id or 0, r.text) for r in out.collect())
+    assert pairs == sorted([(1, unlike("a")), (2, unlike("b")), (3, unlike("c")), (0, unlike("d")), (4, unlike("e"))])
+    near = [(7, unlike("a") + " z"), (5, unlike("a")), (5, unlike("b")), (8, unlike("c")), (None, unlike("c") + " z"), (None, unlike("d")), (None, unlike("d") + " z")]
+    left = [(r.doc_id, r.text) for r in p.near_stage(spark, rows_of(spark, near), "").collect()]
+    assert sorted((i or 0, t) for i, t in left if i) == sorted([(5, unlike("a")), (5, unlike("b")), (8, unlike("c"))])
+    assert [t.split(" z")[0] for i, t in left if i is None] == [unlike("d")]
+
+
+def test_pipeline_budget_holds_without_ids(spark):
+    import corpus_pipeline as p
+
+    docs = rows_of(spark, [(None, unlike(k)) for k in range(100)])
+    assert p.mixing_stage(spark, docs, "").count() == 90
+
+
+def test_pipeline_keeps_a_copy_of_everything_repeated(spark):
+    import corpus_pipeline as p
+
+    docs = rows_of(spark, [(k, unlike(k)) for k in range(40)])
+    once = p.near_stage(spark, p.exact_stage(spark, docs, ""), "")
+    twice = p.near_stage(spark, p.exact_stage(spark, docs.unionByName(docs), ""), "")
+    assert sorted(r.doc_id for r in twice.collect()) == sorted(r.doc_id for r in once.collect()) == list(range(40))
