@@ -40,8 +40,10 @@ def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (no text, no letters) go."""
+    """Documents in which no language is found (no text, no letters) go; only those, even if no row teaches a language."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))))
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     rest = tuple(c for c in docs.columns if c != "doc_id")
     return identify(docs, model, keep=rest).filter(F.col("lang_pred") != UNKNOWN).select(docs.columns)
 

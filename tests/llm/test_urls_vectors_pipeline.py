@@ -166,3 +166,11 @@ def test_pipeline_keeps_a_copy_of_everything_repeated(spark):
     once = p.near_stage(spark, p.exact_stage(spark, docs, ""), "")
     twice = p.near_stage(spark, p.exact_stage(spark, docs.unionByName(docs), ""), "")
     assert sorted(r.doc_id for r in twice.collect()) == sorted(r.doc_id for r in once.collect()) == list(range(40))
+
+
+def test_pipeline_keeps_texts_when_no_row_names_a_language(spark):
+    import corpus_pipeline as p
+
+    texts = ["Some words", "été", "слово", "123 ...", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("src0-a"), "n_chars": F.lit(1).cast("bigint")})
+    assert sorted(r.doc_id for r in p.language_stage(spark, docs, "").collect()) == [0, 1, 2]
