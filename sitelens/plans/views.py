@@ -31,12 +31,12 @@ FROM {lineitem}""",
     "v_node": (["part"], "SELECT p_partkey AS page_id, p_partkey % 50 = 0 AS is_root, p_partkey % 3 <> 0 AS in_seeds FROM {part}"),
     "v_metric": (
         ["lineitem"],
-        """SELECT l_partkey % 5 AS project_id, l_partkey % 500 AS keyword_id, CAST(l_shipdate AS DATE) AS date, CAST(l_quantity AS INT) AS impressions,
+        """SELECT l_partkey % 5 AS project_id, l_partkey AS keyword_id, CAST(l_shipdate AS DATE) AS date, CAST(l_quantity AS INT) AS impressions,
   CAST(floor(l_quantity * l_discount) AS INT) AS clicks, CAST(1 + round(l_tax * 200) AS INT) AS position, concat('/p/', CAST(l_suppkey % 4 AS STRING)) AS page_url,
   CASE WHEN l_linenumber % 2 = 0 THEN 'api' ELSE 'import' END AS source
 FROM {lineitem}""",
     ),
-    "v_keyword": (["part"], "SELECT p_partkey % 5 AS project_id, p_partkey AS keyword_id, p_name AS phrase, p_partkey % 2 = 0 AS is_tracked FROM {part} WHERE p_partkey < 500"),
+    "v_keyword": (["part"], "SELECT p_partkey % 5 AS project_id, p_partkey AS keyword_id, p_name AS phrase, p_partkey % 2 = 0 AS is_tracked FROM {part}"),
     "v_serp": (
         ["supplier"],
         """SELECT s_nationkey AS keyword_id, concat('https://www.', lower(replace(s_name, '#', '-')), '.example/Page/') AS url,

@@ -233,3 +233,22 @@ def test_whole_tables_match_their_sql(spark):
         rows = db.execute(ORACLES[name])
         order = [c[0] for c in rows.description]
         assert sorted(map(str, (tuple(r[c] for c in order) for r in got.collect()))) == sorted(map(str, rows.fetchall())), name
+
+
+def test_every_part_is_a_keyword(spark):
+    import duckdb
+
+    from sitelens.plans.catalog import ORACLES, QUERIES
+
+    directory = "/root/testdata/sf0.01"
+    parts = spark.read.parquet(f"{directory}/part.parquet").count()
+    db = duckdb.connect()
+    for name in ("lineitem", "part"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{directory}/{name}.parquet'")
+    for name in ("keyword_overview", "keyword_opportunities", "keyword_cannibalization", "keyword_summary", "keyword_history"):
+        rows = db.execute(ORACLES[name])
+        order = [c[0] for c in rows.description]
+        got = [tuple(r[c] for c in order) for r in QUERIES[name](spark, directory).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, rows.fetchall())), name
+        if name == "keyword_overview":
+            assert len({r[order.index("keyword_id")] for r in got}) == len(got) == parts > 500
