@@ -417,15 +417,15 @@ def competitor_topic_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "serp_comparison",
-    f"""WITH {ctes("v_serp")}, a AS (SELECT keyword_id, regexp_replace(substr(url, 9), '/+$', '') AS key, old_rank FROM v_serp WHERE old_rank <= 3), b AS (SELECT keyword_id, regexp_replace(substr(url, 9), '/+$', '') AS key, new_rank FROM v_serp WHERE new_rank <= 3)
+    f"""WITH {ctes("v_serp")}, a AS (SELECT keyword_id, regexp_replace(substr(url, 9), '/+$', '') AS key, old_rank FROM v_serp WHERE in_old), b AS (SELECT keyword_id, regexp_replace(substr(url, 9), '/+$', '') AS key, new_rank FROM v_serp WHERE in_new)
 SELECT keyword_id, key, old_rank AS old_position, new_rank AS new_position, old_rank - new_rank AS delta,
   CASE WHEN old_rank IS NULL THEN 'entered' WHEN new_rank IS NULL THEN 'dropped' WHEN old_rank > new_rank THEN 'improved' WHEN old_rank < new_rank THEN 'declined' ELSE 'unchanged' END AS kind
 FROM a FULL JOIN b USING (keyword_id, key)""",
 )
 def serp_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "v_serp")
-    old = v.filter("old_rank <= 3").select("keyword_id", "url", F.col("old_rank").alias("position"))
-    return snapshots.serp_compare(old, v.filter("new_rank <= 3").select("keyword_id", "url", F.col("new_rank").alias("position")), "keyword_id")
+    old = v.filter("in_old").select("keyword_id", "url", F.col("old_rank").alias("position"))
+    return snapshots.serp_compare(old, v.filter("in_new").select("keyword_id", "url", F.col("new_rank").alias("position")), "keyword_id")
 
 
 @_query(

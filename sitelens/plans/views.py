@@ -41,7 +41,8 @@ FROM {lineitem}""",
         ["supplier"],
         """SELECT s_nationkey AS keyword_id, concat('https://www.', lower(replace(s_name, '#', '-')), '.example/Page/') AS url,
   CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS BIGINT) AS old_rank,
-  CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey * 7919 % 1009, s_suppkey) AS BIGINT) AS new_rank
+  CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey * 7919 % 1009, s_suppkey) AS BIGINT) AS new_rank,
+  s_suppkey % 10 <> 3 AS in_old, s_suppkey % 10 <> 7 AS in_new
 FROM {supplier}""",
     ),
     "v_rival": (

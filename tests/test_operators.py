@@ -252,3 +252,14 @@ def test_every_part_is_a_keyword(spark):
         assert sorted(map(str, got)) == sorted(map(str, rows.fetchall())), name
         if name == "keyword_overview":
             assert len({r[order.index("keyword_id")] for r in got}) == len(got) == parts > 500
+
+
+def test_whole_captures_are_compared(spark):
+    from sitelens.plans.catalog import QUERIES
+
+    directory = "/root/testdata/sf0.01"
+    suppliers = spark.read.parquet(f"{directory}/supplier.parquet").count()
+    rows = QUERIES["serp_comparison"](spark, directory).collect()
+    assert len(rows) == suppliers and all((r.kind == "dropped") == (r.new_position is None) for r in rows)
+    assert {r.kind for r in rows} == {"improved", "declined", "unchanged", "entered", "dropped"}
+    assert max(r.old_position or 0 for r in rows) > 3 < max(r.new_position or 0 for r in rows)
