@@ -8,9 +8,13 @@ whole path they can become, so the first N complete ones are the N best.
 
 No path can cover two neighbouring characters by one piece if no piece of the
 model holds them side by side.  There the lattice falls into parts that are
-searched once each and remembered; the best paths of a text are the best paths of
-its parts with the smallest total loss, and only the N - 1 smallest single losses
-can take part in the N best of the whole.
+searched once each; the best paths of a text are the best paths of its parts
+with the smallest total loss, and only the N - 1 words that lose least can take
+part in the N best of the whole.
+
+The forward pass and the loss of the second best path are computed for all new
+words of a batch at once, place by place; the backward search runs for the few
+words whose alternatives can matter.
 """
 
 from __future__ import annotations
@@ -18,7 +22,6 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,13 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.durable import small_batches
+from .words import pieces as runs
 
 #: The mark that stands for a space, and what an unknown character costs below the worst piece.
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
-#: Words and parts a task remembers twice over, about 300 bytes each.
-REMEMBERED = 500_000
-LONG = 60
+#: Bytes that a task's memory of words, and that of alternatives, may take.
+WORD_BYTES, OTHER_BYTES = 48 << 20, 8 << 20
+#: Words of up to this many characters are searched together; longer ones part by part.
+LONG = 64
+#: Places of one search table, each with a score and an id for every piece length.
+CELLS = 1 << 15
 _PARTS = re.compile("▁*[^▁]+|▁+")
+_CHARS = 0x110000
 
 
 class Model:
@@ -51,16 +59,29 @@ class Model:
         self.pieces = {self.text[i]: (i, sp.get_score(i)) for i in range(size) if not special[i]}
         self.bytes = {sp.piece_to_id(f"<0x{b:02X}>"): b for b in range(256)}
         self.byte_id = {b: i for i, b in self.bytes.items()}
-        self.raw = [bytes([self.bytes[i]]) if i in self.bytes else t.encode() for i, t in enumerate(self.text)]
         # What pieces begin with: the piece itself, or None where only longer ones do.
         self.starts = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.splits_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
-        # Words and parts seen of late, and those of the time before; what is asked for again moves up.
-        self.recent: dict[str, tuple[float, bytes, float]] = {}
-        self.older: dict[str, tuple[float, bytes, float]] = {}
-        self.others: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
+        self.library = sp
+        self._trie()
+        # What each id stands for; the row behind the last id stands for nothing.
+        raw = [bytes([self.bytes[i]]) if i in self.bytes else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)] + [b""]
+        self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.raw_size = np.array([len(x) for x in raw])
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+
+    def _trie(self) -> None:
+        """What pieces begin with, as a sorted table of (node, character) and the node behind; node 0 is the empty string."""
+        node = {"": 0} | {p: i + 1 for i, p in enumerate(self.starts)}
+        steps = sorted((node[p[:-1]] * _CHARS + ord(p[-1]), i) for p, i in node.items() if p)
+        self.steps = np.array([k for k, _ in steps], dtype=np.int64)
+        self.behind = np.array([i for _, i in steps], dtype=np.int64)
+        hits = [None, *self.starts.values()]
+        self.piece_at = np.array([-1 if h is None else h[0] for h in hits], dtype=np.int64)
+        self.score_at = np.array([0.0 if h is None else h[1] for h in hits])
+        self.longest = max(map(len, self.pieces), default=1)
 
     # The lattice of one part
 
@@ -105,11 +126,8 @@ class Model:
                 ids.extend(self.byte_id[b] for b in part[i:j].encode("utf-8", "surrogatepass"))
         return ids
 
-    def _best(self, part: str) -> tuple[float, bytes, float]:
-        """Best score, its ids, and how much the second best path loses."""
-        if len(part) == 1:
-            hit = self.pieces.get(part)
-            return (hit[1], hit[0].to_bytes(4, "little"), float("inf")) if hit else (self.unknown, _packed(self._ids(part, [(0, 1, -1)])), float("inf"))
+    def best(self, part: str) -> tuple[float, float, np.ndarray]:
+        """Best score of a part of any length, how much the second best path loses, and the ids."""
         best, edges, last = self.forward(part)
         n = len(part)
         path, j = [], n
@@ -132,7 +150,7 @@ class Model:
                 if j != used and before + rest > second:
                     second = before + rest
             after[i] = top
-        return best[n], _packed(ids), best[n] - second
+        return best[n], best[n] - second, np.array(ids, dtype=np.int32)
 
     def n_best(self, part: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best paths of a part: backward A-star over exact forward scores; ties go to longer last pieces."""
@@ -157,6 +175,90 @@ class Model:
                 heapq.heappush(queue, (-(best[i] + score + gained), next(order), i, gained + score, ((i, at, piece), chain)))
         return found
 
+    # Many words at once
+
+    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of words: best scores, losses of the second best paths, numbers of ids, and all ids in a row."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(sizes, kind="stable")
+        parts, at = [], 0
+        while at < len(order):
+            # Words of like length make one table; it holds a bounded number of places.
+            longest = sizes[order[at]] * 5 // 4 + 1
+            to = min(int(np.searchsorted(sizes[order], longest, "right")), at + max(1, CELLS // int(longest)))
+            chosen = order[at:to]
+            parts.append((chosen, *self._table([words[i] for i in chosen], sizes[chosen])))
+            at = to
+        if not parts:
+            return np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        back = np.argsort(np.concatenate([x[0] for x in parts]))
+        score, loss, count, ids = (np.concatenate([x[i] for x in parts]) for i in (1, 2, 3, 4))
+        begin = (np.cumsum(count) - count)[back]
+        count = count[back]
+        return score[back], loss[back], count, ids[_ragged(begin, count)]
+
+    def _table(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        m, n, width = len(words), int(sizes.max()), self.longest
+        owner = np.repeat(np.arange(m), sizes)
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        chars = np.zeros((n, m), dtype=np.int64)
+        chars[inner, owner] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        # score and piece of the edge of k + 1 characters that ends before place i
+        score = np.full((n + 1, width, m), -np.inf)
+        piece = np.full((n + 1, width, m), -1, dtype=np.int32)
+        score[inner + 1, 0, owner] = self.unknown
+        at, k = np.zeros(len(owner), dtype=np.int64), 0
+        while len(owner):  # all pieces from all places, one more character at a time
+            key = at * _CHARS + chars[inner + k, owner]
+            row = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            hit = self.steps[row] == key
+            inner, owner, at = inner[hit], owner[hit], self.behind[row[hit]]
+            k += 1
+            ends = self.piece_at[at]
+            whole = ends >= 0
+            score[inner[whole] + k, k - 1, owner[whole]] = self.score_at[at[whole]]
+            piece[inner[whole] + k, k - 1, owner[whole]] = ends[whole]
+            on = inner + k < sizes[owner]
+            inner, owner, at = inner[on], owner[on], at[on]
+        best = np.full((n + 1, m), -np.inf)
+        best[0] = 0
+        back = np.zeros((n + 1, m), dtype=np.int64)  # characters of the last piece; the longest of equals
+        for i in range(1, n + 1):
+            k = min(i, width)
+            total = best[i - k : i] + score[i, k - 1 :: -1]
+            back[i] = k - total.argmax(axis=0)
+            best[i] = total.max(axis=0)
+        every = np.arange(m)
+        taken = np.zeros((n, m), dtype=np.int64)
+        now, live = sizes.copy(), every
+        while len(live := live[now[live] > 0]):
+            step = back[now[live], live]
+            now[live] -= step
+            taken[now[live], live] = step
+        # Every other path has an edge outside the best one: the best such edge tells the loss.
+        after = np.full((n + 1, m), -np.inf)
+        after[sizes, every] = 0
+        second = np.full(m, -np.inf)
+        for i in range(n - 1, -1, -1):
+            k = min(n - i, width)
+            behind = score[np.arange(i + 1, i + k + 1), np.arange(k)] + after[i + 1 : i + k + 1]
+            after[i] = np.maximum(after[i], behind.max(axis=0))
+            used = np.flatnonzero(taken[i])
+            behind[taken[i, used] - 1, used] = -np.inf
+            second = np.maximum(second, best[i] + behind.max(axis=0))
+        owner, inner = np.nonzero(taken.T)
+        step = taken[inner, owner]
+        ids, counts = piece[inner + step, step - 1, owner], np.ones(len(owner), dtype=np.int64)
+        if len(strange := np.flatnonzero(ids < 0)):
+            spelt = [[self.byte_id[b] for b in chr(chars[inner[i], owner[i]]).encode("utf-8", "surrogatepass")] for i in strange]
+            counts[strange] = [len(x) for x in spelt]
+            begin = (np.cumsum(counts) - counts)[strange]
+            ids = np.repeat(ids, counts)
+            for i, x in zip(begin, spelt, strict=True):
+                ids[i : i + len(x)] = x
+        total = best[sizes, every]
+        return total, total - second, np.bincount(owner, counts, m).astype(np.int64), ids
+
     # Texts
 
     def split(self, word: str) -> list[str]:
@@ -164,36 +266,6 @@ class Model:
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.joined]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def word(self, word: str) -> tuple[float, bytes, float]:
-        """Best score, ids and loss of the second best path of a word or a part of one."""
-        found = self.recent.get(word)
-        if found is not None:
-            return found
-        found = self.older.get(word)
-        if found is None:
-            parts = self.split(word)
-            if len(parts) == 1:
-                found = self._best(word)
-            else:
-                own = list(map(self.word, parts))
-                found = (sum([x[0] for x in own]), b"".join([x[1] for x in own]), min([x[2] for x in own]))
-        if len(word) <= LONG:
-            if len(self.recent) >= REMEMBERED:
-                self.recent, self.older = {}, self.recent
-            self.recent[word] = found
-        return found
-
-    def alternatives(self, part: str, n: int) -> list[tuple[float, list[int]]]:
-        """``n_best`` of a part, remembered for short ones."""
-        found = self.others.get((part, n))
-        if found is None:
-            found = self.n_best(part, n)
-            if len(part) <= LONG:
-                if len(self.others) >= REMEMBERED // 10:
-                    self.others.clear()
-                self.others[part, n] = found
-        return found
-
     def cut(self, text: str) -> list[str]:
         """Words with their leading space marks."""
         if not text:
@@ -203,52 +275,139 @@ class Model:
             return [marked]
         return _PARTS.findall(marked)
 
-    def encode(self, text: str, n: int) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
-        """Ids of the best path, and the n best as (score, edits); an edit is (first id, behind the last, new ids)."""
-        words = self.cut(text)
-        if not words:
-            return b"", [(0.0, [])]
-        found = list(map(self.recent.get, words))
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of id lists laid end to end; bytes are put together, and the first space of a text is dropped."""
+        sizes = self.raw_size[ids]
+        stops = np.cumsum(sizes)
+        data = self.raw[_ragged(self.raw_at[ids], sizes)].tobytes()
+        edges = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [data[a + (data[a : a + 1] == b" ") : b].decode("utf-8", "replace") if b > a else "" for a, b in itertools.pairwise(edges)]
+
+
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] values, then those of the next one."""
+    stops = np.cumsum(size)
+    return np.repeat(begin - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
+
+
+class Segmenter:
+    """Encodes texts; one task's memory of words, emptied when it is full and gone with the task."""
+
+    def __init__(self, model: Model, merged: bool = False):
+        self.model, self.merged = model, merged
+        self.others: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
+        self.others_held = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.held = 0
+        self.score = self.loss = np.zeros(0)
+        self.size, self.ids, self.at = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        self.merged_size, self.merged_ids, self.merged_at = self.size, self.ids, self.at
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Rows of words in the memory, which learns the new ones."""
+        found = list(map(self.row.get, words))
         if None in found:
-            found = [x or self.word(w) for x, w in zip(found, words, strict=True)]
-        ids = b"".join([x[1] for x in found])
-        total = float(sum([x[0] for x in found]))
-        out = [(total, [])]
-        if n < 2:
-            return ids, out
-        losses = np.fromiter([x[2] for x in found], dtype=np.float64, count=len(found))
-        near = np.argsort(losses, kind="stable")[: n - 1] if len(losses) < 4 * n else _smallest(losses, n - 1)
-        changes = []  # (loss, place of the part, rank, first id, behind the last, new ids)
-        for w in sorted(near.tolist()):
-            if losses[w] == float("inf"):
-                continue
-            start = sum(len(x[1]) for x in found[:w]) // 4
-            for k, part in enumerate(self.split(words[w])):
-                score, own, loss = self.word(part)
-                stop = start + len(own) // 4
-                if loss != float("inf"):
-                    for rank, (other, new) in enumerate(self.alternatives(part, n)):
-                        if rank:
-                            changes.append((score - other, (w, k), rank, start, stop, new))
-                start = stop
-        changes = heapq.nsmallest(n - 1, changes, key=lambda c: c[:3])
-        combined = []
-        for size in range(1, len(changes) + 1):
-            for some in itertools.combinations(changes, size):
-                if len({c[1] for c in some}) == size:
-                    combined.append((sum(c[0] for c in some), [c[1:3] for c in some], some))
-        for loss, _, some in heapq.nsmallest(n - 1, combined, key=lambda c: c[:2]):
-            out.append((total - loss, [(c[3], c[4], c[5]) for c in some]))
-        return ids, out
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of a path; bytes are put together, and the first space mark is dropped."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}i", *ids)
+            if self.held > WORD_BYTES:
+                self._clear()
+            row = self.row
+            self._learn(list(dict.fromkeys(w for w in words if w not in row)))
+            found = list(map(row.__getitem__, words))
+        return np.array(found, dtype=np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        short = [w for w in new if len(w) <= LONG]
+        score, loss, size, ids = self.model.lattice(short)
+        if len(short) < len(new):
+            long = [w for w in new if len(w) > LONG]
+            made = list(map(self._long, long))
+            score, loss = (np.concatenate((a, [m[i] for m in made])) for a, i in ((score, 0), (loss, 1)))
+            size = np.concatenate((size, [len(m[2]) for m in made]))
+            ids = np.concatenate((ids, *(m[2] for m in made)))
+            short = short + long
+        self.row.update(zip(short, range(len(self.score), len(self.score) + len(short)), strict=True))
+        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(size) - size))
+        self.score, self.loss, self.size, self.ids = (np.concatenate(p) for p in ((self.score, score), (self.loss, loss), (self.size, size), (self.ids, ids)))
+        self.held += 250 * len(short) + 4 * len(ids) + 2 * sum(map(len, short))
+        if self.merged:  # merges never reach over a space, so the library may take words one by one
+            own = self.model.library.encode([w[1:].replace(SPACE, " ") for w in short], num_threads=1)
+            size = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+            ids = np.fromiter(itertools.chain.from_iterable(own), dtype=np.int32, count=int(size.sum()))
+            self.merged_at = np.concatenate((self.merged_at, len(self.merged_ids) + np.cumsum(size) - size))
+            self.merged_size, self.merged_ids = np.concatenate((self.merged_size, size)), np.concatenate((self.merged_ids, ids))
+            self.held += 4 * len(ids)
+
+    def _long(self, word: str) -> tuple[float, float, np.ndarray]:
+        """A long word from its parts."""
+        parts = self.model.split(word)
+        short = list(dict.fromkeys(p for p in parts if len(p) <= LONG))
+        score, loss, size, ids = self.model.lattice(short)
+        known = {p: (s, x, i) for p, s, x, i in zip(short, score, loss, np.split(ids, np.cumsum(size)[:-1]) if short else (), strict=True)}
+        for p in parts:
+            if p not in known:
+                known[p] = self.model.best(p)
+        own = [known[p] for p in parts]
+        return float(sum(x[0] for x in own)), float(min(x[1] for x in own)), np.concatenate([x[2] for x in own])
+
+    def alternatives(self, part: str, n: int) -> list[tuple[float, list[int]]]:
+        """``n_best`` of a part, remembered."""
+        found = self.others.get((part, n))
+        if found is None:
+            found = self.model.n_best(part, n)
+            if self.others_held > OTHER_BYTES:
+                self.others.clear()
+                self.others_held = 0
+            self.others[part, n] = found
+            self.others_held += 300 + 2 * len(part) + sum(100 + 16 * len(ids) for _, ids in found)
+        return found
+
+    def encode(self, texts: list[str | None], n: int) -> tuple[tuple[np.ndarray, np.ndarray], list[list[tuple[float, tuple]]], tuple[np.ndarray, np.ndarray]]:
+        """All ids in a row and their number in each text; of each text the n best as (score, edits); ids by merges and their numbers.
+
+        An edit is (first id, behind the last, new ids).
+        """
+        words = [self.model.cut(t or "") for t in texts]
+        flat = list(itertools.chain.from_iterable(words))
+        rows = self.rows(flat)
+        counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        owner = np.repeat(np.arange(len(texts)), counts)
+
+        def joined(ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own = size[rows] if len(size) else np.zeros(0, dtype=np.int64)
+            return ids[_ragged(at[rows], own)] if len(size) else ids, np.bincount(owner[: len(own)], own, len(texts)).astype(np.int64)
+
+        best = joined(self.ids, self.at, self.size)
+        by_merges = joined(self.merged_ids, self.merged_at, self.merged_size)
+        totals = np.bincount(owner, self.score[rows], len(texts))
+        stops, losses = np.cumsum(self.size[rows]), self.loss[rows]
+        starts = stops - self.size[rows]
+        first = np.cumsum(counts) - counts
+        near: list[list[int]] = []  # of each text, the words that lose least by a change
+        for a, size in zip(first.tolist(), counts.tolist(), strict=True):
+            own = losses[a : a + size]
+            some = (_smallest(own, n - 1) if size >= n else np.arange(size)) if n > 1 else np.arange(0)
+            near.append(sorted(some[own[some] < np.inf].tolist()))
+        parts = {flat[a + w]: self.model.split(flat[a + w]) for a, own in zip(first.tolist(), near, strict=True) for w in own}
+        every = list(dict.fromkeys(itertools.chain.from_iterable(parts.values())))
+        at = self.rows(every)
+        found = {p: (s, i.tolist()) for p, s, i in zip(every, self.score[at].tolist(), np.split(self.ids[_ragged(self.at[at], self.size[at])], np.cumsum(self.size[at])[:-1]) if every else (), strict=True)}
+        paths: list[list[tuple[float, tuple]]] = []
+        for i, total in enumerate(totals.tolist()):
+            kept: list[tuple[float, tuple, tuple]] = [(0.0, (), ())]
+            for w in near[i]:
+                j = int(first[i]) + w
+                start = int(starts[j] - starts[first[i]])
+                for k, part in enumerate(parts[flat[j]]):
+                    score, own = found[part]
+                    others = [(s, new) for s, new in self.alternatives(part, n) if new != own][: n - 1]
+                    changes = [(score - s, ((w, k, rank),), ((start, start + len(own), new),)) for rank, (s, new) in enumerate(others)]
+                    # The n smallest losses so far; ties go to the changes further left.
+                    kept = heapq.nsmallest(n, kept + [(x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x in kept for y in changes], key=lambda c: c[:2])
+                    start += len(own)
+            paths.append([(total - loss, edits) for loss, _, edits in kept])
+        return best, paths, by_merges
 
 
 def _smallest(x: np.ndarray, k: int) -> np.ndarray:
@@ -263,21 +422,30 @@ def _model(path: str) -> Model:
     return Model(path)
 
 
-_ENCODED = pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])))])
+_IDS = pa.list_(pa.int32())
+_ENCODED = pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", _IDS)])))])
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(
-    docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+    docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), merged: bool = False
 ) -> DataFrame:
     """N-best segmentations of every whole text under the model file (on every machine at ``model_path``).
 
-    Returns a row per input row: ``id_col``, ids (the best path) and n_best, an
-    array of (score, edits) from best to worst; applying the edits (ids
-    [start, stop) replaced by others) to ``ids`` gives that path.  The columns
-    named in ``keep`` go along unchanged behind the id.  Paths are those of the piece lattice, spaces as marks behind one added mark; a
-    character without a piece becomes its bytes.
+    Returns a row per input row: ``id_col``, the columns named in ``keep``,
+    ids (the best path) and n_best, an array of (score, edits) from best to
+    worst; applying the edits (ids [start, stop) replaced by others) to ``ids``
+    gives that path.  Paths are those of the piece lattice, spaces as marks
+    behind one added mark; a character without a piece becomes its bytes.
+
+    A model of the BPE kind was trained with merges, whose order its scores
+    tell; ``merged`` adds merged_ids, the ids that the library gives by them.
 
     * null or empty text: no ids, and one path of score 0;
+    * very long texts and words: encoded whole;
     * a text with fewer than n paths has all of them;
     * equal scores: the change further left comes first;
     * null ids and repeated rows: encoded one by one;
@@ -286,36 +454,49 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
+        segmenter = Segmenter(model, merged)
         for batch in batches:
-            ids, paths = [], []
-            for text in batch.column(1).to_pylist():
-                best, found = model.encode(text or "", n)
-                ids.append(np.frombuffer(best, dtype="<i4"))
-                paths.append([{"score": s, "edits": [{"start": a, "stop": b, "ids": new} for a, b, new in edits]} for s, edits in found])
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.array([], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], lists, pa.array(paths, pa.list_(_ENCODED))], [*names, "ids", "n_best"])
+            for part in runs(batch, 1):
+                texts = part.column(1).to_pylist()
+                own, paths, by_merges = segmenter.encode(texts, n)
+                best = [[{"score": s, "edits": [{"start": a, "stop": b, "ids": new} for a, b, new in edits]} for s, edits in found] for found in paths]
+                columns = [_lists(*own), pa.array(best, pa.list_(_ENCODED)), *([_lists(*by_merges)] if merged else [])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *columns], schema.names)
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_body"), *keep)
-    names = [id_col, *keep]
-    schema = T.StructType([rows.schema[c] for c in names])
+    schema = T.StructType([rows.schema[c] for c in (id_col, *keep)])
     edit = T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType()).add("ids", T.ArrayType(T.IntegerType()))
     path = T.StructType().add("score", T.DoubleType()).add("edits", T.ArrayType(edit))
     schema.add("ids", T.ArrayType(T.IntegerType())).add("n_best", T.ArrayType(path))
+    if merged:
+        schema.add("merged_ids", T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Texts of id arrays: ``id_col``, the columns named in ``keep``, decoded.  Null ids: the empty text."""
+    """Texts of id arrays: ``id_col``, the columns named in ``keep``, decoded.
+
+    * null or empty array: the empty text; null elements stand for nothing;
+    * bytes that are no UTF-8: replaced by U+FFFD;
+    * null ids and repeated rows: decoded one by one;
+    * empty table: empty result; other columns, whatever their names, are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
         for batch in batches:
-            texts = [model.decode(ids or []) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(texts, pa.string())], [*names, "decoded"])
+            lists = batch.column(1)
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = lists.flatten().fill_null(len(model.text)).to_numpy(zero_copy_only=False)
+            texts, at, place = [], 0, 0
+            while at < len(counts):  # about a million ids at a time
+                to = max(at + 1, int(np.searchsorted(np.cumsum(counts[at:]), 1 << 20)) + at)
+                size = int(counts[at:to].sum())
+                texts += model.decode(ids[place : place + size], counts[at:to])
+                at, place = to, place + size
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(texts, pa.string())], schema.names)
 
     rows = encoded.select(F.col(id_col), F.col(ids_col).alias("_ids"), *keep)
-    names = [id_col, *keep]
-    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in names]).add("decoded", T.StringType()))
+    schema = T.StructType([rows.schema[c] for c in (id_col, *keep)]).add("decoded", T.StringType())
+    return rows.mapInArrow(run, schema)

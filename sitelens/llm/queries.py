@@ -61,15 +61,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     model = vocabulary("piece_bpe_32k.model")
-    found = encode(docs, model, n=4, keep=("text_sha256",)).select(
+    found = encode(docs, model, n=4, keep=("text_sha256",), merged=True).select(
         "doc_id",
         "text_sha256",
         "ids",
         F.size("ids").cast("bigint").alias("n_pieces"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.size("merged_ids").cast("bigint").alias("n_merged"),
+        F.sha2(F.array_join("merged_ids", " "), 256).alias("merged_sha256"),
         F.transform("n_best", lambda p: p["score"]).alias("scores"),
+        F.to_json(F.transform("n_best", lambda p: p["edits"])).alias("changes"),
     )
-    kept = ("text_sha256", "n_pieces", "ids_sha256", "scores")
+    kept = ("text_sha256", "n_pieces", "ids_sha256", "n_merged", "merged_sha256", "scores", "changes")
     back = decode(found, model, keep=kept)
     return back.select("doc_id", *kept[1:], (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 

@@ -228,11 +228,52 @@ def test_pieces_against_every_segmentation():
             for s, rest in every(part[j:]):
                 yield score + s, [piece, *rest]
 
-    for part in ("▁there", "▁aaaa", "ations"):
+    parts = ["▁there", "▁aaaa", "ations", "▁", "q", "▁日本"]
+    score, loss, count, ids = model.lattice(parts)
+    ends = count.cumsum()
+    for k, part in enumerate(parts):
         expected = sorted((s for s, _ in every(part)), reverse=True)
         found = model.n_best(part, 6)
         assert [s for s, _ in found] == expected[:6]
         assert len({tuple(ids) for _, ids in found}) == len(found)
+        assert (score[k], loss[k]) == (expected[0], expected[0] - expected[1] if len(expected) > 1 else float("inf"))
+        own = ids[ends[k] - count[k] : ends[k]].tolist()
+        assert own == model.best(part)[2].tolist() and (own in [i for _, i in found])
+
+
+def test_pieces_of_whole_documents(spark, monkeypatch):
+    """Whole documents: merges as the library does, n best as every choice of changes gives, small memories change nothing."""
+    import sentencepiece
+
+    import sitelens.llm.pieces as m
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 80")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = encode(docs, PIECES, n=4, merged=True).collect()
+    for r in rows:
+        assert r.merged_ids == library.encode(texts[r.doc_id])
+    segmenter = m.Segmenter(m.Model(PIECES))
+    monkeypatch.setattr(m, "WORD_BYTES", 0)
+    monkeypatch.setattr(m, "OTHER_BYTES", 0)
+    monkeypatch.setattr(m, "CELLS", 50)
+    monkeypatch.setattr(m, "LONG", 6)
+    for r in rows:
+        (ids, _), paths, _ = segmenter.encode([texts[r.doc_id]], 4)
+        assert ids.tolist() == r.ids and [p[0] for p in paths[0]] == [p.score for p in r.n_best]
+    for r in rows:
+        score = {i: s for i, s in segmenter.model.pieces.values()}
+        seen = set()
+        for p in r.n_best:
+            own = list(r.ids)
+            for e in sorted(p.edits, key=lambda e: -e.start):
+                own[e.start : e.stop] = e.ids
+            seen.add(tuple(own))
+            if all(i in score for i in own):
+                assert p.score == sum(score[i] for i in own)
+            back = segmenter.model.decode(m.np.array(own, dtype="int64"), m.np.array([len(own)]))
+            assert back == [texts[r.doc_id]]
+        assert len(seen) == len(r.n_best)
 
 
 def test_language_is_right_on_held_out_rows(spark):
