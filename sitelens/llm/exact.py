@@ -22,8 +22,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    # Stores of a finished stream leave the executors' memory soon.
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     # Without it every store reserves megabytes of disk, however few keys it has.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

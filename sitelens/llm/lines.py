@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..plans.durable import Scratch, small_batches
 from .bits import bit_table, hits
 from .frequent import most_frequent
-from .minhash import _mix
+from .words import mix as _mix
 
 #: Lines match where 100 * common words >= PERCENT * all words.
 PERCENT = 75

@@ -25,6 +25,7 @@ A pair at similarity 0.75 misses all 51 bands of 5 registers with probability
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..plans.durable import Scratch, small_batches
 from .blocks import groups
+from .words import Words, mix, pieces, split, texts_of
 
 BUCKETS, MANTISSA, ROWS = 256, 10, 5
 BANDS = BUCKETS // ROWS
@@ -46,39 +48,35 @@ PERCENT = 75
 SCREEN = 0.6
 #: Documents of a home block; two of them are compared at a time.
 BLOCK = 200
-REMEMBERED_WORDS = 150_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
 _orders: list[np.ndarray] = []
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's distinct 5-word shingles; all words as one where there are fewer."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], dtype=np.uint64)
-    if len(_hashes) > REMEMBERED_WORDS:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = len(h) - SHINGLE + 1
+def shingle_sets(words: Words) -> list[np.ndarray]:
+    """Of each text, sorted 64-bit hashes of its distinct 5-word shingles; all words as one where there are fewer."""
+    h = words.hashes
+    n = max(len(h) - SHINGLE + 1, 0)
     s = h[:n].copy()
     for i in range(1, SHINGLE):
         s = s * _FACTOR + h[i : i + n]
-    return np.unique(_mix(s))
+    s = mix(s)
+    found = []
+    for a, b in itertools.pairwise(words.first.tolist()):
+        if b - a >= SHINGLE:
+            found.append(np.unique(s[a : b - SHINGLE + 1]))
+        elif b > a:
+            short = np.uint64(b - a)
+            for x in h[a:b]:
+                short = short * _FACTOR + x
+            found.append(mix(np.array([short])))
+        else:
+            found.append(np.array([], dtype=np.uint64))
+    return found
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass") if text else b"", dtype=np.uint8)
+    return shingle_sets(split(data, np.array([0, len(data)]), lower=True))[0]
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -119,15 +117,15 @@ def sketches(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, regs = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingle_set(text)
-                n.append(len(found))
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                regs.append(registers(found).astype("<u2").tobytes() if len(found) > 2 else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "digest", "regs"]
-            )
+            for part in pieces(batch, 1):
+                n, digests, regs = [], [], []
+                for found in shingle_sets(split(*texts_of(part.column(1)), lower=True)):
+                    n.append(len(found))
+                    digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                    regs.append(registers(found).astype("<u2").tobytes() if len(found) > 2 else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "digest", "regs"]
+                )
 
     return texts.mapInArrow(run, "id bigint, n bigint, digest binary, regs binary")
 
@@ -195,8 +193,9 @@ def _across_components(scratch: Scratch, across: DataFrame, reps: DataFrame, tex
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+            for part in pieces(batch, 1):
+                found = [x.tobytes() for x in shingle_sets(split(*texts_of(part.column(1)), lower=True))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
     wanted = texts.join(homes.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id bigint, shingles binary")
     full = scratch.save(homes.join(wanted, "id").join(reps.select("id", "regs"), "id"), "full")

@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import Scratch, small_batches
 from .bits import bit_table, hits
-from .minhash import _FACTOR, _mix
+from .words import mix as _mix
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 WINDOW, GRAM = 35, 8
 #: More super-k-mers of one minimiser than this go window by window; it bounds what a bucket holds in memory (100 MB).
