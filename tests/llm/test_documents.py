@@ -170,12 +170,30 @@ def test_lines_against_all_pairs(spark):
         assert (r.n_lines, r.n_removed, r.kept_text) == (len(own), len(own) - len(kept), "\n".join(kept))
 
 
-def test_lines_shuffled_lists_give_the_same(spark, monkeypatch):
+def test_lines_with_small_limits_give_the_same(spark, monkeypatch):
+    """Lists shuffled, every word split over pairs of blocks, few pairs and lines at a time."""
     import sitelens.llm.lines as m
 
-    first = sorted(map(str, dedup_lines(table(spark, CORPUS)).collect()))
-    monkeypatch.setattr(m, "BROADCAST_BYTES", -1)
-    assert sorted(map(str, dedup_lines(table(spark, CORPUS)).collect())) == first
+    for name, value in (("BROADCAST_BYTES", -1), ("BROADCAST_ROWS", -1), ("POSTINGS", 3), ("LINES", 2), ("PAIRS", 7), ("PACKED", 50)):
+        monkeypatch.setattr(m, name, value)
+    test_lines_against_all_pairs(spark)
+
+
+def test_lines_that_only_match_a_partner_that_differs_more(spark):
+    """Families in which the closest earlier line is just below the threshold, and ties of it."""
+    rng = random.Random(8)
+    base = [f"q{i}" for i in range(24)]
+    lines = []
+    for k in range(60):
+        own = base[:]
+        for i in rng.sample(range(24), rng.choice((2, 3, 3, 4))):
+            own[i] = f"z{rng.randrange(40)}"
+        lines.append(" ".join(own))
+    texts = [(k, x) for k, x in enumerate(lines)]
+    sets = [frozenset(x.encode().split()) for x in lines]
+    gone = {k for k in range(60) if any(100 * len(sets[k] & sets[j]) >= 75 * len(sets[k] | sets[j]) for j in range(k))}
+    found = {r.doc_id for r in dedup_lines(table(spark, texts)).collect() if r.n_removed}
+    assert found == gone and 5 < len(gone) < 59
 
 
 def test_token_counts_match_the_library(spark):
