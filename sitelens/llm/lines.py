@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from ..plans.durable import Scratch, small_batches
 from .bits import bit_table, hits
 from .blocks import groups
+from .documents import keyed
 from .words import mix, of_text, pieces, split, texts_of
 
 #: Lines match where 100 * common words >= PERCENT * all words.
@@ -428,16 +429,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     * null text: no lines, null kept_text; empty text: one line, without words;
       a line without words: always kept, matches nothing;
     * very long texts: all their lines are compared, however long;
-    * ids are whole numbers that name one text each; rows that repeat an id and
-      its text are one document, and each row is returned; a null id: the row is
-      returned unchanged and its lines match nothing;
+    * rows that repeat an id and its text are one document, and each row is
+      returned; different texts under one id are documents of their own, in the
+      order of their texts; a null id: the row is returned unchanged and its
+      lines match nothing;
     * empty table: empty result; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "lines")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("body"))
-    named = texts.filter("doc is not null and body is not null")
+    documents, texts = keyed(scratch, docs, id_col, text_col)
+    named = texts.filter("id is not null and body is not null").select("doc", "body")
     counts = bucket_counts(named.select("body"), _word_buckets)
     ranks = np.empty(len(counts), dtype=np.uint32)
     ranks[np.argsort(counts, kind="stable")] = np.arange(len(counts))
@@ -450,21 +452,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch.drop("reps", "later")
     size = kept.agg(F.coalesce(F.sum(F.size("lines") * 4 + 32), F.lit(0)).alias("bytes")).first()["bytes"]
     # Few and short lists go to the texts; otherwise the texts go to the lists.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("body"))
-    rows = rows.join(_bounded(kept, size <= BROADCAST_BYTES), "doc", "left")
+    rows = documents.join(_bounded(kept, size <= BROADCAST_BYTES), "doc", "left")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, bodies = [], [], []
-            for doc, text, stay in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for name, text, stay in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = text.split("\n") if text is not None else []
                 stays = set(stay or ())
-                left = lines if doc is None else [x for i, x in enumerate(lines) if i in stays or not x.encode("utf-8", "surrogatepass").split()]
+                left = lines if name is None else [x for i, x in enumerate(lines) if i in stays or not x.encode("utf-8", "surrogatepass").split()]
                 total.append(len(lines))
                 removed.append(len(lines) - len(left))
                 bodies.append("\n".join(left) if text is not None else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(bodies, pa.string())], ["id", "n_lines", "n_removed", "kept_text"])
 
-    found = rows.select("id", "doc", "body", "lines").mapInArrow(run, f"id {kind}, n_lines bigint, n_removed bigint, kept_text string")
+    found = rows.select("id", "body", "lines").mapInArrow(run, f"id {kind}, n_lines bigint, n_removed bigint, kept_text string")
     return found.withColumnRenamed("id", id_col)

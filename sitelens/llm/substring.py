@@ -7,11 +7,12 @@ the bucket of that gram.  Equal windows have equal minimisers and so meet in one
 bucket, where sorting counts them exactly.
 
 A first pass counts the minimisers themselves.  A minimiser that occurs once in
-the corpus holds no repeated window, so its super-k-mer stays where it is.  One
-that occurs very often would make its bucket unbounded; its windows are counted
-one by one, by a grouping that aggregates before its shuffle.  Both sets are
-handed to the tasks as bit tables of bounded size: a false hit only sends a
-super-k-mer that could have stayed, or counts windows the other way.
+the corpus holds no repeated window, so its super-k-mer stays where it is.  The
+bucket of one that occurs very often is split: its super-k-mers are cut again by
+a second minimiser, equal strings are counted before the shuffle and travel
+once, and the windows are counted by sorting as before.  Both sets are handed
+to the tasks as bit tables of bounded size: a false hit only sends a super-k-mer
+that could have stayed, or splits a bucket that could have been whole.
 """
 
 from __future__ import annotations
@@ -20,32 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import Scratch, small_batches
 from .bits import bit_table, hits
-from .words import mix as _mix
-
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+from .documents import keyed
+from .words import Words, mix, pieces, split, texts_of
 
 WINDOW, GRAM = 35, 8
-#: More super-k-mers of one minimiser than this go window by window; it bounds what a bucket holds in memory (100 MB).
-HOT = 50_000
+#: Buckets of minimisers with more super-k-mers than this are split.
+HOT = 4_000
 #: Super-k-mers a bucket task sorts at a time.
 CHUNK = 8_000
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 28) - 1)
-REMEMBERED_WORDS = 500_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
 
 
 def _rolled(h: np.ndarray, size: int) -> np.ndarray:
@@ -70,24 +60,35 @@ def _rolled(h: np.ndarray, size: int) -> np.ndarray:
     return runs
 
 
-def cut(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Super-k-mers of a text: minimisers, first windows, and windows behind the last ones."""
-    if len(words) < WINDOW:
-        none = np.array([], dtype=np.int64)
-        return none.astype(np.uint64), none, none
-    if len(_hashes) > REMEMBERED_WORDS:
-        _hashes.clear()
-    grams = _mix(_rolled(np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words)), GRAM))
-    # The place in the low bits makes the leftmost of equal grams the smallest.
+def _least(grams: np.ndarray) -> np.ndarray:
+    """Of each window, the place of its smallest gram; the leftmost of equals."""
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     span, want = 1, WINDOW - GRAM + 1
     while span < want:
         step = min(span, want - span)
         least = np.minimum(least[:-step], least[step:])
         span += step
-    place = (least & _PLACE).astype(np.int64)
-    start = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
-    return grams[place[start]], start, np.append(start[1:], len(place))
+    return (least & _PLACE).astype(np.int64)
+
+
+def _runs(place: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of consecutive windows that share a minimiser: first windows, and windows behind the last ones."""
+    before = np.concatenate(([False], valid[:-1]))
+    start = np.flatnonzero(valid & (~before | (np.diff(place, prepend=-1) != 0)))
+    last = np.concatenate((valid[1:] & (place[1:] == place[:-1]), [False]))
+    return start, np.flatnonzero(valid & ~last) + 1
+
+
+def cut(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers of all texts: minimisers, first windows, windows behind the last ones; and all grams."""
+    h = words.hashes
+    if len(h) < WINDOW:
+        none = np.array([], dtype=np.int64)
+        return none.astype(np.uint64), none, none, h[:0]
+    grams = mix(_rolled(h, GRAM))
+    place = _least(grams)
+    start, stop = _runs(place, words.text[: len(place)] == words.text[WINDOW - 1 :])
+    return grams[place[start]], start, stop, grams
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -96,7 +97,7 @@ def _words(text: str | None) -> list[bytes]:
 
 def _minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [cut(_words(t))[0] for t in batch.column(0).to_pylist()]
+        found = [cut(split(*texts_of(part.column(0)), lower=False))[0] for part in pieces(batch, 0)]
         keys, n = np.unique(np.concatenate(found) if found else np.array([], dtype=np.uint64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
@@ -108,30 +109,39 @@ def _sender(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, hot = tables.value
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = _words(text)
-                keys, start, stop = cut(words)
-                sent = np.flatnonzero(hits(repeated, keys))
-                if not len(sent):
-                    continue
-                often = hits(hot, keys[sent])
-                for i, is_hot in zip(sent.tolist(), often.tolist(), strict=True):
-                    a, b = int(start[i]), int(stop[i])
-                    if is_hot:
-                        for w in range(a, b):
-                            rows.append((0, True, doc, w, xxhash.xxh3_128_digest(b" ".join(words[w : w + WINDOW]))))
-                    else:
-                        rows.append((int(keys[i].view(np.int64)), False, doc, a, b" ".join(words[a : b + WINDOW - 1])))
-                if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+            for part in pieces(batch, 1):
+                data, offsets = texts_of(part.column(1))
+                words = split(data, offsets, lower=False)
+                keys, start, stop, grams = cut(words)
+                sent = hits(repeated, keys)
+                keys, start, stop = keys[sent], start[sent], stop[sent]
+                often = hits(hot, keys)
+                again = [_split(int(a), int(b), grams) for a, b in zip(start[often], stop[often], strict=True)]
+                size = np.ones(len(keys), dtype=np.int64)
+                size[often] = [len(x[0]) for x in again]
+                keys, often, start, stop = (np.repeat(x, size) for x in (keys, often, start, stop))
+                if again:
+                    second, first, behind = (np.concatenate([x[i] for x in again]) for i in range(3))
+                    keys[often] = mix(keys[often] + second * _FACTOR)
+                    start[often], stop[often] = first, behind
+                text = words.text[start]
+                docs = part.column(0).to_numpy()[text]
+                begin, end = words.start[start].tolist(), words.stop[stop + WINDOW - 2].tolist()
+                packed = [b" ".join(data[a:b].tobytes().split()) for a, b in zip(begin, end, strict=True)]
+                columns = [keys.view(np.int64), often, docs, start - words.first[text], packed]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
 
     return run
 
 
+def _split(first: int, behind: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A run of windows cut again by a second order of grams: second minimisers, first windows, windows behind the last ones."""
+    own = mix(grams[first : behind + WINDOW - GRAM] + _FACTOR)
+    place = _least(own)
+    start, stop = _runs(place, np.ones(len(place), dtype=bool))
+    return own[place[start]], first + start, first + stop
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         found = self[word] = len(self)
@@ -149,7 +159,7 @@ def repeated_windows(buckets: list[int], packed: list[bytes]) -> tuple[np.ndarra
     owner = np.repeat(np.arange(len(parts)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = first[owner] + inside
-    h = _rolled(_mix(words.astype(np.uint64) + np.uint64(1)), WINDOW)[at]
+    h = _rolled(mix(words.astype(np.uint64) + np.uint64(1)), WINDOW)[at]
     order = np.argsort(h, kind="stable")
     h, at = h[order], at[order]
     same = np.flatnonzero(h[1:] == h[:-1])
@@ -211,6 +221,24 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield found
 
 
+def _hot_spans(scratch: Scratch, sent: DataFrame) -> DataFrame:
+    """Spans (doc, start, stop) of repeated windows in split buckets.
+
+    All windows of a string that occurs more than once are repeated; strings
+    go to their buckets once each, and what is found there holds for all rows
+    that have the string.
+    """
+    strings = sent.groupBy("packed").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count(F.lit(1)).alias("n"), F.min("bucket").alias("bucket"))
+    strings = scratch.save(strings.withColumn("string", F.monotonically_increasing_id()), "strings")
+    buckets = strings.select("bucket", F.col("string").alias("doc"), F.lit(0).cast("bigint").alias("start"), "packed").repartition("bucket").sortWithinPartitions("bucket")
+    inside = buckets.mapInArrow(_count_buckets, "doc bigint, start bigint, stop bigint").select(F.col("doc").alias("string"), F.col("start").alias("a"), F.col("stop").alias("b"))
+    copies = strings.filter("n > 1").select("string", F.lit(0).cast("bigint").alias("a"), F.size(F.split(F.col("packed").cast("string"), " ")).cast("bigint").alias("b"))
+    found = scratch.save(inside.join(copies.select("string"), "string", "left_anti").unionByName(copies), "inside")
+    alone = strings.filter("n = 1").join(found, "string").select("lead.doc", "lead.start", "a", "b")
+    more = sent.join(strings.filter("n > 1").join(found, "string").select("packed", "a", "b"), "packed").select("doc", "start", "a", "b")
+    return alone.unionByName(more).select("doc", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("stop"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each word covered by a 35-word window that also starts anywhere else.
 
@@ -219,31 +247,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_words, n_removed, kept_text (the kept words joined by one space).
 
     * null text, or fewer than 35 words: nothing is removed;
-    * ids are whole numbers that name one text each; rows that repeat an id and
-      its text are one document; null ids: each different text is a document;
-    * windows of very frequent minimisers are told apart by a 128-bit digest;
+    * very long texts: all their windows count;
+    * rows that repeat an id (or a null id) and its text are one document;
+      different texts under one id are documents of their own;
     * empty table: empty result; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "substring")
-    body = F.col(text_col)
-    doc: Column = F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(body))
-    texts = docs.select(doc.alias("doc"), body.alias("body"))
-    distinct = texts if _unique(docs, id_col) else texts.dropDuplicates(["doc"])
-    # Copies of a row must not repeat its windows, but other documents' copies do.
-    counts = distinct.select("body").mapInArrow(_minimisers, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    rows, texts = keyed(scratch, docs, id_col, text_col)
+    texts = texts.select("doc", "body")
+    counts = texts.select("body").mapInArrow(_minimisers, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     repeated = scratch.save(counts.filter("n > 1"), "repeated")
     hot = repeated.filter(F.col("n") > HOT)
-    tables = spark.sparkContext.broadcast((bit_table(repeated, repeated.count()), bit_table(hot, hot.count())))
-    sent = scratch.save(distinct.mapInArrow(_sender(tables), "bucket bigint, hot boolean, doc bigint, start bigint, packed binary"), "sent")
+    n_hot = hot.count()
+    tables = spark.sparkContext.broadcast((bit_table(repeated, repeated.count()), bit_table(hot, n_hot)))
+    sent = scratch.save(texts.mapInArrow(_sender(tables), "bucket bigint, hot boolean, doc bigint, start bigint, packed binary"), "sent")
     buckets = sent.filter("not hot").select("bucket", "doc", "start", "packed").repartition("bucket").sortWithinPartitions("bucket")
     spans = buckets.mapInArrow(_count_buckets, "doc bigint, start bigint, stop bigint")
-    windows = sent.filter("hot").select("packed", "doc", "start")
-    twice = windows.groupBy("packed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("packed")
-    hot_spans = windows.join(twice, "packed").select("doc", "start", (F.col("start") + WINDOW).alias("stop"))
-    by_doc = spans.unionByName(hot_spans).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), body.alias("body")).join(by_doc, "doc", "left")
+    if n_hot:
+        spans = spans.unionByName(_hot_spans(scratch, sent.filter("hot").select("bucket", "doc", "start", "packed")))
+    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = rows.join(by_doc, "doc", "left")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +291,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = rows.select("id", "body", "spans").mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, kept_text string")
     return found.withColumnRenamed("id", id_col)
-
-
-def _unique(docs: DataFrame, id_col: str) -> bool:
-    """Whether no id occurs twice and none is null."""
-    row = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.when(F.col(id_col).isNull(), 2).otherwise(F.col("n"))).alias("most")).first()
-    return (row["most"] or 0) <= 1
