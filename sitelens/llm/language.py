@@ -25,9 +25,12 @@ from ..plans.durable import Scratch, small_batches
 from .frequent import most_frequent
 
 UNKNOWN = "und"
-#: The model keeps this many words and this many n-grams of each length, by frequency; the rest back off.
-#: Together they bound what is sent to each executor: about 80 bytes and 8 bytes a language for each.
+#: The model keeps this many words and this many n-grams of each length, shared evenly among the languages, each
+#: of which takes its own most frequent ones; other words back off.  All counts cover all labelled rows.
+#: The bound keeps what is sent to each executor to about 80 bytes and 8 bytes a language for each key.
 MAX_WORDS, MAX_GRAMS = 100_000, 20_000
+#: Languages a model may have; each is a column of counts.
+MAX_LANGUAGES = 1_000
 #: Lengths of the n-grams an unseen word falls back to.
 GRAM_LENGTHS = (4, 3, 2, 1)
 #: Added to every count, so that a word of one language is possible in the others.
@@ -43,6 +46,12 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
+def _grams(padded: Column, size: int) -> Column:
+    """All runs of ``size`` characters."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(padded) + 1 - size, F.lit(1))), lambda i: i <= F.length(padded) + 1 - size)
+    return F.transform(places, lambda i: F.substring(padded, i, F.lit(size)))
+
+
 @dataclass
 class Model:
     """Rows of ``table`` hold log frequencies by language; the last row is all zeros."""
@@ -78,7 +87,7 @@ class Model:
 
     def gram_rows(self, word: str) -> list[int]:
         """Rows of the longest n-grams of a word that are known; the zero row where none is."""
-        padded = f"<{word}>" if len(word) <= 200 else word
+        padded = f"<{word}>"
         for size, grams in self.grams:
             known = [r for i in range(len(padded) - size + 1) if (r := grams.get(padded[i : i + size])) is not None]
             if known:
@@ -115,20 +124,29 @@ class Unseen:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Learn from every row of ``docs`` whose language is not null; null texts teach nothing."""
+    """Learn from every row of ``docs`` whose language is not null; null texts teach nothing.
+
+    Words are runs of letters, lower-cased; n-grams are those of ``<word>``, a
+    word of any length.  The value of a key in a language is the log of its
+    count plus ``SMOOTHING`` over the sum of all counts of kept keys of its kind.
+    """
     scratch = Scratch(docs.sparkSession, "language")
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("body"))
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: {lang_col} does not look like a language column")
+    if not langs:
+        return Model([], {}, [], np.zeros((1, 0)))
     by_lang = [f"n{i}" for i in range(len(langs))]
     spoken = rows.select("lang", F.explode(_words(F.col("body"))).alias("key"))
     words = scratch.save(
-        spoken.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("lang") == lang).alias(c) for c, lang in zip(by_lang, langs, strict=True)]), "words"
+        spoken.groupBy("key").agg(*[F.count_if(F.col("lang") == lang).alias(c) for c, lang in zip(by_lang, langs, strict=True)]), "words"
     )
     tables: list[np.ndarray] = []
 
     def frequent(counts: DataFrame, limit: int) -> dict[str, int]:
         """The most frequent keys, numbered; their log frequencies join the tables."""
-        top = most_frequent(counts, limit).select("key", *by_lang).toPandas()
+        top = most_frequent(counts, limit // max(1, len(langs)), by_lang).select("key", *by_lang).toPandas()
         n = top[by_lang].to_numpy(dtype=np.float64).reshape(len(top), len(langs))
         at = sum(map(len, tables))
         tables.append(np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * len(n))))
@@ -138,9 +156,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wor
     padded = F.concat(F.lit("<"), F.col("key"), F.lit(">"))
     by_size = []
     for size in GRAM_LENGTHS:
-        places = F.sequence(F.lit(1), F.greatest(F.length("key") + 3 - size, F.lit(1)))
-        grams = words.filter(F.length("key") <= 200).select("n", *by_lang, F.explode(F.transform(places, lambda i, size=size: F.substring(padded, i, F.lit(size)))).alias("key"))
-        counts = grams.filter(F.length("key") == size).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", *by_lang)])
+        counts = words.select(*by_lang, F.explode(_grams(padded, size)).alias("key")).groupBy("key").agg(*[F.sum(c).alias(c) for c in by_lang])
         by_size.append((size, frequent(scratch.save(counts, f"grams-{size}"), max_grams)))
     return Model(langs, known, by_size, np.vstack([*tables, np.zeros((1, len(langs)))]))
 
@@ -178,6 +194,12 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Fit on the labelled rows that aren't held out, then predict every row.
 
     Returns a row per input row: ``id_col``, held_out, lang_pred, score.
+
+    * null text, or one without a letter, or no labelled row: ``und`` and score 0;
+    * null label: the row teaches nothing; null id: not held out;
+    * very long texts and words count whole; null ids and repeated rows are judged
+      one by one; ties go to the language that sorts first;
+    * empty table: empty result; other columns, whatever their names, are ignored.
     """
     model = fit(docs.filter(~held_out(F.col(id_col))), text_col, lang_col)
     found = identify(docs, model, id_col, text_col)

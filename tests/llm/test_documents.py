@@ -300,6 +300,83 @@ def test_language_is_right_on_held_out_rows(spark):
     assert found and sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
 
 
+def brute_language(rows, max_words=None, max_grams=None):
+    """Word-first backoff in plain Python: (id, text, lang, held out) -> {id: (language, score)}."""
+    import math
+    from collections import Counter
+
+    counts = {}
+    for _, text, lang, out in rows:
+        if lang is not None and not out and text:
+            counts.setdefault(lang, Counter()).update(re.findall(r"[^\W\d_]+", text.lower()))
+    langs = sorted(counts)
+    kinds = {0: {l: c for l, c in counts.items()}}
+    for size in (4, 3, 2, 1):
+        kinds[size] = {l: Counter() for l in langs}
+        for l, c in counts.items():
+            for w, n in c.items():
+                for i in range(len(w) + 3 - size):
+                    kinds[size][l][f"<{w}>"[i : i + size]] += n
+    tables = {}
+    for kind, by_lang in kinds.items():
+        keys = set().union(*by_lang.values()) if langs else set()
+        total = {l: sum(c.values()) + 0.5 * len(keys) for l, c in by_lang.items()}
+        tables[kind] = {k: [math.log((by_lang[l][k] + 0.5) / total[l]) for l in langs] for k in keys}
+    out = {}
+    for i, text, _, _ in rows:
+        sums, spoken = [0.0] * len(langs), 0
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            if not any(map(str.isalpha, w)):
+                continue
+            spoken += 1
+            value = tables[0].get(w)
+            if value is None:
+                value = [0.0] * len(langs)
+                for size in (4, 3, 2, 1):
+                    known = [v for k in range(len(w) + 3 - size) if (v := tables[size].get(f"<{w}>"[k : k + size]))]
+                    if known:
+                        value = [0.5 * sum(v[j] for v in known) / len(known) for j in range(len(langs))]
+                        break
+            sums = [a + b for a, b in zip(sums, value)]
+        if not spoken or not langs:
+            out[i] = ("und", 0.0)
+            continue
+        top = max(sums)
+        share = [math.exp((s - top) * min(1.0, 10.0 / spoken)) for s in sums]
+        out[i] = (langs[sums.index(top)], max(share) / sum(share))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = [(9_001, "supercalifragilistic" * 40, "en", "s"), (9_002, None, "de", "s"), (9_003, "1234 ?!", "en", "s"), (9_004, "éé ß zz", None, "s")]
+    docs = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(odd, SCHEMA))
+    rows = [(r.doc_id, r.text, r.lang, zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in docs.collect()]
+    expected = brute_language(rows)
+    from sitelens.llm.language import fit, held_out, identify
+
+    whole = fit(docs.filter(~held_out(F.col("doc_id"))), max_words=10**7, max_grams=10**7)
+    for r in identify(docs, whole).collect():
+        lang, score = expected[r.doc_id]
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-6
+    # What the production limits cut off changes no language here.
+    limited = {r.doc_id: r.lang_pred for r in language_id(docs).collect()}
+    assert sum(limited[i] == lang for i, (lang, _) in expected.items()) >= 0.99 * len(expected)
+
+
+def test_language_limits_leave_no_language_without_keys(spark):
+    """Equal counts beyond the limit: an even part is kept, for each language its own."""
+    from sitelens.llm.language import fit
+
+    rows = [(i, f"w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}", "en" if i % 20 else "xx", "s") for i in range(1040)]
+    model = fit(spark.createDataFrame(rows, SCHEMA), max_words=400, max_grams=100)
+    assert 100 < len(model.words) <= 400 and all(grams for _, grams in model.grams)
+    rare = {w for i, w, lang, _ in rows if lang == "xx"}
+    assert len(rare & set(model.words)) == len(rare)
+
+
 def test_language_without_labels(spark):
     rows = language_id(table(spark, [(3, "some words")]).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert [(r.lang_pred, r.score) for r in rows] == [("und", 0.0)]
