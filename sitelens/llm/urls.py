@@ -8,13 +8,17 @@ unlisted keys of the universe on even levels, listed keys on odd ones.  A key of
 the universe is listed exactly when the first level that denies it is an even
 one (or none denies it and the number of levels is odd).
 
-Only the rules' own keys and their few false positives are gathered; a level is
-one row holding its words, read through a scalar subquery.  Its size follows
-the rule list, which is checked against ``MAX_KEYS``.
+Level 1 is sized from both counts, the listed keys and the universe, so that it
+lets through about as many keys as are listed; every later level is about as
+large as the rule list then.  A level is one row holding its words, read through
+a scalar subquery.  The keys of every level are counted and checked against
+``MAX_KEYS`` before it is gathered; a level that let too many through is built
+again with more bits.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +26,10 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import Scratch
 
-#: Each cascade holds at most this many keys: at 10 bits a key 12.5 MB travel to each executor.
-MAX_KEYS = 10_000_000
-#: 2 bits less for each hash would let half as many levels more through; tests use fewer.
-BITS_PER_KEY, HASHES = 10, 5
+#: Each level holds at most this many keys, and at most this many bits (16 MB) travel to each executor.
+MAX_KEYS, MAX_BITS = 10_000_000, 1 << 27
+#: Bits a key of the levels behind the first, and the most that the first level may take.
+BITS_PER_KEY, MOST_BITS_PER_KEY = 10, 80
 
 
 @dataclass(frozen=True)
@@ -58,8 +62,8 @@ def url_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
     )
 
 
-def _positions(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key["host"], key["path"], F.lit(level * 31 + j)), F.lit(bits)) for j in range(HASHES)]
+def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key["host"], key["path"], F.lit(level * 101 + j)), F.lit(bits)) for j in range(hashes)]
 
 
 @dataclass(frozen=True)
@@ -67,10 +71,11 @@ class Level:
     words: DataFrame  # one row: words array<bigint>
     bits: int
     number: int
+    hashes: int
 
     def admits(self, key: Column, words: Column) -> Column:
         found = F.lit(True)
-        for p in _positions(key, self.number, self.bits):
+        for p in _positions(key, self.number, self.bits, self.hashes):
             word = F.element_at(words, (F.shiftright(p, 6) + 1).cast("int"))
             # The bit is tested by masking; a shift by a column has no function of its own.
             found = found & (word.bitwiseAND(F.element_at(_masks(), (p % 64 + 1).cast("int"))) != 0)
@@ -85,36 +90,45 @@ def _level(keys: DataFrame, n: int, number: int, bits_per_key: int) -> Level:
     """A level with the given keys (column ``key``)."""
     words = max(1, -(-n * bits_per_key // 64))
     bits = words * 64
-    set_bits = keys.select(F.explode(F.array(*_positions(F.col("key"), number, bits))).alias("p")).select(
+    hashes = max(1, min(24, round(bits_per_key * 0.69)))
+    if n > MAX_KEYS or bits > MAX_BITS:
+        raise ValueError(f"level {number} of the cascade would hold {n} keys in {bits} bits; {MAX_KEYS} keys and {MAX_BITS} bits are allowed: split the list by host suffix")
+    set_bits = keys.select(F.explode(F.array(*_positions(F.col("key"), number, bits, hashes))).alias("p")).select(
         F.shiftright("p", 6).alias("word"), F.element_at(_masks(), (F.col("p") % 64 + 1).cast("int")).alias("mask")
     )
     filled = set_bits.groupBy("word").agg(F.bit_or("mask").alias("bits"))
     every = keys.sparkSession.range(words).withColumnRenamed("id", "word").join(filled, "word", "left")
     pairs = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
     row = every.agg(pairs.alias("pairs")).select(F.col("pairs.bits").alias("words"))
-    return Level(row, bits, number)
+    return Level(row, bits, number, hashes)
 
 
 class Cascade:
     """Exact membership of ``listed`` keys among the keys of ``universe`` (columns ``key``)."""
 
-    def __init__(self, scratch: Scratch, listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY):
+    def __init__(self, scratch: Scratch, listed: DataFrame, universe: DataFrame, n_universe: int, bits_per_key: int | None = None):
         self.levels: list[Level] = []
         listed = scratch.save(listed.select("key").distinct(), "listed")
-        n = listed.count()
-        if n > MAX_KEYS:
-            raise ValueError(f"{n} listed keys; a cascade holds {MAX_KEYS}: split the list by host suffix")
+        n = n_listed = listed.count()
         others = universe.select("key").join(listed, "key", "left_anti")
         inside, outside = listed, None
+        # Each hash halves what passes: so many that about as many unlisted keys pass as there are listed ones.
+        each = bits_per_key or max(BITS_PER_KEY, min(MOST_BITS_PER_KEY, math.ceil(1.45 * math.log2(max(2.0, n_universe / max(n, 1)))) + 2))
         while n:
             number = len(self.levels) + 1
-            level = _level(inside, n, number, bits_per_key)
+            level = _level(inside, n, number, each)
             words = scratch.save(level.words, "level")
-            self.levels.append(Level(words, level.bits, number))
+            self.levels.append(Level(words, level.bits, number, level.hashes))
             tested = others if outside is None else outside
             passed = tested.withColumn("w", words.scalar()).filter(self.levels[-1].admits(F.col("key"), F.col("w"))).select("key")
             passed = scratch.save(passed.distinct(), "passed")
-            inside, outside, n = passed, inside, passed.count()
+            n_passed = passed.count()
+            if number == 1 and not bits_per_key and n_passed > 2 * n_listed + 1_000 and each < MOST_BITS_PER_KEY:
+                self.levels.pop()
+                each = min(MOST_BITS_PER_KEY, each + 8)
+                continue
+            inside, outside, n = passed, inside, n_passed
+            each = bits_per_key or BITS_PER_KEY
 
     def columns(self) -> list[Column]:
         """The levels' words, to be added to the rows that are judged."""
@@ -129,7 +143,7 @@ class Cascade:
 
 
 def url_filter(
-    pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", bits_per_key: int = BITS_PER_KEY
+    pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", bits_per_key: int | None = None
 ) -> DataFrame:
     """Judge every URL by the longest rule that fits it.
 
@@ -140,7 +154,7 @@ def url_filter(
     the rule, else null), verdict (the rule's, else ``default``).
 
     * null url, or one without ``://``: host and path are empty and no rule fits;
-    * repeated rows and null ids: judged one by one;
+    * repeated rows and null ids: judged one by one; very long urls: judged whole;
     * empty table or no rules: an empty result, or ``default`` everywhere;
     * other columns, whatever their names, are ignored.
     """
@@ -152,7 +166,8 @@ def url_filter(
     scratch = Scratch(spark, "urls")
     universe = keyed.select(F.explode("keys").alias("key")).distinct()
     listed = _rule_table(spark, rules)
-    cascades = {v: Cascade(scratch, listed.filter(F.col("verdict") == v), universe, bits_per_key) for v in ("block", "allow")}
+    n_universe = keyed.select(F.explode("keys").alias("key")).agg(F.approx_count_distinct("key").alias("n")).first()["n"]
+    cascades = {v: Cascade(scratch, listed.filter(F.col("verdict") == v), universe, n_universe, bits_per_key) for v in ("block", "allow")}
     columns = {f"w_{v}_{i}": c for v, cascade in cascades.items() for i, c in enumerate(cascade.columns())}
     rows = keyed.withColumns(columns) if columns else keyed
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sitelens.llm.embeddings import near_duplicate_vectors
@@ -26,9 +27,9 @@ def test_url_filter_against_every_rule(spark):
     rng = random.Random(1)
     hosts = ["example.com", "www.example.com", "WWW.Example.com", "a.www.example.com", "net", "x.net", "notexample.com", "com", "example.org", "x.example.com:80", "user@x.net"]
     urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/1', '/es/', '/fr', '/fr/x?en', '#top', '?q=/en/'])}" for _ in range(300)]
-    rows = list(enumerate([*urls, None, "", "no scheme", "http://", "://x.net/es/", "http://é.net/es/"]))
+    rows = [*enumerate([*urls, None, "", "no scheme", "http://", "://x.net/es/", "http://é.net/es/", "http://x.net/es/" + "a/" * 50_000, "http://" + "a." * 300 + "net/fr/"])]
     rules = [*URL_RULES, Rule("block", "org", "/e"), Rule("allow", "example.org", "/en"), Rule("block", "example.org", "/en")]
-    for bits in (10, 1):
+    for bits in (None, 10, 1):
         pages = spark.createDataFrame(rows, "page_id bigint, url string").withColumn("host", F.lit("clash")).withColumn("id", F.lit(1))
         found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter(pages, rules, bits_per_key=bits).collect()}
         assert found == {i: judged(u, rules) for i, u in rows}
@@ -40,13 +41,34 @@ def test_a_cascade_of_few_bits_has_levels_and_stays_exact(spark):
 
     key = lambda n: F.struct(F.concat(F.lit("h"), n.cast("string")).alias("host"), F.lit("/").alias("path")).alias("key")
     universe = spark.range(3000).select(key(F.col("id")))
-    cascade = Cascade(Scratch(spark, "t"), spark.range(200).select(key(F.col("id") * 7)), universe, bits_per_key=2)
+    cascade = Cascade(Scratch(spark, "t"), spark.range(200).select(key(F.col("id") * 7)), universe, 3000, bits_per_key=2)
     assert len(cascade.levels) > 2
     words = {f"w{i}": c for i, c in enumerate(cascade.columns())}
     listed = universe.withColumns(words).filter(cascade.lists(F.col("key"), [F.col(c) for c in words])).select("key.host").collect()
     assert {r.host for r in listed} == {f"h{7 * i}" for i in range(200)}
 
 
+def test_later_levels_follow_the_list_and_not_the_universe(spark, monkeypatch):
+    import sitelens.llm.urls as m
+    from sitelens.plans.durable import Scratch
+
+    sizes = []
+    level = m._level
+    monkeypatch.setattr(m, "_level", lambda keys, n, number, bits: sizes.append((number, n)) or level(keys, n, number, bits))
+    key = lambda n: F.struct(n.cast("string").alias("host"), F.lit("/").alias("path")).alias("key")
+    m.Cascade(Scratch(spark, "t"), spark.range(5).select(key(F.col("id"))), spark.range(200_000).select(key(F.col("id"))), 200_000)
+    assert all(n <= 5 + 15 for _, n in sizes)
+    monkeypatch.setattr(m, "MAX_KEYS", 3)
+    with pytest.raises(ValueError):
+        m.Cascade(Scratch(spark, "t"), spark.range(5).select(key(F.col("id"))), spark.range(100).select(key(F.col("id"))), 100)
+
+
+def test_url_filter_repeated_rows_and_null_ids(spark):
+    pages = spark.createDataFrame([(None, "http://a.net/es/"), (None, None), (4, "http://a.net/es/"), (4, "http://a.net/es/")], "page_id bigint, url string")
+    found = sorted((r.page_id or 0, r.host, r.rule or "", r.verdict) for r in url_filter(pages, URL_RULES).collect())
+    assert found == [(0, "", "", "allow"), (0, "a.net", "net/es/", "block"), (4, "a.net", "net/es/", "block"), (4, "a.net", "net/es/", "block")]
+
+
 def test_url_filter_empty(spark):
     none = spark.createDataFrame([], "page_id bigint, url string")
     assert url_filter(none, URL_RULES).collect() == []
@@ -66,30 +88,69 @@ def vectors():
     return rows
 
 
+def truth(rows):
+    """Links of every vector and its component, by all pairs."""
+    ok = lambda v: v and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    unit = {}
+    for i, v, x in rows:
+        if i is not None and x is not None and ok(v):
+            w = np.array(v) / np.abs(v).max()
+            unit[i] = (x, w / np.linalg.norm(w))
+    links = {i: set() for i, _, _ in rows}
+    component = {i: i for i, _, _ in rows}
+
+    def root(i):
+        while component[i] != i:
+            i = component[i]
+        return i
+
+    for i, (x, a) in unit.items():
+        for j, (y, b) in unit.items():
+            if i < j and x == y and len(a) == len(b) and a @ b >= 0.98:
+                links[i].add(j)
+                links[j].add(i)
+                p, q = root(i), root(j)
+                component[max(p, q)] = min(p, q)
+    return links, {i: root(i) for i in component}
+
+
 def test_vectors_against_all_pairs(spark, monkeypatch):
     import sitelens.llm.embeddings as m
 
     rows = vectors()
+    rows += [(400, [1e200, 1e200, 0.0] * 8, 5), (401, [2e200, 2e200, 0.0] * 8, 5), (402, [1e-200, 1e-200, 0.0] * 8, 5), (403, [1e-320] + [0.0] * 23, 5), (404, [5e-324] + [0.0] * 23, 5)]
+    rows += [(500 + i, (np.array(rows[0][1][:12]) + 0.02 * i).tolist(), 0) for i in range(6)]  # another length
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("id", F.lit(1)).withColumn("n", F.lit(1))
-    links = {i: set() for i, _, _ in rows}
-    ok = lambda v: v and all(x is not None and np.isfinite(x) for x in v) and any(v)
-    for i, a, x in rows:
-        for j, b, y in rows:
-            if i < j and x == y and x is not None and ok(a) and ok(b) and len(a) == len(b):
-                if np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98:
-                    links[i].add(j)
-                    links[j].add(i)
+    links, component = truth(rows)
     total = sum(map(len, links.values()))
-    assert total > 100
+    assert total > 100 and links[400] == {401, 402} and links[403] == {404}
     for block in (1000, 5):
         monkeypatch.setattr(m, "BLOCK", block)
         found = {r.vec_id: r for r in near_duplicate_vectors(df).collect()}
         assert len(found) == len(rows)
         assert all(found[i].n_links <= len(links[i]) for i in links)
-        assert sum(r.n_links for r in found.values()) >= 0.9 * total
-        assert all(found[i].n_links == 0 and found[i].kept for i in range(302, 309))
-        for i, r in found.items():
-            assert r.component_id <= i and r.kept == (r.component_id == i)
+        assert sum(r.n_links for r in found.values()) >= 0.95 * total
+        assert all(found[i].n_links == 0 and found[i].kept for i in range(302, 308))
+        assert sum(found[i].component_id == c for i, c in component.items()) >= 0.97 * len(rows)
+        assert all(r.kept == (r.component_id == i) for i, r in found.items())
+
+
+def test_vectors_on_the_given_table(spark):
+    """Recall of links, and components, against brute force over a whole table."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
+    links, component = truth(rows)
+    found = {r.vec_id: r for r in near_duplicate_vectors(df).collect()}
+    total = sum(map(len, links.values()))
+    assert all(found[i].n_links <= len(links[i]) for i in links)
+    assert sum(r.n_links for r in found.values()) >= 0.98 * total
+    assert sum(found[i].component_id == c for i, c in component.items()) >= 0.99 * len(rows)
+
+
+def test_vectors_repeated_rows_and_null_ids(spark):
+    rows = [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (2, [1.0, 2.0], 0)]
+    found = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in found) == [(0, 0, 0, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
 
 
 def test_vectors_empty(spark):
