@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import utrim
 
@@ -14,8 +18,8 @@ QUESTION_STARTERS = [
 ]
 # Structured data types that name an entity.
 ENTITY_TYPES = ["Organization", "Article", "Product", "Person", "LocalBusiness", "NewsArticle", "BlogPosting"]
-#: Levels of nested arrays and graphs that are opened, as columns; pages nest one or two.
-DEPTH = 4
+#: Levels of strings, arrays and graphs that are opened.
+DEPTH = 16
 
 
 def is_indexable(status: Column, robots_meta: Column, x_robots: Column) -> Column:
@@ -34,42 +38,54 @@ def question_heading(headings: Column) -> Column:
     return F.coalesce(F.exists(headings, lambda h: F.coalesce(asks(h["text"]), F.lit(False))), F.lit(False))
 
 
-def _text_of(block: Column, *path: str) -> Column:
-    return F.get_json_object(block, "$" + "".join(f"['{p}']" for p in path))
-
-
-def json_objects(blocks: Column) -> Column:
-    """JSON objects of structured data blocks: arrays and ``@graph`` opened ``DEPTH`` levels."""
-    opened = F.filter(F.coalesce(blocks, F.array().cast("array<string>")), lambda b: b.isNotNull())
-
-    def inner(block: Column) -> Column:
-        as_list = F.from_json(block, "array<string>")
-        graph = F.from_json(_text_of(block, "@graph"), "array<string>")
-        none = F.array().cast("array<string>")
-        return F.when(F.ltrim(block).startswith("["), F.coalesce(as_list, none)).otherwise(
-            F.concat(F.array(block), F.when(F.ltrim(_text_of(block, "@graph")).startswith("["), F.coalesce(graph, none)).otherwise(none))
-        )
-
-    # A block that holds a graph stays itself; opening it again would repeat its members.
-    done = F.array().cast("array<string>")
-    for _ in range(DEPTH):
-        arrays = F.filter(opened, lambda b: F.ltrim(b).startswith("["))
-        graphs = F.filter(opened, lambda b: F.ltrim(b).startswith("{"))
-        done = F.concat(done, graphs)
-        members = F.flatten(F.transform(graphs, lambda b: F.slice(inner(b), 2, 1_000_000)))
-        opened = F.concat(F.flatten(F.transform(arrays, inner)), members)
-    return done
+STRUCTURED = T.StructType().add("types", T.ArrayType(T.StringType())).add("dated", T.BooleanType()).add("valid", T.BooleanType())
+_DATED = ("author", "datePublished", "dateModified")
+
+
+def _opened(blocks: list[str | None]) -> tuple[list[dict], bool]:
+    """Objects of structured data blocks, with arrays, graphs and JSON inside strings opened; whether all could be read."""
+    found: list[dict] = []
+    valid = True
+    todo = [(b, 1) for b in reversed(blocks)]
+    while todo:
+        value, depth = todo.pop()
+        if depth > DEPTH:
+            valid = False
+        elif isinstance(value, str):
+            try:
+                todo.append((json.loads(value), depth + 1))
+            except (ValueError, RecursionError):
+                valid = False
+        elif isinstance(value, list):
+            todo.extend((x, depth + 1) for x in reversed(value))
+        elif isinstance(value, dict):
+            found.append(value)
+            if "@graph" in value:
+                todo.append((value["@graph"], depth + 1))
+        else:
+            valid = False
+    return found, valid
+
+
+@F.pandas_udf(STRUCTURED)
+def _structured(blocks: pd.Series) -> pd.DataFrame:
+    out = []
+    for own in blocks:
+        found, valid = _opened(list(own))
+        kinds = [o["@type"] for o in found if "@type" in o]
+        types = [t for k in kinds for t in (k if isinstance(k, list) else [k]) if isinstance(t, str)]
+        out.append((types, any(o.get(k) is not None for o in found for k in _DATED), valid))
+    return pd.DataFrame(out, columns=["types", "dated", "valid"])
+
+
+def structured_data(blocks: Column) -> Column:
+    """Struct of all values of ``@type``, whether an object names an author or a date, and whether all blocks could be read."""
+    return _structured(F.coalesce(blocks, F.array().cast("array<string>")))
 
 
 def schema_types(blocks: Column) -> Column:
     """Values of ``@type`` over all objects, one or several each."""
-
-    def own(block: Column) -> Column:
-        kind = _text_of(block, "@type")
-        several = F.from_json(kind, "array<string>")
-        return F.when(F.ltrim(kind).startswith("["), F.coalesce(several, F.array().cast("array<string>"))).when(kind.isNotNull(), F.array(kind)).otherwise(F.array().cast("array<string>"))
-
-    return F.flatten(F.transform(json_objects(blocks), own))
+    return structured_data(blocks)["types"]
 
 
 def is_json(block: Column) -> Column:

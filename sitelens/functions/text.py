@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,7 @@ GENERIC_ANCHORS = [
     "انقر هنا", "اضغط هنا", "اقرأ المزيد", "المزيد", "هنا",
 ]
 
+# What counts as a word, and where sentences end.
 #: Words joined by a zero-width non-joiner or a hyphen count as one.
 WORD = r"[\p{L}\p{N}]+(?:[\x{200C}-][\p{L}\p{N}]+)*"
 
@@ -88,10 +91,10 @@ def shingles(normalized: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two shingle sets, half-even to 4 places; 0 where one is empty."""
+    """Similarity of two shingle sets, half-even to 4 places; 0 where one is empty, 1 where both are."""
     both = F.size(F.array_intersect(a, b))
     share = both.cast("decimal(18,10)") / (F.size(a) + F.size(b) - both)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.bround(share, 4)).cast("decimal(6,4)")
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.bround(share, 4)).cast("decimal(6,4)")
 
 
 def word_list(text: Column) -> Column:
@@ -145,30 +148,49 @@ def readability(text: Column) -> Column:
     return F.when(empty, nothing).otherwise(once(once(once(parts, counts), shares), measured))
 
 
+TERMS = "array<struct<term:string,n:int,hundredths:bigint,size:int,stuffing:boolean>>"
+_STOP = frozenset(STOP_WORDS)
+
+
+def _number(word: str) -> bool:
+    return word.isascii() and word.isdigit() and int(word) < 1 << 31
+
+
+def _terms(words: list[str], limit: int) -> list[tuple[str, int, int, int, bool]]:
+    """The most frequent words and word pairs of one text: term, count, density in hundredths of a percent, words, stuffing."""
+    total = len(words)
+    counts = Counter((w, 1) for w in words if len(w) >= 3 and w not in _STOP and not _number(w))
+    counts.update((f"{a} {b}", 2) for a, b in pairwise(words) if len(a) >= 2 and len(b) >= 2 and not (a in _STOP and b in _STOP))
+    found = []
+    for (term, size), n in counts.items():
+        if n >= 2:
+            part, rest = divmod(n * size * 10_000, total)
+            part += 2 * rest > total or (2 * rest == total and part % 2)  # half to even
+            found.append((term, n, part, size, (part >= 350 and n >= 4) if size == 1 else (part >= 250 and n >= 3)))
+    return heapq.nsmallest(limit, found, key=lambda f: (-f[1], -f[2], f[3], f[0]))
+
+
+def key_terms(text: Column, limit: int = 30) -> Column:
+    """Array of a text's most frequent words and word pairs (``TERMS``), counted where the text lies."""
+
+    @F.pandas_udf(TERMS)
+    def terms(words: pd.Series) -> pd.Series:
+        fields = ("term", "n", "hundredths", "size", "stuffing")
+        return words.map(lambda w: [dict(zip(fields, f, strict=True)) for f in _terms(list(w), limit)] if w is not None else [])
+
+    return terms(F.transform(word_list(text), F.lower))
+
+
+def stuffed(text: Column) -> Column:
+    """Whether any of a text's key terms is repeated too often."""
+    return F.coalesce(F.exists(key_terms(text), lambda t: t["stuffing"]), F.lit(False))
+
+
 def top_terms(pages: DataFrame, id_col: str = "page_id", text_col: str = "text", limit: int = 30) -> DataFrame:
     """The most frequent words and word pairs of each page: term, n, density (%), size, stuffing, rank."""
-    is_stop = lambda w: w.isin(STOP_WORDS)
-
-    def terms_of(words: Column) -> Column:
-        total = F.size(words)
-        singles = F.filter(words, lambda w: (F.length(w) >= 3) & ~is_stop(w) & w.try_cast("int").isNull())
-        most = F.greatest(total - 1, F.lit(0))
-        joined = F.zip_with(F.slice(words, F.lit(1), most), F.slice(words, F.lit(2), most), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        pairs = F.filter(joined, lambda p: (F.length(p["a"]) >= 2) & (F.length(p["b"]) >= 2) & ~(is_stop(p["a"]) & is_stop(p["b"])))
-        return F.concat(
-            F.transform(singles, lambda w: F.struct(w.alias("term"), F.lit(1).alias("size"), total.alias("total"))),
-            F.transform(pairs, lambda p: F.struct(F.concat_ws(" ", p["a"], p["b"]).alias("term"), F.lit(2).alias("size"), total.alias("total"))),
-        )
-
-    words = F.transform(word_list(F.col(text_col)), F.lower)
-    terms = pages.select(F.col(id_col).alias("id"), F.explode(once(words, terms_of)).alias("t")).select("id", "t.*")
-    counts = terms.groupBy("id", "total", "term", "size").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    density = F.bround((F.col("n") * F.col("size")).cast("decimal(18,6)") / F.col("total") * 100, 2).cast("decimal(10,2)")
-    stuffed = F.when(F.col("size") == 1, (F.col("density") >= 3.5) & (F.col("n") >= 4)).otherwise((F.col("density") >= 2.5) & (F.col("n") >= 3))
-    ranked = counts.withColumn("density", density).withColumn("stuffing", stuffed)
-    order = W.partitionBy("id").orderBy(F.desc("n"), F.desc("density"), "size", "term")
-    out = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return out.select(F.col("id").alias(id_col), "term", "n", "density", "size", "stuffing", "rank")
+    rows = pages.select(F.col(id_col), F.posexplode(key_terms(F.col(text_col), limit)).alias("pos", "t"))
+    density = (F.col("t.hundredths").cast("decimal(12,0)") / 100).cast("decimal(10,2)")
+    return rows.select(id_col, "t.term", F.col("t.n").cast("bigint").alias("n"), density.alias("density"), "t.size", "t.stuffing", (F.col("pos") + 1).alias("rank"))
 
 
 def clean_topic(title: Column) -> Column:

@@ -70,12 +70,12 @@ def _escaped(value: Column) -> Column:
     return F.replace(F.replace(F.replace(F.url_encode(value), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def normalize_url(url: Column, idn: bool = False) -> Column:
+def normalize_url(url: Column, idn: bool = True) -> Column:
     """One spelling for equal pages; null unless absolute http(s).
 
     Host in lower case, default port and fragment off, tracking and key-less
     parameters off, repeated pairs once, pairs by key and value, trailing slash
-    off but for the root.  ``idn`` also turns foreign hosts into punycode.
+    off but for the root.  Foreign hosts are turned into punycode unless ``idn`` is false.
     """
     pairs = F.transform(
         F.filter(F.split(query(url), "&"), lambda p: p.contains("=")),

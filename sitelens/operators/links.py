@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, is_generic_anchor, utrim
@@ -40,31 +41,33 @@ def link_graph(pages: DataFrame, links: DataFrame) -> DataFrame:
 def internal_authority(pages: DataFrame, links: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """PageRank with the mass of pages without links spread evenly, scaled to a highest value of 100.
 
-    Lineage is cut by a written table every five rounds.  Each round is one join
-    on the source and one aggregation; the lost mass is one row.
+    Each round is one join on the source and one aggregation, and is written; the
+    lost mass is observed while the round before is written, so no round reads
+    another twice.
     """
     scratch = Scratch(pages.sparkSession, "authority")
     nodes = pages.select("page_id").distinct()
     known = edges(pages, links)
     out = known.groupBy("source_id").agg(F.count(F.lit(1)).alias("out"))
-    weighted = scratch.save(known.join(out, "source_id").withColumn("share", 1 / F.col("out")).select("source_id", "target_id", "share"), "edges")
+    weighted = scratch.save(known.join(out, "source_id").select("source_id", "target_id", (1 / F.col("out")).alias("share")), "edges")
     n = nodes.count()
     if not n:
         return nodes.withColumn("authority", F.lit(0.0))
-    dead = out.select(F.col("source_id").alias("page_id"), F.lit(True).alias("leads"))
-    rank = scratch.save(nodes.join(dead, "page_id", "left").select("page_id", F.lit(1.0 / n).alias("rank"), F.coalesce("leads", F.lit(False)).alias("leads")), "rank-0")
-    for i in range(1, iterations + 1):
-        passed = rank.join(weighted, F.col("page_id") == F.col("source_id")).groupBy("target_id").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = rank.filter("not leads").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        rank = (
-            rank.join(passed, F.col("page_id") == F.col("target_id"), "left").withColumn("lost", lost.scalar())
-            .select("page_id", ((1 - damping) / n + damping * (F.col("lost") / n + F.coalesce("got", F.lit(0.0)))).alias("rank"), "leads")
-        )
-        if i % 5 == 0:
-            rank = scratch.save(rank, f"rank-{i}")
-            scratch.drop(f"rank-{i - 5}")
-    rank = scratch.save(rank, "rank")
-    return rank.withColumn("top", rank.agg(F.max("rank").alias("top")).scalar()).select("page_id", F.bround(F.col("rank") / F.col("top") * 100, 2).alias("authority"))
+    leads = out.select(F.col("source_id").alias("page_id"), F.lit(True).alias("leads"))
+    first = nodes.join(leads, "page_id", "left").select("page_id", F.lit(1.0 / n).alias("rank"), F.coalesce("leads", F.lit(False)).alias("leads"))
+    top = 0.0
+    rank = None
+    for i in range(iterations + 1):
+        if rank is None:
+            now = first
+        else:
+            passed = rank.join(weighted, F.col("page_id") == F.col("source_id")).groupBy(F.col("target_id").alias("page_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            now = rank.join(passed, "page_id", "left").select("page_id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "leads")
+        seen = Observation()
+        rank = scratch.save(now.observe(seen, F.sum(F.when(~F.col("leads"), F.col("rank"))).alias("lost"), F.max("rank").alias("top")), f"rank-{i}")
+        lost, top = seen.get["lost"] or 0.0, seen.get["top"]
+        scratch.drop(f"rank-{i - 1}")
+    return rank.select("page_id", F.bround(F.col("rank") / F.lit(top) * 100, 2).alias("authority"))
 
 
 def top_anchors(pages: DataFrame, links: DataFrame, limit: int = 50) -> DataFrame:
@@ -89,6 +92,13 @@ def _site_issue(page: str, code: str, severity: str, category: str, detail: Colu
     return [F.col(page).alias("page_id"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), detail.cast("string").alias("detail")]
 
 
+def _lowest(rows: DataFrame, by: str, value: str, k: int) -> DataFrame:
+    """The ``k`` lowest distinct values of each group; a group is cut down before and behind its shuffle, so none is gathered whole."""
+    distinct = rows.select(by, value).distinct()
+    ranked = distinct.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(value))).filter(F.col("_k") <= k)
+    return ranked.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("lowest"))
+
+
 def graph_issues(graph: DataFrame) -> DataFrame:
     """ORPHAN_PAGE and DEAD_END_PAGE findings."""
     orphans = graph.filter("is_orphan").select(*_site_issue("page_id", "ORPHAN_PAGE", "High", "InternalLinks", F.col("in_degree")))
@@ -97,7 +107,9 @@ def graph_issues(graph: DataFrame) -> DataFrame:
 
 def generic_anchor_issues(links: DataFrame) -> DataFrame:
     """One finding per source page with generic link texts, with their number and three samples."""
-    found = links.filter(is_generic_anchor(F.col("anchor"))).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("anchor")), 1, 3).alias("samples"))
+    generic = links.filter(is_generic_anchor(F.col("anchor")))
+    counts = generic.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.join(_lowest(generic, "source_id", "anchor", 3), "source_id").withColumnRenamed("lowest", "samples")
     return found.select(*_site_issue("source_id", "GENERIC_ANCHOR_TEXT", "Low", "InternalLinks", F.concat_ws(": ", F.col("n").cast("string"), F.array_join("samples", ", "))))
 
 
@@ -105,8 +117,7 @@ def duplicate_titles(pages: DataFrame) -> DataFrame:
     """A finding for each page whose trimmed title, case aside, another page has; up to three of the others."""
     titled = pages.filter(~blank(F.col("title"))).withColumn("key", F.lower(utrim(F.col("title"))))
     # Four of a group are enough to show three others to any page of it.
-    firsts = F.slice(F.array_sort(F.collect_set("url")), 1, 4)
-    shared = titled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), firsts.alias("urls")).filter("n > 1")
-    rows = titled.join(shared, "key")
+    shared = titled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = titled.join(shared, "key").join(_lowest(titled, "key", "url", 4).withColumnRenamed("lowest", "urls"), "key")
     others = F.slice(F.filter("urls", lambda u: u != F.col("url")), 1, 3)
     return rows.select(*_site_issue("page_id", "DUPLICATE_TITLE_TAG", "High", "OnPage", F.array_join(others, ", ")))

@@ -77,8 +77,13 @@ def _pattern(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\*", ".*"), F.when(end, "$").otherwise(""))
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Whether each URL (host, user_agent, url) may be fetched: the longest matching rule wins, allow wins ties."""
+def robots_allowed(urls: DataFrame, rules: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """Whether each URL (host, user_agent, url) may be fetched: the longest matching rule wins, allow wins ties.
+
+    ``policies`` (host, policy, see ``robots_policy``) overrules the rules: no
+    address of a host that disallows all or cannot be asked now may be fetched,
+    and any address of one without a robots file.
+    """
     best = _best_groups(urls, rules).filter("pattern is not null").select("host", "user_agent", "allow", "pattern").distinct()
     best = best.withColumn("regex", _pattern(F.col("pattern"))).withColumn("len", F.length(F.regexp_replace(F.regexp_replace("pattern", r"\$$", ""), r"\*", "")))
     target = F.concat(path(F.col("url")), F.when(query(F.col("url")) != "", F.concat(F.lit("?"), query(F.col("url")))).otherwise(""))
@@ -86,7 +91,11 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     plain = lambda c: F.coalesce(percent_decoded(c), c)
     hit = F.rlike("_target", F.col("regex")) | F.rlike(plain(F.col("_target")), plain(F.col("regex")))
     decided = rows.join(best, ["host", "user_agent"]).filter(hit).groupBy("host", "user_agent", "url").agg(F.max_by("allow", F.struct("len", "allow")).alias("allow"))
-    return urls.join(decided, ["host", "user_agent", "url"], "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+    judged = urls.join(decided, ["host", "user_agent", "url"], "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+    if policies is None:
+        return judged
+    by_policy = F.when(F.col("policy").isin("disallow_all", "unavailable"), F.lit(False)).when(F.col("policy") == "allow_all", F.lit(True))
+    return judged.join(policies.select("host", "policy"), "host", "left").withColumn("allowed", F.coalesce(by_policy, "allowed")).drop("policy")
 
 
 def crawl_delay(asked: DataFrame, rules: DataFrame) -> DataFrame:
@@ -95,12 +104,16 @@ def crawl_delay(asked: DataFrame, rules: DataFrame) -> DataFrame:
     return asked.select("host", "user_agent").distinct().join(found, ["host", "user_agent"], "left")
 
 
-def discover_urls(links: DataFrame, known: DataFrame, max_depth: int = 8, subdomains: bool = False) -> DataFrame:
-    """New URLs (crawl_id, target_url, depth, project_host): admitted, normalised, not known; the smallest depth stays."""
+def admitted_urls(links: DataFrame, max_depth: int = 8, subdomains: bool = False) -> DataFrame:
+    """Links (crawl_id, target_url, depth, project_host) that a crawl may follow: crawl_id, normalized_url, depth of the target."""
     target = F.col("target_url")
     domain, wanted = host(target), F.lower("project_host")
     fits = host_matches(domain, wanted) if subdomains else domain == wanted
     admitted = links.filter(is_http(target) & ~has_user_info(target) & fits & ~is_wildcard_query(target) & (F.col("depth") + 1 <= max_depth))
-    found = admitted.select("crawl_id", normalize_url(target).alias("normalized_url"), (F.col("depth") + 1).alias("depth")).filter("normalized_url is not null")
-    first = found.groupBy("crawl_id", "normalized_url").agg(F.min("depth").alias("depth"))
+    return admitted.select("crawl_id", normalize_url(target).alias("normalized_url"), (F.col("depth") + 1).alias("depth")).filter("normalized_url is not null")
+
+
+def discover_urls(links: DataFrame, known: DataFrame, max_depth: int = 8, subdomains: bool = False) -> DataFrame:
+    """New URLs of admitted links: normalised, not known; the smallest depth stays."""
+    first = admitted_urls(links, max_depth, subdomains).groupBy("crawl_id", "normalized_url").agg(F.min("depth").alias("depth"))
     return first.join(known.select("crawl_id", "normalized_url").distinct(), ["crawl_id", "normalized_url"], "left_anti")

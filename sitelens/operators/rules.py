@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.evidence import is_json
-from ..functions.text import blank, readability, top_terms, utrim
+from ..functions.text import blank, readability, stuffed, utrim
 from ..functions.urls import host, is_http, path, port, query, scheme
 
 SEVERITIES = ["Notice", "Low", "Medium", "High", "Critical"]
@@ -33,6 +33,7 @@ class Rule:
     actual: Callable[[], Column]
     expected: str
     transport: bool = False  # evaluated on pages without a snapshot too
+    reads_text: bool = False  # uses _stuffing or _read, which are computed only if a rule asks
 
 
 def _c(name: str) -> Callable[[], Column]:
@@ -110,7 +111,7 @@ def page_rules(low_words: int = 250, slow_ms: int = 1500, max_blocking: int = 3,
     noindex = lambda name: lambda: F.coalesce(F.lower(F.col(name)).contains("noindex"), F.lit(False))
     levels = lambda: F.col("headings.level")
     skips = lambda: F.exists(
-        F.zip_with(levels(), F.slice(levels(), 2, 10_000), lambda a, b: F.coalesce(b - a > 1, F.lit(False))), lambda x: x
+        F.zip_with(levels(), F.slice(levels(), F.lit(2), F.greatest(F.size(levels()), F.lit(1))), lambda a, b: F.coalesce(b - a > 1, F.lit(False))), lambda x: x
     )
     return [
         Rule("TITLE_MISSING", "OnPage", "High", lambda: blank(F.col("title")), "title", _c("title"), "A title"),
@@ -146,8 +147,8 @@ def page_rules(low_words: int = 250, slow_ms: int = 1500, max_blocking: int = 3,
         Rule("RENDER_BLOCKING_RESOURCES", "Performance", "Medium", lambda: blocking() > max_blocking, "renderBlockingScripts", blocking, f"{max_blocking} or fewer"),
         Rule("IMAGE_DIMENSIONS_MISSING", "Performance", "Low", lambda: sizeless() > 0, "imagesWithoutDimensions", sizeless, "0"),
         Rule("DEEP_CLICK_DEPTH", "Technical", "Medium", lambda: F.col("depth") > 3, "depth", _c("depth"), "3 clicks or fewer", True),
-        Rule("KEYWORD_STUFFING", "Content", "High", lambda: enough_text() & F.col("_stuffing"), "keywordDensity", _c("_stuffing"), "Below 3.5 %"),
-        Rule("CONTENT_LONG_SENTENCES", "Content", "Low", lambda: enough_text() & (F.col("_read.sentences") >= 4) & (F.col("_read.long_share") > 30), "longSentences", _c("_read.long_share"), "30 % or fewer"),
+        Rule("KEYWORD_STUFFING", "Content", "High", lambda: enough_text() & F.col("_stuffing"), "keywordDensity", _c("_stuffing"), "Below 3.5 %", False, True),
+        Rule("CONTENT_LONG_SENTENCES", "Content", "Low", lambda: enough_text() & (F.col("_read.sentences") >= 4) & (F.col("_read.long_share") > 30), "longSentences", _c("_read.long_share"), "30 % or fewer", False, True),
         Rule("THIN_CONTENT", "Content", "Medium", lambda: F.col("is_indexable") & ok() & F.col("word_count").between(1, 149), "wordCount", _c("word_count"), "150 words or more"),
     ]
 
@@ -159,8 +160,9 @@ def evaluate_rules(pages: DataFrame, rules: list[Rule] | None = None) -> DataFra
     without a snapshot (``has_snapshot`` false) only gets the transport rules.
     """
     rules = page_rules() if rules is None else rules
-    stuffed = top_terms(pages).groupBy("page_id").agg(F.bool_or("stuffing").alias("_stuffing"))
-    rows = pages.join(stuffed, "page_id", "left").withColumn("_stuffing", F.coalesce("_stuffing", F.lit(False))).withColumn("_read", readability(F.col("text")))
+    rows = pages
+    if any(r.reads_text for r in rules):
+        rows = rows.withColumns({"_stuffing": stuffed(F.col("text")), "_read": readability(F.col("text"))})
     results = [
         F.struct(
             F.lit(r.code).alias("code"),

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.rules import severity_rank
 
-# Plan limits (plan, projects, pages a month, keywords, competitors, members, days kept).
+# Plan limits (plan, projects, pages a month, keywords, competitors, members, days kept, AI credits a month).
 PLANS = [
-    ("free", 1, 100, 10, 1, 1, 7),
-    ("starter", 3, 1_000, 25, 3, 3, 30),
-    ("pro", 10, 10_000, 150, 10, 10, 90),
-    ("enterprise", 50, 100_000, 1_000, 50, 50, 365),
+    ("free", 1, 100, 10, 1, 1, 7, 5),
+    ("starter", 3, 1_000, 25, 3, 3, 30, 25),
+    ("pro", 10, 10_000, 150, 10, 10, 90, 100),
+    ("enterprise", 50, 100_000, 1_000, 50, 50, 365, 500),
 ]
 
 
 def plans(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PLANS, "plan string, max_projects int, max_pages int, max_keywords int, max_competitors int, max_members int, retention_days int")
+    return spark.createDataFrame(PLANS, "plan string, max_projects int, max_pages int, max_keywords int, max_competitors int, max_members int, retention_days int, max_ai_credits int")
 
 
 def billing_owner(users: DataFrame, projects: DataFrame, members: DataFrame) -> DataFrame:
@@ -69,7 +72,7 @@ def alert_check(rules: DataFrame, scores: DataFrame, crawls: DataFrame, issues:
     last = crawls.withColumn("k", F.row_number().over(back)).filter("k = 1").select("project_id", F.col("crawl_id").alias("last_crawl"), F.col("status").alias("crawl_status"))
     seen = issues.filter(F.col("status") == "Open").join(last, (issues.project_id == last.project_id) & (F.col("crawl_id") == F.col("last_crawl"))).groupBy(issues.project_id.alias("project_id")).agg(
         F.count_if(F.col("severity") == "Critical").alias("critical"),
-        F.count_if(F.col("code").isin("KEYWORD_CANNIBALIZATION", "CANNIBALIZATION_DETECTED")).alias("clashes"),
+        F.count_if(F.col("code").isin("DUPLICATE_TITLE_TAG", "KEYWORD_CANNIBALIZATION")).alias("clashes"),
         F.count_if(F.col("code").isin("THIN_CONTENT", "LOW_WORD_COUNT")).alias("thin"),
         F.count_if(F.col("code") == "ORPHAN_PAGE").alias("orphans"),
     )
@@ -78,25 +81,49 @@ def alert_check(rules: DataFrame, scores: DataFrame, crawls: DataFrame, issues:
     fires = (
         F.when(kind == "SCORE_DROP", F.col("overall") < F.col("previous") - limit).when(kind == "CRITICAL_ISSUE", F.col("critical") > 0)
         .when(kind == "CRAWL_FAILURE", F.col("crawl_status") == "Failed").when(kind == "CANNIBALIZATION_DETECTED", F.col("clashes") > 0)
-        .when(kind == "THIN_CONTENT_SPIKE", F.col("thin") >= limit).when(kind == "ORPHAN_PAGES_DETECTED", F.col("orphans") >= limit)
+        .when(kind == "THIN_CONTENT_SPIKE", F.col("last_crawl").isNotNull() & (F.col("thin") >= limit)).when(kind == "ORPHAN_PAGES_DETECTED", F.col("last_crawl").isNotNull() & (F.col("orphans") >= limit))
     )
-    return rows.filter(F.coalesce(fires, F.lit(False))).select("rule_id", "project_id", "type")
+    payload = F.to_json(F.struct(kind.alias("rule"), F.col("overall").alias("score"), F.col("previous").alias("previousScore"), F.col("last_crawl").alias("crawlId")), {"ignoreNullFields": "false"})
+    return rows.filter(F.coalesce(fires, F.lit(False))).select("rule_id", "project_id", "type", payload.alias("payload"))
 
 
 def alert_cooldown(candidates: DataFrame, events: DataFrame, hours: int = 24) -> DataFrame:
-    """Candidates (rule_id, detected_at) without an event of the same rule in the hours before; the earliest of a batch per rule."""
-    near = (F.col("c.rule_id") == F.col("e.rule_id")) & (F.col("e.detected_at") > F.col("c.detected_at") - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("e.detected_at") <= F.col("c.detected_at"))
-    free = candidates.alias("c").join(events.alias("e"), near, "left_anti")
-    order = W.partitionBy("rule_id").orderBy("detected_at", "event_id")
-    return free.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
+    """Candidates (rule_id, detected_at, event_id) that become events: none of their rule in the ``hours`` before.
+
+    Stored events count, and so do the candidates that go through: each rule's
+    are taken in order of time, and the next one is the first more than
+    ``hours`` after the last.
+    """
+    near = (F.col("c.rule_id") == F.col("e.rule_id")) & (F.col("e.detected_at") >= F.col("c.detected_at") - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("e.detected_at") <= F.col("c.detected_at"))
+    free = candidates.alias("c").join(events.alias("e"), near, "left_anti").select("rule_id", "event_id", "detected_at")
+    ordered = free.repartition("rule_id").sortWithinPartitions("rule_id", "detected_at", "event_id")
+    gap = pd.Timedelta(hours=hours)
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A rule may go on in the next batch: its last event is all that is carried over.
+        rule, last = None, None
+        for batch in batches:
+            keep = []
+            for own, rows in batch.groupby("rule_id", sort=False):
+                if own != rule:
+                    rule, last = own, None
+                times = rows["detected_at"]
+                at = 0 if last is None else int(times.searchsorted(last + gap, side="right"))
+                while at < len(rows):
+                    keep.append(rows.index[at])
+                    last = times.iloc[at]
+                    at = int(times.searchsorted(last + gap, side="right"))
+            yield batch.loc[keep]
+
+    return ordered.mapInPandas(taken, ordered.schema)
 
 
 def alert_events(events: DataFrame, rules: DataFrame, top: int = 100) -> tuple[DataFrame, DataFrame]:
-    """The newest events of each project, and a delivery row for each event of a webhook or e-mail rule."""
+    """The newest events of each project, and a delivery row with the event's payload for each event of a webhook or e-mail rule."""
     order = W.partitionBy("project_id").orderBy(F.desc("detected_at"), F.desc("event_id"))
     newest = events.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    sent = events.join(rules.filter(F.col("channel").isin("Webhook", "Email")).select("rule_id", "channel", "destination"), "rule_id")
-    return newest, sent.select("event_id", "project_id", "channel", "destination", F.lit("Pending").alias("status"))
+    sent = events.join(rules.filter(F.col("channel").isin("webhook", "email")).select("rule_id", "channel", "destination"), "rule_id")
+    return newest, sent.select("event_id", "project_id", "channel", "destination", "payload", F.lit("Pending").alias("status"))
 
 
 def worst_first(issues: DataFrame) -> list[Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, readability, top_terms
+from ..functions.text import readability, stuffed
 from .accounts import worst_first
 
 
@@ -91,9 +91,8 @@ def assets(pages: DataFrame, kind: str | None = None, mixed_only: bool = False)
 
 def content_analysis(pages: DataFrame) -> DataFrame:
     """Readability and stuffing of each page."""
-    stuffed = top_terms(pages).groupBy("page_id").agg(F.bool_or("stuffing").alias("stuffing"))
-    rows = pages.select("crawl_id", "page_id", readability(F.col("text")).alias("r")).join(stuffed, "page_id", "left")
-    return rows.select("crawl_id", "page_id", "r.*", F.coalesce("stuffing", F.lit(False)).alias("stuffing"), (F.col("r.words") < 150).alias("thin"))
+    rows = pages.select("crawl_id", "page_id", readability(F.col("text")).alias("r"), stuffed(F.col("text")).alias("stuffing"))
+    return rows.select("crawl_id", "page_id", "r.*", "stuffing", (F.col("r.words") < 150).alias("thin"))
 
 
 def content_summary(analysis: DataFrame) -> DataFrame:

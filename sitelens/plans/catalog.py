@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,32 +19,13 @@ from ..sources.tables import read_table
 from ..streaming import streams
 from . import accounts, audit, competitors, keywords, snapshots, visibility
 from .expected import rule_ctes
+from .registry import ORACLES, QUERIES, plain, query
 from .views import ctes, rule_pages, view
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def _plain(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, so that results compare by value."""
-    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
-
-
 # Sites: rules, scores, recommendations
 
 
-@_query("site_rules", f"WITH {rule_ctes()} SELECT crawl_id, page_id, code, triggered, severity, category FROM results")
+@query("site_rules", f"WITH {rule_ctes()} SELECT crawl_id, page_id, code, triggered, severity, category FROM results")
 def site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate_rules(rule_pages(spark, sf_dir)).drop("evidence")
 
@@ -62,7 +41,7 @@ _PER_CODE = """codes AS (
 )"""
 
 
-@_query(
+@query(
     "site_scores",
     f"""WITH {rule_ctes()}, {_PER_CODE}
 SELECT crawl_id, CAST(round(CAST(sum(CAST(s AS DECIMAL(5,1)) * CAST(weight AS DECIMAL(3,2))) / sum(CAST(weight AS DECIMAL(3,2))) AS DECIMAL(18,8)), 1) AS DOUBLE) AS overall,
@@ -72,10 +51,10 @@ FROM cats JOIN w USING (category) GROUP BY crawl_id""",
 )
 def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scores(evaluate_rules(rule_pages(spark, sf_dir)))
-    return _plain(found.select("crawl_id", "overall", "technical", "on_page", "content", "security", "is_partial"))
+    return plain(found.select("crawl_id", "overall", "technical", "on_page", "content", "security", "is_partial"))
 
 
-@_query(
+@query(
     "site_recommendations",
     f"""WITH {rule_ctes()}
 SELECT crawl_id, page_id, code, severity, CASE severity WHEN 'High' THEN 82 WHEN 'Medium' THEN 65 WHEN 'Low' THEN 40 ELSE 20 END AS priority,
@@ -84,10 +63,10 @@ FROM results WHERE triggered""",
 )
 def site_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recommendations(issues(evaluate_rules(rule_pages(spark, sf_dir))))
-    return _plain(found.select("crawl_id", "page_id", "code", "severity", "priority", "impact", "effort", "confidence"))
+    return plain(found.select("crawl_id", "page_id", "code", "severity", "priority", "impact", "effort", "confidence"))
 
 
-@_query(
+@query(
     "site_dashboard",
     f"""WITH {rule_ctes()}, i AS (SELECT * FROM results WHERE triggered), r AS (
   SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY CASE severity WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 1 END DESC, code, page_id) AS k FROM i
@@ -101,7 +80,7 @@ def site_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("crawl_id", "open_issues", "urgent", F.array_join("top_codes", ",").alias("top_codes"))
 
 
-@_query(
+@query(
     "site_issue_list",
     f"""WITH {rule_ctes()}
 SELECT r.crawl_id, r.page_id, r.code, v.url, row_number() OVER (PARTITION BY r.crawl_id ORDER BY CASE severity WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 1 END DESC, code, r.page_id) AS rank
@@ -112,7 +91,7 @@ def site_issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.issue_list(issues(evaluate_rules(pages)), pages).select("crawl_id", "page_id", "code", "url", F.col("rank").cast("bigint").alias("rank"))
 
 
-@_query(
+@query(
     "page_browser",
     f"""WITH {ctes("v_page")}, n AS (SELECT crawl_id, page_id, url, row_number() OVER (PARTITION BY crawl_id ORDER BY url, page_id) AS n, count(*) OVER (PARTITION BY crawl_id) AS total FROM v_page)
 SELECT * FROM n WHERE n BETWEEN 21 AND 40""",
@@ -121,12 +100,12 @@ def page_browser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.page_browser(view(spark, sf_dir, "v_page"), 2, 20).select("crawl_id", "page_id", "url", F.col("n").cast("bigint").alias("n"), "total")
 
 
-@_query("page_redirects", f"WITH {ctes('v_page')} SELECT page_id, url, hops FROM v_page WHERE hops > 0")
+@query("page_redirects", f"WITH {ctes('v_page')} SELECT page_id, url, hops FROM v_page WHERE hops > 0")
 def page_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.redirects(rule_pages(spark, sf_dir).drop("hops")).select("page_id", "url", F.col("hops").cast("bigint").alias("hops"))
 
 
-@_query(
+@query(
     "page_duplicate_titles",
     f"""WITH {ctes("v_page")}, t AS (SELECT page_id, url, lower(trim(title)) AS k FROM v_page WHERE trim(title) <> '')
 SELECT a.page_id, 'DUPLICATE_TITLE_TAG' AS code FROM t a WHERE (SELECT count(*) FROM t b WHERE b.k = a.k) > 1""",
@@ -135,7 +114,7 @@ def page_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_titles(view(spark, sf_dir, "v_page")).select("page_id", "code")
 
 
-@_query(
+@query(
     "page_site_metrics",
     f"""WITH {ctes("v_page")} SELECT crawl_id, count(*) AS pages, avg(word_count) AS mean_words, avg(response_ms) AS mean_ms,
   avg(CAST(status = 200 AND page_id % 10 <> 4 AND page_id % 13 <> 5 AS INT)) AS indexable, avg(CAST(trim(title) <> '' AS INT)) AS with_title, avg(CAST(coalesce(meta_description, '') <> '' AS INT)) AS with_description FROM v_page GROUP BY crawl_id""",
@@ -145,18 +124,18 @@ def page_site_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return competitors.site_metrics(pages, "crawl_id").drop("internal_links")
 
 
-@_query("page_extraction")
+@query("page_extraction")
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_pages(read_table(spark, sf_dir, "pages"))
     return found.select("page_id", "title", "h1", "language", "word_count", F.size("headings").alias("headings"), F.size("links").alias("links"), F.size("assets").alias("assets"))
 
 
-@_query("page_links")
+@query("page_links")
 def extracted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_links(extract_pages(read_table(spark, sf_dir, "pages"))).select("source_id", "normalized_target", "anchor", "is_internal", "is_nofollow")
 
 
-@_query("page_discovery")
+@query("page_discovery")
 def page_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = page_links(extract_pages(read_table(spark, sf_dir, "pages")))
     found = links.select((F.col("source_id") % 4).alias("crawl_id"), "target_url", F.lit(0).alias("depth"), F.regexp_extract("target_url", "://([^/?#:]+)", 1).alias("project_host"))
@@ -164,7 +143,7 @@ def page_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover_urls(found, known)
 
 
-@_query(
+@query(
     "page_normalized_urls",
     """WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), q AS (
   SELECT page_id, regexp_replace(u, '[?].*$', '') AS base, CASE WHEN contains(u, '?') THEN regexp_replace(u, '^[^?]*[?]', '') ELSE '' END AS qs FROM p
@@ -177,18 +156,18 @@ def page_normalized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", normalize_url(F.col("url")).alias("normalized_url"))
 
 
-@_query("site_visibility")
+@query("site_visibility")
 def site_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = extract_pages(read_table(spark, sf_dir, "pages")).withColumn("crawl_id", F.col("page_id") % 4)
     signals = visibility.ai_page_signals(evidence)
     known = signals.select("crawl_id", F.lit("70.0").cast("decimal(5,1)").alias("crawlability"))
-    return _plain(visibility.ai_scores(signals, known))
+    return plain(visibility.ai_scores(signals, known))
 
 
 # Documents: readability, key terms, duplicates
 
 
-@_query(
+@query(
     "text_readability",
     r"""WITH s AS (
   SELECT doc_id, text, len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[\x{200C}-][\p{L}\p{N}]+)*')) AS words,
@@ -203,18 +182,18 @@ def text_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"r.{c}").cast("bigint").alias(c) for c in ("words", "sentences", "long_sentences")])
 
 
-@_query("text_key_terms")
+@query("text_key_terms")
 def text_key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(top_terms(read_table(spark, sf_dir, "documents"), "doc_id"))
+    return plain(top_terms(read_table(spark, sf_dir, "documents"), "doc_id"))
 
 
-@_query("text_content_summary")
+@query("text_content_summary")
 def text_content_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("crawl_id"), "text")
-    return _plain(audit.content_summary(audit.content_analysis(pages)))
+    return plain(audit.content_summary(audit.content_analysis(pages)))
 
 
-@_query("text_duplicate_clusters")
+@query("text_duplicate_clusters")
 def text_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = duplicate_clusters(read_table(spark, sf_dir, "documents"))
     return found.select("cluster", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.col("similarity").cast("double").alias("similarity"), "exact")
@@ -236,12 +215,12 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return view(spark, sf_dir, "v_node"), view(spark, sf_dir, "v_link")
 
 
-@_query("link_degrees", f"WITH {_GRAPH} SELECT * FROM f")
+@query("link_degrees", f"WITH {_GRAPH} SELECT * FROM f")
 def link_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_graph(*_graph(spark, sf_dir))
 
 
-@_query(
+@query(
     "link_findings",
     f"""WITH {_GRAPH} SELECT page_id, 'ORPHAN_PAGE' AS code, 'High' AS severity FROM f WHERE is_orphan UNION ALL SELECT page_id, 'DEAD_END_PAGE', 'Medium' FROM f WHERE is_dead_end""",
 )
@@ -249,7 +228,7 @@ def link_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_issues(link_graph(*_graph(spark, sf_dir))).select("page_id", "code", "severity")
 
 
-@_query(
+@query(
     "link_totals",
     f"""WITH {_GRAPH} SELECT (SELECT count(*) FROM v_link WHERE source_id IN (SELECT page_id FROM v_node) AND target_id IN (SELECT page_id FROM v_node)) AS total_links,
   count(*) FILTER (is_orphan) AS orphan_pages, count(*) FILTER (is_dead_end) AS dead_end_pages, count(*) FILTER (is_weak) AS weak_pages FROM f""",
@@ -258,7 +237,7 @@ def link_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_summary(*_graph(spark, sf_dir))
 
 
-@_query(
+@query(
     "link_anchors",
     f"""WITH {ctes("v_link", "v_node")}, v AS (SELECT trim(anchor) AS a FROM v_link WHERE source_id IN (SELECT page_id FROM v_node) AND target_id IN (SELECT page_id FROM v_node) AND trim(anchor) <> '')
 SELECT min(a) AS anchor, count(*) AS n, lower(min(a)) IN ('here', 'read more') AS is_generic FROM v GROUP BY lower(a) ORDER BY n DESC, lower(min(a)) LIMIT 50""",
@@ -267,7 +246,7 @@ def link_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_anchors(*_graph(spark, sf_dir))
 
 
-@_query(
+@query(
     "link_generic_anchors",
     f"""WITH {ctes("v_link")} SELECT source_id AS page_id, 'GENERIC_ANCHOR_TEXT' AS code, count(*) AS n FROM v_link WHERE lower(trim(anchor)) IN ('here', 'read more') GROUP BY source_id""",
 )
@@ -290,7 +269,7 @@ r0 AS MATERIALIZED (SELECT page_id, 1 / n.c AS r FROM v_node, n), {", ".join(s.r
 SELECT page_id, round_even(r / (SELECT max(r) FROM r{rounds}) * 100, 2) AS authority FROM r{rounds}"""
 
 
-@_query("link_authority", _authority_sql())
+@query("link_authority", _authority_sql())
 def link_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return internal_authority(*_graph(spark, sf_dir))
 
@@ -304,16 +283,16 @@ def _keywords(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return view(spark, sf_dir, "v_keyword"), view(spark, sf_dir, "v_metric")
 
 
-@_query(
+@query(
     "keyword_history",
     f"""WITH {ctes("v_metric")}, d AS (SELECT project_id, keyword_id, date, round_even(CAST({_WEIGHTED} AS DOUBLE), 2) AS position, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks FROM v_metric GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, keyword_id ORDER BY date DESC) AS back FROM d) WHERE back <= 14""",
 )
 def keyword_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(keywords.keyword_history(view(spark, sf_dir, "v_metric")).withColumn("back", F.col("back").cast("bigint")))
+    return plain(keywords.keyword_history(view(spark, sf_dir, "v_metric")).withColumn("back", F.col("back").cast("bigint")))
 
 
-@_query(
+@query(
     "keyword_opportunities",
     f"""WITH {ctes("v_metric", "v_keyword")}, g AS (
   SELECT project_id, keyword_id, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(position * impressions) AS DOUBLE) / greatest(1, sum(impressions)) AS average, arg_min(page_url, (-clicks, page_url)) AS best_page
@@ -349,17 +328,17 @@ _CLASHES = f"""pg AS (
 )"""
 
 
-@_query("keyword_overview", f"WITH {_OVERVIEW} SELECT * FROM overview")
+@query("keyword_overview", f"WITH {_OVERVIEW} SELECT * FROM overview")
 def keyword_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(keywords.keyword_overview(*_keywords(spark, sf_dir)).drop("ctr", "position"))
+    return plain(keywords.keyword_overview(*_keywords(spark, sf_dir)).drop("ctr", "position"))
 
 
-@_query("keyword_cannibalization", f"WITH {ctes('v_metric', 'v_keyword')}, {_CLASHES} SELECT * FROM clashes")
+@query("keyword_cannibalization", f"WITH {ctes('v_metric', 'v_keyword')}, {_CLASHES} SELECT * FROM clashes")
 def keyword_cannibalization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(keywords.keyword_cannibalization(*_keywords(spark, sf_dir)).select("project_id", "keyword_id", "phrase", "severity", "n_pages", "total"))
+    return plain(keywords.keyword_cannibalization(*_keywords(spark, sf_dir)).select("project_id", "keyword_id", "phrase", "severity", "n_pages", "total"))
 
 
-@_query(
+@query(
     "keyword_summary",
     f"""WITH {_OVERVIEW}, {_CLASHES}
 SELECT project_id, count(*) FILTER (is_tracked) AS tracked, count(*) FILTER (current_position <= 3) AS top_3, count(*) FILTER (current_position <= 10) AS top_10, count(*) FILTER (current_position <= 20) AS top_20,
@@ -377,7 +356,7 @@ def _rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_rival")
 
 
-@_query(
+@query(
     "competitor_comparison",
     f"""WITH {ctes("v_rival")}, l AS (SELECT competitor_id, max(created_at) AS newest FROM v_rival GROUP BY ALL)
 SELECT competitor_id, count(*) AS pages, avg(word_count) AS mean_words, avg(response_ms) AS mean_ms, avg(CAST(is_indexable AS INT)) AS indexable, avg(CAST(trim(title) <> '' AS INT)) AS with_title, CAST(sum(internal_links) AS BIGINT) AS internal_links
@@ -390,7 +369,7 @@ def competitor_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return competitors.compare_competitors(sites, crawls, pages).select("competitor_id", "pages", "mean_words", "mean_ms", "indexable", "with_title", "internal_links")
 
 
-@_query(
+@query(
     "competitor_digest",
     f"""WITH {ctes("v_rival")} SELECT crawl_id, count(*) AS pages, count(*) FILTER (status >= 400) AS errors, avg(word_count) AS mean_words, count(*) FILTER (is_indexable) AS indexable, count(*) FILTER (trim(title) <> '') AS with_title FROM v_rival GROUP BY crawl_id""",
 )
@@ -398,7 +377,7 @@ def competitor_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return competitors.competitor_snapshot(_rivals(spark, sf_dir)).select("crawl_id", "pages", "errors", "mean_words", "indexable", "with_title")
 
 
-@_query(
+@query(
     "competitor_topic_gaps",
     f"""WITH {ctes("v_rival")}, t AS (SELECT competitor_id, url, word_count, created_at, lower(trim(string_split(title, '|')[1])) AS topic FROM v_rival WHERE trim(title) <> ''),
 own AS (SELECT lower(trim(string_split(title, '|')[1])) AS topic, max(word_count) AS words FROM v_rival WHERE trim(title) <> '' AND created_at = 0 AND CAST(substr(url, 4) AS BIGINT) % 7 = 0 GROUP BY 1),
@@ -415,7 +394,7 @@ def competitor_topic_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Search results and backlinks
 
 
-@_query(
+@query(
     "serp_comparison",
     f"""WITH {ctes("v_serp")}, a AS (SELECT keyword_id, regexp_replace(substr(url, 9), '/+$', '') AS key, old_rank FROM v_serp WHERE in_old), b AS (SELECT keyword_id, regexp_replace(substr(url, 9), '/+$', '') AS key, new_rank FROM v_serp WHERE in_new)
 SELECT keyword_id, key, old_rank AS old_position, new_rank AS new_position, old_rank - new_rank AS delta,
@@ -428,7 +407,7 @@ def serp_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.serp_compare(old, v.filter("in_new").select("keyword_id", "url", F.col("new_rank").alias("position")), "keyword_id")
 
 
-@_query(
+@query(
     "serp_own_position",
     f"""WITH {ctes("v_serp")} SELECT keyword_id AS snapshot_id, min(CASE WHEN url LIKE '%-000000001%' THEN old_rank END) AS own_position FROM v_serp GROUP BY keyword_id""",
 )
@@ -440,7 +419,7 @@ def serp_own_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINKS = "concat('http://s', CAST(l_suppkey AS STRING), '.example/') AS source_url, concat('/P', CAST(l_partkey % 50 AS STRING)) AS target_url"
 
 
-@_query(
+@query(
     "backlink_changes",
     f"""WITH a AS (SELECT DISTINCT lower(source_url || '|' || target_url) AS key FROM (SELECT {_LINKS} FROM lineitem WHERE l_shipdate < '1997-06-01')), b AS (SELECT DISTINCT lower(source_url || '|' || target_url) AS key FROM (SELECT {_LINKS} FROM lineitem WHERE l_shipdate >= '1997-06-01'))
 SELECT key, 'added' AS change FROM b ANTI JOIN a USING (key) UNION ALL SELECT key, 'removed' FROM a ANTI JOIN b USING (key)""",
@@ -457,7 +436,7 @@ def backlink_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Accounts
 
 
-@_query(
+@query(
     "account_usage",
     f"""WITH {ctes("v_usage")}, p AS (SELECT DISTINCT c_nationkey AS owner_id, c_custkey AS project_id FROM customer WHERE c_custkey % 10 <> 3)
 SELECT owner_id, count(*) AS projects, coalesce((SELECT count(*) FROM v_usage v WHERE v.owner_id = p.owner_id AND project_status <> 'Archived' AND started_at >= '1997-05-01' AND started_at < '1997-06-01'), 0) AS pages FROM p GROUP BY owner_id""",
@@ -472,7 +451,7 @@ def account_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("owner_id", "projects", "pages")
 
 
-@_query(
+@query(
     "account_alert_cooldown",
     """WITH c AS (SELECT event_id, user_id AS rule_id, ts FROM events WHERE event_type = 'error' AND event_id % 2 = 0), e AS (SELECT user_id AS rule_id, ts FROM events WHERE event_type = 'error' AND event_id % 2 = 1 AND ts < '2024-01-10'),
 f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.rule_id = c.rule_id AND e.ts > c.ts - INTERVAL 24 HOUR AND e.ts <= c.ts))
@@ -492,9 +471,9 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-@_query(
+@query(
     "stream_usage",
-    "SELECT user_id AS owner_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS pages FROM events WHERE event_type = 'view' GROUP BY ALL",
+    "SELECT user_id AS owner_id, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, count(*) AS pages FROM events WHERE event_type = 'view' GROUP BY ALL",
 )
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("user_id").alias("owner_id"), F.col("ts").cast("timestamp").alias("ts"))
@@ -506,11 +485,11 @@ def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     running = streams.stream_counts(events)
     query = running.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", fresh_path(spark, "stream-usage-state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    # A day's count only grows; its last update is the largest.
-    return spark.read.schema(running.schema).parquet(f"{out}/epoch=*").groupBy("owner_id", "day").agg(F.max("pages").alias("pages"))
+    # A month's count only grows; its last update is the largest.
+    return spark.read.schema(running.schema).parquet(f"{out}/epoch=*").groupBy("owner_id", "month").agg(F.max("pages").alias("pages"))
 
 
-@_query("stream_new_metrics", "SELECT DISTINCT l_partkey % 500 AS keyword_id, CAST(l_shipdate AS DATE) AS date, l_suppkey % 4 AS page FROM lineitem")
+@query("stream_new_metrics", "SELECT DISTINCT l_partkey % 500 AS keyword_id, CAST(l_shipdate AS DATE) AS date, l_suppkey % 4 AS page FROM lineitem")
 def stream_new_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("keyword_id"), F.col("l_shipdate").cast("date").alias("date"), (F.col("l_suppkey") % 4).alias("page"))
     out = fresh_path(spark, "stream-metrics")
@@ -521,13 +500,13 @@ def stream_new_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Newest rows, retention, limits, ingestion
 
 
-@_query("crawl_latest", "SELECT project_id, crawl_id, rank FROM (SELECT o_custkey AS project_id, o_orderkey AS crawl_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders) WHERE rank <= 3")
+@query("crawl_latest", "SELECT project_id, crawl_id, rank FROM (SELECT o_custkey AS project_id, o_orderkey AS crawl_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders) WHERE rank <= 3")
 def crawl_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawls = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("crawl_id"), F.col("o_orderdate").alias("created_at"))
     return audit.latest_per(crawls, "project_id", "created_at", "crawl_id", 3).select("project_id", "crawl_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@_query(
+@query(
     "serp_results",
     f"""WITH {ctes("v_serp")} SELECT keyword_id AS snapshot_id, url, old_rank AS position, count(*) OVER (PARTITION BY keyword_id) > 5 AS truncated FROM v_serp WHERE keyword_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY keyword_id ORDER BY old_rank, url) <= 5""",
 )
@@ -537,7 +516,7 @@ def serp_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.serp_results(state, v, 5).select("snapshot_id", "url", "position", "truncated")
 
 
-@_query(
+@query(
     "serp_ingest",
     f"""WITH {ctes("v_serp")}, v AS (SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY old_rank, url) AS k, count(*) OVER (PARTITION BY keyword_id) AS total FROM v_serp)
 SELECT keyword_id AS snapshot_id, least(total, 4) AS result_count, total > 4 AS truncated, min(CASE WHEN url LIKE '%-000000007.example/%' AND k <= 4 THEN old_rank END) AS own_position FROM v GROUP BY keyword_id, total""",
@@ -547,7 +526,7 @@ def serp_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_serp(payload, "supplier-000000007.example", 4)[1].select("snapshot_id", "result_count", "truncated", "own_position")
 
 
-@_query(
+@query(
     "backlink_ingest",
     "SELECT l_suppkey AS snapshot_id, least(count(*), 100) AS observation_count, count(*) > 100 AS truncated FROM lineitem GROUP BY l_suppkey",
 )
@@ -558,7 +537,7 @@ def backlink_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_backlinks(payload, 100)[1].select("snapshot_id", "observation_count", "truncated")
 
 
-@_query(
+@query(
     "keyword_ingest",
     """WITH p AS (SELECT p_partkey % 7 AS project_id, p_partkey AS ordinal, trim(p_name) AS phrase FROM part), o AS (SELECT project_id, lower(phrase) AS k, min(ordinal) AS ordinal FROM p GROUP BY ALL),
 f AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ordinal) AS n FROM o), a AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ordinal) AS m FROM f WHERE n <= 100 AND NOT starts_with(k, 'red'))
@@ -570,7 +549,7 @@ def keyword_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_keywords(phrases, known, 12)[0].select("project_id", "normalized_phrase")
 
 
-@_query(
+@query(
     "keyword_valid_metrics",
     "SELECT l_orderkey, l_linenumber, upper(CASE WHEN l_returnflag = 'N' THEN 'ALL' ELSE l_returnflag END) AS country, CAST(round_even(CAST(l_discount AS DECIMAL(18,10)), 6) AS DOUBLE) AS ctr FROM lineitem WHERE l_quantity - 10 >= 0",
 )
@@ -579,10 +558,10 @@ def keyword_valid_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", (F.col("l_quantity") - 10).alias("clicks"), F.col("l_quantity").alias("impressions"), F.col("l_tax").alias("position"), F.col("l_discount").alias("ctr"),
         F.when(F.col("l_returnflag") == "N", " ").otherwise(F.lower("l_returnflag")).alias("country"), F.lit("").alias("device"),
     )
-    return _plain(keywords.valid_metrics(rows)[0].select("l_orderkey", "l_linenumber", "country", "ctr"))
+    return plain(keywords.valid_metrics(rows)[0].select("l_orderkey", "l_linenumber", "country", "ctr"))
 
 
-@_query(
+@query(
     "account_limits",
     """WITH u AS (SELECT c_nationkey AS owner_id, count(*) AS projects, CAST(sum(c_custkey) AS BIGINT) AS pages FROM customer GROUP BY ALL),
 p AS (SELECT owner_id, CASE WHEN owner_id % 5 = 4 THEN 'free' ELSE ['free', 'starter', 'pro', 'enterprise'][owner_id % 4 + 1] END AS plan, owner_id % 5 <> 4 AS is_active FROM u),
@@ -599,7 +578,7 @@ def account_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.select("owner_id", "plan", "is_active").join(full, "owner_id")
 
 
-@_query(
+@query(
     "account_expired_rows",
     """SELECT event_type AS status, count(*) FILTER (CASE event_type WHEN 'view' THEN ts < TIMESTAMP '2024-01-21' WHEN 'click' THEN ts < TIMESTAMP '2024-01-30' ELSE false END) AS expired, count(*) AS total FROM events GROUP BY event_type""",
 )
@@ -610,7 +589,7 @@ def account_expired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("status").agg(F.count_if("gone").alias("expired"), F.count(F.lit(1)).alias("total"))
 
 
-@_query(
+@query(
     "account_visible_projects",
     "SELECT DISTINCT * FROM (SELECT c_nationkey AS user_id, c_custkey AS project_id FROM customer UNION ALL SELECT CAST(o_orderkey % 40 AS INT), o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O'))",
 )
@@ -621,7 +600,7 @@ def account_visible_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.visible_projects(projects, members)
 
 
-@_query(
+@query(
     "account_delivery_backlog",
     """SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank, least(60, CAST(2 ** least(6, event_id % 11) AS INT)) AS backoff_minutes, event_id % 11 + 1 >= 10 AS dead_letter
 FROM events WHERE event_type IN ('error', 'view') AND ts <= TIMESTAMP '2024-01-15'""",

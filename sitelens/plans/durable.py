@@ -33,6 +33,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def partitions(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that a pattern of a table's path matches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return [str(f.getPath().toString()) for f in found] if found is not None else []
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Rows an Arrow batch holds at most, so that whole texts of any length fit a Python worker's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.evidence import ENTITY_TYPES, has_type, is_json, json_objects, question_heading, schema_types
+from ..functions.evidence import ENTITY_TYPES, has_type, question_heading, structured_data
 from ..functions.text import blank
 from ..operators.robots import robots_allowed
 
@@ -31,40 +31,45 @@ def profiles(spark: SparkSession) -> DataFrame:
 
 
 def ai_crawler_access(hosts: DataFrame, rules: DataFrame, crawlers: DataFrame) -> DataFrame:
-    """Access of every enabled crawler to each host's root: Blocked, Allowed (named and let in) or Unspecified."""
+    """Access of every enabled crawler to each host's root: Blocked, Allowed (named and let in) or Unspecified.
+
+    Hosts may carry ``has_robots``, whether a robots file was read; without one
+    nothing is known of the host's access (Unknown).
+    """
     profile = F.struct("key", "user_agent", "purpose", "weight")
     every = crawlers.filter("is_enabled").agg(F.collect_list(profile).alias("profiles")).scalar()  # a short list of names
-    asked = hosts.select("host").distinct().withColumn("p", F.explode(every)).select("host", "p.*").withColumn("url", F.concat(F.lit("https://"), F.col("host"), F.lit("/")))
+    known = F.col("has_robots") if "has_robots" in hosts.columns else F.lit(True)
+    asked = hosts.groupBy("host").agg(F.bool_or(F.coalesce(known, F.lit(False))).alias("has_robots")).withColumn("p", F.explode(every)).select("host", "has_robots", "p.*").withColumn("url", F.concat(F.lit("https://"), F.col("host"), F.lit("/")))
     judged = robots_allowed(asked, rules)
     named = rules.select("host", "agent").distinct().filter("agent <> '*'")
     found = judged.select("host", "user_agent").join(named, "host").filter(F.lower("user_agent").contains(F.col("agent"))).select("host", "user_agent").distinct().withColumn("named", F.lit(True))
-    access = F.when(~F.col("allowed"), "Blocked").when(F.col("named"), "Allowed").otherwise("Unspecified")
+    access = F.when(~F.col("has_robots"), "Unknown").when(~F.col("allowed"), "Blocked").when(F.col("named"), "Allowed").otherwise("Unspecified")
     return judged.join(found, ["host", "user_agent"], "left").select("host", "key", "user_agent", "purpose", "weight", access.alias("access"))
 
 
 def ai_crawlability(access: DataFrame, by: str = "host") -> DataFrame:
-    """Weighted mean of 100 / 70 / 0 over crawlers of positive weight."""
-    value = F.when(F.col("access") == "Allowed", 100).when(F.col("access") == "Unspecified", 70).otherwise(0)
+    """Weighted mean of 100 / 70 / 0 over crawlers of positive weight; null where access is unknown."""
+    value = F.when(F.col("access") == "Allowed", 100).when(F.col("access") == "Unspecified", 70).when(F.col("access") == "Blocked", 0)
     scored = access.filter("weight > 0").groupBy(by)
-    return scored.agg(F.bround((F.sum(F.col("weight") * value) / F.sum("weight")).cast("decimal(18,8)"), 1).cast("decimal(5,1)").alias("crawlability"))
+    return scored.agg(F.bround((F.sum(F.col("weight") * value) / F.sum(F.when(value.isNotNull(), F.col("weight")))).cast("decimal(18,8)"), 1).cast("decimal(5,1)").alias("crawlability"))
 
 
 def ai_page_signals(pages: DataFrame, by: str = "crawl_id", sample: int | None = None) -> DataFrame:
     """Counts of signals over pages with text; ``sample`` takes the first so many by url."""
     if sample is not None:
         pages = pages.orderBy("url").limit(sample)
-    types = schema_types(F.col("json_ld"))
-    dated = F.exists(json_objects(F.col("json_ld")), lambda o: F.get_json_object(o, "$.author").isNotNull() | F.get_json_object(o, "$.datePublished").isNotNull() | F.get_json_object(o, "$.dateModified").isNotNull())
+    pages = pages.withColumn("_data", structured_data(F.col("json_ld")))
+    types = F.col("_data.types")
     counted: dict[str, Column] = {
         "question": question_heading(F.col("headings")),
         "faq": has_type(types, ["FAQPage", "QAPage"]),
         "schema": F.size(types) > 0,
         "entity": has_type(types, ENTITY_TYPES),
-        "author": dated,
+        "author": F.col("_data.dated"),
         "canonical": ~blank(F.col("canonical")),
         "concise": F.col("word_count").between(150, 1200),
         "structure": F.size(F.filter("headings", lambda h: ~blank(h["text"]))) >= 3,
-        "evaluable": F.forall("json_ld", is_json),
+        "evaluable": F.col("_data.valid"),
     }
     return pages.filter(~blank(F.col("text"))).groupBy(by).agg(F.count(F.lit(1)).alias("pages"), *[F.count_if(c).alias(f"n_{k}") for k, c in counted.items()])
 

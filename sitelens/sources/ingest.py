@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,9 +87,38 @@ def sitemap_children(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _sitemap_rows(spark, paths, "sitemap").filter("loc is not null").select(utrim(F.col("loc")).alias("location")).distinct()
 
 
+def sitemap_documents(landed: DataFrame, seeds: list[str], max_docs: int = 20) -> list[str]:
+    """Paths of the sitemap files that a crawl reads: the seeds, then level by level the children that index files list.
+
+    ``landed`` (location, path) tells where the file of a location lies.  The cap
+    counts files found, in the order of level and location.
+    """
+    spark, taken, level = landed.sparkSession, [], sorted(set(seeds))
+    done: set[str] = set()
+    while level and len(taken) < max_docs:
+        done |= set(level)
+        rows = landed.filter(F.col("location").isin(level)).orderBy("location").limit(max_docs - len(taken)).collect()
+        paths = [r["path"] for r in rows]
+        taken += paths
+        if not paths:
+            break
+        level = sorted({r["location"] for r in sitemap_children(spark, paths).orderBy("location").limit(max_docs + len(done)).collect()} - done)
+    return taken
+
+
+# States of a result or backlink feed.
+FEED_STATES = ["NotConfigured", "Unavailable", "Partial", "Available"]
+
+
+def feed_state(configured: Column, answered: Column, complete: Column) -> Column:
+    """State of a feed's capture: no provider, no answer, part of the answer, all of it."""
+    state = F.when(~F.coalesce(configured, F.lit(False)), FEED_STATES[0]).when(~F.coalesce(answered, F.lit(False)), FEED_STATES[1])
+    return state.when(~F.coalesce(complete, F.lit(False)), FEED_STATES[2]).otherwise(FEED_STATES[3])
+
+
 def sitemap_urls(spark: SparkSession, paths: list[str], max_docs: int = 20, max_urls: int = 50_000) -> DataFrame:
-    """Entries of sitemap files: location, lastmod, changefreq, priority; a bad date or priority is null."""
-    rows = _sitemap_rows(spark, sorted(paths)[:max_docs], "url").withColumn("location", utrim(F.col("loc")))
+    """Entries of sitemap files (see ``sitemap_documents``): location, lastmod, changefreq, priority; a bad date or priority is null."""
+    rows = _sitemap_rows(spark, paths[:max_docs], "url").withColumn("location", utrim(F.col("loc")))
     valid = rows.filter(is_http(F.col("location")) & ~has_user_info(F.col("location")) & (F.length("location") <= 2048))
     priority = F.col("priority").try_cast("decimal(3,1)")
     entries = valid.groupBy("location").agg(

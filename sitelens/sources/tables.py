@@ -41,9 +41,23 @@ def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["raw_page"]).parquet(path)
 
 
-def write_crawl_rows(rows: DataFrame, path: str, *more: str) -> None:
-    """Replace the rows of the crawls in ``rows`` (and of further partition columns), leaving other crawls alone."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id", *more).parquet(path)
+def write_crawl_rows(rows: DataFrame, path: str, crawls: list, *more: str, spare: tuple[str, ...] = ()) -> None:
+    """Replace what the table holds of the given crawls by ``rows``; other crawls stay as they are.
+
+    The table is partitioned by crawl_id and the columns ``more``.  Partitions of
+    these crawls that get no new rows are removed, even if ``rows`` is empty, but
+    for those named in ``spare`` (as ``source=advisory``).
+    """
+    from ..plans.durable import partitions, remove
+
+    spark = rows.sparkSession
+    rows.filter(F.col("crawl_id").isin(crawls)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id", *more).parquet(path)
+    new = {"/".join(f"{c}={r[c]}" for c in ("crawl_id", *more)) for r in rows.select("crawl_id", *more).distinct().collect()}
+    for crawl in crawls:
+        for found in partitions(spark, f"{path}/crawl_id={crawl}" + "/*" * len(more)):
+            name = "/".join(found.rstrip("/").split("/")[-1 - len(more) :])
+            if name not in new and not any(part in spare for part in name.split("/")):
+                remove(spark, found)
 
 
 def report(crawls: DataFrame, scores: DataFrame, issues: DataFrame) -> DataFrame:

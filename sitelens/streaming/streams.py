@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.robots import discover_urls
+from ..operators.robots import admitted_urls
 
 
-def stream_counts(events: DataFrame, hours: int = 24, lateness: str = "2 days") -> DataFrame:
-    """ST5: running events per owner and calendar month; state is bounded by the watermark."""
+def stream_counts(events: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """ST5: running events per owner and calendar month; one number is kept for each."""
     dated = events.withWatermark("ts", lateness)
-    return dated.groupBy(F.col("owner_id"), F.window("ts", f"{hours} hours").alias("w")).agg(F.count(F.lit(1)).alias("pages")).select("owner_id", F.col("w.start").alias("day"), "pages")
+    return dated.groupBy(F.col("owner_id"), F.date_trunc("month", F.col("ts")).alias("month")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 def stream_audit(pages: DataFrame, rules: list, path: str, checkpoint: str) -> StreamingQuery:
@@ -31,37 +32,38 @@ def stream_audit(pages: DataFrame, rules: list, path: str, checkpoint: str) -> S
     return pages.writeStream.foreachBatch(audit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_new_rows(rows: DataFrame, key: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """ST2: the first writer of a key wins, however late a replay comes; the table itself is the memory."""
-    spark = rows.sparkSession
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, as operators with a state processor need it, for the time of the block."""
+    key, value = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
 
+def _append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     def add(batch: DataFrame, epoch: int) -> None:
-        # Only epochs before this one count as known, so a retried epoch writes the same again.
-        fresh = batch.dropDuplicates(key)
-        if epoch:
-            known = spark.read.schema(batch.schema).option("basePath", path).parquet(*[f"{path}/epoch={e}" for e in range(epoch)])
-            fresh = fresh.join(known.select(*key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        # An epoch that is retried writes the same folder again.
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_discover(links: DataFrame, known: DataFrame, path: str, checkpoint: str, max_depth: int = 8) -> StreamingQuery:
-    """ST4: each crawl's new addresses, once."""
-    spark = links.sparkSession
+def stream_new_rows(rows: DataFrame, key: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """ST2: the first writer of a key wins, however late a replay comes; keys are state without expiry, so no epoch reads those before it."""
+    return _append(rows.dropDuplicates(key), path, checkpoint)
 
-    def add(batch: DataFrame, epoch: int) -> None:
-        seen = known.select("crawl_id", "normalized_url")
-        if epoch:
-            earlier = spark.read.option("basePath", path).parquet(*[f"{path}/epoch={e}" for e in range(epoch)])
-            seen = seen.unionByName(earlier.select("crawl_id", "normalized_url"))
-        discover_urls(batch, seen, max_depth).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return links.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_discover(links: DataFrame, known: DataFrame, path: str, checkpoint: str, max_depth: int = 8) -> StreamingQuery:
+    """ST4: each crawl's new addresses, once, with the depth of their first arrival; addresses seen are keyed state."""
+    return _append(admitted_urls(links, max_depth).join(known.select("crawl_id", "normalized_url").distinct(), ["crawl_id", "normalized_url"], "left_anti").dropDuplicates(["crawl_id", "normalized_url"]), path, checkpoint)
 
 
 class AlertGate(StatefulProcessor):
-    """Lets one event per rule through in ``hours`` hours, counted from the last one that was let through."""
+    """Lets an event through if more than ``hours`` hours lie between it and the last of its rule that was let through."""
 
     def __init__(self, hours: int = 24):
         self.gap = timedelta(hours=hours)
@@ -70,18 +72,20 @@ class AlertGate(StatefulProcessor):
         self.last = handle.getValueState("last", "ts timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        # Rows of a rule come in batches of bounded size; they are ordered within each.
+        # A rule's rows of one trigger come in batches of bounded size, in no order: their times are ordered over all of them.
         last = self.last.get()[0] if self.last.exists() else None
-        for batch in rows:
-            kept = []
-            for row in batch.sort_values(["detected_at", "event_id"]).itertuples(index=False):
-                at = row.detected_at.to_pydatetime()
-                if last is None or at - last.replace(tzinfo=at.tzinfo) >= self.gap:
-                    kept.append((row.event_id, key[0], row.detected_at))
-                    last = at
-            yield pd.DataFrame(kept, columns=["event_id", "rule_id", "detected_at"])
+        every = pd.concat(rows)[["event_id", "detected_at"]].sort_values(["detected_at", "event_id"])
+        times = every["detected_at"]
         if last is not None:
-            self.last.update((last,))
+            last = pd.Timestamp(last, tz=times.dt.tz) if pd.Timestamp(last).tzinfo is None else pd.Timestamp(last)
+        kept, at = [], 0 if last is None else int(times.searchsorted(last + self.gap, side="right"))
+        while at < len(every):
+            kept.append(at)
+            last = times.iloc[at]
+            at = int(times.searchsorted(last + self.gap, side="right"))
+        if kept:
+            self.last.update((last.to_pydatetime(),))
+        yield every.iloc[kept].assign(rule_id=key[0])[["event_id", "rule_id", "detected_at"]]
 
     def close(self) -> None:
         pass
