@@ -47,7 +47,7 @@ POSTINGS = 100_000
 #: Lines of one word that are compared whole at a time.
 LINES = 4_000
 #: Pairs looked at together, and postings packed together.
-PAIRS, PACKED = 1 << 18, 1 << 19
+PAIRS, PACKED = 1 << 18, 1 << 17
 #: Lists of kept lines are broadcast up to this size, and removed lines up to this number (16 bytes each).
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 500_000
 _KEY_BITS = 40
@@ -355,10 +355,12 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 def _settled(open_lines: DataFrame, near: DataFrame, words: DataFrame) -> DataFrame:
     """Of the open lines, those that match any earlier line: the lines near each other by a word meet in blocks of bounded size."""
-    keys = near.filter("earlier > 0").join(open_lines, PLACE, "left_semi").select("key").distinct()
+    # A word at which an open line only met the partner that didn't match has nothing more to tell.
+    tried = open_lines.select(*PLACE, F.col("e_doc").alias("tried_doc"), F.col("e_line").alias("tried_line"))
+    keys = near.filter("earlier > 0").join(tried, PLACE).filter("earlier > 1 or e_doc <> tried_doc or e_line <> tried_line").select("key").distinct()
     rows = near.select("key", *PLACE).join(keys, "key", "left_semi").distinct()
     parts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LINES).cast("int").alias("parts"))
-    rows = rows.join(open_lines.withColumn("open", F.lit(True)), PLACE, "left").join(parts, "key")
+    rows = rows.join(open_lines.select(*PLACE, F.lit(True).alias("open")), PLACE, "left").join(parts, "key")
     rows = rows.withColumn("i", F.pmod(F.xxhash64(*PLACE), F.col("parts")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(words, PLACE)
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
@@ -408,9 +410,9 @@ def removed_classes(scratch: Scratch, named: DataFrame, reps: DataFrame) -> Data
     )
     best = scratch.save(best.select(*PLACE, "best.e_doc", "best.e_line", ((F.col("earlier") > 1) | (F.col("lo") != F.col("hi"))).alias("more")), "best")
     places = scratch.save(near.select(*PLACE).distinct(), "places")
-    words = scratch.save(_fetched(named, places).dropDuplicates(PLACE), "words")
+    words = scratch.save(_fetched(named, places), "words")
     matched = scratch.save(_verified(best.select(*PLACE, "e_doc", "e_line"), words), "matched")
-    open_lines = scratch.save(best.filter("more").select(*PLACE).join(matched, PLACE, "left_anti"), "open")
+    open_lines = scratch.save(best.filter("more").select(*PLACE, "e_doc", "e_line").join(matched, PLACE, "left_anti"), "open")
     if not open_lines.isEmpty():
         matched = matched.unionByName(_settled(open_lines, near, words))
     later = scratch.save(matched.distinct(), "later")
