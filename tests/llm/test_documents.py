@@ -108,6 +108,26 @@ def test_exact_state_carries_over_batches(spark):
     assert key(exact_dedup(docs, files_per_trigger=1).collect()) == key(exact_dedup(docs).collect())
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_state_outlives_a_call(spark, tmp_path, weak):
+    """Three arrivals with one state: each call's groups are those of all rows so far, and locators find their texts."""
+    from sitelens.llm.exact import located, sha256
+
+    parts = [CORPUS[30:], CORPUS[:20], CORPUS[20:30] + CORPUS[:3]]
+    digest = (lambda c: F.substring(F.sha1(c), 1, 1)) if weak else sha256
+    seen = []
+    state = f"file://{tmp_path}/state"
+    for part in parts:
+        seen += part
+        norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t)) for i, t in seen]
+        for r in exact_dedup(table(spark, part), digest=digest, state=state).collect():
+            own = [i for i, t in norm if t == re.sub(r"[\x20\x09-\x0D]+", " ", dict(part)[r.doc_id])]
+            assert (r.keep_id, r.group_size) == (min(own), len(own))
+    every = spark.read.parquet(f"{state}/arrivals")
+    found = located(spark, state, every.select("batch", "locator", "sha"))
+    assert found.filter(F.sha2("body", 256) != F.col("sha")).isEmpty() and found.count() == len(seen)
+
+
 def shingles(text):
     own = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
     return frozenset([b" ".join(own)] if 0 < len(own) < 5 else [b" ".join(own[i : i + 5]) for i in range(len(own) - 4)])
