@@ -380,14 +380,14 @@ def competitor_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "competitor_topic_gaps",
     f"""WITH {ctes("v_rival")}, t AS (SELECT competitor_id, url, word_count, created_at, lower(trim(string_split(title, '|')[1])) AS topic FROM v_rival WHERE trim(title) <> ''),
-own AS (SELECT lower(trim(string_split(title, '|')[1])) AS topic, max(word_count) AS words FROM v_rival WHERE trim(title) <> '' AND created_at = 0 AND CAST(substr(url, 4) AS BIGINT) % 7 = 0 GROUP BY 1),
+own AS (SELECT lower(trim(string_split(title, '|')[1])) AS topic, max(word_count) AS words FROM v_rival WHERE trim(title) <> '' AND created_at = 0 AND competitor_id = 'BUILDING' GROUP BY 1),
 r AS (SELECT * FROM t WHERE created_at = 2),
 m AS (SELECT a.topic, min(o.topic) AS own FROM (SELECT DISTINCT topic FROM r) a JOIN own o ON contains(o.topic, a.topic) OR contains(a.topic, o.topic) GROUP BY 1)
 SELECT competitor_id, count(*) FILTER (own IS NOT NULL) AS common, count(*) FILTER (own IS NULL) AS missing FROM r LEFT JOIN m USING (topic) GROUP BY competitor_id""",
 )
 def competitor_topic_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _rivals(spark, sf_dir)
-    own = pages.filter("created_at = 0 and cast(substring(url, 4) as bigint) % 7 = 0")
+    own = pages.filter("created_at = 0 and competitor_id = 'BUILDING'")
     return competitors.topic_gaps(own, pages.filter("created_at = 2")).select("competitor_id", "common", "missing").distinct()
 
 

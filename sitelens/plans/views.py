@@ -24,7 +24,7 @@ FROM {pages}""",
     ),
     "v_link": (
         ["lineitem"],
-        """SELECT l_partkey AS source_id, (l_partkey * 7 + l_suppkey * 13 + l_linenumber * l_linenumber) % 1000 AS target_id,
+        """SELECT l_partkey AS source_id, (l_suppkey - 1) * 20 + l_orderkey * 3 % 20 + 1 AS target_id,
   CASE l_orderkey % 6 WHEN 0 THEN 'Read more' WHEN 1 THEN ' here ' WHEN 2 THEN 'HERE' WHEN 3 THEN concat('Part ', CAST(l_suppkey % 20 AS STRING)) WHEN 4 THEN '' ELSE 'Catalogue' END AS anchor
 FROM {lineitem}""",
     ),
