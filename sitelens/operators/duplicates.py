@@ -2,12 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, normalize_text, shingles
 from ..plans.durable import Scratch
 from .components import connected_components
+from .groups import groups
+
+
+#: Distinct texts of a cluster that are compared with one another at a time.
+BLOCK = 500
+
+
+def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block, the lowest similarity of its pairs in ten-thousandths, half to even."""
+    for rows in groups(batches, ["cluster", "p", "q"]):
+        side = rows["side"].to_numpy()
+        sets = [np.asarray(x, dtype=np.int64) for x in rows["s"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        first = np.cumsum(n) - n
+        held = np.zeros(len(codes) + 1, dtype=np.int64)
+        alone = rows["p"][0].as_py() == rows["q"][0].as_py()
+        low = None
+        for i in np.flatnonzero(side == 0):
+            others = np.arange(len(n)) > i if alone else side == 1
+            if not others.any():
+                continue
+            own = codes[first[i] : first[i] + n[i]]
+            held[own] = 1
+            common = np.add.reduceat(held[codes], first)[others] * (n[others] > 0)
+            held[own] = 0
+            union = n[others] + n[i] - common
+            part, rest = np.divmod(common * 10_000, np.maximum(union, 1))
+            part += (2 * rest > union) | ((2 * rest == union) & (part % 2 == 1))
+            low = int(part.min()) if low is None else min(low, int(part.min()))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([rows["cluster"].combine_chunks().slice(0, 1), pa.array([low], pa.int64())], ["cluster", "lowest"])
 
 
 def duplicate_clusters(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -15,8 +51,9 @@ def duplicate_clusters(docs: DataFrame, threshold: float = 0.85, id_col: str = "
 
     Equal normalised texts collapse first.  Of the others, pairs are found by
     their rarest shingles (prefix and length filters, nothing is lost) and
-    verified.  The similarity is the lowest over all pairs of a cluster, which
-    takes the pairs of the distinct texts in it.
+    verified.  The similarity is the lowest over all pairs of a cluster; its
+    distinct texts are compared in blocks of bounded size that hand on one
+    number each.
     """
     scratch = Scratch(docs.sparkSession, "duplicates")
     low = threshold - 0.00005  # the similarity is rounded to four places before it is compared
@@ -41,8 +78,15 @@ def duplicate_clusters(docs: DataFrame, threshold: float = 0.85, id_col: str = "
     found = scratch.save(connected_components(compared(pairs).filter(F.col("similarity") >= threshold), "duplicates"), "components")
     own = texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("hash", "rep", F.coalesce("component", "rep").alias("cluster"))
     inside = own.join(found.select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "cluster")
-    left, right = inside.withColumnRenamed("rep", "a"), inside.withColumnRenamed("rep", "b")
-    lowest = compared(left.join(right, "cluster").filter("a < b").select("a", "b")).join(left, "a").groupBy("cluster").agg(F.min("similarity").alias("similarity"))
+    sets = inside.join(texts.select("rep", F.transform("s", lambda x: F.xxhash64(x)).alias("s")), "rep")
+    parts = inside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    # A text of part i goes to the blocks (min(i, j), max(i, j)) for every part j.
+    placed = sets.join(parts, "cluster").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = placed.select("cluster", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "s")
+    blocks = blocks.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
+    kind = inside.schema["cluster"].dataType.simpleString()
+    lowest = blocks.mapInArrow(_lowest, f"cluster {kind}, lowest bigint").groupBy("cluster").agg((F.min("lowest").cast("decimal(12,0)") / 10_000).cast("decimal(6,4)").alias("similarity"))
     members = rows.select("id", "hash").join(own.select("hash", "cluster"), "hash")
     clusters = members.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
     similarity = F.coalesce("similarity", F.lit(1)).cast("decimal(6,4)")

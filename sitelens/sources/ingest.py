@@ -79,7 +79,7 @@ _ENTRY = "loc STRING, lastmod STRING, changefreq STRING, priority STRING"
 
 
 def _sitemap_rows(spark: SparkSession, paths: list[str], tag: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(_ENTRY).load(",".join(paths))
+    return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(_ENTRY).load(paths)
 
 
 def sitemap_children(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -93,36 +93,41 @@ def test_duplicate_clusters(spark):
     assert rows[6].ids == [6, 7, 8]
 
 
-ROBOTS = """User-agent: *
-Disallow: /private/
-Allow: /private/public/
-Crawl-delay: 2.5
-
-User-agent: GPTBot
-User-agent: ClaudeBot
-Disallow: /
-Allow: /$
-
-User-agent: Shop
-Disallow: /catalog/*/print$
+#: Two agents share a group, an empty rule, a rule with a star and an end, a comment, a delay that is too long.
+ROBOTS = """# tea shop
+User-agent: TeaBot
+User-agent: KettleBot/2
+Disallow: /cups  # all of them
+Allow: /cups/blue$
+Crawl-delay: 4
+
+User-agent: *
+Crawl-delay: 100000
+Disallow: /*.bak$
+Disallow: /till
+Allow: /till/hours
 Disallow:
-Sitemap: https://example.com/map.xml
+Sitemap: https://tea.test/sitemap.xml
 """
 
 
 def test_robots(spark):
-    rules = robots_rules(spark.createDataFrame([("example.com", ROBOTS)], "host string, body string")).cache()
+    rules = robots_rules(spark.createDataFrame([("tea.test", ROBOTS)], "host string, body string")).cache()
     asked = [
-        ("any", "/private/x", False), ("any", "/private/public/x", True), ("any", "/", True), ("GPTBot", "/", True), ("GPTBot", "/x", False), ("ClaudeBot", "/x", False),
-        ("ShopCrawler", "/catalog/a/print", False), ("ShopCrawler", "/catalog/a/print-preview", True), ("ShopCrawler", "/private/x", True),
+        ("Mozilla TeaBot/1", "/cups", False), ("Mozilla TeaBot/1", "/cups/blue", True), ("Mozilla TeaBot/1", "/cups/blue/2", False), ("Mozilla TeaBot/1", "/till", True),
+        ("Walker", "/cups", True), ("Walker", "/old/page.bak", False), ("Walker", "/old/page.bak2", True), ("Walker", "/till/x", False), ("Walker", "/till/hours?day=1", True),
     ]
-    urls = spark.createDataFrame([("example.com", a, "https://example.com" + p) for a, p, _ in asked], "host string, user_agent string, url string")
+    urls = spark.createDataFrame([("tea.test", a, "https://tea.test" + p) for a, p, _ in asked], "host string, user_agent string, url string")
     found = {(r.user_agent, r.url): r.allowed for r in robots_allowed(urls, rules).collect()}
-    assert [found[a, "https://example.com" + p] for a, p, _ in asked] == [x for _, _, x in asked]
-    assert {r.user_agent: r.delay for r in crawl_delay(urls, rules).collect()}["any"] == 2.5
-    access = visibility.ai_crawler_access(spark.createDataFrame([("example.com",)], "host string"), rules, visibility.profiles(spark))
-    states = {r.user_agent: r.access for r in access.collect()}
-    assert states["GPTBot"] == "Allowed" and states["PerplexityBot"] == "Unspecified" and len(states) == 11
+    assert [found[a, "https://tea.test" + p] for a, p, _ in asked] == [x for _, _, x in asked]
+    assert {r.user_agent: r.delay for r in crawl_delay(urls, rules).collect()} == {"Mozilla TeaBot/1": 4.0, "Walker": None}
+    for policy, expected in (("disallow_all", {False}), ("unavailable", {False}), ("allow_all", {True})):
+        policies = spark.createDataFrame([("tea.test", policy)], "host string, policy string")
+        assert {r.allowed for r in robots_allowed(urls, rules, policies).collect()} == expected
+    hosts = spark.createDataFrame([("tea.test", True), ("gone.test", False)], "host string, has_robots boolean")
+    access = visibility.ai_crawler_access(hosts, rules, visibility.profiles(spark)).cache()
+    assert {r.access for r in access.collect() if r.host == "tea.test"} == {"Unspecified"}
+    assert {r.host: r.crawlability and float(r.crawlability) for r in visibility.ai_crawlability(access).collect()} == {"tea.test": 70.0, "gone.test": None}
 
 
 def test_robots_policy(spark):
