@@ -11,8 +11,8 @@ from ..functions.urls import normalize_url
 from ..operators.duplicates import duplicate_clusters
 from ..operators.links import duplicate_titles, generic_anchor_issues, graph_issues, internal_authority, link_graph, link_summary, top_anchors
 from ..operators.robots import discover_urls
-from ..operators.rules import evaluate_rules
-from ..operators.scoring import issues, recommendations, scores
+from ..operators.rules import CATEGORIES, evaluate_rules
+from ..operators.scoring import column_name, issues, recommendations, scores
 from ..plans.durable import fresh_path
 from ..sources import ingest
 from ..sources.tables import read_table
@@ -45,13 +45,12 @@ _PER_CODE = """codes AS (
     "site_scores",
     f"""WITH {rule_ctes()}, {_PER_CODE}
 SELECT crawl_id, CAST(round(CAST(sum(CAST(s AS DECIMAL(5,1)) * CAST(weight AS DECIMAL(3,2))) / sum(CAST(weight AS DECIMAL(3,2))) AS DECIMAL(18,8)), 1) AS DOUBLE) AS overall,
-  CAST(max(CASE WHEN category = 'Technical' THEN s END) AS DOUBLE) AS technical, CAST(max(CASE WHEN category = 'OnPage' THEN s END) AS DOUBLE) AS on_page,
-  CAST(max(CASE WHEN category = 'Content' THEN s END) AS DOUBLE) AS content, CAST(max(CASE WHEN category = 'Security' THEN s END) AS DOUBLE) AS security, count(*) < 9 AS is_partial
+  {", ".join(f"CAST(max(CASE WHEN category = '{c}' THEN s END) AS DOUBLE) AS {column_name(c)}" for c in CATEGORIES)}, count(*) < 9 AS is_partial, '1.0' AS version
 FROM cats JOIN w USING (category) GROUP BY crawl_id""",
 )
 def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scores(evaluate_rules(rule_pages(spark, sf_dir)))
-    return plain(found.select("crawl_id", "overall", "technical", "on_page", "content", "security", "is_partial"))
+    return plain(found)
 
 
 @query(
@@ -107,11 +106,12 @@ def page_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "page_duplicate_titles",
-    f"""WITH {ctes("v_page")}, t AS (SELECT page_id, url, lower(trim(title)) AS k FROM v_page WHERE trim(title) <> '')
-SELECT a.page_id, 'DUPLICATE_TITLE_TAG' AS code FROM t a WHERE (SELECT count(*) FROM t b WHERE b.k = a.k) > 1""",
+    f"""WITH {ctes("v_page")}, t AS (SELECT page_id, url, lower(trim(title)) AS k FROM v_page WHERE trim(title) <> ''),
+g AS (SELECT k, list_sort(list_distinct(list(url)))[1:4] AS urls FROM t GROUP BY k HAVING count(*) > 1)
+SELECT page_id, 'DUPLICATE_TITLE_TAG' AS code, 'High' AS severity, 'OnPage' AS category, array_to_string(list_filter(urls, lambda u: u <> url)[1:3], ', ') AS detail FROM t JOIN g USING (k)""",
 )
 def page_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_titles(view(spark, sf_dir, "v_page")).select("page_id", "code")
+    return duplicate_titles(view(spark, sf_dir, "v_page"))
 
 
 @query(
@@ -248,11 +248,11 @@ def link_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "link_generic_anchors",
-    f"""WITH {ctes("v_link")} SELECT source_id AS page_id, 'GENERIC_ANCHOR_TEXT' AS code, count(*) AS n FROM v_link WHERE lower(trim(anchor)) IN ('here', 'read more') GROUP BY source_id""",
+    f"""WITH {ctes("v_link")} SELECT source_id AS page_id, 'GENERIC_ANCHOR_TEXT' AS code, 'Low' AS severity, 'InternalLinks' AS category, count(*) || ': ' || array_to_string(list_sort(list_distinct(list(anchor)))[1:3], ', ') AS detail
+FROM v_link WHERE lower(trim(anchor)) IN ('here', 'read more') GROUP BY source_id""",
 )
 def link_generic_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = generic_anchor_issues(view(spark, sf_dir, "v_link"))
-    return found.select("page_id", "code", F.substring_index("detail", ":", 1).cast("bigint").alias("n"))
+    return generic_anchor_issues(view(spark, sf_dir, "v_link"))
 
 
 def _authority_sql(rounds: int = 20) -> str:
@@ -276,6 +276,16 @@ def link_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Keywords
 
+
+
+def _half_even(num: str, den: str, scale: int) -> str:
+    """SQL of a quotient of whole numbers times ``scale``, rounded half to even, over ``scale``; 0 over 0 is 0."""
+    n, d = f"({num}) * {scale}", f"greatest({den}, 1)"
+    return f"(({n}) // {d} + CASE WHEN 2 * (({n}) % {d}) > {d} OR (2 * (({n}) % {d}) = {d} AND (({n}) // {d}) % 2 = 1) THEN 1 ELSE 0 END) / CAST({scale} AS DOUBLE)"
+
+
+_CTR = _half_even("CAST(sum(clicks) AS BIGINT)", "CAST(sum(impressions) AS BIGINT)", 10_000)
+_MEAN = _half_even("CAST(sum(position * impressions) AS BIGINT)", "CAST(sum(impressions) AS BIGINT)", 100)
 _WEIGHTED = "CASE WHEN sum(impressions) = 0 THEN avg(CAST(position AS DECIMAL(18,6))) ELSE CAST(sum(position * impressions) AS DECIMAL(28,6)) / sum(impressions) END"
 
 
@@ -295,23 +305,23 @@ def keyword_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "keyword_opportunities",
     f"""WITH {ctes("v_metric", "v_keyword")}, g AS (
-  SELECT project_id, keyword_id, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(position * impressions) AS DOUBLE) / greatest(1, sum(impressions)) AS average, arg_min(page_url, (-clicks, page_url)) AS best_page
-  FROM v_metric GROUP BY ALL
+  SELECT project_id, keyword_id, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(position * impressions) AS DOUBLE) / greatest(1, sum(impressions)) AS average, arg_min(page_url, (-clicks, page_url)) AS best_page, {_CTR} AS ctr, {_MEAN} AS mean
+  FROM v_metric GROUP BY project_id, keyword_id
 )
-SELECT project_id, keyword_id, phrase, impressions, clicks, best_page, CAST(floor(greatest(least(100 - (average - 4) * 5 + least(20, impressions / 100), 100), 0) + 1e-9) AS INT) AS score
+SELECT project_id, keyword_id, phrase, impressions, clicks, ctr, mean AS average, best_page, CAST(floor(greatest(least(100 - (average - 4) * 5 + least(20, impressions / 100), 100), 0) + 1e-9) AS INT) AS score
 FROM g JOIN v_keyword USING (project_id, keyword_id) WHERE average BETWEEN 4 AND 15 AND impressions >= 10 AND floor(greatest(least(100 - (average - 4) * 5 + least(20, impressions / 100), 100), 0) + 1e-9) > 0""",
 )
 def keyword_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keywords.keyword_opportunities(*_keywords(spark, sf_dir)).select("project_id", "keyword_id", "phrase", "impressions", "clicks", "best_page", "score")
+    return plain(keywords.keyword_opportunities(*_keywords(spark, sf_dir)))
 
 
 _OVERVIEW = f"""{ctes("v_metric", "v_keyword")}, t AS (
-  SELECT project_id, keyword_id, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, arg_min(page_url, (-clicks, page_url)) AS best_page, arg_max(source, (date, source)) AS source FROM v_metric GROUP BY ALL
+  SELECT project_id, keyword_id, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, arg_min(page_url, (-clicks, page_url)) AS best_page, arg_max(source, (date, source)) AS source, {_CTR} AS ctr, {_MEAN} AS position FROM v_metric GROUP BY project_id, keyword_id
 ), d AS (SELECT project_id, keyword_id, date, round_even(CAST({_WEIGHTED} AS DOUBLE), 2) AS position FROM v_metric GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY project_id, keyword_id ORDER BY date DESC) AS k FROM d),
 c AS (SELECT project_id, keyword_id, max(position) FILTER (k = 1) AS current_position, max(position) FILTER (k = 2) AS previous_position FROM b GROUP BY ALL),
 o AS (
-  SELECT project_id, keyword_id, phrase, is_tracked, clicks, impressions, best_page, coalesce(source, 'none') AS source, current_position, previous_position,
+  SELECT project_id, keyword_id, phrase, is_tracked, clicks, impressions, ctr, position, best_page, coalesce(source, 'none') AS source, current_position, previous_position,
     CAST(round_even(CAST(previous_position - current_position AS DECIMAL(10,2)), 1) AS DOUBLE) AS delta FROM v_keyword LEFT JOIN t USING (project_id, keyword_id) LEFT JOIN c USING (project_id, keyword_id)
 ), overview AS (
   SELECT *, CASE WHEN current_position IS NULL THEN 'stable' WHEN previous_position IS NULL THEN 'new' WHEN delta > 0.5 THEN 'up' WHEN delta < -0.5 THEN 'down' ELSE 'stable' END AS trend FROM o
@@ -321,21 +331,23 @@ _CLASHES = f"""pg AS (
 ), pr AS (
   SELECT *, row_number() OVER (PARTITION BY project_id, keyword_id ORDER BY impressions DESC, page) AS k, sum(impressions) OVER (PARTITION BY project_id, keyword_id) AS total FROM pg WHERE impressions > 0 OR clicks > 0
 ), pc AS (
-  SELECT project_id, keyword_id, count(*) AS n_pages, CAST(max(total) AS BIGINT) AS total, max(impressions) FILTER (k = 2) AS second, max(position) FILTER (k = 2) AS second_position FROM pr GROUP BY ALL
+  SELECT project_id, keyword_id, count(*) AS n_pages, CAST(max(total) AS BIGINT) AS total, max(impressions) FILTER (k = 2) AS second, max(position) FILTER (k = 2) AS second_position, string_agg(page || '=' || impressions || '/' || clicks, ',' ORDER BY k) AS pages FROM pr GROUP BY ALL
 ), clashes AS (
-  SELECT project_id, keyword_id, phrase, CASE WHEN second * 100.0 / total >= 30 AND second_position <= 30 THEN 'High' ELSE 'Medium' END AS severity, n_pages, total
+  SELECT project_id, keyword_id, phrase, CASE WHEN second * 100.0 / total >= 30 AND second_position <= 30 THEN 'High' ELSE 'Medium' END AS severity, n_pages, total, {_half_even("second * 100", "total", 10)} AS second_share, pages
   FROM pc JOIN v_keyword USING (project_id, keyword_id) WHERE n_pages >= 2 AND total >= 10 AND second * 100.0 / total >= 15
 )"""
 
 
 @query("keyword_overview", f"WITH {_OVERVIEW} SELECT * FROM overview")
 def keyword_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(keywords.keyword_overview(*_keywords(spark, sf_dir)).drop("ctr", "position"))
+    return plain(keywords.keyword_overview(*_keywords(spark, sf_dir)))
 
 
 @query("keyword_cannibalization", f"WITH {ctes('v_metric', 'v_keyword')}, {_CLASHES} SELECT * FROM clashes")
 def keyword_cannibalization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(keywords.keyword_cannibalization(*_keywords(spark, sf_dir)).select("project_id", "keyword_id", "phrase", "severity", "n_pages", "total"))
+    found = keywords.keyword_cannibalization(*_keywords(spark, sf_dir))
+    pages = F.transform("pages", lambda p: F.concat(p["page"], F.lit("="), p["impressions"].cast("string"), F.lit("/"), p["clicks"].cast("string")))
+    return plain(found.withColumn("pages", pages))
 
 
 @query(
@@ -379,16 +391,19 @@ def competitor_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "competitor_topic_gaps",
-    f"""WITH {ctes("v_rival")}, t AS (SELECT competitor_id, url, word_count, created_at, lower(trim(string_split(title, '|')[1])) AS topic FROM v_rival WHERE trim(title) <> ''),
+    f"""WITH {ctes("v_rival")}, y AS (SELECT competitor_id, url, word_count, created_at, lower(trim(string_split(title, '|')[1])) AS topic FROM v_rival WHERE trim(title) <> ''),
 own AS (SELECT lower(trim(string_split(title, '|')[1])) AS topic, max(word_count) AS words FROM v_rival WHERE trim(title) <> '' AND created_at = 0 AND competitor_id = 'BUILDING' GROUP BY 1),
-r AS (SELECT * FROM t WHERE created_at = 2),
-m AS (SELECT a.topic, min(o.topic) AS own FROM (SELECT DISTINCT topic FROM r) a JOIN own o ON contains(o.topic, a.topic) OR contains(a.topic, o.topic) GROUP BY 1)
-SELECT competitor_id, count(*) FILTER (own IS NOT NULL) AS common, count(*) FILTER (own IS NULL) AS missing FROM r LEFT JOIN m USING (topic) GROUP BY competitor_id""",
+r AS (SELECT * FROM y WHERE created_at = 2),
+m AS (SELECT a.topic, min(o.topic) AS own FROM (SELECT DISTINCT topic FROM r) a JOIN own o ON contains(o.topic, a.topic) OR contains(a.topic, o.topic) GROUP BY 1),
+x AS (SELECT r.*, m.own, CASE WHEN m.own IS NULL THEN 'MissingInProject' WHEN word_count > words * 1.5 AND word_count >= 300 THEN 'CompetitorHasDeeperContent' END AS kind FROM r LEFT JOIN m USING (topic) LEFT JOIN own o ON o.topic = m.own),
+t AS (SELECT competitor_id, count(*) FILTER (own IS NOT NULL) AS common, count(*) FILTER (own IS NULL) AS missing FROM x GROUP BY competitor_id),
+g AS (SELECT competitor_id, row_number() OVER (PARTITION BY competitor_id ORDER BY url) AS rank, topic, url, CAST(word_count AS BIGINT) AS word_count, kind FROM x WHERE kind IS NOT NULL QUALIFY rank <= 25)
+SELECT * FROM t LEFT JOIN g USING (competitor_id)""",
 )
 def competitor_topic_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _rivals(spark, sf_dir)
     own = pages.filter("created_at = 0 and competitor_id = 'BUILDING'")
-    return competitors.topic_gaps(own, pages.filter("created_at = 2")).select("competitor_id", "common", "missing").distinct()
+    return plain(competitors.topic_gaps(own, pages.filter("created_at = 2")))
 
 
 # Search results and backlinks
@@ -439,16 +454,18 @@ def backlink_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "account_usage",
     f"""WITH {ctes("v_usage")}, p AS (SELECT DISTINCT c_nationkey AS owner_id, c_custkey AS project_id FROM customer WHERE c_custkey % 10 <> 3)
-SELECT owner_id, count(*) AS projects, coalesce((SELECT count(*) FROM v_usage v WHERE v.owner_id = p.owner_id AND project_status <> 'Archived' AND started_at >= '1997-05-01' AND started_at < '1997-06-01'), 0) AS pages FROM p GROUP BY owner_id""",
+SELECT owner_id, count(*) AS projects, coalesce((SELECT count(*) FROM v_usage v WHERE v.owner_id = p.owner_id AND project_status <> 'Archived' AND started_at >= '1997-05-01' AND started_at < '1997-06-01'), 0) AS pages,
+  coalesce((SELECT count(*) FROM part JOIN p q ON q.project_id = p_partkey WHERE q.owner_id = p.owner_id), 0) AS keywords, coalesce((SELECT count(*) FROM supplier JOIN p q ON q.project_id = s_suppkey WHERE q.owner_id = p.owner_id), 0) AS competitors,
+  coalesce((SELECT count(DISTINCT o_orderkey % 40) FROM orders JOIN p q ON q.project_id = o_custkey WHERE q.owner_id = p.owner_id), 0) AS members FROM p GROUP BY owner_id""",
 )
 def account_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "v_usage")
     customer = read_table(spark, sf_dir, "customer")
     projects = customer.select(F.col("c_nationkey").alias("owner_id"), F.col("c_custkey").alias("project_id"), F.when(F.col("c_custkey") % 10 == 3, "Archived").otherwise("Active").alias("status"))
     crawls = v.select(F.col("page_id").alias("crawl_id"), "project_id", "started_at")
-    none = projects.select("project_id", F.col("project_id").alias("user_id")).limit(0)
-    found = accounts.usage(projects, crawls, v.select(F.col("page_id").alias("crawl_id")), none, none, none, F.lit("1997-05-17").cast("timestamp"))
-    return found.select("owner_id", "projects", "pages")
+    phrases, rivals = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("project_id")), read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("project_id"))
+    members = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), (F.col("o_orderkey") % 40).alias("user_id"))
+    return accounts.usage(projects, crawls, v.select(F.col("page_id").alias("crawl_id")), phrases, rivals, members, F.lit("1997-05-17").cast("timestamp"))
 
 
 @query(
@@ -519,22 +536,25 @@ def serp_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "serp_ingest",
     f"""WITH {ctes("v_serp")}, v AS (SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY old_rank, url) AS k, count(*) OVER (PARTITION BY keyword_id) AS total FROM v_serp)
-SELECT keyword_id AS snapshot_id, least(total, 4) AS result_count, total > 4 AS truncated, min(CASE WHEN url LIKE '%-000000007.example/%' AND k <= 4 THEN old_rank END) AS own_position FROM v GROUP BY keyword_id, total""",
+SELECT keyword_id AS snapshot_id, least(total, 4) AS result_count, total > 4 AS truncated, min(CASE WHEN url LIKE '%-000000007.example/%' AND k <= 4 THEN old_rank END) AS own_position, min(CASE WHEN url LIKE '%-000000007.example/%' AND k <= 4 THEN url END) AS own_url,
+  sha256(string_agg(lpad(CAST(k AS VARCHAR), 6, '0') || '|' || old_rank || '|' || url || '|t', chr(10) ORDER BY k) FILTER (k <= 4)) AS payload_hash FROM v GROUP BY keyword_id, total""",
 )
 def serp_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = view(spark, sf_dir, "v_serp").select(F.col("keyword_id").alias("snapshot_id"), F.col("old_rank").alias("position"), "url", F.lit("t").alias("title"))
-    return ingest.ingest_serp(payload, "supplier-000000007.example", 4)[1].select("snapshot_id", "result_count", "truncated", "own_position")
+    return ingest.ingest_serp(payload, "supplier-000000007.example", 4)[1].select("snapshot_id", "result_count", "truncated", "own_position", "own_url", "payload_hash")
 
 
 @query(
     "backlink_ingest",
-    "SELECT l_suppkey AS snapshot_id, least(count(*), 100) AS observation_count, count(*) > 100 AS truncated FROM lineitem GROUP BY l_suppkey",
+    """WITH r AS (SELECT l_suppkey AS snapshot_id, concat('http://s', l_partkey % 90, '.example/') AS s, concat('/t', l_partkey) AS t, l_returnflag AS a, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey) AS k FROM lineitem)
+SELECT snapshot_id, least(count(*), 100) AS observation_count, count(*) > 100 AS truncated, sha256(string_agg(lpad(CAST(k AS VARCHAR), 6, '0') || '|' || s || '|' || t || '|' || a, chr(10) ORDER BY k) FILTER (k <= 100)) AS payload_hash FROM r GROUP BY snapshot_id""",
 )
 def backlink_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = read_table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("snapshot_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.lit("s").alias("source_url"), F.lit("t").alias("target_url"), F.lit("a").alias("anchor")
-    )
-    return ingest.ingest_backlinks(payload, 100)[1].select("snapshot_id", "observation_count", "truncated")
+        F.col("l_suppkey").alias("snapshot_id"), (F.col("l_orderkey") * 1_000_000 + F.col("l_linenumber") * 100_000 + F.col("l_partkey")).alias("ordinal"),
+        F.concat(F.lit("http://s"), (F.col("l_partkey") % 90).cast("string"), F.lit(".example/")).alias("source_url"), F.concat(F.lit("/t"), F.col("l_partkey").cast("string")).alias("target_url"), F.col("l_returnflag").alias("anchor"),
+    )
+    return ingest.ingest_backlinks(payload, 100)[1].select("snapshot_id", "observation_count", "truncated", "payload_hash")
 
 
 @query(
@@ -565,17 +585,16 @@ def keyword_valid_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     "account_limits",
     """WITH u AS (SELECT c_nationkey AS owner_id, count(*) AS projects, CAST(sum(c_custkey) AS BIGINT) AS pages FROM customer GROUP BY ALL),
 p AS (SELECT owner_id, CASE WHEN owner_id % 5 = 4 THEN 'free' ELSE ['free', 'starter', 'pro', 'enterprise'][owner_id % 4 + 1] END AS plan, owner_id % 5 <> 4 AS is_active FROM u),
-l(plan, max_projects, max_pages) AS (VALUES ('free', 1, 100), ('starter', 3, 1000), ('pro', 10, 10000), ('enterprise', 50, 100000))
-SELECT owner_id, plan, is_active, projects >= max_projects AS projects_full, pages + 1 > max_pages AS pages_full FROM u JOIN p USING (owner_id) JOIN l USING (plan)""",
+l(plan, max_projects, max_pages, max_keywords, max_competitors, max_ai_credits) AS (VALUES ('free', 1, 100, 10, 1, 5), ('starter', 3, 1000, 25, 3, 25), ('pro', 10, 10000, 150, 10, 100), ('enterprise', 50, 100000, 1000, 50, 500))
+SELECT owner_id, plan, is_active, CAST(max_ai_credits AS BIGINT) AS max_ai_credits, projects >= max_projects AS projects_full, pages + 1 > max_pages AS pages_full, projects * 3 >= max_keywords AS keywords_full, owner_id >= max_competitors AS competitors_full FROM u JOIN p USING (owner_id) JOIN l USING (plan)""",
 )
 def account_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = read_table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("owner_id")).agg(F.count(F.lit(1)).alias("projects"), F.sum("c_custkey").alias("pages"))
-    used = used.withColumn("keywords", F.lit(0)).withColumn("competitors", F.lit(0))
+    used = used.withColumn("keywords", F.col("projects") * 3).withColumn("competitors", F.col("owner_id"))
     names = F.array(*[F.lit(p) for p in ("free", "starter", "pro", "enterprise")])
     bought = used.select("owner_id", F.element_at(names, F.col("owner_id") % 4 + 1).alias("plan"), F.when(F.col("owner_id") % 5 == 4, "Canceled").otherwise("Active").alias("status"), F.lit(None).cast("timestamp").alias("period_end"))
     limits = accounts.entitlements(used, bought, F.current_timestamp())
-    full = accounts.quota_check(used, limits).select("owner_id", "projects_full", "pages_full")
-    return limits.select("owner_id", "plan", "is_active").join(full, "owner_id")
+    return plain(limits.select("owner_id", "plan", "is_active", "max_ai_credits").join(accounts.quota_check(used, limits), "owner_id"))
 
 
 @query(
