@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
+from ..operators.groups import groups
 from ..plans.durable import Scratch
-from .blocks import groups
 
 #: Vectors the rotations are learnt on, at most.
 SAMPLE = 20_000

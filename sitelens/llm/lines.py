@@ -32,9 +32,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.groups import groups
 from ..plans.durable import Scratch, small_batches
 from .bits import bit_table, hits
-from .blocks import groups
 from .documents import keyed
 from .words import mix, of_text, pieces, split, texts_of
 
@@ -54,8 +54,9 @@ _KEY_BITS = 40
 _KEY = np.uint64((1 << _KEY_BITS) - 1)
 _OTHER = np.uint64(0x9E3779B97F4A7C15)
 #: Columns of a packed block of postings.
-_COLUMNS = (("key", "u5"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("side", "u1"), ("low", "<u8"), ("high", "<u8"))
-_WIDTH = 5 + 8 + 4 + 4 + 4 + 1 + 8 + 8
+_COLUMNS = (("key", "<u4"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("side", "u1"))
+#: Of these, the columns of hash bits, which don't compress.
+_HASHED = ("key", "low", "high")
 PLACE = ["doc", "line"]
 
 
@@ -179,23 +180,31 @@ def _key_buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def pack(columns: dict[str, np.ndarray]) -> bytes:
-    """Columns one after the other; the bytes of wide ones lie plane by plane, which compresses well."""
-    out = [_bytes5(columns["key"]).tobytes()]
-    for name, kind in _COLUMNS[1:]:
+    """Columns one after the other behind their length: hash bits as they are, the others byte plane by byte plane, compressed."""
+    plain, planes = [], []
+    for name, kind in _COLUMNS:
         x = columns[name].astype(kind)
-        out.append((x.view(np.uint8).reshape(len(x), -1).T if name not in ("low", "high") else x).tobytes())
-    return b"".join(out)
+        if name in _HASHED:
+            plain.append(x.tobytes())
+        else:
+            planes.append(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    packed = pa.Codec("zstd", 1).compress(b"".join(planes), asbytes=True)
+    return b"".join([len(columns["key"]).to_bytes(8, "little"), *plain, packed])
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
-    m = len(data) // _WIDTH
-    flat = np.frombuffer(data, dtype=np.uint8)
-    out, at = {"key": _keys5(flat[: 5 * m])}, 5 * m
-    for name, kind in _COLUMNS[1:]:
-        size = np.dtype(kind).itemsize
-        x = flat[at : at + size * m]
-        out[name] = (np.ascontiguousarray(x.reshape(size, m).T) if name not in ("low", "high") else x).view(kind).ravel()
-        at += size * m
+    m, at, out = int.from_bytes(data[:8], "little"), 8, {}
+    for name in _HASHED:
+        kind = np.dtype(dict(_COLUMNS)[name])
+        out[name] = np.frombuffer(data, dtype=kind, count=m, offset=at)
+        at += kind.itemsize * m
+    rest = [(name, np.dtype(kind)) for name, kind in _COLUMNS if name not in _HASHED]
+    flat = np.frombuffer(pa.Codec("zstd").decompress(data[at:], decompressed_size=m * sum(k.itemsize for _, k in rest), asbytes=True), dtype=np.uint8)
+    at = 0
+    for name, kind in rest:
+        planes = flat[at : at + kind.itemsize * m].reshape(kind.itemsize, m)
+        out[name] = np.ascontiguousarray(planes.T).view(kind).ravel()
+        at += kind.itemsize * m
     return out
 
 
@@ -217,6 +226,8 @@ def _packed(counts: Broadcast, n_blocks: int, limit: int):
         hot = parts[row] > 1
         a, b = np.minimum(i, other)[hot].astype(np.uint64), np.maximum(i, other)[hot].astype(np.uint64)
         block[hot] = n_blocks + (mix(mix(p["key"][hot] + a * _OTHER) + b) >> np.uint64(2)).astype(np.int64)
+        # The block tells the low bits of a word's key; the others fit four bytes but for a few that meet by chance.
+        p["key"] = (p["key"] >> np.uint64(n_blocks.bit_length() - 1)) & np.uint64((1 << 32) - 1)
         order = np.argsort(block, kind="stable")
         cuts = np.flatnonzero(np.diff(block[order], prepend=-1)) if len(order) else np.zeros(0, dtype=np.int64)
         ends = np.append(cuts[1:], len(order))
@@ -246,6 +257,7 @@ def _packed(counts: Broadcast, n_blocks: int, limit: int):
 def near_postings(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one block: postings with a partner that passes all filters, the best earlier one (-1: none), how much it differs, and the number of earlier ones."""
     span = np.uint64((1 << 24) - 1)
+    p = p | {"key": p["key"].astype(np.uint64)}
     order = np.argsort((p["key"] << np.uint64(24)) | np.minimum(p["n"].astype(np.uint64), span), kind="stable")
     p = {name: x[order] for name, x in p.items()}
     m = len(order)

@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.groups import groups
 from ..plans.durable import Scratch, small_batches
-from .blocks import groups
+from .documents import keyed, unique
 from .words import Words, mix, pieces, split, texts_of
 
 BUCKETS, MANTISSA, ROWS = 256, 10, 5
@@ -242,15 +243,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     * null text, or no words: an empty set, linked with nothing;
     * under five words: the whole sequence is the only shingle;
-    * ids are whole numbers, one document each; a null id gives a row with a
-      null component_id that is not kept and links nothing; rows that repeat an
-      id and its text count as one document and each row is returned;
+    * rows that repeat an id and its text count as one document and each row is
+      returned; different texts under one id are documents of their own; a null
+      id gives a row with a null component_id that is not kept and links nothing;
+    * ties: the smallest id leads a component; very long texts count whole;
     * empty table: empty result; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
+    named, texts = keyed(scratch, docs, id_col, text_col)
+    texts = texts.select(F.when(F.col("id").isNotNull(), F.col("doc")).alias("id"), "body")
     sketch = scratch.save(sketches(texts), "sketches")
     classes = scratch.save(
         sketch.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes"
@@ -278,15 +281,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     across = scratch.save(placed.join(mixed, "bucket"), "across")
     more = scratch.save(_across_components(scratch, across, reps, texts), "more")
+    scratch.drop("members", "tried", "across", "largest", "homes", "inside", "meet", "full")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    rows = sketch.select("id", "n", "digest").join(of_class, "digest", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    found = sketch.select("id", "n", "digest").join(of_class, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    if unique(docs, id_col):
+        rows = found.select("id", "n", "component", F.col("id").alias("own"))
+    else:  # from document numbers back to ids; the numbers follow the ids, so the smallest stays the smallest
+        keys = named.select("id", "doc").distinct()
+        lead = keys.select(F.col("doc").alias("component"), F.col("id").alias("lead"))
+        numbers = found.filter("id is not null").withColumnRenamed("id", "doc").join(lead, "component").select("doc", "n", F.col("lead").alias("component"))
+        rows = named.filter("id is not null").select("id", "doc").join(numbers, "doc").select("id", "n", "component", F.col("id").alias("own"))
+        nameless = named.filter("id is null").select("id", "body")
+        counted = sketches(nameless).select("id", "n", F.lit(None).cast("bigint").alias("component"), F.lit(None).cast("bigint").alias("own"))
+        rows = rows.unionByName(counted)
     return rows.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("own") == F.col("component"), F.lit(False)).alias("kept"),
     )
 

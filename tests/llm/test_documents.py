@@ -152,6 +152,17 @@ def test_minhash_against_all_pairs(spark):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root(r.doc_id), root(r.doc_id) == r.doc_id)
 
 
+def test_one_id_with_two_texts_is_two_documents(spark):
+    a, b, c = (" ".join(words(60)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (7, b + " z"), (8, c), (None, b), (None, None)]
+    found = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_duplicates(table(spark, rows)).collect())
+    assert found == [(0, 0, 0, False), (0, 56, 0, False), (5, 56, 5, True), (5, 56, 5, True), (5, 56, 5, True), (7, 57, 5, False), (8, 56, 8, True)]
+    removed = sorted((r.doc_id or 0, r.n_removed) for r in remove_repeats(table(spark, rows)).collect())
+    assert removed == [(0, 0), (0, 60), (5, 0), (5, 60), (5, 60), (7, 60), (8, 0)]
+    lines = sorted((r.doc_id or 0, r.n_removed) for r in dedup_lines(table(spark, rows)).collect())
+    assert lines == [(0, 0), (0, 0), (5, 0), (5, 0), (5, 0), (7, 1), (8, 0)]
+
+
 def test_minhash_joins_chains_across_components(spark, monkeypatch):
     import sitelens.llm.minhash as m
 

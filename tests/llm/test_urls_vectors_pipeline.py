@@ -164,7 +164,9 @@ def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{directory}/documents.parquet")
     n, columns = docs.count(), docs.columns
     extra = docs.filter("doc_id < 3").withColumn("doc_id", F.col("doc_id") + 100_000)
-    docs = docs.unionByName(extra).unionByName(docs.limit(1).withColumns({"doc_id": F.lit(200_000).cast("bigint"), "text": F.lit("123 ...")}))
+    near = docs.filter("n_chars between 2000 and 4000").orderBy("doc_id").limit(2).withColumns({"doc_id": F.col("doc_id") + 300_000, "text": F.concat("text", F.lit(" one more word"))})
+    planted = {r.doc_id for r in near.collect()}
+    docs = docs.unionByName(extra).unionByName(near).unionByName(docs.limit(1).withColumns({"doc_id": F.lit(200_000).cast("bigint"), "text": F.lit("123 ...")}))
     for name, stage in p.STAGES:
         out = stage(spark, docs, directory)
         if name != p.STAGES[-1][0]:
@@ -173,9 +175,15 @@ def test_pipeline_stages_take_effect(spark):
         ids = {r.doc_id for r in out.select("doc_id").collect()}
         assert len(ids) == out.count() <= docs.count()
         if name == "language_id":
-            assert 200_000 not in ids and len(ids) == n + 3
+            assert 200_000 not in ids and len(ids) == n + 5
         if name == "exact_dedup":
             assert not ids & {100_000, 100_001, 100_002} and {0, 1, 2} & ids
+            assert planted <= ids
+        if name == "minhash_dedup":
+            assert planted and not planted & ids and {i - 300_000 for i in planted} <= {r.doc_id for r in docs.select("doc_id").collect()}
+        if name == "source_mixing":
+            words = lambda d: d.select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0]
+            assert 0.8 * words(docs) < words(out) <= 0.91 * words(docs)
         docs = out
     assert all(len(r.ids) == r.n_pieces for r in docs.collect())
 
