@@ -1,7 +1,11 @@
 """The corpus pipeline: documents through stages of the operators in ``sitelens.llm``.
 
 Each stage takes what its predecessor kept and returns the columns of
-``documents``; the last one returns token ids.
+``documents``; the last one returns token ids.  A row is a document: stages
+decide by row, so null ids and repeated ids or rows lose nothing but what the
+stage means to drop.  Null texts are empty ones (the language stage drops
+them); very long texts are processed whole; an empty table gives an empty one;
+other columns of the table go along unchanged up to the last stage.
 """
 
 from __future__ import annotations
@@ -72,9 +76,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and the scores of its four best segmentations."""
-    found = encode(docs, vocabulary("piece_bpe_32k.model"), n=4, keep=("lang", "source"))
-    return found.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_pieces"), F.transform("n_best", lambda p: p["score"]).alias("scores"))
+    """Ids of every document: those of the model's merges, those of the best path of its lattice, and the scores of the four best."""
+    found = encode(docs, vocabulary("piece_bpe_32k.model"), n=4, keep=("lang", "source"), merged=True)
+    return found.select("doc_id", "lang", "source", "merged_ids", "ids", F.size("ids").cast("bigint").alias("n_pieces"), F.transform("n_best", lambda p: p["score"]).alias("scores"))
 
 
 STAGES = [
