@@ -49,9 +49,8 @@ def share_out(children: DataFrame, parent: list[str]) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[tuple[str, ...], int], budget: Column, epochs: int) -> DataFrame:
     """Leaves (level columns, tokens, docs) with ``leaf_budget``; ``budget`` is a column over the sum ``total``."""
     node = leaves.withColumn("holds", F.col("tokens") * epochs)
-    total = W.partitionBy(F.lit(0))
-    node = node.withColumn("total", F.sum("tokens").over(total)).withColumn("root_holds", F.sum("holds").over(total))
-    node = node.withColumn("budget", F.least(budget.cast("bigint"), F.col("root_holds")))
+    node = node.withColumn("total", leaves.agg(F.sum("tokens")).scalar())
+    node = node.withColumn("budget", F.least(budget.cast("bigint"), F.col("total") * epochs))
     for depth in range(1, len(levels) + 1):
         path, parent = levels[:depth], levels[: depth - 1]
         children = node.groupBy(*path).agg(F.sum("holds").alias("holds"), F.first("budget").alias("budget"))
@@ -91,6 +90,9 @@ def mix(
     * null text: no tokens, taken with any prefix it lies in; null level: the
       node named by the empty string; null id: ordered as the empty string;
     * rows that repeat an id share its place: all or none of them are taken;
+      other ties don't occur, since orders are digests of ids;
+    * very long texts: counted whole; one that is longer than what is left of
+      its leaf's budget ends the leaf's prefix;
     * a budget beyond what the documents hold: everything is taken ``epochs`` times;
     * empty table: empty result; other columns, whatever their names, are ignored.
     """
@@ -103,7 +105,7 @@ def mix(
         (word_count(F.col(text_col)) if tokens is None else tokens.cast("bigint")).alias("n_tokens"),
     )
     counted = scratch.save(counted, "counted")
-    leaves = counted.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    leaves = scratch.save(counted.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaves")
     planned = leaf_budgets(leaves, names, weights, budget, epochs)
     planned = planned.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("leaf_budget div tokens")).otherwise(F.lit(epochs)).cast("int"))
     planned = planned.withColumn("left", F.col("leaf_budget") - F.col("whole") * F.col("tokens"))

@@ -85,12 +85,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-MIX_WEIGHTS = {("src0",): 3, ("src1",): 2, ("*", "en"): 4, ("*", "de"): 2, ("*", "fr"): 2}
+MIX_WEIGHTS = {("family0",): 3, ("family1",): 2, ("*", "en"): 4, ("*", "de"): 2, ("*", "fr"): 2}
 
 
 def mix_levels() -> dict[str, Column]:
-    """Domains are the families of sources with the same first four characters."""
-    return {"domain": F.col("source").substr(1, 4), "lang": F.col("lang"), "source": F.col("source")}
+    """Domains are four families of sources, by the number in the source's name; each holds several sources, none where there is no number."""
+    number = F.regexp_extract("source", r"(\d+)", 1).try_cast("int")
+    return {"domain": F.concat(F.lit("family"), (number % 4).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,13 +165,13 @@ FROM d WINDOW w AS (PARTITION BY body)
 """,
     "op9_source_mixing": r"""
 WITH d AS (
-  SELECT doc_id AS id, doc_id, coalesce(source[1:4], '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  SELECT doc_id AS id, doc_id, coalesce('family' || CAST(try_cast(regexp_extract(source, '(\d+)', 1) AS INTEGER) % 4 AS VARCHAR), '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
   FROM documents
 ), leaf AS (
   SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens, 2 * CAST(sum(n_tokens) AS HUGEINT) AS holds FROM d GROUP BY ALL
 ), a0 AS (
-  SELECT domain, domain AS name, sum(holds) AS holds, CASE domain WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 ELSE 1 END AS weight,
+  SELECT domain, domain AS name, sum(holds) AS holds, CASE domain WHEN 'family0' THEN 3 WHEN 'family1' THEN 2 ELSE 1 END AS weight,
          (SELECT least(CAST(floor(sum(tokens) * 3 / 4) AS HUGEINT), sum(holds)) FROM leaf) AS budget
   FROM leaf GROUP BY domain
 ), a1 AS (

@@ -415,7 +415,7 @@ def test_language_without_labels(spark):
 
 @pytest.mark.parametrize("share,epochs", [(0.3, 1), (0.9, 1), (1.6, 2), (9, 2)])
 def test_mixing_keeps_its_budgets(spark, share, epochs):
-    rows = mix(table(spark, CORPUS), mix_levels(), {("src0",): 5}, F.floor(F.col("total") * share), epochs=epochs, seed=3).collect()
+    rows = mix(table(spark, CORPUS), mix_levels(), {("family0",): 5}, F.floor(F.col("total") * share), epochs=epochs, seed=3).collect()
     total = sum(r.n_tokens for r in rows)
     budgets = {(r.domain, r.lang, r.source): r.leaf_budget for r in rows}
     assert sum(budgets.values()) <= min(total * share, total * epochs)
