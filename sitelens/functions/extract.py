@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .urls import has_user_info, host, is_http, normalize_url
 
-_ASSET = "STRUCT<type STRING,url STRING,alt STRING,external BOOLEAN,mixed BOOLEAN,width STRING,height STRING,is_async BOOLEAN,is_defer BOOLEAN>"
+_ASSET = "STRUCT<type STRING,url STRING,alt STRING,external BOOLEAN,mixed BOOLEAN,width STRING,height STRING,is_async BOOLEAN,is_defer BOOLEAN,loading STRING,media STRING,title STRING>"
 EVIDENCE = (
     "title STRING, meta_description STRING, h1 STRING, headings ARRAY<STRUCT<level INT,text STRING>>, canonical STRING, robots_meta STRING, language STRING, json_ld ARRAY<STRING>, "
     "text STRING, word_count INT, image_count INT, missing_alt INT, links ARRAY<STRUCT<href STRING,anchor STRING,rel STRING>>, hreflang ARRAY<STRUCT<language STRING,target STRING>>, "
@@ -56,6 +56,7 @@ class _Page(HTMLParser):
                 {
                     "type": kind, "url": url, "alt": a.get("alt"), "external": urlsplit(url).hostname != self.own, "mixed": self.https and url.lower().startswith("http:"),
                     "width": a.get("width"), "height": a.get("height"), "is_async": "async" in a, "is_defer": "defer" in a or a.get("type") == "module",
+                    "loading": a.get("loading"), "media": a.get("media"), "title": a.get("title"),
                 }
             )
 

@@ -120,7 +120,22 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(sets.join(after, "doc_id").select("doc_id", jaccard(F.col("s"), F.col("t")).alias("similarity")))
 
 
-@query("text_duplicate_issues")
+_CLUSTERS = f"""n AS (SELECT doc_id, coalesce({_NORM}, '') AS t FROM documents), h AS (SELECT t, min(doc_id) AS rep FROM n GROUP BY t),
+w AS (SELECT rep, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM h),
+s AS (SELECT rep, CASE WHEN len(w) < 3 THEN list_distinct(w) ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM w),
+u AS (SELECT rep, unnest(s) AS g FROM s), c AS (SELECT x.rep AS a, y.rep AS b, count(*) AS c FROM u x JOIN u y USING (g) WHERE x.rep < y.rep GROUP BY ALL),
+q AS (SELECT a, b, round_even(c / (len(x.s) + len(y.s) - c), 4) AS s FROM c JOIN s x ON x.rep = a JOIN s y ON y.rep = b), e AS (SELECT a, b FROM q WHERE s >= 0.85 UNION ALL SELECT b, a FROM q WHERE s >= 0.85),
+r AS (SELECT rep AS node, rep AS root FROM h UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), k AS (SELECT node, min(root) AS cluster FROM r GROUP BY node),
+low AS (SELECT x.cluster, min(coalesce(q.s, 0)) AS s FROM k x JOIN k y ON x.cluster = y.cluster AND x.node < y.node LEFT JOIN q ON q.a = x.node AND q.b = y.node GROUP BY x.cluster),
+clusters AS (SELECT cluster, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids, CAST(coalesce(min(low.s), 1) AS DOUBLE) AS similarity, coalesce(min(low.s), 1) = 1 AS exact
+  FROM n JOIN h USING (t) JOIN k ON node = rep LEFT JOIN low USING (cluster) GROUP BY cluster HAVING count(*) > 1)"""
+ORACLES["text_duplicate_clusters"] = f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM clusters"
+
+
+@query(
+    "text_duplicate_issues",
+    f"WITH RECURSIVE {_CLUSTERS} SELECT cluster AS page_id, CASE WHEN exact THEN 'DUPLICATE_CONTENT' ELSE 'NEAR_DUPLICATE_CONTENT' END AS code, 'Medium' AS severity, 'Content' AS category, replace(ids, ',', ', ') AS detail FROM clusters",
+)
 def text_duplicate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_issues(duplicate_clusters(read_table(spark, sf_dir, "documents")))
 
@@ -243,6 +258,16 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_links(pages, links).groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+_LINKED = r"""a AS (
+  SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS text FROM pages
+), l AS (
+  SELECT page_id AS source_id, lower(base) || regexp_replace(replace(href, '&amp;', '&'), '/+$', '') AS normalized_target, replace(replace(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS anchor FROM a WHERE starts_with(href, '/')
+)"""
+ORACLES["page_links"] = f"WITH {_LINKED} SELECT *, true AS is_internal, false AS is_nofollow FROM l"
+ORACLES["page_discovery"] = f"""WITH {_LINKED}, k AS ({ORACLES["page_normalized_urls"]}), f AS (SELECT DISTINCT source_id % 4 AS crawl_id, normalized_target AS normalized_url FROM l)
+SELECT crawl_id, normalized_url, CAST(1 AS INTEGER) AS depth FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.page_id % 4 = f.crawl_id AND k.normalized_url = f.normalized_url)"""
+
+
 # Robots
 
 _ROBOTS = """SELECT concat('s', CAST(s_suppkey AS STRING), '.example') AS host, s_suppkey, s_nationkey,

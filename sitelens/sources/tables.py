@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import csv_safe
 
-_ASSET = "STRUCT<type STRING,url STRING,alt STRING,external BOOLEAN,mixed BOOLEAN,width STRING,height STRING,is_async BOOLEAN,is_defer BOOLEAN>"
+_ASSET = "STRUCT<type STRING,url STRING,alt STRING,external BOOLEAN,mixed BOOLEAN,width STRING,height STRING,is_async BOOLEAN,is_defer BOOLEAN,loading STRING,media STRING,title STRING>"
 _HOP = "STRUCT<from_url STRING,to_url STRING,status INT,duration_ms BIGINT>"
 SCHEMAS = {
     "raw_page": f"crawl_id STRING, requested_url STRING, final_url STRING, status INT, content_type STRING, headers MAP<STRING,ARRAY<STRING>>, html STRING, duration_ms BIGINT, redirects ARRAY<{_HOP}>, depth INT",
