@@ -8,9 +8,9 @@ bucket, where sorting counts them exactly.
 
 A first pass counts the minimisers themselves.  A minimiser that occurs once in
 the corpus holds no repeated window, so its super-k-mer stays where it is.  The
-bucket of one that occurs very often is split: its super-k-mers are cut again by
-a second minimiser, equal strings are counted before the shuffle and travel
-once, and the windows are counted by sorting as before.  Both sets are handed
+bucket of one that occurs very often is split: equal super-k-mers are counted
+before the shuffle and go on once, the different ones are cut again by a second
+minimiser, and the windows are counted by sorting as before.  Both sets are handed
 to the tasks as bit tables of bounded size: a false hit only sends a super-k-mer
 that could have stayed, or splits a bucket that could have been whole.
 """
@@ -112,18 +112,10 @@ def _sender(tables):
             for part in pieces(batch, 1):
                 data, offsets = texts_of(part.column(1))
                 words = split(data, offsets, lower=False)
-                keys, start, stop, grams = cut(words)
+                keys, start, stop, _ = cut(words)
                 sent = hits(repeated, keys)
                 keys, start, stop = keys[sent], start[sent], stop[sent]
                 often = hits(hot, keys)
-                again = [_split(int(a), int(b), grams) for a, b in zip(start[often], stop[often], strict=True)]
-                size = np.ones(len(keys), dtype=np.int64)
-                size[often] = [len(x[0]) for x in again]
-                keys, often, start, stop = (np.repeat(x, size) for x in (keys, often, start, stop))
-                if again:
-                    second, first, behind = (np.concatenate([x[i] for x in again]) for i in range(3))
-                    keys[often] = mix(keys[often] + second * _FACTOR)
-                    start[often], stop[often] = first, behind
                 text = words.text[start]
                 docs = part.column(0).to_numpy()[text]
                 begin, end = words.start[start].tolist(), words.stop[stop + WINDOW - 2].tolist()
@@ -134,12 +126,23 @@ def _sender(tables):
     return run
 
 
-def _split(first: int, behind: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A run of windows cut again by a second order of grams: second minimisers, first windows, windows behind the last ones."""
-    own = mix(grams[first : behind + WINDOW - GRAM] + _FACTOR)
-    place = _least(own)
-    start, stop = _runs(place, np.ones(len(place), dtype=bool))
-    return own[place[start]], first + start, first + stop
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings (bucket, string, packed) cut into runs of windows that share a minimiser in a second order of grams, too."""
+    for batch in batches:
+        buckets, strings, starts, packed = [], [], [], []
+        for bucket, string, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            data = np.frombuffer(whole, dtype=np.uint8)
+            words = split(data, np.array([0, len(data)]), lower=False)
+            own = mix(mix(_rolled(words.hashes, GRAM)) + _FACTOR)
+            place = _least(own)
+            start, stop = _runs(place, np.ones(len(place), dtype=bool))
+            keys = mix(np.full(len(start), bucket, dtype=np.int64).view(np.uint64) + own[place[start]] * _FACTOR)
+            buckets.append(keys.view(np.int64))
+            strings += [string] * len(start)
+            starts += start.tolist()
+            packed += [whole[a:b] for a, b in zip(words.start[start].tolist(), words.stop[stop + WINDOW - 2].tolist(), strict=True)]
+        columns = [np.concatenate(buckets) if buckets else np.zeros(0, dtype=np.int64), np.array(strings, dtype=np.int64), np.array(starts, dtype=np.int64)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(packed, pa.binary())], ["bucket", "doc", "start", "packed"])
 
 
 class _Numbers(dict):
@@ -224,13 +227,13 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _hot_spans(scratch: Scratch, sent: DataFrame) -> DataFrame:
     """Spans (doc, start, stop) of repeated windows in split buckets.
 
-    All windows of a string that occurs more than once are repeated; strings
-    go to their buckets once each, and what is found there holds for all rows
-    that have the string.
+    All windows of a super-k-mer that occurs more than once are repeated; the
+    different ones go to the split buckets once each, and what is found there
+    holds for all rows that have the string.
     """
     strings = sent.groupBy("packed").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count(F.lit(1)).alias("n"), F.min("bucket").alias("bucket"))
     strings = scratch.save(strings.withColumn("string", F.monotonically_increasing_id()), "strings")
-    buckets = strings.select("bucket", F.col("string").alias("doc"), F.lit(0).cast("bigint").alias("start"), "packed").repartition("bucket").sortWithinPartitions("bucket")
+    buckets = strings.select("bucket", "string", "packed").mapInArrow(_split, "bucket bigint, doc bigint, start bigint, packed binary").repartition("bucket").sortWithinPartitions("bucket")
     inside = buckets.mapInArrow(_count_buckets, "doc bigint, start bigint, stop bigint").select(F.col("doc").alias("string"), F.col("start").alias("a"), F.col("stop").alias("b"))
     copies = strings.filter("n > 1").select("string", F.lit(0).cast("bigint").alias("a"), F.size(F.split(F.col("packed").cast("string"), " ")).cast("bigint").alias("b"))
     found = scratch.save(inside.join(copies.select("string"), "string", "left_anti").unionByName(copies), "inside")
