@@ -12,8 +12,8 @@ first n - ceil(0.75 n) + 1 words), so prefixes are all that is joined.
    allow the similarity (length filter), the words left behind the shared one
    can still make up the overlap (positional filter), and the 128-bit parities
    of the sets don't differ in more bits than the sets may differ in words.
-3. Pairs aren't listed.  Of each posting only the earlier partner that differs
-   least is handed on, and of each line only the best of those is verified on
+3. Pairs aren't listed.  Of each posting only the earlier partner that seems
+   most similar is handed on, and of each line only the best of those is verified on
    the whole lines; that settles nearly all lines that have a match.
 4. A line that isn't settled but had other partners meets all of them once more
    in blocks, by word, with the whole lines at hand.
@@ -255,7 +255,7 @@ def _packed(counts: Broadcast, n_blocks: int, limit: int):
 
 
 def near_postings(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one block: postings with a partner that passes all filters, the best earlier one (-1: none), how much it differs, and the number of earlier ones."""
+    """Of one block: postings with a partner that passes all filters, the best earlier one (-1: none), how far it lies from the threshold, and the number of earlier ones."""
     span = np.uint64((1 << 24) - 1)
     p = p | {"key": p["key"].astype(np.uint64)}
     order = np.argsort((p["key"] << np.uint64(24)) | np.minimum(p["n"].astype(np.uint64), span), kind="stable")
@@ -288,7 +288,9 @@ def near_postings(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
             near[x] = near[y] = True
             late = age[x] > age[y]
             later, first = np.where(late, x, y), np.where(late, y, x)
-            np.minimum.at(best, later, (differ << 40) | age[first])
+            # How far the pair lies from the threshold, as far as the parities tell; the oldest of equals.
+            over = np.maximum((100 + PERCENT) * differ - (100 - PERCENT) * both[fits], -(1 << 21)) + (1 << 21)
+            np.minimum.at(best, later, (over << 40) | age[first])
             earlier += np.bincount(later, minlength=m)
         at = to
     by_age = np.argsort(age)
@@ -371,7 +373,10 @@ def _settled(open_lines: DataFrame, near: DataFrame, words: DataFrame) -> DataFr
     tried = open_lines.select(*PLACE, F.col("e_doc").alias("tried_doc"), F.col("e_line").alias("tried_line"))
     keys = near.filter("earlier > 0").join(tried, PLACE).filter("earlier > 1 or e_doc <> tried_doc or e_line <> tried_line").select("key").distinct()
     rows = near.select("key", *PLACE).join(keys, "key", "left_semi").distinct()
-    parts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LINES).cast("int").alias("parts"))
+    # Words with the same lines tell the same: one of them stands for all (by a 128-bit digest of the lines).
+    digests = [F.bit_xor(F.xxhash64(*PLACE, F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    groups_of = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *digests).groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
+    parts = groups_of.select("key", F.ceil(F.col("n") / LINES).cast("int").alias("parts"))
     rows = rows.join(open_lines.select(*PLACE, F.lit(True).alias("open")), PLACE, "left").join(parts, "key")
     rows = rows.withColumn("i", F.pmod(F.xxhash64(*PLACE), F.col("parts")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(words, PLACE)
