@@ -30,8 +30,9 @@ from .documents import keyed
 from .words import Words, mix, pieces, split, texts_of
 
 WINDOW, GRAM = 35, 8
-#: Buckets of minimisers with more super-k-mers than this are split.
-HOT = 4_000
+#: Buckets of minimisers with more super-k-mers than this are split; it bounds what a task holds of one bucket (about
+#: 100 MB).  Splitting costs a row for each super-k-mer of the bucket in a join, so smaller buckets stay whole.
+HOT = 50_000
 #: Super-k-mers a bucket task sorts at a time.
 CHUNK = 8_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
