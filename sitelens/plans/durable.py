@@ -43,10 +43,17 @@ def partitions(spark: SparkSession, pattern: str) -> list[str]:
     return [str(f.getPath().toString()) for f in found] if found is not None else []
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows an Arrow batch holds at most, so that whole texts of any length fit a Python worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
+    """Rows and bytes an Arrow batch holds at most, so that whole texts of any length fit a Python worker's memory.
+
+    A session with lower bounds of its own keeps them.  The bounds stay in the
+    session, as results are computed after the call that plans them.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    held = re.fullmatch(r"(-?\d+)b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if held and not 0 < int(held[1]) <= size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 class Scratch:
