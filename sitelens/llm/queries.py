@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .embeddings import near_duplicate_vectors
 from .exact import exact_dedup
+from .filters import filter_masks, interactions
 from .language import language_id
 from .lines import dedup_lines
 from .minhash import near_duplicates
@@ -102,6 +103,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_masks(_table(spark, sf_dir, "documents"), F.col("source"))
+    return interactions(masks, _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash": op2_minhash,
@@ -113,6 +119,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
@@ -213,5 +220,47 @@ WITH d AS (
 SELECT doc_id, domain, lang, source, n_tokens, CAST(leaf_budget AS BIGINT) AS leaf_budget,
        CAST(least(whole + CASE WHEN seen <= rest THEN 1 ELSE 0 END, 2) AS BIGINT) AS copies
 FROM e
+""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE orders(filter_order, rest) AS (
+  SELECT '', 'ABCDE'
+  UNION ALL
+  SELECT filter_order || f, replace(rest, f, '') FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE contains(rest, f)
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS before
+  FROM orders, range(1, 6) t(step) WHERE length(filter_order) = 5
+), d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY body) AS first_id FROM d
+), m AS (
+  SELECT part, doc_id,
+         CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM w
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad
+  FROM m LEFT JOIN labels USING (doc_id) GROUP BY part, fails
+), r AS (
+  SELECT part, filter_order, step, n, good, bad, fails, f, contains(fails, f) AS failing,
+         length(translate(fails, before, '')) < length(fails) AS gone
+  FROM c, steps
+), s AS (
+  SELECT part, filter_order, step, any_value(f) AS f,
+         coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS kept,
+         coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (failing AND gone), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (failing AND NOT gone), 0) AS good_lost,
+         coalesce(sum(bad) FILTER (failing AND NOT gone), 0) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM s
 """,
 }
