@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import damaged, digests, repair
 from .embeddings import near_duplicate_vectors
 from .exact import exact_dedup
 from .filters import filter_masks, interactions
@@ -103,6 +104,15 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations")
+    found = repair(damaged(given))
+    key = lambda df: df.select(F.struct("conv_id").alias("conv"), *[c for c in df.columns if c != "conv_id"])
+    every = key(given.select("conv_id").distinct()).join(key(found.conversations), "conv", "left").join(key(digests(found.rows)), "conv", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv.conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = filter_masks(_table(spark, sf_dir, "documents"), F.col("source"))
     return interactions(masks, _table(spark, sf_dir, "labels"))
@@ -119,6 +129,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -220,6 +231,74 @@ WITH d AS (
 SELECT doc_id, domain, lang, source, n_tokens, CAST(leaf_budget AS BIGINT) AS leaf_budget,
        CAST(least(whole + CASE WHEN seen <= rest THEN 1 ELSE 0 END, 2) AS BIGINT) AS copies
 FROM e
+""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations
+), summed AS (
+  SELECT *, xor(list_reduce(
+           list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT)),
+           lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)),
+           4294967295), 4294967295) % 20 AS h
+  FROM named
+), dmg AS (
+  SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM summed, range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+), num AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM dmg
+), flt AS (
+  SELECT *, role[1] AS r,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS r0
+  FROM num
+), tot AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND r0 || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM flt GROUP BY conv_id
+), steps AS (
+  SELECT conv_id, i, r, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS t FROM flt
+), dp(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {'c': 0, 'a': ''}, {'c': 99999999, 'a': ''}, {'c': 99999999, 'a': ''}, {'c': 99999999, 'a': ''} FROM tot
+  UNION ALL
+  SELECT conv_id, i, {'c': w0.c + 4, 'a': w0.a || 'D'},
+         least({'c': w1.c + 4, 'a': w1.a || 'D'}, {'c': w0.c + t + ks, 'a': w0.a || 'K'}),
+         least({'c': w2.c + 4, 'a': w2.a || 'D'},
+               least({'c': w0.c + t + k, 'a': w0.a || e}, {'c': w1.c + t + k, 'a': w1.a || e}, {'c': w3.c + t + k, 'a': w3.a || e})),
+         least({'c': w3.c + 4, 'a': w3.a || 'D'}, {'c': w2.c + t + k3, 'a': w2.a || e3})
+  FROM (
+    SELECT conv_id, i, t, r, w0, w1, w2, least(w3, {'c': w2.c + 3, 'a': w2.a || 'I'}) AS w3,
+           CASE WHEN r = 's' AND NOT must THEN 0 ELSE 99999999 END AS ks,
+           CASE WHEN must THEN 99999999 WHEN r = 'u' THEN 0 ELSE 3 END AS k, CASE WHEN must THEN 99999999 WHEN r = 'a' THEN 0 ELSE 3 END AS k3,
+           CASE r WHEN 'u' THEN 'K' ELSE 'R' END AS e, CASE r WHEN 'a' THEN 'K' ELSE 'R' END AS e3
+    FROM (
+      SELECT dp.conv_id, s.i, s.t, s.r, s.must, v0 AS w0, v1 AS w1, v3 AS w3,
+             least(v2, {'c': v0.c + 3, 'a': v0.a || 'I'}, {'c': v1.c + 3, 'a': v1.a || 'I'}, {'c': v3.c + 3, 'a': v3.a || 'I'}) AS w2
+      FROM dp JOIN steps s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id AND s.i = dp.i + 1
+    )
+  )
+), best AS (
+  SELECT tot.*, least(v0, v3, {'c': v2.c + 3, 'a': v2.a || 'I'}, {'c': v1.c + 6, 'a': v1.a || 'II'}) AS b
+  FROM tot JOIN dp ON tot.conv_id IS NOT DISTINCT FROM dp.conv_id AND tot.n = dp.i
+), chars AS (
+  SELECT conv_id, b.a AS audit, p, b.a[p] AS ch, length(replace(b.a[1:p], 'I', '')) AS i,
+         length(replace(b.a[1:p], 'D', '')) AS at, length(replace(b.a, 'D', '')) AS m
+  FROM best, range(1, length(b.a) + 1) t(p)
+), lines AS (
+  SELECT c.conv_id, string_agg(
+           CASE c.ch WHEN 'K' THEN f.role ELSE CASE (c.at + c.m) % 2 WHEN 0 THEN 'assistant' ELSE 'user' END END || ':' || CASE c.ch WHEN 'I' THEN '' ELSE f.text END,
+           chr(10) ORDER BY p) AS body
+  FROM chars c LEFT JOIN flt f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = c.i WHERE c.ch <> 'D' GROUP BY c.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(CAST(b.b.c AS BIGINT), 0) AS cost, coalesce(b.b.a, '') AS audit, sha256(coalesce(l.body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
 """,
     "op13_filter_audit": r"""
 WITH RECURSIVE orders(filter_order, rest) AS (
