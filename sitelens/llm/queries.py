@@ -16,6 +16,7 @@ from .mixing import mix
 from .pieces import decode, encode
 from .substring import remove_repeats
 from .tokencount import count_tokens
+from .toxicity import toxicity
 from .urls import Rule, url_filter
 
 URL_RULES = [
@@ -104,6 +105,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations")
     found = repair(damaged(given))
@@ -129,6 +134,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_toxicity": op11_toxicity,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }
