@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.durable import Scratch
 
@@ -14,15 +15,21 @@ def unique(docs: DataFrame, id_col: str) -> bool:
     return (row["most"] or 0) <= 1
 
 
+def by_id(docs: DataFrame, id_col: str) -> bool:
+    """Whether ids can serve as keys: whole numbers, every one of a single row."""
+    return isinstance(docs.schema[id_col].dataType, T.IntegralType) and unique(docs, id_col)
+
+
 def keyed(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, doc, body) and the documents among them (doc, id, body), each once.
 
-    ``doc`` is the id itself where every id names one row.  Otherwise each
-    different pair of id and text, nulls included, is a document and gets a
-    number in the order of id and text; that takes a written copy of the texts.
+    ``doc`` is the id itself where ids are whole numbers and every one names one
+    row.  Otherwise each different pair of id and text, nulls included, is a
+    document and gets a number in the order of id and text; that takes a written
+    copy of the texts.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    if unique(docs, id_col):
+    if by_id(docs, id_col):
         rows = rows.select("id", F.col("id").cast("bigint").alias("doc"), "body")
         return rows, rows.select("doc", "id", "body")
     texts = rows.dropDuplicates(["id", "body"]).orderBy("id", "body").select(F.monotonically_increasing_id().alias("doc"), "id", "body")

@@ -20,7 +20,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import Scratch, fresh_path, partitions
+from ..plans.durable import Scratch, fresh_path, partitions, remove
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -62,6 +62,27 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 _NARROW = "id {kind}, digest {digest}, locator bigint, batch int"
 
 
+def _committed(spark: SparkSession, root: str) -> set[int]:
+    """Batches of calls that came to their end."""
+    return {int(p.rpartition("=")[2]) for p in partitions(spark, f"{root}/committed/batch=*")}
+
+
+def _rolled_back(spark: SparkSession, root: str, schema: str, files_per_trigger: int) -> int:
+    """Undo what a failed call left in a state folder; the number of the next batch.
+
+    The rows of such a call may be in the state already, which can't forget
+    them; so the state is built anew from the arrivals of the other calls.
+    """
+    done = _committed(spark, root)
+    left = [p for p in partitions(spark, f"{root}/arrivals/batch=*") if int(p.rpartition("=")[2]) not in done]
+    if left:
+        for path in [*left, f"{root}/state", f"{root}/seen"]:
+            remove(spark, path)
+        if done:
+            _state_of(spark, root, schema, max(done), files_per_trigger)
+    return max(done, default=-1) + 1
+
+
 def _state_of(spark: SparkSession, root: str, schema: str, batch: int, files_per_trigger: int) -> DataFrame:
     """Run new arrivals through the keyed state; a row for each of their digests with its first arrival and count so far."""
     out = f"{root}/seen/batch={batch}"
@@ -108,7 +129,8 @@ def exact_dedup(
     ``state`` names a folder that all executors share: rows of earlier calls
     with the same folder count in the groups, and lead them if their id is
     smaller; only the rows of this call are returned.  Without it each call
-    stands alone.
+    stands alone.  A batch counts once its call has ended: what a failed call
+    left behind is undone by the next one.  Calls on one folder take turns.
 
     * null text: as empty; all empty texts form one group;
     * very long texts: compared whole;
@@ -119,15 +141,16 @@ def exact_dedup(
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     root = (state or fresh_path(spark, "exact-arrivals")).rstrip("/")
-    batch = len(partitions(spark, f"{root}/arrivals/batch=*"))
-    path = f"{root}/arrivals/batch={batch}"
     carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
     source = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"), carried.alias("carried"))
     arrived = source.select("id", digest(F.col("body")).alias("digest"), sha256(F.col("body")).alias("sha"), F.monotonically_increasing_id().alias("locator"), "carried", "body")
+    kinds = dict(arrived.dtypes)
+    narrow = _NARROW.format(kind=kinds["id"], digest=kinds["digest"])
+    batch = _rolled_back(spark, root, narrow, files_per_trigger) if state else 0
+    path = f"{root}/arrivals/batch={batch}"
     arrived.write.option("compression", "zstd").parquet(path)
     arrivals = spark.read.schema(arrived.schema).parquet(path).withColumn("batch", F.lit(batch))
-    kinds = dict(arrived.dtypes)
-    found = _state_of(spark, root, _NARROW.format(kind=kinds["id"], digest=kinds["digest"]), batch, files_per_trigger)
+    found = _state_of(spark, root, narrow, batch, files_per_trigger)
     found = scratch.save(found, "state")
     hits = found.filter("n > 1").select("digest", "oldest.batch", "oldest.locator")
     few = hits.count() <= BROADCAST_ROWS
@@ -147,6 +170,8 @@ def exact_dedup(
         # Equal digest, different bytes: the whole text decides for these rows.
         every = spark.read.schema(arrivals.schema).parquet(f"{root}/arrivals") if batch else arrivals
         rows = rows.join(collisions, "digest", "left_anti").unionByName(_by_text(scratch, every, arrivals, collisions))
+    if state:
+        spark.range(1).write.mode("overwrite").parquet(f"{root}/committed/batch={batch}")
     return rows.select(
         F.col("id").alias(id_col),
         *[F.col("carried")[c].alias(c) for c in keep],

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..operators.groups import groups
 from ..plans.durable import Scratch, small_batches
-from .documents import keyed, unique
+from .documents import by_id, keyed
 from .words import Words, mix, pieces, split, texts_of
 
 BUCKETS, MANTISSA, ROWS = 256, 10, 5
@@ -286,15 +286,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = connected_components(links.unionByName(more))
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     found = sketch.select("id", "n", "digest").join(of_class, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    if unique(docs, id_col):
+    if by_id(docs, id_col):
         rows = found.select("id", "n", "component", F.col("id").alias("own"))
     else:  # from document numbers back to ids; the numbers follow the ids, so the smallest stays the smallest
         keys = named.select("id", "doc").distinct()
         lead = keys.select(F.col("doc").alias("component"), F.col("id").alias("lead"))
         numbers = found.filter("id is not null").withColumnRenamed("id", "doc").join(lead, "component").select("doc", "n", F.col("lead").alias("component"))
         rows = named.filter("id is not null").select("id", "doc").join(numbers, "doc").select("id", "n", "component", F.col("id").alias("own"))
-        nameless = named.filter("id is null").select("id", "body")
-        counted = sketches(nameless).select("id", "n", F.lit(None).cast("bigint").alias("component"), F.lit(None).cast("bigint").alias("own"))
+        nameless = named.filter("id is null").select(F.lit(None).cast("bigint").alias("id"), "body")
+        counted = sketches(nameless).select(F.lit(None).cast(dict(named.dtypes)["id"]).alias("id"), "n", F.lit(None).cast(dict(named.dtypes)["id"]).alias("component"), F.lit(None).cast(dict(named.dtypes)["id"]).alias("own"))
         rows = rows.unionByName(counted)
     return rows.select(
         F.col("id").alias(id_col),

@@ -1,21 +1,26 @@
 """Words of whole texts as 64-bit hashes, found for all texts of a batch at once.
 
 A word is a run of bytes other than space, tab, LF, VT, FF and CR.  Its hash is
-a polynomial of its bytes, taken from running sums over the batch, so no word
-is ever an object of its own.  Texts of any length are hashed in segments of
-bounded size.
+a polynomial of its bytes, taken from running sums over the batch, so hardly
+any word is ever an object of its own.  Polynomials modulo a power of two have
+equal values for certain long words, whatever the base is; so words of more
+than ``LONG`` bytes are hashed by BLAKE2b instead.  Texts of any length are
+hashed in segments of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at a time, and of texts handed on together.
 SEGMENT, TOGETHER = 1 << 19, 1 << 21
+#: Longest word, in bytes, that its polynomial stands for.
+LONG = 128
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,6 +79,9 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
         s = start[at:to] - begin
         hashes[at:to] = mix((sums[stop[at:to] - begin] - sums[s]) * inverse[s])
         at = to
+    for i in np.flatnonzero(stop - start > LONG):
+        word = (values[data[start[i] : stop[i]]] - np.uint64(1)).astype(np.uint8)
+        hashes[i] = int.from_bytes(blake2b(word.tobytes(), digest_size=8).digest(), "little")
     first = np.searchsorted(start, offsets)
     return Words(hashes, start, stop, np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first)
 

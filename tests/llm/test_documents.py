@@ -426,3 +426,59 @@ def test_mixing_keeps_its_budgets(spark, share, epochs):
         assert taken <= budget and all(0 <= r.copies <= epochs for r in own)
         longest = max((r.n_tokens for r in own), default=0)
         assert taken + longest >= min(budget, sum(r.n_tokens for r in own) * epochs)
+
+
+def thue_morse(n, swapped=False):
+    """Two such words have equal polynomials modulo 2^64 for every odd base."""
+    letters = "ba" if swapped else "ab"
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_made_to_collide_stay_apart(spark, size):
+    texts = [thue_morse(size), thue_morse(size, swapped=True)]
+    docs = table(spark, list(enumerate(texts)))
+    assert all(r.component_id == r.doc_id and r.kept for r in near_duplicates(docs).collect())
+    lines = table(spark, [(0, "\n".join(texts)), (1, "\n".join(f"{t} tail of five more words" for t in texts))])
+    assert {r.n_removed for r in dedup_lines(lines).collect()} == {0}
+
+
+def test_string_ids(spark):
+    rows = [(f"id-{i}", t) for i, t in CORPUS[:40]]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    plain = table(spark, CORPUS[:40])
+    for f, value in ((dedup_lines, "n_removed"), (near_duplicates, "kept"), (remove_repeats, "n_removed")):
+        found = {r.doc_id: r[value] for r in f(docs).collect()}
+        want = {f"id-{r.doc_id}": r[value] for r in f(plain).collect()}
+        assert set(found) == set(want)
+        if f is remove_repeats:
+            assert found == want
+        else:  # of a group the least id stays, and strings are ordered otherwise
+            assert sum(map(int, found.values())) == sum(map(int, want.values()))
+
+
+def test_exact_state_after_a_failed_call(spark, tmp_path, monkeypatch):
+    """A call that fails in any place counts for nothing; the one after it counts each row once."""
+    from sitelens.llm import exact
+
+    state = f"file://{tmp_path}/state"
+    first, second = CORPUS[:20], CORPUS[10:40]
+    for broken in ("_state_of", "partitions"):
+        own = f"{state}-{broken}"
+        exact_dedup(table(spark, first), state=own).collect()
+        real = exact._state_of
+
+        def fails(*given, real=real, broken=broken):
+            if broken == "partitions":
+                real(*given)  # the state has the rows already
+            raise OSError("lost")
+
+        monkeypatch.setattr(exact, "_state_of", fails)
+        with pytest.raises(OSError, match="lost"):
+            exact_dedup(table(spark, second), state=own)
+        monkeypatch.setattr(exact, "_state_of", real)
+        found = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(table(spark, second), state=own).collect()}
+        norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+        for i, t in second:
+            same = [j for j, u in first + second if norm(u) == norm(t)]
+            assert found[i] == (min(same), len(same)), (broken, i)
