@@ -1,4 +1,9 @@
-"""Distributed HTML evidence extraction: a small parser per page, run over Arrow batches by Spark."""
+"""Distributed HTML evidence extraction: a small parser per page, run over Arrow batches by Spark.
+
+Batches are bounded in bytes on the way in and out.  Any markup gives a row: a
+page whose address or markup can't be read has null evidence for what is
+missing and says why in ``error``.
+"""
 
 from __future__ import annotations
 
@@ -7,158 +12,229 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import small_batches
 from .urls import has_user_info, host, is_http, normalize_url
 
 _ASSET = "STRUCT<type STRING,url STRING,alt STRING,external BOOLEAN,mixed BOOLEAN,width STRING,height STRING,is_async BOOLEAN,is_defer BOOLEAN,loading STRING,media STRING,title STRING>"
 EVIDENCE = (
     "title STRING, meta_description STRING, h1 STRING, headings ARRAY<STRUCT<level INT,text STRING>>, canonical STRING, robots_meta STRING, language STRING, json_ld ARRAY<STRING>, "
     "text STRING, word_count INT, image_count INT, missing_alt INT, links ARRAY<STRUCT<href STRING,anchor STRING,rel STRING>>, hreflang ARRAY<STRUCT<language STRING,target STRING>>, "
-    f"open_graph MAP<STRING,STRING>, twitter MAP<STRING,STRING>, assets ARRAY<{_ASSET}>"
+    f"open_graph MAP<STRING,STRING>, twitter MAP<STRING,STRING>, assets ARRAY<{_ASSET}>, error STRING"
 )
+#: Bytes of evidence handed on together.
+TOGETHER = 4 << 20
 _WORD = re.compile(r"[^\W_]+")
-_SKIPPED = {"script", "style", "noscript", "template"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements that may stand before the body; anything else opens it.
+_HEAD = {"html", "head", "title", "meta", "link", "script", "style", "base", "noscript", "template"}
+_HEADING = re.compile("h[1-6]")
+#: Declarations other than comments and document types are comments that end at the next bracket.
+_BOGUS = re.compile(r"<!(?!--|doctype)[^>]*>?", re.IGNORECASE)
+_LARGEST_ANCHOR = 500
+
 
+def _clean(text: str | None) -> str | None:
+    return " ".join((text or "").split()) or None
 
-def _clean(text: str) -> str:
-    return " ".join(text.split())
+
+def _host(url: str) -> str | None:
+    try:
+        return urlsplit(url).hostname
+    except ValueError:
+        return None
 
 
 class _Page(HTMLParser):
-    """Collects what the rules need while the tags go by."""
+    """Collects what the rules need while the tags go by; an element's text is what the pieces from its start on hold."""
 
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
-        self.url, self.https, self.own = url, url.lower().startswith("https:"), urlsplit(url).hostname
+        self.url, self.https, self.own = url, url.lower().startswith("https:"), _host(url)
         self.row = {
             "title": None, "meta_description": None, "h1": None, "headings": [], "canonical": None, "robots_meta": None, "language": None, "json_ld": [],
             "image_count": 0, "missing_alt": 0, "links": [], "hreflang": [], "open_graph": {}, "twitter": {}, "assets": [],
         }
-        self.body: list[str] = []
-        self.open: list[tuple[str, list[str], dict]] = []  # elements whose text is wanted
-        self.skipping = ""
-        self.in_body = False
+        self.pieces: list[str] = []
+        self.open: list[tuple[str, int, dict]] = []  # elements whose text is wanted, and where it starts
+        self.body: int | None = None
+        self.templates = 0
+        self.seen: set[str] = set()
 
     def absolute(self, href: str | None) -> str | None:
         try:
-            return urljoin(self.url, href.strip()) if href and href.strip() else None
+            return None if href is None else urljoin(self.url, href.strip())
         except ValueError:
             return None
 
-    def asset(self, kind: str, href: str | None, a: dict) -> None:
-        url = self.absolute(href)
-        if url:
+    def first(self, what: str) -> bool:
+        """Whether this is the first element of a kind; the others count for nothing."""
+        new = what not in self.seen
+        self.seen.add(what)
+        return new
+
+    def asset(self, kind: str, href: str | None, a: dict, alt: str | None = None) -> None:
+        url = self.absolute(href) if (href or "").strip() else None
+        if url and url.lower().startswith(("http:", "https:")):
+            script = kind == "Script"
             self.row["assets"].append(
                 {
-                    "type": kind, "url": url, "alt": a.get("alt"), "external": urlsplit(url).hostname != self.own, "mixed": self.https and url.lower().startswith("http:"),
-                    "width": a.get("width"), "height": a.get("height"), "is_async": "async" in a, "is_defer": "defer" in a or a.get("type") == "module",
+                    "type": kind, "url": url, "alt": alt, "external": _host(url) != self.own, "mixed": self.https and url.lower().startswith("http:"),
+                    "width": a.get("width"), "height": a.get("height"), "is_async": script and "async" in a, "is_defer": script and "defer" in a,
                     "loading": a.get("loading"), "media": a.get("media"), "title": a.get("title"),
                 }
             )
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k.lower(): v or "" for k, v in reversed(attrs)}
-        row = self.row
-        if tag == "html":
-            row["language"] = a.get("lang") or row["language"]
-        elif tag == "body":
-            self.in_body = True
-        elif tag == "meta":
-            name, content = (a.get("name") or a.get("property") or "").lower(), a.get("content", "")
-            if name == "description" and row["meta_description"] is None:
-                row["meta_description"] = content
-            elif name == "robots" and row["robots_meta"] is None:
-                row["robots_meta"] = content
-            elif name.startswith("og:"):
-                row["open_graph"].setdefault(name, content)
-            elif name.startswith("twitter:"):
-                row["twitter"].setdefault(name, content)
-        elif tag == "link":
-            rel, target = a.get("rel", "").lower().split(), self.absolute(a.get("href"))
-            if "canonical" in rel and row["canonical"] is None:
-                row["canonical"] = target
-            if "alternate" in rel and a.get("hreflang") and target and (pair := {"language": a["hreflang"], "target": target}) not in row["hreflang"]:
-                row["hreflang"].append(pair)
-            if "stylesheet" in rel:
-                self.asset("Stylesheet", a.get("href"), a)
-            elif "preload" in rel and a.get("as") == "font":
-                self.asset("Font", a.get("href"), a)
-        elif tag == "img":
-            row["image_count"] += 1
-            row["missing_alt"] += not a.get("alt", "").strip()
-            self.asset("Image", a.get("src"), a)
-        elif tag == "iframe":
-            self.asset("Iframe", a.get("src"), a)
-        elif tag == "script" and a.get("src"):
-            self.asset("Script", a["src"], a)
-        if tag in _SKIPPED:
-            self.skipping = tag
-        wanted = tag in ("title", "a") or re.fullmatch("h[1-6]", tag) or (tag == "script" and a.get("type", "").lower() == "application/ld+json")
-        if wanted and tag not in _VOID:
-            self.open.append((tag, [], a))
+        if tag == "template":
+            self.templates += 1
+        if self.templates:
+            return
+        if tag == "body" or (self.body is None and tag not in _HEAD):
+            self.body = len(self.pieces) if self.body is None else self.body
+        getattr(self, f"on_{tag}", lambda a: None)(a)
+        heading = _HEADING.fullmatch(tag)
+        if tag in ("title", "a") or heading or (tag == "script" and a.get("type", "").lower() == "application/ld+json"):
+            # A link ends the link before it, a heading the heading before it.
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i][0] == tag == "a" or (heading and _HEADING.fullmatch(self.open[i][0])):
+                    self.close_at(i)
+                    break
+            self.open.append((tag, len(self.pieces), a))
+
+    def on_html(self, a: dict) -> None:
+        if self.first("html"):
+            self.row["language"] = a.get("lang")
+
+    def on_meta(self, a: dict) -> None:
+        name, key, content = a.get("name", ""), a.get("property", ""), a.get("content")
+        if name.lower() == "description" and self.first("description"):
+            self.row["meta_description"] = _clean(content)
+        elif name.lower() == "robots" and self.first("robots"):
+            self.row["robots_meta"] = _clean(content)
+        if content is not None:
+            if key.lower().startswith("og:") and self.first(key.lower()):
+                self.row["open_graph"][key] = content
+            if name.lower().startswith("twitter:") and self.first(name.lower()):
+                self.row["twitter"][name] = content
+
+    def on_link(self, a: dict) -> None:
+        rel, target = a.get("rel", "").lower().split(), self.absolute(a.get("href"))
+        if "canonical" in rel and self.first("canonical"):
+            self.row["canonical"] = target or a.get("href")
+        if "alternate" in rel and "hreflang" in a and target and target.lower().startswith(("http:", "https:")):
+            pair = {"language": a["hreflang"].strip(), "target": target}
+            if pair not in self.row["hreflang"]:
+                self.row["hreflang"].append(pair)
+        if "stylesheet" in rel:
+            self.asset("Stylesheet", a.get("href"), a)
+        if "preload" in rel and a.get("as", "").lower() == "font":
+            self.asset("Font", a.get("href"), a)
+
+    def on_img(self, a: dict) -> None:
+        self.row["image_count"] += 1
+        self.row["missing_alt"] += not a.get("alt", "").strip()
+        self.asset("Image", a.get("src"), a, _clean(a.get("alt")))
+
+    def on_iframe(self, a: dict) -> None:
+        self.asset("Iframe", a.get("src"), a, a.get("title"))
+
+    def on_script(self, a: dict) -> None:
+        self.asset("Script", a.get("src"), a)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == self.skipping:
-            self.skipping = ""
+        if tag == "template":
+            self.templates = max(0, self.templates - 1)
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                _, parts, a = self.open.pop(i)
-                self.closed(tag, "".join(parts), a)
+                self.close_at(i)
                 break
 
-    def closed(self, tag: str, text: str, a: dict) -> None:
-        row = self.row
+    def close_at(self, i: int) -> None:
+        tag, start, a = self.open.pop(i)
+        text, row = "".join(self.pieces[start:]), self.row
         if tag == "title":
-            row["title"] = _clean(text) if row["title"] is None else row["title"]
+            if self.first("title"):
+                row["title"] = _clean(text)
         elif tag == "script":
             if text.strip():
                 row["json_ld"].append(text.strip())
         elif tag == "a":
-            if a.get("href"):
-                row["links"].append({"href": self.absolute(a["href"]), "anchor": _clean(text)[:500], "rel": a.get("rel")})
+            if "href" in a:
+                row["links"].append({"href": self.absolute(a["href"]), "anchor": (_clean(text) or "")[:_LARGEST_ANCHOR], "rel": a.get("rel")})
         elif _clean(text):
-            row["headings"].append({"level": int(tag[1]), "text": _clean(text)})
-            if tag == "h1" and row["h1"] is None:
-                row["h1"] = _clean(text)
+            row["headings"].append((start, {"level": int(tag[1]), "text": _clean(text)}))
 
     def handle_data(self, data: str) -> None:
-        for _, parts, _ in self.open:
-            parts.append(data)
-        if self.in_body and not self.skipping:
-            self.body.append(data)
+        if self.templates:
+            return
+        if self.body is None and data.strip() and not self.open and self.cdata_elem is None and self.lasttag not in ("title", "noscript"):
+            self.body = len(self.pieces)
+        self.pieces.append(data)
+
+    def result(self) -> dict:
+        while self.open:  # elements that were never closed
+            self.close_at(len(self.open) - 1)
+        row = self.row
+        row["headings"] = [h for _, h in sorted(row["headings"], key=lambda x: x[0])]
+        row["h1"] = next((h["text"] for h in row["headings"] if h["level"] == 1), None)
+        text = _clean("".join(self.pieces[self.body :])) if self.body is not None else None
+        return row | {"text": text or "", "word_count": len(_WORD.findall(text or ""))}
 
 
 def page_row(url: str | None, html: str | None) -> dict:
-    """Evidence of one page; an empty page for null html."""
-    page = _Page(url or "")
-    page.feed(html or "")
-    page.close()
-    while page.open:  # elements that were never closed
-        tag, parts, a = page.open.pop()
-        page.closed(tag, "".join(parts), a)
-    text = _clean(" ".join(page.body))
-    return page.row | {"text": text, "word_count": len(_WORD.findall(text))}
+    """Evidence of one page; an empty page for null html, nulls and the reason if it can't be read."""
+    try:
+        page = _Page(url or "")
+        page.feed(_BOGUS.sub("", html or ""))
+        page.close()
+        row = page.result() | {"error": None}
+    except (AssertionError, ValueError, RecursionError) as e:
+        return {"error": f"{type(e).__name__}: {e}"}
+    try:
+        urlsplit(url or "")
+    except ValueError as e:
+        row["error"] = f"url: {e}"
+    return row
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Evidence columns of every raw page, keyed by ``id_col`` and url."""
+    """Evidence columns of every raw page, keyed by ``id_col`` and url.
+
+    Texts are the text content of elements, as a parser of documents gives it:
+    nothing is put between the parts, scripts and styles of the body count, and
+    templates don't.
+    """
+    spark = pages.sparkSession
+    small_batches(spark)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    names = [f.split(" ", 1)[0] for f in ("title", "meta_description", "h1", "headings", "canonical", "robots_meta", "language", "json_ld", "text", "word_count", "image_count", "missing_alt", "links", "hreflang", "open_graph", "twitter", "assets")]
-    kind = rows.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url STRING, {EVIDENCE}"
+    arrow = spark.createDataFrame([], schema).toArrow().schema
+    names = arrow.names[2:]
+
+    def batch_of(ids: list, urls: list, found: list[dict]) -> pa.RecordBatch:
+        columns = [ids, urls, *[[r.get(n) for r in found] for n in names]]
+        maps = {"open_graph", "twitter"}
+        return pa.RecordBatch.from_arrays([pa.array([None if v is None else list(v.items()) for v in c] if f.name in maps else c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [page_row(u, h) for u, h in zip(batch["url"], batch["html"], strict=True)]
-            out = pd.DataFrame(found, columns=names)
-            out.insert(0, "url", batch["url"].to_numpy())
-            out.insert(0, "page_id", batch["page_id"].to_numpy())
-            yield out
+            ids, urls, found, size = [], [], [], 0
+            for i, url, html in zip(*[batch.column(c) for c in range(3)], strict=True):  # one page at a time leaves Arrow
+                ids.append(i.as_py())
+                urls.append(url.as_py())
+                found.append(page_row(urls[-1], html.as_py()))
+                size += len(found[-1].get("text") or "") + 1_000
+                if size > TOGETHER:
+                    yield batch_of(ids, urls, found)
+                    ids, urls, found, size = [], [], [], 0
+            if found:
+                yield batch_of(ids, urls, found)
 
-    return rows.mapInPandas(run, f"page_id {kind}, url STRING, {EVIDENCE}")
+    return rows.mapInArrow(run, schema)
 
 
 def page_links(evidence: DataFrame) -> DataFrame:

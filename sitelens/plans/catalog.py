@@ -17,7 +17,7 @@ from ..plans.durable import fresh_path
 from ..sources import ingest
 from ..sources.tables import read_table
 from ..streaming import streams
-from . import accounts, audit, competitors, keywords, snapshots, visibility
+from . import accounts, audit, competitors, keywords, snapshots
 from .expected import rule_ctes
 from .registry import ORACLES, QUERIES, plain, query
 from .views import ctes, rule_pages, view
@@ -124,12 +124,6 @@ def page_site_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return competitors.site_metrics(pages, "crawl_id").drop("internal_links")
 
 
-@query("page_extraction")
-def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract_pages(read_table(spark, sf_dir, "pages"))
-    return found.select("page_id", "title", "h1", "language", "word_count", F.size("headings").alias("headings"), F.size("links").alias("links"), F.size("assets").alias("assets"))
-
-
 @query("page_links")
 def extracted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_links(extract_pages(read_table(spark, sf_dir, "pages"))).select("source_id", "normalized_target", "anchor", "is_internal", "is_nofollow")
@@ -156,14 +150,6 @@ def page_normalized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", normalize_url(F.col("url")).alias("normalized_url"))
 
 
-@query("site_visibility")
-def site_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = extract_pages(read_table(spark, sf_dir, "pages")).withColumn("crawl_id", F.col("page_id") % 4)
-    signals = visibility.ai_page_signals(evidence)
-    known = signals.select("crawl_id", F.lit("70.0").cast("decimal(5,1)").alias("crawlability"))
-    return plain(visibility.ai_scores(signals, known))
-
-
 # Documents: readability, key terms, duplicates
 
 

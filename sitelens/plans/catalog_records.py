@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.evidence import is_indexable, question_heading, structured_data
-from ..functions.extract import extract_pages, page_assets, page_meta
+from ..functions.extract import extract_pages
 from ..functions.text import STOP_WORDS, content_hash, csv_safe, jaccard, normalize_text, shingles
 from ..functions.urls import is_wildcard_query
 from ..operators import evidence, robots
@@ -31,7 +31,7 @@ __all__ = ["ORACLES", "QUERIES"]
 _WORD = r"[\p{L}\p{N}]+(?:[\x{200C}-][\p{L}\p{N}]+)*"
 _NORM = r"trim(regexp_replace(regexp_replace(translate(lower(nfc_normalize(text)), 'يىك', 'ییک'), '[\p{Mn}ـ]', '', 'g'), '[^\p{L}\p{N}\x{200C}]+', ' ', 'g'))"
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_TERMS = rf"""ws AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{_WORD}'), lambda x: lower(x)) AS w FROM documents),
+TERMS = rf"""ws AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{_WORD}'), lambda x: lower(x)) AS w FROM documents),
 us AS (SELECT doc_id, len(w) AS total, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM ws),
 vs AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY p) AS b FROM us),
 ts AS (
@@ -44,10 +44,10 @@ terms AS (
   SELECT doc_id, term, size, n, d / 100.0 AS density, CASE WHEN size = 1 THEN d >= 350 AND n >= 4 ELSE d >= 250 AND n >= 3 END AS stuffing,
          row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, d DESC, size, term) AS rank FROM ds QUALIFY rank <= 30
 )"""
-ORACLES["text_key_terms"] = f"WITH {_TERMS} SELECT doc_id, term, n, CAST(density AS DOUBLE) AS density, CAST(size AS BIGINT) AS size, stuffing, rank FROM terms"
+ORACLES["text_key_terms"] = f"WITH {TERMS} SELECT doc_id, term, n, CAST(density AS DOUBLE) AS density, CAST(size AS BIGINT) AS size, stuffing, rank FROM terms"
 QUERIES["text_key_terms"] = lambda spark, sf_dir, f=QUERIES["text_key_terms"]: plain(f(spark, sf_dir))
 
-_READ = rf"""rs AS (
+READS = rf"""rs AS (
   SELECT doc_id, source, text, trim(text, E' \t\n\r\v\f') = '' AS empty, len(regexp_extract_all(text, '{_WORD}')) AS words,
          list_filter(string_split(regexp_replace(text, '([.!?؟;\n])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, E' \t\n\r\v\f') <> '') AS parts,
          greatest(len(list_filter(string_split(replace(text, E'\r\n\r\n', E'\n\n'), E'\n\n'), lambda x: x <> '')), 1) AS paragraphs FROM documents
@@ -62,7 +62,7 @@ _READ = rf"""rs AS (
          CASE WHEN empty THEN 0 ELSE long_sentences END AS long_sentences, CASE WHEN empty THEN 0 ELSE long_share END AS long_share, CASE WHEN empty THEN 0 ELSE paragraphs END AS paragraphs,
          CASE WHEN empty THEN 0 ELSE score END AS score, CASE WHEN empty OR score < 35 THEN 'VeryDifficult' WHEN score >= 75 THEN 'Easy' WHEN score >= 55 THEN 'Standard' ELSE 'Difficult' END AS grade FROM rd
 )"""
-ORACLES["text_readability"] = f"""WITH {_READ} SELECT doc_id, CAST(words AS BIGINT) AS words, CAST(sentences AS BIGINT) AS sentences, CAST(average_sentence AS DOUBLE) AS average_sentence, CAST(long_sentences AS BIGINT) AS long_sentences,
+ORACLES["text_readability"] = f"""WITH {READS} SELECT doc_id, CAST(words AS BIGINT) AS words, CAST(sentences AS BIGINT) AS sentences, CAST(average_sentence AS DOUBLE) AS average_sentence, CAST(long_sentences AS BIGINT) AS long_sentences,
   CAST(long_share AS DOUBLE) AS long_share, CAST(paragraphs AS BIGINT) AS paragraphs, CAST(score AS DOUBLE) AS score, grade FROM reads"""
 
 
@@ -73,14 +73,14 @@ def _readability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["text_readability"] = _readability
-ORACLES["text_content_summary"] = f"""WITH {_READ}, {_TERMS}, st AS (SELECT doc_id, bool_or(stuffing) AS s FROM terms GROUP BY doc_id)
+ORACLES["text_content_summary"] = f"""WITH {READS}, {TERMS}, st AS (SELECT doc_id, bool_or(stuffing) AS s FROM terms GROUP BY doc_id)
 SELECT source AS crawl_id, count(*) AS pages, CAST(sum(words) AS BIGINT) AS words, CAST(round_even(CAST(avg(score) AS DOUBLE), 1) AS DOUBLE) AS mean_score, count(*) FILTER (words < 150) AS thin_pages, count(*) FILTER (coalesce(s, false)) AS stuffing_pages
 FROM reads LEFT JOIN st USING (doc_id) GROUP BY source"""
 
 
 @query(
     "text_rules",
-    f"""WITH {_READ}, {_TERMS}, st AS (SELECT doc_id, bool_or(stuffing) AS s FROM terms GROUP BY doc_id), p AS (SELECT *, coalesce(s, false) AS stuffed FROM reads LEFT JOIN st USING (doc_id))
+    f"""WITH {READS}, {TERMS}, st AS (SELECT doc_id, bool_or(stuffing) AS s FROM terms GROUP BY doc_id), p AS (SELECT *, coalesce(s, false) AS stuffed FROM reads LEFT JOIN st USING (doc_id))
 SELECT source AS crawl_id, doc_id AS page_id, 'KEYWORD_STUFFING' AS code, words >= 100 AND stuffed AS triggered, 'High' AS severity, 'Content' AS category, CAST(stuffed AS VARCHAR) AS actual FROM p
 UNION ALL SELECT source, doc_id, 'CONTENT_LONG_SENTENCES', words >= 100 AND sentences >= 4 AND long_share > 30, 'Low', 'Content', format('{{:.1f}}', CAST(long_share AS DOUBLE)) FROM p
 UNION ALL SELECT source, doc_id, 'THIN_CONTENT', words BETWEEN 1 AND 149, 'Medium', 'Content', CAST(words AS VARCHAR) FROM p""",
@@ -172,17 +172,6 @@ def page_titles_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("h1", F.lit("")).alias("h1"))
 
 
-@query("page_asset_list")
-def page_asset_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_assets(extract_pages(read_table(spark, sf_dir, "pages")))
-
-
-@query("page_meta_data")
-def page_meta_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page_meta(extract_pages(read_table(spark, sf_dir, "pages")))
-    return found.select("page_id", F.size("json_ld").alias("blocks"), F.size("hreflang").alias("alternates"), F.to_json("open_graph").alias("open_graph"), F.to_json("twitter").alias("twitter"))
-
-
 def extracted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pages as page evidence: html to snapshot, joined with what a fetch tells (status, headers, time), ready for the rules."""
     found = extract_pages(read_table(spark, sf_dir, "pages"))
@@ -198,13 +187,6 @@ def extracted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("site_rules_extracted")
-def site_rules_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules on pages as they were extracted from html, with their evidence."""
-    found = evaluate_rules(extracted_evidence(spark, sf_dir))
-    return found.select("crawl_id", "page_id", "code", "triggered", "severity", "category", "evidence.actual", "evidence.expected")
-
-
 @query(
     "site_issue_texts",
     f"WITH {rule_ctes()}, t(code, title) AS (VALUES {', '.join(f"('{c}', '{t}')" for c, t in TITLES.items())})\n"

@@ -21,6 +21,28 @@ VIEWS: dict[str, tuple[list[str], str]] = {
   CASE WHEN page_id % 17 = 6 THEN ' ' ELSE 'text/html' END AS content_type,
   page_id % 3 AS n_h1, page_id % 8 AS ld_kind, page_id % 6 AS lang_kind, page_id % 16 AS header_kind, page_id % 30 AS n_scripts, page_id % 5 AS n_images
 FROM {pages}""",
+    ),
+    "v_markup": (
+        ["part"],
+        """SELECT p_partkey AS page_id, p_partkey % 4 AS crawl_id, concat('https://shop.example/p/', CAST(p_partkey AS STRING)) AS url,
+  concat('<!DOCTYPE html><html lang="en"><head><title> ', p_name, ' </title>',
+    CASE WHEN p_partkey % 3 = 0 THEN concat('<meta property="og:title" content="', p_name, '"><meta property="OG:Title" content="later"><meta property="og:image">') ELSE '' END,
+    CASE WHEN p_partkey % 4 = 1 THEN '<META NAME="Twitter:card" CONTENT="summary">' ELSE '' END,
+    CASE WHEN p_partkey % 5 < 2 THEN '<link rel="alternate" hreflang="de" href="/de"><link rel="Alternate" hreflang="de" href="https://shop.example/de"><link rel="alternate" hreflang="fr" href="ftp://x/"><link hreflang="es" rel="x ALTERNATE" href="//es.example/"> ' ELSE '' END,
+    CASE p_partkey % 6 WHEN 0 THEN '<script type="application/ld+json">{{"@type":"FAQPage"}}</script>'
+      WHEN 1 THEN '<script type="Application/LD+json"> {{"@type":"Organization","name":"x"}} </script><script type="application/ld+json">{{"@type":["Article","NewsArticle"],"author":"a"}}</script>'
+      WHEN 2 THEN '<script type="application/ld+json">{{</script>'
+      WHEN 3 THEN '<script type="application/ld+json">{{"@graph":[{{"@type":"Product","name":"n"}},{{"@graph":[{{"@type":"QAPage","dateModified":"2024-01-01"}}]}}]}}</script><script type="application/ld+json"> </script>' ELSE '' END,
+    CASE WHEN p_partkey % 7 <> 0 THEN '<link rel="canonical" href="/canonical">' ELSE '' END,
+    CASE WHEN p_partkey % 2 = 0 THEN '<link rel="StyleSheet" href="http://cdn.example/s.css" media="print">' ELSE '' END,
+    CASE WHEN p_partkey % 8 < 3 THEN '<script src=" /a.js " async></script><script src="//cdn.example/b.js" type="module"></script>' ELSE '' END,
+    '</head><body><h1>', p_name, '</h1>',
+    CASE p_partkey % 9 WHEN 0 THEN '<h2>Is it <i>large</i>?</h2>' WHEN 1 THEN '<h2>One</h2><h3>Two</h3>' WHEN 2 THEN '<h2> </h2><h2>How it works</h2><h6>End</h6>' ELSE '' END,
+    '<p>', p_brand, ' in<b>de</b>ed ', repeat('<b>w</b> ', CAST(p_partkey * 37 % 1400 AS INT)), '</p>',
+    CASE WHEN p_partkey % 5 = 3 THEN concat('<img src="/i.png" alt=" ', p_brand, ' " width="10" height="5" loading="lazy"><img src="http://img.example/b.png" alt=" ">') ELSE '' END,
+    CASE WHEN p_partkey % 11 = 4 THEN '<iframe src="https://player.example/1" title="Film"></iframe><iframe src="javascript:x"></iframe>' ELSE '' END,
+    '</body></html>') AS html
+FROM {part}""",
     ),
     "v_link": (
         ["lineitem"],

@@ -69,7 +69,7 @@ def ai_page_signals(pages: DataFrame, by: str = "crawl_id", sample: int | None =
         "canonical": ~blank(F.col("canonical")),
         "concise": F.col("word_count").between(150, 1200),
         "structure": F.size(F.filter("headings", lambda h: ~blank(h["text"]))) >= 3,
-        "evaluable": F.col("_data.valid"),
+        "evaluable": F.col("headings").isNotNull() & F.col("json_ld").isNotNull() & F.col("_data.valid"),
     }
     return pages.filter(~blank(F.col("text"))).groupBy(by).agg(F.count(F.lit(1)).alias("pages"), *[F.count_if(c).alias(f"n_{k}") for k, c in counted.items()])
 
