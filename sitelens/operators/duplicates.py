@@ -1,32 +1,136 @@
-"""Clusters of duplicate and near-duplicate texts by word triples, exact at any threshold."""
+"""Clusters of duplicate and near-duplicate texts by word triples, exact at any threshold.
+
+A similarity join without listed pairs.  Texts are sets of hashed shingles in
+an order of rarity, and two similar ones share a shingle of their prefixes, so
+the texts of one prefix shingle form a bucket.  Every text is first compared
+with one lead of its buckets; a family of near copies is one component after
+that.  What still lies in one bucket but in several components is compared in
+pairs of blocks, and a pair of blocks hands on a spanning forest: links that
+join components, never more than its texts.
+
+The lowest similarity of a cluster needs no comparison of all pairs either:
+Jaccard distance is a metric, so texts near the cluster's first one can't be
+far from one another.  The farthest texts give a bound, and only shells whose
+distances together exceed it are compared.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, normalize_text, shingles
-from ..plans.durable import Scratch
+from ..functions.text import jaccard, normalize_text
+from ..plans.durable import Scratch, small_batches
 from .components import connected_components
 from .groups import groups
 
-
-#: Distinct texts of a cluster that are compared with one another at a time.
+#: Distinct texts that are compared with one another at a time.
 BLOCK = 500
+#: Counters of shingles by their hashes, 8 MB; the order of rarity needs no more than an order.
+BUCKETS = 1 << 20
+#: Shells of equal width that the distances from a cluster's first text fall into.
+SHELLS = 64
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+
+
+class Duplicates(NamedTuple):
+    """``clusters``: cluster (lowest id), size, similarity, exact; ``members``: cluster, id."""
+
+    clusters: DataFrame
+    members: DataFrame
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """Distinct hashes of word triples, from hashes of words; those of the words where there are fewer than three."""
+    if len(words) < 3:
+        return np.unique(words)
+    w = words.view(np.uint64)
+    mixed = w[:-2] * _FACTORS[0]
+    for k in (1, 2):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _FACTORS[k] + w[k : len(w) - 2 + k]
+    mixed ^= mixed >> np.uint64(32)
+    return np.unique((mixed * _FACTORS[0]).view(np.int64))
+
+
+def _lists(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Lists of numbers, without an object for each number."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [_shingles(words) for words in _lists(column)]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a task have shingles of each counter."""
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            total += np.bincount(np.concatenate(_sets(batch.column(0))) & (BUCKETS - 1), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
+
+
+def _ragged(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.array([], dtype=np.int64), pa.int64()))
+
+
+def _common(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of sets, their elements as small numbers, and where each set starts."""
+    n = np.array([len(x) for x in sets])
+    return n, np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(n) - n
+
+
+def _ten_thousandths(common: np.ndarray, union: np.ndarray) -> np.ndarray:
+    """Shares in ten-thousandths, half to even."""
+    part, rest = np.divmod(common * 10_000, np.maximum(union, 1))
+    return part + ((2 * rest > union) | ((2 * rest == union) & (part % 2 == 1)))
+
+
+def _forest(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks, links of at least that similarity that join components not joined yet."""
+    for rows in groups(batches, ["key", "p", "q"]):
+        reps, parts = rows["rep"].to_pylist(), rows["component"].to_pylist()
+        numbers = {c: i for i, c in enumerate(dict.fromkeys(parts))}
+        joined = np.array([numbers[c] for c in parts])
+        if len(numbers) < 2:
+            continue
+        side = rows["side"].to_numpy()
+        n, codes, first = _common(_lists(rows["s"]))
+        held = np.zeros(len(codes) + 1, dtype=np.int64)
+        alone = rows["p"][0].as_py() == rows["q"][0].as_py()
+        a, b = [], []
+        for i in np.flatnonzero(side == 0):
+            others = np.flatnonzero((np.arange(len(n)) > i if alone else side == 1) & (joined != joined[i]) & (np.minimum(n, n[i]) * 10_001 >= np.maximum(n, n[i]) * least))
+            if not len(others):
+                continue
+            held[codes[first[i] : first[i] + n[i]]] = 1
+            common = np.add.reduceat(held[codes], first)[others]
+            held[codes[first[i] : first[i] + n[i]]] = 0
+            for j in others[_ten_thousandths(common, n[others] + n[i] - common) >= least]:
+                if joined[i] != joined[j]:
+                    a.append(reps[i])
+                    b.append(reps[j])
+                    joined[joined == joined[j]] = joined[i]
+        if a:
+            kind = rows.schema.field("rep").type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
 
 def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block, the lowest similarity of its pairs in ten-thousandths, half to even."""
     for rows in groups(batches, ["cluster", "p", "q"]):
         side = rows["side"].to_numpy()
-        sets = [np.asarray(x, dtype=np.int64) for x in rows["s"].to_pylist()]
-        n = np.array([len(x) for x in sets])
-        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        first = np.cumsum(n) - n
+        n, codes, first = _common(_lists(rows["s"]))
         held = np.zeros(len(codes) + 1, dtype=np.int64)
         alone = rows["p"][0].as_py() == rows["q"][0].as_py()
         low = None
@@ -38,59 +142,125 @@ def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[own] = 1
             common = np.add.reduceat(held[codes], first)[others] * (n[others] > 0)
             held[own] = 0
-            union = n[others] + n[i] - common
-            part, rest = np.divmod(common * 10_000, np.maximum(union, 1))
-            part += (2 * rest > union) | ((2 * rest == union) & (part % 2 == 1))
-            low = int(part.min()) if low is None else min(low, int(part.min()))
+            part = int(_ten_thousandths(common, n[others] + n[i] - common).min())
+            low = part if low is None else min(low, part)
         if low is not None:
             yield pa.RecordBatch.from_arrays([rows["cluster"].combine_chunks().slice(0, 1), pa.array([low], pa.int64())], ["cluster", "lowest"])
 
 
-def duplicate_clusters(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Clusters of two documents or more: cluster (lowest id), ids, similarity, exact.
+def _paired(rows: DataFrame, by: str, block: Column, partners: Column) -> DataFrame:
+    """Rows in every pair of blocks that their own is part of: columns by, p, q, side and those of ``rows``, sorted by pair."""
+    placed = rows.withColumn("_i", block).withColumn("_j", F.explode(partners))
+    placed = placed.withColumns({"p": F.least("_i", "_j"), "q": F.greatest("_i", "_j"), "side": F.when(F.col("_i") <= F.col("_j"), 0).otherwise(1)}).drop("_i", "_j")
+    return placed.repartition(by, "p", "q").sortWithinPartitions(by, "p", "q")
+
+
+def _rarity_ordered(scratch: Scratch, texts: DataFrame, threshold: float) -> DataFrame:
+    """Texts (rep, w) as sets with the prefix that a similar text shares a shingle of: rep, n, s, prefix."""
+    spark = texts.sparkSession
+    counts = texts.select("w").mapInArrow(_counted, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(BUCKETS, dtype=np.int64)
+    table[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+    kind = texts.schema["rep"].dataType.simpleString()
+    low = threshold - 0.00005  # the similarity is rounded to four places before it is compared
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            sets, prefixes = _sets(batch.column(1)), []
+            for s in sets:
+                seen = rarity[s & (BUCKETS - 1)]
+                order = np.lexsort((s, seen))[: len(s) - int(np.ceil(len(s) * low)) + 1]
+                prefixes.append(s[order][seen[order] > 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _ragged(sets), _ragged(prefixes)], ["rep", "n", "s", "prefix"])
+
+    return scratch.save(texts.select("rep", "w").mapInArrow(run, f"rep {kind}, n bigint, s array<bigint>, prefix array<bigint>"), "sets")
+
+
+def _similar(scratch: Scratch, sets: DataFrame, threshold: float) -> DataFrame:
+    """Components (node, component) of texts that are similar, through others or not."""
+    keys = sets.select("rep", F.explode("prefix").alias("key"))
+    leads = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = scratch.save(keys.join(leads, "key"), "members")
+    # One comparison a text: with the lead of most of its buckets.
+    tried = members.filter("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n")).groupBy("rep").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+    own, other = sets.select("rep", F.col("s").alias("s_a")), sets.select(F.col("rep").alias("lead"), F.col("s").alias("s_b"))
+    links = tried.join(own, "rep").join(other, "lead").filter(jaccard(F.col("s_a"), F.col("s_b")) >= threshold)
+    links = scratch.save(links.select(F.col("rep").alias("a"), F.col("lead").alias("b")), "links")
+    found = connected_components(links, "duplicates")
 
-    Equal normalised texts collapse first.  Of the others, pairs are found by
-    their rarest shingles (prefix and length filters, nothing is lost) and
-    verified.  The similarity is the lowest over all pairs of a cluster; its
-    distinct texts are compared in blocks of bounded size that hand on one
-    number each.
+    placed = members.select("key", "rep", "members").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = scratch.save(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    parts = F.ceil(F.col("members") / BLOCK).cast("bigint")
+    rows = placed.join(mixed, "key").join(sets.select("rep", "s"), "rep").withColumn("parts", parts)
+    pairs = _paired(rows, "key", F.pmod(F.xxhash64("rep"), F.col("parts")), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    kind, least = sets.schema["rep"].dataType.simpleString(), round(threshold * 10_000)
+    more = scratch.save(pairs.select("key", "p", "q", "side", "rep", "component", "s").mapInArrow(lambda batches: _forest(batches, least), f"a {kind}, b {kind}"), "more")
+    return found if more.isEmpty() else connected_components(links.unionByName(more), "duplicates")
+
+
+def _lowest_similarity(scratch: Scratch, inside: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lowest similarity of two texts of each cluster (cluster, lowest in ten-thousandths); ``inside`` holds rep and cluster."""
+    kind = inside.schema["cluster"].dataType.simpleString()
+    schema = f"cluster {kind}, lowest bigint"
+    rows = inside.join(inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("texts")), "cluster").join(sets.select("rep", "s"), "rep")
+    rows = scratch.save(rows, "inside")
+    zero = F.lit(0).cast("bigint")
+    columns = ["cluster", "p", "q", "side", "s"]
+    small = _paired(rows.filter(F.col("texts") <= BLOCK), "cluster", zero, F.array(zero)).select(columns).mapInArrow(_lowest, schema)
+    large = rows.filter(F.col("texts") > BLOCK)
+    if large.isEmpty():
+        return small
+    first = large.filter("rep = cluster").select("cluster", F.col("s").alias("s_0"))
+    both = F.size(F.array_intersect("s", "s_0"))
+    away = large.join(first, "cluster").withColumn("away", 1 - both / (F.size("s") + F.size("s_0") - both)).drop("s_0")
+    away = scratch.save(away.withColumn("shell", F.least(F.floor(F.col("away") * SHELLS), F.lit(SHELLS - 1)).cast("bigint")), "away")
+    # The farthest of all among themselves: no pair needs a look whose distances from the first text sum to less.
+    far = away.withColumn("k", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("away"), "rep"))).filter(F.col("k") <= BLOCK)
+    bound = scratch.save(_paired(far, "cluster", zero, F.array(zero)).select(columns).mapInArrow(_lowest, schema), "bound")
+    shells = away.groupBy("cluster", "shell").agg(F.count(F.lit(1)).alias("n"))
+    blocks = shells.select("cluster", "shell", F.explode(F.sequence(zero, F.ceil(F.col("n") / BLOCK).cast("bigint") - 1)).alias("part"))
+    number = lambda shell, part: shell * (1 << 40) + part
+    every = blocks.groupBy("cluster").agg(F.collect_list(F.struct("shell", number(F.col("shell"), F.col("part")).alias("block"))).alias("blocks"))
+    parts = shells.select("cluster", "shell", F.ceil(F.col("n") / BLOCK).cast("bigint").alias("parts"))
+    rows = away.join(parts, ["cluster", "shell"]).join(every, "cluster").join(bound.withColumnRenamed("lowest", "upto"), "cluster")
+    reach = 1 - (F.col("upto") + 1) / 10_000
+    partners = F.transform(F.filter("blocks", lambda b: (b["shell"] + F.col("shell") + 2) / SHELLS >= reach), lambda b: b["block"])
+    pairs = _paired(rows.withColumn("partners", partners), "cluster", number(F.col("shell"), F.pmod(F.xxhash64("rep"), F.col("parts"))), F.col("partners"))
+    return small.unionByName(bound).unionByName(pairs.select(columns).mapInArrow(_lowest, schema)).groupBy("cluster").agg(F.min("lowest").alias("lowest"))
+
+
+def find_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> Duplicates:
+    """Clusters of two documents or more whose normalised texts are equal or similar, directly or through others.
+
+    Equal normalised texts collapse first.  The similarity is the lowest over
+    all pairs of a cluster, half-even to four places; a null text is empty, and
+    empty texts are equal.  Members come as rows, however many a cluster has.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "duplicates")
-    low = threshold - 0.00005  # the similarity is rounded to four places before it is compared
     rows = docs.select(F.col(id_col).alias("id"), normalize_text(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    rows = scratch.save(rows.withColumn("hash", F.sha2("norm", 256)), "rows")
-    texts = rows.groupBy("hash").agg(F.min("id").alias("rep"), F.min("norm").alias("norm"))
-    texts = scratch.save(texts.select("hash", "rep", shingles(F.col("norm")).alias("s")), "texts")
-    keyed = texts.select("rep", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("key"))
-    seen = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    ordered = keyed.join(seen, "key").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
-    length = (F.col("n") - F.ceil(F.col("n") * low) + 1).cast("int")
-    prefix = ordered.select("rep", "n", F.explode(F.slice("keys", F.lit(1), length)).alias("k")).filter("k.df > 1").select("rep", "n", F.col("k.key").alias("key"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * low)
-    pairs = scratch.save(a.join(b, near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct(), "pairs")
-
-    def compared(p: DataFrame) -> DataFrame:
-        sets = texts.select("rep", "s")
-        both = p.join(sets.withColumnsRenamed({"rep": "a", "s": "s_a"}), "a").join(sets.withColumnsRenamed({"rep": "b", "s": "s_b"}), "b")
-        return both.select("a", "b", jaccard(F.col("s_a"), F.col("s_b")).alias("similarity"))
-
-    found = scratch.save(connected_components(compared(pairs).filter(F.col("similarity") >= threshold), "duplicates"), "components")
-    own = texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("hash", "rep", F.coalesce("component", "rep").alias("cluster"))
-    inside = own.join(found.select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "cluster")
-    sets = inside.join(texts.select("rep", F.transform("s", lambda x: F.xxhash64(x)).alias("s")), "rep")
-    parts = inside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    # A text of part i goes to the blocks (min(i, j), max(i, j)) for every part j.
-    placed = sets.join(parts, "cluster").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = placed.select("cluster", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "s")
-    blocks = blocks.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
-    kind = inside.schema["cluster"].dataType.simpleString()
-    lowest = blocks.mapInArrow(_lowest, f"cluster {kind}, lowest bigint").groupBy("cluster").agg((F.min("lowest").cast("decimal(12,0)") / 10_000).cast("decimal(6,4)").alias("similarity"))
-    members = rows.select("id", "hash").join(own.select("hash", "cluster"), "hash")
-    clusters = members.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
-    similarity = F.coalesce("similarity", F.lit(1)).cast("decimal(6,4)")
-    return clusters.join(lowest, "cluster", "left").select("cluster", "ids", similarity.alias("similarity"), (similarity == 1).alias("exact"))
+    rows = scratch.save(rows.select("id", F.sha2("norm", 256).alias("hash"), F.transform(F.filter(F.split("norm", " "), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("w")), "rows")
+    texts = scratch.save(rows.groupBy("hash").agg(F.min("id").alias("rep"), F.first("w").alias("w"), F.count(F.lit(1)).alias("copies")), "texts")
+    sets = _rarity_ordered(scratch, texts, threshold)
+    found = scratch.save(_similar(scratch, sets, threshold), "components")
+    inside = found.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    lowest = _lowest_similarity(scratch, inside, sets)
+    own = texts.select("hash", "rep", "copies").join(inside, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    sizes = own.groupBy("cluster").agg(F.sum("copies").alias("size")).filter("size > 1")
+    similarity = F.coalesce((F.col("lowest").cast("decimal(12,0)") / 10_000).cast("decimal(6,4)"), F.lit(1).cast("decimal(6,4)"))
+    clusters = scratch.save(sizes.join(lowest, "cluster", "left").select("cluster", "size", similarity.alias("similarity"), (similarity == 1).alias("exact")), "clusters")
+    members = rows.select("id", "hash").join(own.select("hash", "cluster"), "hash").join(clusters.select("cluster"), "cluster", "left_semi").select("cluster", "id")
+    return Duplicates(clusters, members)
+
+
+def duplicate_clusters(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Clusters with their members listed: cluster, ids, similarity, exact.  For reports; ``find_duplicates`` gives members as rows."""
+    found = find_duplicates(docs, threshold, id_col, text_col)
+    listed = found.members.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return listed.join(found.clusters.drop("size"), "cluster").select("cluster", "ids", "similarity", "exact")
 
 
 def duplicate_issues(clusters: DataFrame) -> DataFrame:
