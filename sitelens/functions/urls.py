@@ -111,8 +111,3 @@ def is_wildcard_query(url: Column) -> Column:
 
 def has_user_info(url: Column) -> Column:
     return F.coalesce(url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*@"), F.lit(False))
-
-
-def percent_decoded(text: Column) -> Column:
-    """Percent escapes decoded, plus signs left alone; null for bad escapes."""
-    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))

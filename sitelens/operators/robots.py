@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import utrim
-from ..functions.urls import has_user_info, host, host_matches, is_http, is_wildcard_query, normalize_url, path, percent_decoded, query
+from ..functions.urls import has_user_info, host, host_matches, is_http, is_wildcard_query, normalize_url, path, query
+from ..plans.durable import small_batches
+from .rule_trie import RuleTrie
 
 #: Longest crawl delay that is believed, in seconds.
 MAX_DELAY = 300
+#: Addresses of one host and agent that are judged together, about.
+PART_URLS = 50_000
 
 
 def robots_policy(fetches: DataFrame) -> DataFrame:
@@ -69,29 +77,48 @@ def _best_groups(asked: DataFrame, rules: DataFrame) -> DataFrame:
     return matched.join(best, ["host", "user_agent", "worth"])
 
 
-def _pattern(pattern: Column) -> Column:
-    """A robots pattern as a regular expression: star for anything, a last dollar for the end."""
-    end = pattern.endswith("$")
-    body = F.when(end, F.expr("substring(pattern, 1, length(pattern) - 1)")).otherwise(pattern)
-    quoted = F.regexp_replace(body, r"([\\.\[\]{}()+?^$|\-])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\*", ".*"), F.when(end, "$").otherwise(""))
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of host, agent and part, the rules of each ahead of its addresses, to addresses with ``allowed``."""
+    at, trie = None, None
+    for batch in batches:
+        names = batch.schema.names
+        column = lambda name: batch.column(names.index(name)).to_pylist()  # noqa: B023, E731
+        rules, keep, allowed = column("_rules"), [], []
+        for i, key in enumerate(zip(column("host"), column("user_agent"), column("_part"), strict=True)):
+            if key != at:
+                at, trie = key, None
+            if rules[i] is not None:
+                trie = RuleTrie((r["allow"], r["pattern"]) for r in rules[i])
+            else:
+                keep.append(i)
+                target = batch.column(names.index("_target"))[i].as_py()
+                allowed.append(trie is None or target is None or trie.allows(target))
+        rows = batch.take(pa.array(keep, pa.int64())).select([n for n in names if not n.startswith("_")])
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(allowed, pa.bool_())], [*rows.schema.names, "allowed"])
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, policies: DataFrame | None = None) -> DataFrame:
     """Whether each URL (host, user_agent, url) may be fetched: the longest matching rule wins, allow wins ties.
 
+    The rules of a host and agent are one row, and its addresses follow it
+    through a partition in parts of at most ``PART_URLS`` about, each with a copy
+    of the rules: a row out for every row in, one trie held at a time.
+
     ``policies`` (host, policy, see ``robots_policy``) overrules the rules: no
     address of a host that disallows all or cannot be asked now may be fetched,
     and any address of one without a robots file.
     """
-    best = _best_groups(urls, rules).filter("pattern is not null").select("host", "user_agent", "allow", "pattern").distinct()
-    best = best.withColumn("regex", _pattern(F.col("pattern"))).withColumn("len", F.length(F.regexp_replace(F.regexp_replace("pattern", r"\$$", ""), r"\*", "")))
+    small_batches(urls.sparkSession, rows=5_000)
+    best = _best_groups(urls, rules).filter("pattern is not null").groupBy("host", "user_agent").agg(F.collect_set(F.struct("allow", "pattern")).alias("_rules"))
+    # Few hosts have that many addresses: fewer than all addresses by that number.
+    many = urls.groupBy("host", "user_agent").agg(F.ceil(F.count(F.lit(1)) / PART_URLS).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
     target = F.concat(path(F.col("url")), F.when(query(F.col("url")) != "", F.concat(F.lit("?"), query(F.col("url")))).otherwise(""))
-    rows = urls.withColumn("_target", target)
-    plain = lambda c: F.coalesce(percent_decoded(c), c)
-    hit = F.rlike("_target", F.col("regex")) | F.rlike(plain(F.col("_target")), plain(F.col("regex")))
-    decided = rows.join(best, ["host", "user_agent"]).filter(hit).groupBy("host", "user_agent", "url").agg(F.max_by("allow", F.struct("len", "allow")).alias("allow"))
-    judged = urls.join(decided, ["host", "user_agent", "url"], "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+    asked = urls.join(many, ["host", "user_agent"], "left").select(*urls.columns, target.alias("_target"), F.pmod(F.xxhash64("url"), parts).cast("int").alias("_part"), F.lit(None).cast(best.schema["_rules"].dataType).alias("_rules"))
+    copies = best.join(many, ["host", "user_agent"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    order = ["host", "user_agent", "_part"]
+    rows = asked.unionByName(copies, allowMissingColumns=True).repartition(*order).sortWithinPartitions(*order, F.isnull("_rules"))
+    judged = rows.mapInArrow(_judged, T.StructType([*urls.schema.fields, T.StructField("allowed", T.BooleanType())]))
     if policies is None:
         return judged
     by_policy = F.when(F.col("policy").isin("disallow_all", "unavailable"), F.lit(False)).when(F.col("policy") == "allow_all", F.lit(True))
