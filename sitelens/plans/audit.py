@@ -7,13 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import readability, stuffed
+from ..operators.ranks import ranked
 from .accounts import worst_first
 
 
 def issue_list(issues: DataFrame, pages: DataFrame) -> DataFrame:
     """Issues with their page's url, ranked by severity and code."""
     rows = issues.join(pages.select("page_id", "url"), "page_id", "left")
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("crawl_id").orderBy(*worst_first(rows), "page_id")))
+    return ranked(rows, "crawl_id", [*worst_first(rows), "page_id"])
 
 
 def latest_per(rows: DataFrame, by: str, at: str, tie: str, top: int = 1) -> DataFrame:
@@ -48,13 +49,13 @@ def recommendation_list(recommendations: DataFrame, issues: DataFrame | None = N
         rows = rows.join(issues.select("issue_id"), "issue_id", "left_semi")
     if status is not None:
         rows = rows.filter(F.col("status") == status)
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("project_id").orderBy(F.desc("priority"), F.desc("created_at"), "issue_id")))
+    return ranked(rows, "project_id", [F.desc("priority"), F.desc("created_at"), "issue_id"])
 
 
 def crawl_list(crawls: DataFrame, analyses: DataFrame) -> DataFrame:
     """Crawls, newest first, with the state of their analysis."""
     rows = crawls.join(analyses.select("crawl_id", F.col("status").alias("analysis_status")), "crawl_id", "left")
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("crawl_id"))))
+    return ranked(rows, "project_id", [F.desc("created_at"), F.desc("crawl_id")])
 
 
 def analysis_status(crawls: DataFrame, analyses: DataFrame, jobs: DataFrame, scores: DataFrame, issues: DataFrame) -> DataFrame:
@@ -72,9 +73,20 @@ def analysis_status(crawls: DataFrame, analyses: DataFrame, jobs: DataFrame, sco
 def page_browser(pages: DataFrame, page: int, size: int = 50) -> DataFrame:
     """Page number ``page`` of a crawl's pages by url, with the total; at most 200 to a page."""
     size = max(1, min(200, size))
-    order = W.partitionBy("crawl_id").orderBy("url", "page_id")
-    numbered = pages.withColumn("n", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(W.partitionBy("crawl_id")))
-    return numbered.filter(F.col("n").between((page - 1) * size + 1, page * size))
+    shown = ranked(pages, "crawl_id", ["url", "page_id"], "n", ((page - 1) * size + 1, page * size))
+    totals = pages.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("total"))
+    return shown.join(totals, "crawl_id")
+
+
+def pages_after(pages: DataFrame, crawl_id: object, url: str | None = None, page_id: object = None, size: int = 50) -> DataFrame:
+    """The pages of a crawl that follow a given one in order of url and id, at most 200: paging by the last key seen.
+
+    The filter reaches the scan, and of each task no more rows than a page go on.
+    """
+    rows = pages.filter(F.col("crawl_id") == F.lit(crawl_id))
+    if url is not None:
+        rows = rows.filter((F.col("url") > url) | ((F.col("url") == url) & (F.col("page_id") > F.lit(page_id))))
+    return rows.orderBy("url", "page_id").limit(max(1, min(200, size)))
 
 
 def redirects(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, clean_topic
+from .durable import Scratch
 
 
 def _metrics() -> list[Column]:
@@ -34,25 +35,45 @@ def compare_competitors(competitors: DataFrame, crawls: DataFrame, pages: DataFr
     return competitors.filter("is_active").select("competitor_id", "name").join(newest.drop("crawl_id"), "competitor_id", "left").join(done.drop("crawl_id"), "competitor_id", "left")
 
 
+def _grams(topics: DataFrame) -> DataFrame:
+    """The trigrams of each topic (topic, g), each once."""
+    at = F.sequence(F.lit(1), F.length("topic") - 2)
+    return topics.select("topic", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("topic", i, F.lit(3))))).alias("g"))
+
+
+def topic_matches(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs (topic, own) of distinct topics, three characters long or more, of which either holds the other.
+
+    An index of q-grams in an order of rarity: all trigrams of the shorter text
+    lie in the longer one, its rarest among them.  So one side is looked up by a
+    single trigram, the one that the fewest topics have, and a beginning or
+    ending that half of the topics share is never asked for unless a topic has
+    nothing else.
+    """
+    scratch = Scratch(own.sparkSession, "topics")
+    sides = {"own": scratch.save(own.select("topic").distinct(), "own"), "asked": scratch.save(asked.select("topic").distinct(), "asked")}
+    grams = scratch.save(_grams(sides["own"].unionByName(sides["asked"]).distinct()), "grams")
+    counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(counts, "g").groupBy("topic").agg(F.min(F.struct("n", "g")).alias("rarest")).select("topic", "rarest.g")
+    rarest = scratch.save(rarest, "rarest")
+
+    def pairs(inner: str, outer: str) -> DataFrame:
+        short = sides[inner].join(rarest, "topic").select(F.col("topic").alias("short"), "g")
+        long = grams.join(sides[outer], "topic", "left_semi").join(short.select("g").distinct(), "g", "left_semi").select(F.col("topic").alias("long"), "g")
+        return short.join(long, "g").filter(F.col("long").contains(F.col("short"))).select(F.col("long" if outer == "asked" else "short").alias("topic"), F.col("short" if inner == "own" else "long").alias("own"))
+
+    return pairs("own", "asked").unionByName(pairs("asked", "own")).distinct()
+
+
 def topic_gaps(own_pages: DataFrame, pages: DataFrame, top: int = 25) -> DataFrame:
     """Competitor topics that the project lacks or covers with far fewer words, the first ``top`` per competitor.
 
-    A topic matches when either text holds the other; among several the lowest
-    one counts.  Containment is decided by shared trigrams: the shorter text's
-    first trigram occurs in the longer one, so it is an equi-join with a check
-    behind it, not a comparison of all pairs.
+    A topic matches when either text holds the other; among several the lowest one counts.
     """
     own = own_pages.filter(~blank(F.col("title"))).withColumn("topic", F.lower(clean_topic(F.col("title")))).filter(F.length("topic") >= 3)
     own = own.groupBy("topic").agg(F.max("word_count").alias("own_words"))
     rival = pages.filter(~blank(F.col("title"))).withColumn("topic", F.lower(clean_topic(F.col("title")))).filter(F.length("topic") >= 3)
-    asked = rival.select("topic").distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("topic") - 2), lambda i: F.substring("topic", i, F.lit(3))))
-    first = F.substring("topic", 1, 3)
-    own_first, own_all = own.select(F.col("topic").alias("own"), first.alias("g")), own.select(F.col("topic").alias("own"), F.explode(grams).alias("g"))
-    ask_first, ask_all = asked.select("topic", first.alias("g")), asked.select("topic", F.explode(grams).alias("g"))
-    inside = own_first.join(ask_all, "g").filter(F.col("topic").contains(F.col("own")))
-    around = own_all.join(ask_first, "g").filter(F.col("own").contains(F.col("topic")))
-    match = inside.select("topic", "own").unionByName(around.select("topic", "own")).groupBy("topic").agg(F.min("own").alias("own"))
+    match = topic_matches(own, rival).groupBy("topic").agg(F.min("own").alias("own"))
     match = match.join(own.withColumnRenamed("topic", "own"), "own")
     rows = rival.join(match, "topic", "left")
     kind = F.when(F.col("own").isNull(), "MissingInProject").when((F.col("word_count") > F.col("own_words") * 1.5) & (F.col("word_count") >= 300), "CompetitorHasDeeperContent")
