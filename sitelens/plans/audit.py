@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -152,27 +152,45 @@ def evidence_overview(pages: DataFrame, graph: DataFrame, content: DataFrame, ti
     return rows.withColumn("packet_hash", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
 
 
-# What a figure above zero means: observation, cause, action.
+# What a figure above zero means, in the order in which it is told: observation, cause, recommendation, action.
 FINDINGS = [
-    ("errors", "Pages answer with an error", "Broken or moved addresses", "Repair or redirect them"),
-    ("orphans", "Pages have no internal link to them", "Missing navigation", "Link them from related pages"),
-    ("dead_ends", "Pages link nowhere", "Missing onward links", "Add links to related pages"),
-    ("thin_pages", "Pages hold little text", "Short or templated content", "Extend or merge them"),
-    ("stuffing_pages", "Terms are repeated too often", "Over-optimised text", "Rewrite the text"),
-    ("duplicate_titles", "Pages share a title", "Templated titles", "Give each page its own title"),
+    ("errors", "pages answer with an error", "Broken or moved addresses", "Repair the errors and the links to them", "Go through the failing addresses and redirect them"),
+    ("orphans", "pages have no internal link to them", "New pages missing in navigation", "Link them from pages of high authority", "Add them to navigation and to related pages"),
+    ("dead_ends", "pages link nowhere", None, "Add related content at their end", "Put related links and breadcrumbs on them"),
+    ("thin_pages", "pages hold little text", "Pages published unfinished", "Extend them or keep them out of the index", "Complete the most visited ones first"),
+    ("stuffing_pages", "pages repeat a term too often", "Over-optimised text", "Vary the wording", "Rewrite the repeated passages"),
+    ("duplicate_titles", "pages share a title", "Several pages aim at one phrase", "Merge them or name a canonical page", "Choose the main page and retitle the others"),
 ]
+# Texts that stand where nothing else was found.
+STEADY = ("The crawl shows no change to report", "Gradual changes without a regular audit", "Keep watching and write about new keywords", "Check once a month and compare with competitors")
+# What is missing if a figure is zero.
+MISSING = [("tracked_keywords", "No keyword is tracked"), ("active_competitors", "No competitor is active")]
 
 
 def evidence_summary(overview: DataFrame) -> DataFrame:
-    """Findings of each crawl for the figures above zero, and notes on figures that are missing."""
-    table: SparkSession = overview.sparkSession
-    texts = table.createDataFrame(FINDINGS, "metric string, observation string, cause string, action string")
-    names = [f[0] for f in FINDINGS]
-    long = overview.select("crawl_id", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("bigint").alias("value")) for n in names])).alias("m")).select("crawl_id", "m.*")
-    joined = long.join(F.broadcast(texts), "metric")
-    found = joined.filter("value > 0").groupBy("crawl_id").agg(F.array_sort(F.collect_list(F.struct("metric", "value", "observation", "cause", "action"))).alias("findings"))
-    missing = joined.filter("value is null").groupBy("crawl_id").agg(F.array_sort(F.collect_list("metric")).alias("missing"))
-    return overview.select("crawl_id", "critical", "high").join(found, "crawl_id", "left").join(missing, "crawl_id", "left")
+    """The texts of each crawl's summary: observations, causes, recommendations, actions, missing evidence, and the findings behind them.
+
+    A crawl with pages always states their number, the share that can be indexed
+    and the mean time; steady texts stand in where nothing was found; a figure
+    of zero for keywords or competitors is told as missing, an unknown one isn't.
+    """
+    fields = ("metric", "observation", "cause", "recommendation", "action")
+    table = F.array(*[F.struct(F.col(f[0]).cast("bigint").alias("value"), *[F.lit(v).cast("string").alias(n) for n, v in zip(fields, f, strict=True)]) for f in FINDINGS])
+    rows = overview.withColumn("findings", F.filter(table, lambda x: x["value"] > 0))
+    share = F.bround(F.col("indexable").cast("decimal(18,0)") * 100 / F.col("pages"), 1).cast("decimal(4,1)").cast("string")
+    stated = F.concat_ws(" ", F.col("pages").cast("string"), F.lit("pages,"), F.col("indexable").cast("string"), F.lit("of them indexable ("), share, F.lit("%), mean time"), F.floor("mean_ms").cast("string"), F.lit("ms"))
+    told = F.when(F.col("pages") > 0, F.array(stated)).otherwise(F.array().cast("array<string>"))
+    observations = F.concat(told, F.transform("findings", lambda x: F.concat_ws(" ", x["value"].cast("string"), x["observation"])))
+    listed = lambda name: F.array_compact(F.array_distinct(F.transform("findings", lambda x: x[name])))
+    nothing = F.size(observations) == 0
+    otherwise = lambda found, empty, text: F.when(empty, F.concat(found, F.array(F.lit(text)))).otherwise(found)
+    missing = F.array_compact(F.array(*[F.when(F.col(c) == 0, text) for c, text in MISSING]))
+    return rows.select(
+        "crawl_id", "critical", "high",
+        otherwise(observations, nothing, STEADY[0]).alias("observations"), otherwise(listed("cause"), F.size(listed("cause")) == 0, STEADY[1]).alias("causes"),
+        otherwise(listed("recommendation"), nothing, STEADY[2]).alias("recommendations"), otherwise(listed("action"), nothing, STEADY[3]).alias("actions"),
+        missing.alias("missing"), F.transform("findings", lambda x: F.struct(x["metric"].alias("metric"), x["value"].alias("value"))).alias("findings"),
+    )
 
 
 def stalled_crawls(crawls: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -377,18 +377,39 @@ def member_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.member_list(members, users).select("project_id", "user_id", "name", "email")
 
 
-_FIGURES = "SELECT o_custkey AS crawl_id, count(*) % 3 AS errors, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey % 2 END AS orphans, 0 AS dead_ends, count(*) AS thin_pages, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 0 END AS stuffing_pages, 1 AS duplicate_titles, 0 AS critical, 1 AS high"
+_FIGURES = """SELECT o_custkey AS crawl_id, CASE WHEN o_custkey % 11 = 0 THEN 0 ELSE count(*) END AS pages, count(*) - o_custkey % 2 * (count(*) // 2) AS indexable, o_custkey % 700 + 0.5 AS mean_ms, count(*) % 3 AS errors,
+  CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey % 2 END AS orphans, o_custkey % 3 AS dead_ends, CASE WHEN o_custkey % 11 = 0 THEN 0 ELSE count(*) % 4 END AS thin_pages, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 0 END AS stuffing_pages,
+  CASE WHEN o_custkey % 7 = 1 THEN 2 ELSE 0 END AS duplicate_titles, 0 AS critical, 1 AS high, o_custkey % 6 AS tracked_keywords, CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_custkey % 2 END AS active_competitors"""
 
 
 @query(
     "evidence_summary",
-    f"""WITH f AS ({_FIGURES} FROM orders GROUP BY o_custkey), m AS ({" UNION ALL ".join(f"SELECT crawl_id, '{c}' AS metric, CAST({c} AS BIGINT) AS value FROM f" for c, *_ in audit.FINDINGS)})
-SELECT crawl_id, string_agg(metric || '=' || value, ',' ORDER BY metric) FILTER (value > 0) AS findings, string_agg(metric, ',' ORDER BY metric) FILTER (value IS NULL) AS missing FROM m GROUP BY crawl_id""",
+    f"""WITH f AS ({_FIGURES} FROM orders GROUP BY o_custkey), t(k, metric, observation, cause, recommendation, action) AS (VALUES
+  (1, 'errors', 'pages answer with an error', 'Broken or moved addresses', 'Repair the errors and the links to them', 'Go through the failing addresses and redirect them'),
+  (2, 'orphans', 'pages have no internal link to them', 'New pages missing in navigation', 'Link them from pages of high authority', 'Add them to navigation and to related pages'),
+  (3, 'dead_ends', 'pages link nowhere', NULL, 'Add related content at their end', 'Put related links and breadcrumbs on them'),
+  (4, 'thin_pages', 'pages hold little text', 'Pages published unfinished', 'Extend them or keep them out of the index', 'Complete the most visited ones first'),
+  (5, 'stuffing_pages', 'pages repeat a term too often', 'Over-optimised text', 'Vary the wording', 'Rewrite the repeated passages'),
+  (6, 'duplicate_titles', 'pages share a title', 'Several pages aim at one phrase', 'Merge them or name a canonical page', 'Choose the main page and retitle the others')
+), m AS (
+  SELECT crawl_id, k, metric, observation, cause, recommendation, action, CASE k WHEN 1 THEN errors WHEN 2 THEN orphans WHEN 3 THEN dead_ends WHEN 4 THEN thin_pages WHEN 5 THEN stuffing_pages ELSE duplicate_titles END AS value FROM f, t
+), g AS (
+  SELECT crawl_id, string_agg(value || ' ' || observation, '|' ORDER BY k) AS o, string_agg(cause, '|' ORDER BY k) AS c, string_agg(recommendation, '|' ORDER BY k) AS r, string_agg(action, '|' ORDER BY k) AS a,
+         string_agg(metric || '=' || value, '|' ORDER BY k) AS findings FROM m WHERE value > 0 GROUP BY crawl_id
+)
+SELECT crawl_id,
+  coalesce(concat_ws('|', CASE WHEN pages > 0 THEN pages || ' pages, ' || indexable || ' of them indexable ( ' || CAST(round_even(CAST(indexable * 100 AS DECIMAL(18,8)) / pages, 1) AS DECIMAL(4,1)) || ' %), mean time ' || CAST(floor(mean_ms) AS BIGINT) || ' ms' END, o,
+    CASE WHEN pages = 0 AND o IS NULL THEN 'The crawl shows no change to report' END), '') AS observations,
+  coalesce(c, 'Gradual changes without a regular audit') AS causes, coalesce(r, CASE WHEN pages = 0 THEN 'Keep watching and write about new keywords' ELSE '' END) AS recommendations,
+  coalesce(a, CASE WHEN pages = 0 THEN 'Check once a month and compare with competitors' ELSE '' END) AS actions,
+  concat_ws('|', CASE WHEN tracked_keywords = 0 THEN 'No keyword is tracked' END, CASE WHEN active_competitors = 0 THEN 'No competitor is active' END) AS missing, coalesce(findings, '') AS findings
+FROM f LEFT JOIN g USING (crawl_id)""",
 )
 def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    figures = spark.sql(_FIGURES + " FROM {orders} GROUP BY o_custkey", orders=read_table(spark, sf_dir, "orders"))
+    figures = spark.sql((_FIGURES + " FROM {orders} GROUP BY o_custkey").replace("//", "DIV"), orders=read_table(spark, sf_dir, "orders"))
     found = audit.evidence_summary(figures)
-    return found.select("crawl_id", F.array_join(F.transform("findings", lambda x: F.concat_ws("=", x["metric"], x["value"].cast("string"))), ",").alias("findings"), F.array_join("missing", ",").alias("missing"))
+    texts = [F.array_join(c, "|").alias(c) for c in ("observations", "causes", "recommendations", "actions", "missing")]
+    return found.select("crawl_id", *texts, F.array_join(F.transform("findings", lambda x: F.concat_ws("=", x["metric"], x["value"].cast("string"))), "|").alias("findings"))
 
 
 @query("evidence_overview")
