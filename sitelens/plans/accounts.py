@@ -87,6 +87,22 @@ def alert_check(rules: DataFrame, scores: DataFrame, crawls: DataFrame, issues:
     return rows.filter(F.coalesce(fires, F.lit(False))).select("rule_id", "project_id", "type", payload.alias("payload"))
 
 
+def _unbarred(candidates: DataFrame, events: DataFrame, width: int) -> DataFrame:
+    """Candidates without an event of their rule in the ``width`` microseconds up to their time, by bins of that width.
+
+    Such an event lies in a candidate's own bin or the one before.  In its own
+    bin the first event decides, in the one before the last; so events are two
+    numbers for each rule and bin, and a rule of any number of events spreads
+    over its bins.
+    """
+    at = F.unix_micros(F.col("detected_at").cast("timestamp"))
+    bins = events.select("rule_id", at.alias("at")).groupBy("rule_id", F.floor(F.col("at") / width).alias("_bin")).agg(F.min("at").alias("_first"), F.max("at").alias("_last"))
+    asked = candidates.withColumn("_at", at).withColumn("_bin", F.floor(F.col("_at") / width))
+    rows = asked.join(bins.drop("_last"), ["rule_id", "_bin"], "left").join(bins.select("rule_id", (F.col("_bin") + 1).alias("_bin"), "_last"), ["rule_id", "_bin"], "left")
+    barred = F.coalesce(F.col("_first") <= F.col("_at"), F.lit(False)) | F.coalesce(F.col("_last") >= F.col("_at") - width, F.lit(False))
+    return rows.filter(~barred).select(candidates.columns)
+
+
 def alert_cooldown(candidates: DataFrame, events: DataFrame, hours: int = 24) -> DataFrame:
     """Candidates (rule_id, detected_at, event_id) that become events: none of their rule in the ``hours`` before.
 
@@ -94,8 +110,7 @@ def alert_cooldown(candidates: DataFrame, events: DataFrame, hours: int = 24) ->
     are taken in order of time, and the next one is the first more than
     ``hours`` after the last.
     """
-    near = (F.col("c.rule_id") == F.col("e.rule_id")) & (F.col("e.detected_at") >= F.col("c.detected_at") - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("e.detected_at") <= F.col("c.detected_at"))
-    free = candidates.alias("c").join(events.alias("e"), near, "left_anti").select("rule_id", "event_id", "detected_at")
+    free = _unbarred(candidates, events, hours * 3_600_000_000).select("rule_id", "event_id", "detected_at")
     ordered = free.repartition("rule_id").sortWithinPartitions("rule_id", "detected_at", "event_id")
     gap = pd.Timedelta(hours=hours)
 

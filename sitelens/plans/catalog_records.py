@@ -736,7 +736,7 @@ def _drained(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = catalog._stream(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", F.col("user_id").alias("rule_id"), F.col("ts").cast("timestamp").alias("detected_at"))
     with streams.rocksdb(spark):
-        return _drained(spark, streams.stream_alerts(events), "stream-alerts").select("event_id", "rule_id")
+        return _drained(spark, streams.stream_alerts(events, expires=False), "stream-alerts").select("event_id", "rule_id")
 
 
 @query("stream_discovered", "SELECT DISTINCT o_custkey % 4 AS crawl_id, concat('https://x.example/', o_custkey) AS normalized_url FROM orders WHERE o_orderkey % 3 <> 0 AND o_custkey % 10 <> 0")

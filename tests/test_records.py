@@ -1,6 +1,7 @@
 """Alerts, written rows, comparisons, structured data, streams and sitemaps on small cases."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -37,10 +38,52 @@ def test_alerts_are_a_chain_in_a_batch_and_in_a_stream(spark, tmp_path):
     rows.orderBy(F.desc("detected_at")).coalesce(1).write.parquet(source)
     out = str(tmp_path / "out")
     with streams.rocksdb(spark):
-        streams._append(streams.stream_alerts(spark.readStream.schema(rows.schema).parquet(source)), out, str(tmp_path / "state")).awaitTermination()
+        streams._append(streams.stream_alerts(spark.readStream.schema(rows.schema).parquet(source), expires=False), out, str(tmp_path / "state")).awaitTermination()
     assert {(r.rule_id, r.event_id) for r in spark.read.parquet(f"{out}/epoch=*").collect()} == {(k, i) for k in (1, 2) for i in EMITTED}
 
 
+def test_stored_events_bar_by_bins(spark):
+    """One rule with very many events, against a comparison of all pairs; 24 hours to the second still bar."""
+    import random
+
+    rng = random.Random(2)
+    events = [(1, rng.randrange(0, 40 * 86_400, 1_800)) for _ in range(60)] + [(2, 86_400)]
+    asked = [(i, rng.choice((1, 2, 3)), rng.randrange(0, 40 * 86_400, 900)) for i in range(500)] + [(900, 2, 2 * 86_400), (901, 2, 2 * 86_400 + 1), (902, 2, 86_399)]
+    frame = lambda rows, names: spark.createDataFrame(rows, f"{names} bigint, t bigint").withColumn("detected_at", F.timestamp_seconds("t")).drop("t")
+    free = accounts._unbarred(frame(asked, "event_id bigint, rule_id"), frame(events * 50, "rule_id"), 86_400_000_000)
+    want = {i for i, r, t in asked if not any(q == r and t - 86_400 <= u <= t for q, u in events)}
+    assert sorted(r.event_id for r in free.collect()) == sorted(want)
+
+
+def _state_rows(query):
+    return query.lastProgress["stateOperators"][0]["numRowsTotal"] if query.lastProgress else 0
+
+
+def test_state_goes_when_its_time_has_passed(spark, tmp_path):
+    """Keys of metrics behind the watermark, and gates of rules that fell silent."""
+    source, schema = str(tmp_path / "in"), "k int, at timestamp"
+    day = lambda d: F.timestamp_seconds(F.lit(d * 86_400))
+    kept = []
+    for d in (1, 1, 2, 30, 31, 32):
+        spark.range(50).select((F.col("id") + 100 * d).cast("int").alias("k"), day(d).alias("at")).write.mode("append").parquet(source)
+        query = streams.stream_new_rows_within(spark.readStream.schema(schema).parquet(source), ["k"], "at", "3 days", str(tmp_path / f"out-{len(kept)}"), str(tmp_path / "state"))
+        query.awaitTermination()
+        kept.append(_state_rows(query))
+    assert max(kept) <= 250 and kept[-1] < 200  # 50 keys a day; those of days 1 and 2 are gone
+    rows = sum(spark.read.schema(schema).parquet(str(tmp_path / f"out-{i}") + "/epoch=*").count() for i in range(6) if any((tmp_path / f"out-{i}").glob("epoch=*/*.parquet")))
+    assert rows == 250
+
+    alerts, schema = str(tmp_path / "alerts"), "event_id bigint, rule_id bigint, detected_at timestamp"
+    with streams.rocksdb(spark):
+        for i, rule in enumerate((1, 1, 2)):
+            time.sleep(3 if i == 2 else 0)
+            spark.sql(f"SELECT {i}L AS event_id, {rule}L AS rule_id, current_timestamp() AS detected_at").write.mode("append").parquet(alerts)
+            gate = streams.stream_alerts(spark.readStream.schema(schema).parquet(alerts), hours=2 / 3600)
+            query = streams._append(gate, str(tmp_path / "events"), str(tmp_path / "gate"))
+            query.awaitTermination()
+    assert _state_rows(query) <= 2
+
+
 def test_new_addresses_come_once_over_restarts(spark, tmp_path):
     known = spark.createDataFrame([(1, "https://tea.test/known")], "crawl_id int, normalized_url string")
     source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
