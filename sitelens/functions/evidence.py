@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,45 +39,58 @@ STRUCTURED = T.StructType().add("types", T.ArrayType(T.StringType())).add("dated
 _DATED = ("author", "datePublished", "dateModified")
 
 
-def _opened(blocks: list[str | None]) -> tuple[list[dict], bool]:
-    """Objects of structured data blocks, with arrays, graphs and JSON inside strings opened; whether all could be read."""
-    found: list[dict] = []
-    valid = True
-    todo = [(b, 1) for b in reversed(blocks)]
-    while todo:
-        value, depth = todo.pop()
-        if depth > DEPTH:
-            valid = False
-        elif isinstance(value, str):
-            try:
-                todo.append((json.loads(value), depth + 1))
-            except (ValueError, RecursionError):
-                valid = False
-        elif isinstance(value, list):
-            todo.extend((x, depth + 1) for x in reversed(value))
-        elif isinstance(value, dict):
-            found.append(value)
-            if "@graph" in value:
-                todo.append((value["@graph"], depth + 1))
-        else:
-            valid = False
-    return found, valid
-
-
-@F.pandas_udf(STRUCTURED)
-def _structured(blocks: pd.Series) -> pd.DataFrame:
-    out = []
-    for own in blocks:
-        found, valid = _opened(list(own))
-        kinds = [o["@type"] for o in found if "@type" in o]
-        types = [t for k in kinds for t in (k if isinstance(k, list) else [k]) if isinstance(t, str)]
-        out.append((types, any(o.get(k) is not None for o in found for k in _DATED), valid))
-    return pd.DataFrame(out, columns=["types", "dated", "valid"])
+def _typed(values: Column) -> Column:
+    """Variants with their kinds: OBJECT, ARRAY, STRING, VOID or another type, BAD for what is no JSON."""
+    return F.transform(values, lambda v: F.struct(v.alias("v"), F.coalesce(_kind(v), F.lit("BAD")).alias("kind")))
+
+
+def _kind(value: Column) -> Column:
+    return F.substring_index(F.schema_of_variant(value), "<", 1)
+
+
+def _at(value: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, F.lit(path), kind)
+
+
+def _inside(values: Column) -> Column:
+    """What arrays, graphs and strings hold, one level down."""
+    opened = lambda x: (
+        F.when(x["kind"] == "ARRAY", _at(x["v"], "$", "array<variant>"))
+        .when(x["kind"] == "STRING", F.array(F.try_parse_json(_at(x["v"], "$", "string"))))
+        .when((x["kind"] == "OBJECT") & _at(x["v"], "$.@graph").isNotNull(), F.array(_at(x["v"], "$.@graph")))
+        .otherwise(F.array().cast("array<variant>"))
+    )
+    return _typed(F.flatten(F.transform(values, opened)))
+
+
+def _types(item: Column) -> Column:
+    """Texts of an object's ``@type``, one or several."""
+    found = _at(item["v"], "$.@type")
+    text = lambda v: _at(v, "$", "string")
+    many = F.transform(F.filter(_at(found, "$", "array<variant>"), lambda v: _kind(v) == "STRING"), text)
+    return F.when(_kind(found) == "STRING", F.array(text(found))).when(_kind(found) == "ARRAY", many).otherwise(F.array().cast("array<string>"))
+
+
+def _judged(levels: Column) -> Column:
+    """The result over the values found; what is left in front lies too deep to be read."""
+    objects = F.filter(levels["found"], lambda x: x["kind"] == "OBJECT")
+    valid = ~F.exists(levels["found"], lambda x: ~x["kind"].isin("OBJECT", "ARRAY", "STRING")) & (F.size(levels["front"]) == 0)
+    has = lambda x, name: F.coalesce(_kind(_at(x["v"], f"$.{name}")) != "VOID", F.lit(False))
+    dated = F.exists(objects, lambda x: has(x, _DATED[0]) | has(x, _DATED[1]) | has(x, _DATED[2]))
+    return F.struct(F.flatten(F.transform(objects, _types)).alias("types"), dated.alias("dated"), valid.alias("valid")).cast(STRUCTURED)
 
 
 def structured_data(blocks: Column) -> Column:
-    """Struct of all values of ``@type``, whether an object names an author or a date, and whether all blocks could be read."""
-    return _structured(F.coalesce(blocks, F.array().cast("array<string>")))
+    """Struct of all values of ``@type``, whether an object names an author or a date, and whether all blocks could be read.
+
+    Blocks are variants; arrays, graphs and JSON inside strings are opened level
+    by level, a block being the first of ``DEPTH`` levels.  Types come level by level.
+    """
+    own = F.coalesce(blocks, F.array().cast("array<string>"))
+    first = _typed(F.transform(own, lambda b: F.try_parse_json(b)))
+    start = F.struct(F.array().cast("array<struct<v:variant,kind:string>>").alias("found"), first.alias("front"))
+    opened = lambda levels, _: F.struct(F.concat(levels["found"], levels["front"]).alias("found"), _inside(levels["front"]).alias("front"))
+    return F.aggregate(F.sequence(F.lit(2), F.lit(DEPTH)), start, opened, _judged)
 
 
 def schema_types(blocks: Column) -> Column:

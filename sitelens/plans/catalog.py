@@ -492,9 +492,9 @@ def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(running.schema).parquet(f"{out}/epoch=*").groupBy("owner_id", "month").agg(F.max("pages").alias("pages"))
 
 
-@query("stream_new_metrics", "SELECT DISTINCT l_partkey % 500 AS keyword_id, CAST(l_shipdate AS DATE) AS date, l_suppkey % 4 AS page FROM lineitem")
+@query("stream_new_metrics", "SELECT DISTINCT l_partkey AS keyword_id, CAST(l_shipdate AS DATE) AS date, l_suppkey % 4 AS page FROM lineitem")
 def stream_new_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stream(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("keyword_id"), F.col("l_shipdate").cast("date").alias("date"), (F.col("l_suppkey") % 4).alias("page"))
+    rows = _stream(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("keyword_id"), F.col("l_shipdate").cast("date").alias("date"), (F.col("l_suppkey") % 4).alias("page"))
     out = fresh_path(spark, "stream-metrics")
     streams.stream_new_rows(rows, ["keyword_id", "date", "page"], out, fresh_path(spark, "stream-metrics-state")).awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{out}/epoch=*")

@@ -13,6 +13,31 @@ from sitelens.sources import ingest, tables
 from sitelens.streaming import streams
 
 
+def opened(blocks: list[str | None]) -> tuple[list[dict], bool]:
+    """Objects of structured data blocks, with arrays, graphs and JSON inside strings opened; whether all could be read."""
+    found: list[dict] = []
+    valid = True
+    todo = [(b, 1) for b in reversed(blocks)]
+    while todo:
+        value, depth = todo.pop()
+        if depth > evidence.DEPTH:
+            valid = False
+        elif isinstance(value, str):
+            try:
+                todo.append((json.loads(value), depth + 1))
+            except (ValueError, RecursionError):
+                valid = False
+        elif isinstance(value, list):
+            todo.extend((x, depth + 1) for x in reversed(value))
+        elif isinstance(value, dict):
+            found.append(value)
+            if "@graph" in value:
+                todo.append((value["@graph"], depth + 1))
+        else:
+            valid = False
+    return found, valid
+
+
 def test_alerts_count_shared_titles_and_carry_a_payload(spark):
     rules = spark.createDataFrame([(1, 7, "CANNIBALIZATION_DETECTED", 0, True), (2, 7, "SCORE_DROP", 5, True), (3, 7, "THIN_CONTENT_SPIKE", 0, True), (4, 8, "THIN_CONTENT_SPIKE", 0, True), (5, 7, "CRAWL_FAILURE", 0, False)], "rule_id int, project_id int, type string, threshold int, is_enabled boolean")
     scores = spark.createDataFrame([(7, 1, 80.0, 1), (7, 2, 74.0, 2)], "project_id int, crawl_id int, overall double, created_at int")
@@ -111,12 +136,12 @@ def test_structured_data_in_strings_and_deep_graphs():
     deep = {"@type": "Person"}
     for _ in range(6):
         deep = {"@graph": [deep]}
-    found, valid = evidence._opened([json.dumps(json.dumps([deep, {"@type": ["A", 3]}])), json.dumps({"datePublished": None, "@type": "B"})])
+    found, valid = opened([json.dumps(json.dumps([deep, {"@type": ["A", 3]}])), json.dumps({"datePublished": None, "@type": "B"})])
     assert valid and [o["@type"] for o in found if "@type" in o] == ["Person", ["A", 3], "B"]
     for _ in range(9):
         deep = [deep]
-    assert not evidence._opened([json.dumps(deep)])[1]
-    assert evidence._opened(["{"]) == ([], False) and evidence._opened(["3"]) == ([], False) and evidence._opened([]) == ([], True)
+    assert not opened([json.dumps(deep)])[1]
+    assert opened(["{"]) == ([], False) and opened(["3"]) == ([], False) and opened([]) == ([], True)
 
 
 def test_structured_data_column(spark):
@@ -126,6 +151,37 @@ def test_structured_data_column(spark):
     assert found[3].types == [] and found[3].valid and found[2].types == []
 
 
+def test_structured_data_in_the_jvm_equals_the_parser(spark):
+    """Graphs, arrays, dates, JSON in strings, broken blocks and other values, nested at random."""
+    import random
+
+    rng = random.Random(8)
+
+    def value(depth):
+        kind = rng.random()
+        if depth > 5 or kind < 0.15:
+            return rng.choice([3, None, True, "text", 1.5, '{"@type":"InText"}', "[]"])
+        if kind < 0.35:
+            return [value(depth + 1) for _ in range(rng.randint(0, 3))]
+        out = {}
+        if rng.random() < 0.7:
+            out["@type"] = rng.choice(["A", "FAQPage", ["B", 2, "C"], [], 5, None, {"x": 1}])
+        if rng.random() < 0.3:
+            out[rng.choice(["author", "datePublished", "dateModified"])] = rng.choice(["x", None, {"@type": "Person"}, 3])
+        if rng.random() < 0.4:
+            out["@graph"] = value(depth + 1)
+        return out
+
+    rows = [(i, [rng.choice(["{", None, json.dumps(value(0)), json.dumps(value(0))]) for _ in range(rng.randint(0, 3))]) for i in range(400)] + [(400, None)]
+    found = spark.createDataFrame(rows, "id int, b array<string>").select("id", evidence.structured_data(F.col("b")).alias("d")).collect()
+    for r in found:
+        objects, valid = opened(rows[r.id][1] or [])
+        kinds = [o["@type"] for o in objects if "@type" in o]
+        types = [t for k in kinds for t in (k if isinstance(k, list) else [k]) if isinstance(t, str)]
+        assert (sorted(r.d.types), r.d.valid) == (sorted(types), valid), rows[r.id]
+        assert r.d.dated == any(o.get(k) is not None for o in objects for k in ("author", "datePublished", "dateModified")), rows[r.id]
+
+
 def test_a_rule_of_ones_own_reads_no_text(spark):
     own = Rule("NO_TEAPOT", "Content", "Low", lambda: ~F.col("title").contains("teapot"), "title", lambda: F.col("title"), "A teapot")
     pages = spark.createDataFrame([(1, 1, "a teapot", True), (1, 2, "a cup", True), (1, 3, "a cup", False)], "crawl_id int, page_id int, title string, has_snapshot boolean")
