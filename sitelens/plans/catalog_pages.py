@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.extract import extract_pages, page_assets, page_meta
-from ..operators.rules import evaluate_rules
+from ..operators.rules import Rule, evaluate_rules, page_rules
+from ..sources import ingest
 from ..sources.tables import read_table
 from . import catalog_records, visibility
+from .durable import fresh_path
 from .expected import EXPECTED
 from .registry import ORACLES, QUERIES, plain, query
-from .views import ctes, view
+from .views import ctes, rule_pages, view
 
 __all__ = ["ORACLES", "QUERIES", "catalog_records"]
 
@@ -119,3 +121,35 @@ def site_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = visibility.ai_page_signals(extract_pages(view(spark, sf_dir, "v_markup")).withColumn("crawl_id", F.col("page_id") % 4))
     known = signals.select("crawl_id", F.lit("70.0").cast("decimal(5,1)").alias("crawlability"))
     return plain(signals.join(visibility.ai_scores(signals, known).drop("crawlability"), "crawl_id"))
+
+
+_ENTRY = """SELECT url AS location, page_id, CASE page_id % 3 WHEN 0 THEN concat('2024-01-', lpad(CAST(1 + page_id % 28 AS STRING), 2, '0')) WHEN 1 THEN 'yesterday' END AS lastmod,
+  CASE page_id % 4 WHEN 0 THEN 'Weekly' WHEN 1 THEN 'daily' END AS changefreq, CASE WHEN page_id % 5 = 0 THEN '7' ELSE concat('0.', CAST(page_id % 10 AS STRING)) END AS priority"""
+
+
+@query(
+    "sitemap_entries",
+    f"""WITH e AS ({_ENTRY} FROM pages) SELECT location, CAST(max(try_cast(lastmod AS DATE)) AS VARCHAR) AS lastmod, min(lower(changefreq)) AS changefreq,
+  CAST(max(CASE WHEN CAST(priority AS DOUBLE) <= 1 THEN CAST(priority AS DOUBLE) END) AS DOUBLE) AS priority FROM e WHERE length(location) <= 2048 GROUP BY location""",
+)
+def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sitemap of all given pages and some addresses that don't count, written as XML and read again."""
+    rows = spark.sql(_ENTRY + " FROM {pages}", pages=read_table(spark, sf_dir, "pages"))
+    refused = rows.select(F.concat(F.lit("ftp://x/"), F.col("page_id").cast("string")).alias("location"), "page_id", "lastmod", "changefreq", "priority")
+    path = fresh_path(spark, "sitemap")
+    entries = rows.unionByName(refused).select(F.concat(F.lit(" "), "location").alias("loc"), "lastmod", "changefreq", "priority")
+    entries.write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    found = ingest.sitemap_urls(spark, [path], max_urls=1 << 30)
+    return plain(found.withColumn("lastmod", F.date_format("lastmod", "yyyy-MM-dd")))
+
+
+@query(
+    "site_own_rule",
+    f"""WITH {ctes("v_page")} SELECT crawl_id, page_id, 'TITLE_SHOUTS' AS code, title = upper(title) AS triggered, CASE WHEN page_id % 2 = 0 THEN 'High' ELSE 'Low' END AS severity, 'OnPage' AS category, title AS actual, 'Small letters' AS expected FROM v_page
+UNION ALL SELECT crawl_id, page_id, 'LOW_WORD_COUNT', word_count < 100, 'Low', 'Content', CAST(word_count AS VARCHAR), '100 words or more' FROM v_page""",
+)
+def site_own_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule of one's own beside one of the given rules with another threshold."""
+    own = Rule("TITLE_SHOUTS", "OnPage", lambda: F.when(F.col("page_id") % 2 == 0, "High").otherwise("Low"), lambda: F.col("title") == F.upper("title"), "title", lambda: F.col("title"), "Small letters")
+    low = [r for r in page_rules(low_words=100) if r.code == "LOW_WORD_COUNT"]
+    return evaluate_rules(rule_pages(spark, sf_dir), [own, *low]).select("crawl_id", "page_id", "code", "triggered", "severity", "category", "evidence.actual", "evidence.expected")
