@@ -73,7 +73,12 @@ def test_a_large_family_lists_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(duplicates, "BLOCK", 60)
     vocabulary = [f"w{i}" for i in range(2_000)]
     base = RNG.choices(vocabulary, k=200)
-    docs = [(i, varied(base, 0.004, vocabulary) + f" tail{i}") for i in range(400)]
+    docs = []
+    for i in range(400):
+        words = list(base)
+        for at in RNG.sample(range(200), i % 4):
+            words[at] = RNG.choice(vocabulary)
+        docs.append((i, " ".join([*words, f"tail{i}"])))
     written = {}
     real = duplicates.Scratch.save
 
