@@ -154,7 +154,7 @@ def test_extraction(spark):
     one = found.filter("page_id = 1").first()
     assert (one.title, one.meta_description, one.canonical, one.language, one.h1) == ("A page", "d", "https://example.com/canonical", "fa", "Top")
     assert [(h.level, h.text) for h in one.headings] == [(1, "Top"), (3, "Low")]
-    assert (one.text, one.word_count, one.image_count, one.missing_alt) == ("TopLowone two In link threemvar skipped = 1;", 8, 2, 1)
+    assert (one.text, one.word_count, one.image_count, one.missing_alt) == ("TopLowone two In link threemvar skipped = 1;", 7, 2, 1)
     assert json.loads(one.json_ld[0]) == {"@type": "Article"} and one.open_graph == {"og:title": "o"} and one.hreflang[0].target == "https://example.com/en"
     assert [(a.type, a.mixed, a.external) for a in one.assets] == [("Script", True, True), ("Stylesheet", False, False), ("Image", False, False), ("Image", False, False)]
     links = page_links(found).collect()
