@@ -47,16 +47,23 @@ terms AS (
 ORACLES["text_key_terms"] = f"WITH {TERMS} SELECT doc_id, term, n, CAST(density AS DOUBLE) AS density, CAST(size AS BIGINT) AS size, stuffing, rank FROM terms"
 QUERIES["text_key_terms"] = lambda spark, sf_dir, f=QUERIES["text_key_terms"]: plain(f(spark, sf_dir))
 
-READS = rf"""rs AS (
-  SELECT doc_id, source, text, trim(text, E' \t\n\r\v\f') = '' AS empty, len(regexp_extract_all(text, '{_WORD}')) AS words,
-         list_filter(string_split(regexp_replace(text, '([.!?؟;\n])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, E' \t\n\r\v\f') <> '') AS parts,
-         greatest(len(list_filter(string_split(replace(text, E'\r\n\r\n', E'\n\n'), E'\n\n'), lambda x: x <> '')), 1) AS paragraphs FROM documents
+#: White space by Unicode, and a quotient of whole numbers to one place, half to even, in tenths; doubles would round 23 / 80 down.
+_SPACE = r"\t-\r\x{85}\p{Z}"
+_TENTHS = "({0}) // ({1}) + CASE WHEN 2 * (({0}) % ({1})) > ({1}) OR (2 * (({0}) % ({1})) = ({1}) AND ({0}) // ({1}) % 2 = 1) THEN 1 ELSE 0 END"
+READS = rf"""rt AS (
+  SELECT doc_id, source, translate(coalesce(text, ''), chr(1), chr(2)) AS text FROM documents
+), rs AS (
+  SELECT doc_id, source, text, NOT regexp_matches(text, '[^{_SPACE}]') AS empty, len(regexp_extract_all(text, '{_WORD}')) AS words,
+         list_filter(string_split(regexp_replace(text, '([.!?؟;\n])[{_SPACE}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS parts,
+         greatest(len(list_filter(string_split(regexp_replace(text, '\r\n\r\n|\n\n', chr(1), 'g'), chr(1)), lambda x: x <> '')), 1) AS paragraphs FROM rt
 ), rc AS (
   SELECT *, greatest(len(parts), 1) AS sentences, len(list_filter(parts, lambda x: len(regexp_extract_all(x, '{_WORD}')) > 25)) AS long_sentences FROM rs
+), rq AS (
+  SELECT *, {_TENTHS.format("10 * words", "sentences")} AS average_tenths, {_TENTHS.format("1000 * long_sentences", "sentences")} AS long_tenths FROM rc
 ), rm AS (
-  SELECT *, round_even(words / sentences, 1) AS average_sentence, round_even(long_sentences / sentences * 100, 1) AS long_share FROM rc
+  SELECT *, average_tenths / 10 AS average_sentence, long_tenths / 10 AS long_share, greatest(10000 - greatest(average_tenths - 150, 0) * 20 - long_tenths * 4, 0) AS hundredths FROM rq
 ), rd AS (
-  SELECT *, round_even(greatest(least(100 - greatest(average_sentence - 15, 0) * 2 - long_share * 0.4, 100), 0), 1) AS score FROM rm
+  SELECT *, ({_TENTHS.format("hundredths", "10")}) / 10 AS score FROM rm
 ), reads AS (
   SELECT doc_id, source, text, CASE WHEN empty THEN 0 ELSE words END AS words, CASE WHEN empty THEN 0 ELSE sentences END AS sentences, CASE WHEN empty THEN 0 ELSE average_sentence END AS average_sentence,
          CASE WHEN empty THEN 0 ELSE long_sentences END AS long_sentences, CASE WHEN empty THEN 0 ELSE long_share END AS long_share, CASE WHEN empty THEN 0 ELSE paragraphs END AS paragraphs,
