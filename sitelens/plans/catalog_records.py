@@ -98,7 +98,7 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     wanted = [r for r in page_rules() if r.code in ("KEYWORD_STUFFING", "CONTENT_LONG_SENTENCES", "THIN_CONTENT")]
     pages = read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("page_id"), F.col("source").alias("crawl_id"), "text", F.size(word_list(F.col("text"))).alias("word_count"), F.lit(200).alias("status"), F.lit(True).alias("is_indexable"), F.lit(True).alias("has_snapshot")
+        F.col("doc_id").alias("page_id"), F.col("source").alias("crawl_id"), "text", F.size(word_list(F.coalesce("text", F.lit("")))).alias("word_count"), F.lit(200).alias("status"), F.lit(True).alias("is_indexable"), F.lit(True).alias("has_snapshot")
     )
     return evaluate_rules(pages, wanted).select("crawl_id", "page_id", "code", "triggered", "severity", "category", "evidence.actual")
 

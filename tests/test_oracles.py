@@ -39,3 +39,7 @@ def test_readability_on_odd_texts(spark, tmp_path):
     """Null texts, white space by Unicode, and 23 / 80 = 28.75 % to one place, half to even."""
     for name in ("text_readability", "text_content_summary"):
         assert differences(spark, tmp_path, name, documents=documents(ODD_TEXTS)) == (Counter(), Counter())
+
+
+def test_text_rules_on_odd_texts(spark, tmp_path):
+    assert differences(spark, tmp_path, "text_rules", documents=documents(ODD_TEXTS)) == (Counter(), Counter())
