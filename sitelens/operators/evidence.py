@@ -10,8 +10,9 @@ from ..functions.urls import host, host_matches
 
 
 def page_evidence(crawled: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Pages with their first snapshot (lowest id), the input of the rules; ``has_snapshot`` tells whether there is one."""
-    first = snapshots.withColumn("_k", F.row_number().over(W.partitionBy("page_id").orderBy("snapshot_id"))).filter("_k = 1").drop("_k")
+    """Pages with their first snapshot (lowest id, of equal ids the lowest texts and numbers), the input of the rules; ``has_snapshot`` tells whether there is one."""
+    ties = [c for c, t in snapshots.dtypes if c not in ("page_id", "snapshot_id") and not t.startswith(("array", "map", "struct"))]
+    first = snapshots.withColumn("_k", F.row_number().over(W.partitionBy("page_id").orderBy("snapshot_id", *ties))).filter("_k = 1").drop("_k")
     return crawled.join(first.withColumn("_has", F.lit(True)), "page_id", "left").withColumn("has_snapshot", F.coalesce("_has", F.lit(False))).drop("_has")
 
 

@@ -214,7 +214,7 @@ def page_assets_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("crawl_id", "page_id", "type", "mixed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("evidence_first_snapshot", "SELECT p_partkey AS page_id, min(l_orderkey * 10 + l_linenumber) AS snapshot_id, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) AS title, count(l_orderkey) > 0 AS has_snapshot FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
+@query("evidence_first_snapshot", "SELECT p_partkey AS page_id, min(l_orderkey * 10 + l_linenumber) AS snapshot_id, arg_min_null(l_returnflag, (l_orderkey * 10 + l_linenumber, coalesce(l_returnflag, ''))) AS title, count(l_orderkey) > 0 AS has_snapshot FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
 def evidence_first_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("page_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("snapshot_id"), F.col("l_returnflag").alias("title"))
     return evidence.page_evidence(read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id")), taken).select("page_id", "snapshot_id", "title", "has_snapshot")

@@ -43,3 +43,12 @@ def test_readability_on_odd_texts(spark, tmp_path):
 
 def test_text_rules_on_odd_texts(spark, tmp_path):
     assert differences(spark, tmp_path, "text_rules", documents=documents(ODD_TEXTS)) == (Counter(), Counter())
+
+
+def test_first_snapshot_of_equal_ids(spark, tmp_path):
+    """Lines may repeat a key; whichever is read first, the lowest flag counts."""
+    flags = [f for _ in range(20) for f in ("R", "N", "A")]
+    for order in (flags, flags[::-1]):
+        n = len(order)
+        lines = {"l_partkey": pa.array([i // 3 for i in range(n)], pa.int64()), "l_orderkey": pa.array([7] * n, pa.int64()), "l_linenumber": pa.array([1] * n, pa.int32()), "l_returnflag": order}
+        assert differences(spark, tmp_path, "evidence_first_snapshot", part={"p_partkey": pa.array(range(25), pa.int64())}, lineitem=lines) == (Counter(), Counter())
