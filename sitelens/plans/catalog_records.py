@@ -20,7 +20,7 @@ from ..sources.tables import read_raw_pages, read_table, report, reports_list, w
 from ..streaming import streams
 from . import accounts, audit, catalog, competitors, snapshots, visibility
 from .durable import fresh_path
-from .expected import rule_ctes
+from .expected import markup_text, rule_ctes
 from .registry import ORACLES, QUERIES, plain, query
 from .views import ctes, rule_pages, view
 
@@ -172,7 +172,7 @@ def page_data_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "page_titles_extracted",
-    "SELECT page_id, " + ", ".join(f"replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<{t}>(.*?)</{t}>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS {t}" for t in ("title", "h1")) + " FROM pages",
+    "SELECT page_id, " + ", ".join(markup_text(f"regexp_extract(html, '<{t}>(.*?)</{t}>', 1, 's')") + f" AS {t}" for t in ("title", "h1")) + " FROM pages",
 )
 def page_titles_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_pages(read_table(spark, sf_dir, "pages"))

@@ -52,3 +52,19 @@ def test_first_snapshot_of_equal_ids(spark, tmp_path):
         n = len(order)
         lines = {"l_partkey": pa.array([i // 3 for i in range(n)], pa.int64()), "l_orderkey": pa.array([7] * n, pa.int64()), "l_linenumber": pa.array([1] * n, pa.int32()), "l_returnflag": order}
         assert differences(spark, tmp_path, "evidence_first_snapshot", part={"p_partkey": pa.array(range(25), pa.int64())}, lineitem=lines) == (Counter(), Counter())
+
+
+def pages(bodies):
+    n = len(bodies)
+    html = [f'<!DOCTYPE html><html lang="en"><head><title>{b}</title></head>\n<body><h1>{b}</h1>\n<p>More <b>{b}</b> text.</p></body></html>' for b in bodies]
+    return {"page_id": pa.array(range(n), pa.int64()), "url": [f"https://shop.example/{i}" for i in range(n)], "html": html}
+
+
+ODD_TITLES = [
+    "Plain", "cut &amp", "cut &am", "&quot;quoted&quot cut &quo", "&amp;quot; &amp;amp", "1 &lt; 2 &gt 1", "it&#x27;s &copy &middot;", "no-break\u00a0space\x0band\x1fmore",
+    "nineteen letters a&amp", "sixty-five letters " + "x" * 45 + "&amp",
+]
+
+
+def test_page_titles_with_references(spark, tmp_path):
+    assert differences(spark, tmp_path, "page_titles_extracted", pages=pages(ODD_TITLES)) == (Counter(), Counter())
