@@ -11,28 +11,27 @@ from ..sources import ingest
 from ..sources.tables import read_table
 from . import catalog_records, visibility
 from .durable import fresh_path
-from .expected import EXPECTED
+from .expected import EXPECTED, markup_text
 from .registry import ORACLES, QUERIES, plain, query
 from .views import ctes, rule_pages, view
 
 __all__ = ["ORACLES", "QUERIES", "catalog_records"]
 
-_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
 #: Titles, headings and body text of the given pages, by regular expressions.
 _EXTRACTED = rf"""b AS (
   SELECT page_id, url, regexp_replace(html, '<!--.*?-->', '', 'gs') AS h FROM pages
 ), x AS (
-  SELECT page_id, url, h, {_TEXT.format("regexp_extract(h, '<title>(.*?)</title>', 1, 's')")} AS title,
-         {_TEXT.format("regexp_replace(regexp_extract(h, '<h1>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g')")} AS h1, regexp_extract(h, '<html lang="([^"]*)"', 1) AS language,
-         {_TEXT.format("regexp_replace(regexp_extract(h, '<body[^>]*>(.*)$', 1, 's'), '<[^>]*>', '', 'g')")} AS text,
-         len(regexp_extract_all(h, '<h[1-6]>')) AS headings, len(regexp_extract_all(h, '<h1>')) AS n_h1, len(regexp_extract_all(h, '<a href=')) AS links
+  SELECT page_id, url, h, {markup_text("regexp_extract(h, '<title>(.*?)</title>', 1, 's')")} AS title,
+         {markup_text("regexp_extract(h, '<h1>(.*?)</h1>', 1, 's')")} AS h1, CASE WHEN h LIKE '%<html lang="%' THEN regexp_extract(h, '<html lang="([^"]*)"', 1) END AS language,
+         {markup_text("regexp_extract(h, '<body[^>]*>(.*)$', 1, 's')")} AS text,
+         len(list_filter(regexp_extract_all(h, '<h[1-6]>(.*?)</h[1-6]>', 1, 's'), lambda t: {markup_text("t")} <> '')) AS headings, len(list_filter(regexp_extract_all(h, '<h1>(.*?)</h1>', 1, 's'), lambda t: {markup_text("t")} <> '')) AS n_h1, len(regexp_extract_all(h, '<a href=')) AS links
   FROM b
 )"""
 
 
 @query(
     "page_extraction",
-    rf"""WITH {_EXTRACTED} SELECT page_id, title, h1, language, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS word_count, headings, links, 0 AS assets, md5(text) AS text_md5, NULL::VARCHAR AS error FROM x""",
+    rf"""WITH {_EXTRACTED} SELECT page_id, nullif(title, '') AS title, nullif(h1, '') AS h1, language, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS word_count, headings, links, 0 AS assets, md5(text) AS text_md5, NULL::VARCHAR AS error FROM x""",
 )
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_pages(read_table(spark, sf_dir, "pages"))

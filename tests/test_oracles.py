@@ -68,3 +68,7 @@ ODD_TITLES = [
 
 def test_page_titles_with_references(spark, tmp_path):
     assert differences(spark, tmp_path, "page_titles_extracted", pages=pages(ODD_TITLES)) == (Counter(), Counter())
+
+
+def test_page_extraction_with_references(spark, tmp_path):
+    assert differences(spark, tmp_path, "page_extraction", pages=pages([*ODD_TITLES, ""])) == (Counter(), Counter())
