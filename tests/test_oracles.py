@@ -72,3 +72,12 @@ def test_page_titles_with_references(spark, tmp_path):
 
 def test_page_extraction_with_references(spark, tmp_path):
     assert differences(spark, tmp_path, "page_extraction", pages=pages([*ODD_TITLES, ""])) == (Counter(), Counter())
+
+
+def test_rules_on_extracted_pages(spark, tmp_path):
+    """Lengths of titles with references, and shares of long sentences that lie between two tenths."""
+    body = lambda n: LONG * n + SHORT * (80 - n)
+    table = pages(ODD_TITLES)
+    table["html"] += [f"<html><head><title>Shares of long sentences</title></head><body><h1>t</h1>{body(n)}</body></html>" for n in (23, 24, 25)]
+    table["page_id"], table["url"] = pa.array(range(13), pa.int64()), [f"https://shop.example/{i}" for i in range(13)]
+    assert differences(spark, tmp_path, "site_rules_extracted", pages=table) == (Counter(), Counter())
