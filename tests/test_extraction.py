@@ -1,6 +1,9 @@
 """Extraction of evidence from any markup."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from sitelens.functions import extract
 from sitelens.functions.extract import extract_pages, page_row
@@ -48,3 +51,23 @@ def test_bad_pages_do_not_end_the_job(spark, monkeypatch):
     assert sorted(found) == [1, 2, 3, 4, 5]
     assert found[1].error.startswith("url:") and found[1].h1 == "a" and found[3].word_count == 50_000 and found[4].text == "" and found[5].open_graph == {"og:title": "OG"}
     assert extract_pages(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
+
+
+def test_runs_of_inert_tags_read_as_single_ones(monkeypatch):
+    """Any mixture of tags, references, comments and text gives what reading tag by tag gives."""
+    rng = random.Random(3)
+    parts = ["<b>", "</b>", "<P>", "</p >", "<br/>", "<br />", '<div class="a&amp;b>c">', '<span title="x" id="y">', "<span title='x'>", "<b", "</b", "<", ">", "&", "&amp", "&amp;", "p;", " ", "w", "\n", "<!-- <b> -->",
+             "<!x>", "<title>", "</title>", "<h1>", "</h1>", "<h2>", '<a href="/x">', "</a>", "<template>", "</template>", "<script>", "</script>", "<noscript>", "<body>", "</body>", "<textarea>", "</textarea>", '<img alt="<i>">', "<bold>", "<i\t>", "\0"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(5_000)]
+    found = [page_row("https://a/", p) for p in pages]
+    monkeypatch.setattr(extract._Page, "run_from", lambda self, i: None)
+    assert found == [page_row("https://a/", p) for p in pages]
+
+
+def test_small_files_of_large_pages_are_dealt_over_tasks(spark, tmp_path):
+    """A page may be a thousand times its row in the file, which Spark reads as one partition."""
+    from sitelens.plans.views import view
+
+    spark.range(12_000).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size"), F.lit(1.0).alias("p_retailprice")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    sizes = view(spark, str(tmp_path), "v_markup").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 3 and max(r["count"] for r in sizes) < 6_000
