@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from sitelens.plans.catalog_pages import ORACLES, QUERIES
 
@@ -81,3 +82,11 @@ def test_rules_on_extracted_pages(spark, tmp_path):
     table["html"] += [f"<html><head><title>Shares of long sentences</title></head><body><h1>t</h1>{body(n)}</body></html>" for n in (23, 24, 25)]
     table["page_id"], table["url"] = pa.array(range(13), pa.int64()), [f"https://shop.example/{i}" for i in range(13)]
     assert differences(spark, tmp_path, "site_rules_extracted", pages=table) == (Counter(), Counter())
+
+
+def test_meta_data_of_pages_made_of_parts(spark, tmp_path):
+    """More parts than a task makes pages of, in one file."""
+    n = 6_000
+    part = {"p_partkey": pa.array(range(n), pa.int64()), "p_name": [f"part {i}" for i in range(n)], "p_brand": ["b"] * n, "p_type": ["t"] * n, "p_size": pa.array([1] * n, pa.int32()), "p_retailprice": [1.0] * n}
+    assert differences(spark, tmp_path, "page_meta_data", part=part) == (Counter(), Counter())
+    assert QUERIES["page_meta_data"](spark, f"file://{tmp_path}").select("page_id").withColumn("t", F.spark_partition_id()).select("t").distinct().count() > 1
