@@ -10,7 +10,7 @@ from ..operators.rules import Rule, evaluate_rules, page_rules
 from ..sources import ingest
 from ..sources.tables import read_table
 from . import catalog_records, visibility
-from .durable import fresh_path
+from .durable import Scratch, fresh_path
 from .expected import EXPECTED, markup_text
 from .registry import ORACLES, QUERIES, plain, query
 from .views import ctes, rule_pages, view
@@ -116,8 +116,9 @@ SELECT * EXCLUDE (a, c, x, answer, citation, accessibility), CAST(answer AS DOUB
        CAST(round_even(CAST(0.4 * 70 + 0.25 * answer + 0.25 * citation + 0.1 * accessibility AS DECIMAL(10,4)), 1) AS DOUBLE) AS visibility FROM o""",
 )
 def site_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals and scores of sites whose robots files were worth 70."""
+    """Signals and scores of sites whose robots files were worth 70; pages are read once, not for each use of the signals."""
     signals = visibility.ai_page_signals(extract_pages(view(spark, sf_dir, "v_markup")).withColumn("crawl_id", F.col("page_id") % 4))
+    signals = Scratch(spark, "visibility").save(signals, "signals")
     known = signals.select("crawl_id", F.lit("70.0").cast("decimal(5,1)").alias("crawlability"))
     return plain(signals.join(visibility.ai_scores(signals, known).drop("crawlability"), "crawl_id"))
 

@@ -71,3 +71,10 @@ def test_small_files_of_large_pages_are_dealt_over_tasks(spark, tmp_path):
     spark.range(12_000).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size"), F.lit(1.0).alias("p_retailprice")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     sizes = view(spark, str(tmp_path), "v_markup").groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 3 and max(r["count"] for r in sizes) < 6_000
+
+
+def test_visibility_reads_pages_once(spark):
+    from sitelens.plans.catalog_pages import QUERIES
+
+    plan = QUERIES["site_visibility"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
