@@ -4,9 +4,12 @@ A similarity join without listed pairs.  Texts are sets of hashed shingles in
 an order of rarity, and two similar ones share a shingle of their prefixes, so
 the texts of one prefix shingle form a bucket.  Every text is first compared
 with one lead of its buckets; a family of near copies is one component after
-that.  What still lies in one bucket but in several components is compared in
-pairs of blocks, and a pair of blocks hands on a spanning forest: links that
-join components, never more than its texts.
+that.  What still lies in one bucket but in several components: the few texts
+beside the bucket's largest component are paired by their ids, and only pairs
+that the shared shingles and the places of these leave room for get their sets.
+Where there are more than a few, texts are compared in pairs of blocks, and a
+pair of blocks hands on a spanning forest: links that join components, never
+more than its texts.
 
 The lowest similarity of a cluster needs no comparison of all pairs either:
 Jaccard distance is a metric, so texts near the cluster's first one can't be
@@ -32,6 +35,8 @@ from .groups import groups
 
 #: Distinct texts that are compared with one another at a time.
 BLOCK = 500
+#: Texts beside the largest component of a bucket that are paired by ids.
+FEW = 64
 #: Counters of shingles by their hashes, 8 MB; the order of rarity needs no more than an order.
 BUCKETS = 1 << 20
 #: Shells of equal width that the distances from a cluster's first text fall into.
@@ -156,7 +161,7 @@ def _paired(rows: DataFrame, by: str, block: Column, partners: Column) -> DataFr
 
 
 def _rarity_ordered(scratch: Scratch, texts: DataFrame, threshold: float) -> DataFrame:
-    """Texts (rep, w) as sets with the prefix that a similar text shares a shingle of: rep, n, s, prefix."""
+    """Texts (rep, w) as sets with the prefix that a similar text shares a shingle of, and the places of its shingles: rep, n, s, prefix, places."""
     spark = texts.sparkSession
     counts = texts.select("w").mapInArrow(_counted, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(BUCKETS, dtype=np.int64)
@@ -168,19 +173,40 @@ def _rarity_ordered(scratch: Scratch, texts: DataFrame, threshold: float) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in batches:
-            sets, prefixes = _sets(batch.column(1)), []
+            sets, prefixes, places = _sets(batch.column(1)), [], []
             for s in sets:
                 seen = rarity[s & (BUCKETS - 1)]
                 order = np.lexsort((s, seen))[: len(s) - int(np.ceil(len(s) * low)) + 1]
-                prefixes.append(s[order][seen[order] > 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _ragged(sets), _ragged(prefixes)], ["rep", "n", "s", "prefix"])
+                places.append(np.flatnonzero(seen[order] > 1))
+                prefixes.append(s[order][places[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _ragged(sets), _ragged(prefixes), _ragged(places)], ["rep", "n", "s", "prefix", "places"])
 
-    return scratch.save(texts.select("rep", "w").mapInArrow(run, f"rep {kind}, n bigint, s array<bigint>, prefix array<bigint>"), "sets")
+    return scratch.save(texts.select("rep", "w").mapInArrow(run, f"rep {kind}, n bigint, s array<bigint>, prefix array<bigint>, places array<bigint>"), "sets")
+
+
+def _paired_by_ids(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Similar texts (a, b) of one bucket and two components; ``rows`` holds key, rep, n, at, component and the bucket's main one.
+
+    What two texts have in common is the prefix shingles they share and, at
+    most, all that follows the last of these in both orders.
+    """
+    low, least = threshold - 0.00005, round(threshold * 10_000)
+    one, two = (rows.select("key", "main", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "at", "component")]) for side in "xy")
+    near = F.least("n_x", "n_y") * 10_001 >= F.greatest("n_x", "n_y") * least
+    once = (F.col("component_y") == F.col("main")) | (F.col("rep_x") < F.col("rep_y"))
+    met = one.filter("component_x <> main").join(two.drop("main"), "key").filter((F.col("component_x") != F.col("component_y")) & near & once)
+    turned = F.col("rep_x") > F.col("rep_y")
+    met = met.select(*[F.when(turned, F.col(f"{c}_{q}")).otherwise(F.col(f"{c}_{p}")).alias(f"{c}_{name}") for c in ("rep", "n", "at") for name, p, q in (("a", "x", "y"), ("b", "y", "x"))])
+    shared = met.groupBy("rep_a", "rep_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    most = F.col("c") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    wanted = shared.filter(most * (1 + low) >= low * (F.col("n_a") + F.col("n_b")) - 1e-6).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    own, other = sets.select(F.col("rep").alias("a"), F.col("s").alias("s_a")), sets.select(F.col("rep").alias("b"), F.col("s").alias("s_b"))
+    return wanted.join(own, "a").join(other, "b").filter(jaccard(F.col("s_a"), F.col("s_b")) >= threshold).select("a", "b")
 
 
 def _similar(scratch: Scratch, sets: DataFrame, threshold: float) -> DataFrame:
     """Components (node, component) of texts that are similar, through others or not."""
-    keys = sets.select("rep", F.explode("prefix").alias("key"))
+    keys = sets.select("rep", "n", F.explode(F.arrays_zip("prefix", "places")).alias("k")).select("rep", "n", F.col("k.prefix").alias("key"), F.col("k.places").alias("at"))
     leads = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = scratch.save(keys.join(leads, "key"), "members")
     # One comparison a text: with the lead of most of its buckets.
@@ -190,15 +216,18 @@ def _similar(scratch: Scratch, sets: DataFrame, threshold: float) -> DataFrame:
     links = scratch.save(links.select(F.col("rep").alias("a"), F.col("lead").alias("b")), "links")
     found = connected_components(links, "duplicates")
 
-    placed = members.select("key", "rep", "members").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = members.select("key", "rep", "n", "at", "members").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = scratch.save(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    held = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"), (F.sum("held") - F.max("held")).alias("others"), F.count(F.lit(1)).alias("parts"))
+    mixed = scratch.save(held.filter("parts > 1").select("key", "main", "others"), "mixed")
+    links = links.unionByName(scratch.save(_paired_by_ids(placed.join(mixed.filter(F.col("others") <= FEW), "key"), sets, threshold), "pairs"))
+    mixed = mixed.filter(F.col("others") > FEW).select("key")
     parts = F.ceil(F.col("members") / BLOCK).cast("bigint")
-    rows = placed.join(mixed, "key").join(sets.select("rep", "s"), "rep").withColumn("parts", parts)
+    rows = placed.drop("n", "at").join(mixed, "key").join(sets.select("rep", "s"), "rep").withColumn("parts", parts)
     pairs = _paired(rows, "key", F.pmod(F.xxhash64("rep"), F.col("parts")), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
     kind, least = sets.schema["rep"].dataType.simpleString(), round(threshold * 10_000)
     more = scratch.save(pairs.select("key", "p", "q", "side", "rep", "component", "s").mapInArrow(lambda batches: _forest(batches, least), f"a {kind}, b {kind}"), "more")
-    return found if more.isEmpty() else connected_components(links.unionByName(more), "duplicates")
+    return connected_components(links.unionByName(more), "duplicates")
 
 
 def _lowest_similarity(scratch: Scratch, inside: DataFrame, sets: DataFrame) -> DataFrame:
@@ -244,7 +273,10 @@ def find_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     rows = docs.select(F.col(id_col).alias("id"), normalize_text(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
     rows = scratch.save(rows.select("id", F.sha2("norm", 256).alias("hash"), F.transform(F.filter(F.split("norm", " "), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("w")), "rows")
     texts = scratch.save(rows.groupBy("hash").agg(F.min("id").alias("rep"), F.first("w").alias("w"), F.count(F.lit(1)).alias("copies")), "texts")
-    sets = _rarity_ordered(scratch, texts, threshold)
+    rows, whole = scratch.save(rows.select("id", "hash"), "ids"), texts
+    scratch.drop("rows")
+    sets, texts = _rarity_ordered(scratch, whole, threshold), scratch.save(whole.drop("w"), "reps")
+    scratch.drop("texts")
     found = scratch.save(_similar(scratch, sets, threshold), "components")
     inside = found.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     lowest = _lowest_similarity(scratch, inside, sets)

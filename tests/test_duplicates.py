@@ -103,3 +103,19 @@ def test_string_ids_and_empty_tables(spark):
     assert [(r.cluster, r.size, float(r.similarity)) for r in found.clusters.collect()] == [("a", 2, 1.0)]
     assert {(r.cluster, r.id) for r in found.members.collect()} == {("a", "a"), ("a", "b")}
     assert find_duplicates(docs.limit(0)).clusters.count() == 0
+
+
+def test_sets_are_not_repeated_for_every_shared_shingle(spark, monkeypatch):
+    """Long texts that share most but too little meet in very many buckets; their sets aren't sent to each of them."""
+    sent = []
+    real = duplicates._paired
+
+    def counted(rows, by, *more):
+        sent.append(rows.count() if by == "key" else 0)
+        return real(rows, by, *more)
+
+    monkeypatch.setattr(duplicates, "_paired", counted)
+    base = [f"w{i}" for i in range(3_000)]
+    docs = [(k, " ".join(w if i % 40 != k else f"v{k}x{i}" for i, w in enumerate(base))) for k in range(4)]
+    found = {r.cluster: (r.ids, float(r.similarity)) for r in duplicate_clusters(spark.createDataFrame(docs, "doc_id int, text string"), 0.9).collect()}
+    assert found == brute_force(docs, 0.9) and sum(sent) == 0
