@@ -6,11 +6,17 @@ the texts of one prefix shingle form a bucket.  Every text is first compared
 with one lead of its buckets; a family of near copies is one component after
 that.  What still lies in one bucket but in several components: the few texts
 beside the bucket's largest component are paired by their ids, and only pairs
-that the shared shingles and the places of these leave room for get their sets.
+that the shared shingles and the places of these leave room for go on.
 Where there are more than a few, texts are compared in pairs of blocks, and a
 pair of blocks hands on a spanning forest: links that join components, never
 more than its texts.
 
+Whole sets are read last.  A text's sketch holds the parities of its shingles
+by about as many counters, a bit for each shingle's eight bytes; parities that
+differ are elements that only one of two sets has, so two sets with too many of
+these aren't similar.  Only texts with a partner that the sketches leave have
+their sets made, of the words where they lie.
+
 The lowest similarity of a cluster needs no comparison of all pairs either:
 Jaccard distance is a metric, so texts near the cluster's first one can't be
 far from one another.  The farthest texts give a bound, and only shells whose
@@ -35,6 +41,10 @@ from .groups import groups
 
 #: Distinct texts that are compared with one another at a time.
 BLOCK = 500
+#: Distinct texts whose sketches are compared with one another at a time.
+SKETCHES = 4_000
+#: Texts whose sets are wanted are broadcast up to this many (16 bytes each).
+BROADCAST_ROWS = 500_000
 #: Texts beside the largest component of a bucket that are paired by ids.
 FEW = 64
 #: Counters of shingles by their hashes, 8 MB; the order of rarity needs no more than an order.
@@ -101,6 +111,65 @@ def _ten_thousandths(common: np.ndarray, union: np.ndarray) -> np.ndarray:
     return part + ((2 * rest > union) | ((2 * rest == union) & (part % 2 == 1)))
 
 
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Parities of rows by so many words of their counters: halves are added without carry."""
+    while sketch.shape[-1] > size:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """Parities of a set's elements by as many counters as it has elements, or up to twice as many; 64 at least."""
+    size = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits(np.bincount(s & (size - 1), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def _apart(total: np.ndarray, low: float) -> np.ndarray:
+    """How many elements only one of two similar sets has at most, from the sum of their sizes; parities that differ tell no more than there are."""
+    return total * (1 - low) / (1 + low) + 1e-6
+
+
+def _near(batches: Iterator[pa.RecordBatch], low: float, least: int, joins: bool) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks, by sketches: pairs (a, b) that would join components if they are similar, or else all texts (key, rep) that may have a similar one in another component."""
+    for rows in groups(batches, ["key", "p", "q"]):
+        parts, reps = rows["component"].to_pylist(), rows["rep"].to_pylist()
+        numbers = {c: i for i, c in enumerate(dict.fromkeys(parts))}
+        if len(numbers) < 2:
+            continue
+        joined = np.array([numbers[c] for c in parts])
+        side, n = rows["side"].to_numpy(), rows["n"].to_numpy()
+        sketches = [np.frombuffer(x, dtype=np.uint64) for x in rows["k"].to_pylist()]
+        width = np.array([len(x) for x in sketches])
+        classes = {w: np.flatnonzero(width == w) for w in set(width.tolist())}
+        tables = {(w, m): _folded(np.stack([sketches[j] for j in at]), m) for w, at in classes.items() for m in (w, w // 2) if m}
+        alone = rows["p"][0].as_py() == rows["q"][0].as_py()
+        flagged, a, b = np.zeros(len(n), dtype=bool), [], []
+        for i in np.flatnonzero(side == 0):
+            wanted = (np.arange(len(n)) > i if alone else side == 1) & (joined != joined[i]) & (np.minimum(n, n[i]) * 10_001 >= np.maximum(n, n[i]) * least)
+            for w, at in classes.items():
+                picked = wanted[at]
+                if not picked.any():
+                    continue
+                m = min(w, width[i])  # sizes of similar sets differ by less than a factor of two
+                differ = np.bitwise_count(tables[w, m][picked] ^ _folded(sketches[i], m)).sum(axis=1)
+                found = at[picked][differ <= _apart(n[at[picked]] + n[i], low)]
+                if joins:
+                    for j in found:
+                        if joined[i] != joined[j]:
+                            a.append(reps[i])
+                            b.append(reps[j])
+                            joined[joined == joined[j]] = joined[i]
+                elif len(found):
+                    flagged[found] = flagged[i] = True
+        kind = rows.schema.field("rep").type
+        if joins and a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+        elif flagged.any():
+            keys = rows["key"].combine_chunks().filter(pa.array(flagged))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([reps[i] for i in np.flatnonzero(flagged)], kind)], ["key", "rep"])
+
+
 def _forest(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Of each pair of blocks, links of at least that similarity that join components not joined yet."""
     for rows in groups(batches, ["key", "p", "q"]):
@@ -160,32 +229,71 @@ def _paired(rows: DataFrame, by: str, block: Column, partners: Column) -> DataFr
     return placed.repartition(by, "p", "q").sortWithinPartitions(by, "p", "q")
 
 
-def _rarity_ordered(scratch: Scratch, texts: DataFrame, threshold: float) -> DataFrame:
-    """Texts (rep, w) as sets with the prefix that a similar text shares a shingle of, and the places of its shingles: rep, n, s, prefix, places."""
-    spark = texts.sparkSession
-    counts = texts.select("w").mapInArrow(_counted, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+def _rarity_ordered(scratch: Scratch, rows: DataFrame, threshold: float) -> DataFrame:
+    """Distinct texts of ``rows`` (row, id, hash, w) with the prefix that a similar text shares a shingle of, and the places of its shingles: rep, row, hash, copies, n, k (sketch), prefix, places."""
+    spark = rows.sparkSession
+    counts = rows.select("w").mapInArrow(_counted, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(BUCKETS, dtype=np.int64)
     table[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     shared = spark.sparkContext.broadcast(table)
-    kind = texts.schema["rep"].dataType.simpleString()
+    kind = rows.schema["id"].dataType.simpleString()
     low = threshold - 0.00005  # the similarity is rounded to four places before it is compared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in batches:
-            sets, prefixes, places = _sets(batch.column(1)), [], []
+            sets, prefixes, places = _sets(batch.column(3)), [], []
             for s in sets:
                 seen = rarity[s & (BUCKETS - 1)]
                 order = np.lexsort((s, seen))[: len(s) - int(np.ceil(len(s) * low)) + 1]
                 places.append(np.flatnonzero(seen[order] > 1))
                 prefixes.append(s[order][places[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _ragged(sets), _ragged(prefixes), _ragged(places)], ["rep", "n", "s", "prefix", "places"])
+            columns = [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary()), _ragged(prefixes), _ragged(places)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "hash", "n", "k", "prefix", "places"])
+
+    found = rows.select("row", "id", "hash", "w").mapInArrow(run, f"row bigint, id {kind}, hash string, n bigint, k binary, prefix array<bigint>, places array<bigint>")
+    return scratch.save(found.groupBy("hash").agg(F.min("id").alias("rep"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "k", "prefix", "places")]), "texts")
+
+
+def _sets_of(scratch: Scratch, rows: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """Whole sets (rep, s) of some of the texts, made of their words once more; the words of the others stay where they are."""
+    wanted = scratch.save(texts.select("rep", "row").join(reps.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    words = rows.select("row", "w").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_merge"), "row").select("rep", "w")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _ragged(_sets(batch.column(1)))], ["rep", "s"])
 
-    return scratch.save(texts.select("rep", "w").mapInArrow(run, f"rep {kind}, n bigint, s array<bigint>, prefix array<bigint>, places array<bigint>"), "sets")
+    kind = rows.schema["id"].dataType.simpleString()
+    return scratch.save(words.mapInArrow(run, f"rep {kind}, s array<bigint>"), "sets")
 
 
-def _paired_by_ids(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Similar texts (a, b) of one bucket and two components; ``rows`` holds key, rep, n, at, component and the bucket's main one.
+def _confirmed(scratch: Scratch, rows: DataFrame, texts: DataFrame, pairs: DataFrame, threshold: float, name: str = "more") -> DataFrame:
+    """Pairs (a, b) that are similar: sketches rule out most, and only texts of the others have their sets read."""
+    low = threshold - 0.00005
+    one, two = (texts.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("k").alias(f"k_{c}")) for c in "ab")
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                size = min(len(x), len(y)) // 8
+                differ.append(int(np.bitwise_count(_folded(np.frombuffer(x, dtype=np.uint64), size) ^ _folded(np.frombuffer(y, dtype=np.uint64), size)).sum()))
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(np.array(differ, dtype=np.int64) <= _apart(total, low)))
+
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "k_a", "k_b")
+    pairs = scratch.save(both.mapInArrow(run, f"a {kind}, b {kind}"), "likely")
+    sets = _sets_of(scratch, rows, texts, pairs.select(F.explode(F.array("a", "b")).alias("rep")))
+    own, other = sets.select(F.col("rep").alias("a"), F.col("s").alias("s_a")), sets.select(F.col("rep").alias("b"), F.col("s").alias("s_b"))
+    found = scratch.save(pairs.join(own, "a").join(other, "b").filter(jaccard(F.col("s_a"), F.col("s_b")) >= threshold).select("a", "b"), name)
+    scratch.drop("likely", "wanted", "sets")
+    return found
+
+
+def _paired_by_ids(rows: DataFrame, threshold: float) -> DataFrame:
+    """Texts (a, b) of one bucket and two components that can be similar; ``rows`` holds key, rep, n, at, component and the bucket's main one.
 
     What two texts have in common is the prefix shingles they share and, at
     most, all that follows the last of these in both orders.
@@ -199,34 +307,53 @@ def _paired_by_ids(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     met = met.select(*[F.when(turned, F.col(f"{c}_{q}")).otherwise(F.col(f"{c}_{p}")).alias(f"{c}_{name}") for c in ("rep", "n", "at") for name, p, q in (("a", "x", "y"), ("b", "y", "x"))])
     shared = met.groupBy("rep_a", "rep_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     most = F.col("c") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    wanted = shared.filter(most * (1 + low) >= low * (F.col("n_a") + F.col("n_b")) - 1e-6).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    own, other = sets.select(F.col("rep").alias("a"), F.col("s").alias("s_a")), sets.select(F.col("rep").alias("b"), F.col("s").alias("s_b"))
-    return wanted.join(own, "a").join(other, "b").filter(jaccard(F.col("s_a"), F.col("s_b")) >= threshold).select("a", "b")
+    return shared.filter(most * (1 + low) >= low * (F.col("n_a") + F.col("n_b")) - 1e-6).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def _similar(scratch: Scratch, sets: DataFrame, threshold: float) -> DataFrame:
+def _similar(scratch: Scratch, rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Components (node, component) of texts that are similar, through others or not."""
-    keys = sets.select("rep", "n", F.explode(F.arrays_zip("prefix", "places")).alias("k")).select("rep", "n", F.col("k.prefix").alias("key"), F.col("k.places").alias("at"))
+    keys = texts.select("rep", "n", F.explode(F.arrays_zip("prefix", "places")).alias("k")).select("rep", "n", F.col("k.prefix").alias("key"), F.col("k.places").alias("at"))
     leads = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = scratch.save(keys.join(leads, "key"), "members")
     # One comparison a text: with the lead of most of its buckets.
     tried = members.filter("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n")).groupBy("rep").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
-    own, other = sets.select("rep", F.col("s").alias("s_a")), sets.select(F.col("rep").alias("lead"), F.col("s").alias("s_b"))
-    links = tried.join(own, "rep").join(other, "lead").filter(jaccard(F.col("s_a"), F.col("s_b")) >= threshold)
-    links = scratch.save(links.select(F.col("rep").alias("a"), F.col("lead").alias("b")), "links")
-    found = connected_components(links, "duplicates")
-
-    placed = members.select("key", "rep", "n", "at", "members").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = scratch.save(placed, "placed")
-    held = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"), (F.sum("held") - F.max("held")).alias("others"), F.count(F.lit(1)).alias("parts"))
-    mixed = scratch.save(held.filter("parts > 1").select("key", "main", "others"), "mixed")
-    links = links.unionByName(scratch.save(_paired_by_ids(placed.join(mixed.filter(F.col("others") <= FEW), "key"), sets, threshold), "pairs"))
-    mixed = mixed.filter(F.col("others") > FEW).select("key")
-    parts = F.ceil(F.col("members") / BLOCK).cast("bigint")
-    rows = placed.drop("n", "at").join(mixed, "key").join(sets.select("rep", "s"), "rep").withColumn("parts", parts)
-    pairs = _paired(rows, "key", F.pmod(F.xxhash64("rep"), F.col("parts")), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
-    kind, least = sets.schema["rep"].dataType.simpleString(), round(threshold * 10_000)
-    more = scratch.save(pairs.select("key", "p", "q", "side", "rep", "component", "s").mapInArrow(lambda batches: _forest(batches, least), f"a {kind}, b {kind}"), "more")
+    links = _confirmed(scratch, rows, texts, tried.select(F.col("rep").alias("a"), F.col("lead").alias("b")), threshold, "links")
+
+    def mixed() -> tuple[DataFrame, DataFrame]:
+        """Members with their component so far, and the buckets with several components: main, number of texts beside it."""
+        found = connected_components(links, "duplicates")
+        placed = members.select("key", "rep", "n", "at", "members").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        scratch.drop("placed", "mixed")
+        placed = scratch.save(placed, "placed")
+        held = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"), (F.sum("held") - F.max("held")).alias("others"), F.count(F.lit(1)).alias("parts"))
+        return placed, scratch.save(held.filter("parts > 1").select("key", "main", "others"), "mixed")
+
+    placed, several = mixed()
+    links = links.unionByName(_confirmed(scratch, rows, texts, _paired_by_ids(placed.join(several.filter(F.col("others") <= FEW), "key"), threshold), threshold))
+    if several.filter(F.col("others") > FEW).isEmpty():
+        return connected_components(links, "duplicates")
+    kind, least, low = texts.schema["rep"].dataType.simpleString(), round(threshold * 10_000), threshold - 0.00005
+
+    def blocks(hot: DataFrame, size: int, *columns: str) -> DataFrame:
+        """Texts of buckets in pairs of blocks; hot: key, rep, component, members."""
+        hot = hot.withColumn("parts", F.ceil(F.col("members") / size).cast("bigint"))
+        return _paired(hot, "key", F.pmod(F.xxhash64("rep"), F.col("parts")), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).select("key", "p", "q", "side", "rep", "component", *columns)
+
+    def by_sketches() -> tuple[DataFrame, DataFrame]:
+        """Members of the buckets with many texts beside their largest component, and the same in pairs of blocks with sketches."""
+        placed, several = mixed()
+        hot = placed.select("key", "rep", "component", "members").join(several.filter(F.col("others") > FEW).select("key"), "key")
+        return hot, blocks(hot.join(texts.select("rep", "n", "k"), "rep"), SKETCHES, "n", "k")
+
+    # What joins components by sketches mostly does by sets, too; what the others hid is found below.
+    pairs = by_sketches()[1].mapInArrow(lambda batches: _near(batches, low, least, True), f"a {kind}, b {kind}").distinct()
+    links = links.unionByName(_confirmed(scratch, rows, texts, pairs, threshold))
+    hot, placed = by_sketches()
+    wanted = scratch.save(placed.mapInArrow(lambda batches: _near(batches, low, least, False), f"key bigint, rep {kind}").distinct(), "near")
+    sizes = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    rest = hot.drop("members").join(wanted, ["key", "rep"]).join(sizes, "key").join(_sets_of(scratch, rows, texts, wanted), "rep")
+    more = scratch.save(blocks(rest, BLOCK, "s").mapInArrow(lambda batches: _forest(batches, least), f"a {kind}, b {kind}"), "more")
+    scratch.drop("wanted", "sets", "near")
     return connected_components(links.unionByName(more), "duplicates")
 
 
@@ -270,17 +397,18 @@ def find_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "duplicates")
-    rows = docs.select(F.col(id_col).alias("id"), normalize_text(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    rows = scratch.save(rows.select("id", F.sha2("norm", 256).alias("hash"), F.transform(F.filter(F.split("norm", " "), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("w")), "rows")
-    texts = scratch.save(rows.groupBy("hash").agg(F.min("id").alias("rep"), F.first("w").alias("w"), F.count(F.lit(1)).alias("copies")), "texts")
-    rows, whole = scratch.save(rows.select("id", "hash"), "ids"), texts
-    scratch.drop("rows")
-    sets, texts = _rarity_ordered(scratch, whole, threshold), scratch.save(whole.drop("w"), "reps")
-    scratch.drop("texts")
-    found = scratch.save(_similar(scratch, sets, threshold), "components")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), normalize_text(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
+    rows = scratch.save(rows.select("row", "id", F.sha2("norm", 256).alias("hash"), F.transform(F.filter(F.split("norm", " "), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("w")), "rows")
+    whole = _rarity_ordered(scratch, rows, threshold)
+    found = scratch.save(_similar(scratch, rows, whole, threshold), "components")
+    scratch.drop("members", "placed", "mixed")
     inside = found.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    lowest = _lowest_similarity(scratch, inside, sets)
-    own = texts.select("hash", "rep", "copies").join(inside, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    sets = _sets_of(scratch, rows, whole, inside)
+    rows, texts = scratch.save(rows.select("id", "hash"), "ids"), scratch.save(whole.select("hash", "rep", "copies"), "reps")
+    scratch.drop("wanted", "rows", "texts")
+    lowest = scratch.save(_lowest_similarity(scratch, inside, sets), "lowest")
+    scratch.drop("sets", "inside", "away", "bound")
+    own = texts.join(inside, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
     sizes = own.groupBy("cluster").agg(F.sum("copies").alias("size")).filter("size > 1")
     similarity = F.coalesce((F.col("lowest").cast("decimal(12,0)") / 10_000).cast("decimal(6,4)"), F.lit(1).cast("decimal(6,4)"))
     clusters = scratch.save(sizes.join(lowest, "cluster", "left").select("cluster", "size", similarity.alias("similarity"), (similarity == 1).alias("exact")), "clusters")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,36 @@ def test_sets_are_not_repeated_for_every_shared_shingle(spark, monkeypatch):
     docs = [(k, " ".join(w if i % 40 != k else f"v{k}x{i}" for i, w in enumerate(base))) for k in range(4)]
     found = {r.cluster: (r.ids, float(r.similarity)) for r in duplicate_clusters(spark.createDataFrame(docs, "doc_id int, text string"), 0.9).collect()}
     assert found == brute_force(docs, 0.9) and sum(sent) == 0
+
+
+def test_sets_are_made_only_for_texts_that_may_be_similar(spark, monkeypatch):
+    """Texts that share a rare phrase but little else meet in buckets; the sketches tell them apart, few or many."""
+    rng, made, real = random.Random(5), [], duplicates.Scratch.save
+
+    def counted(self, df, name):
+        out = real(self, df, name)
+        made.append(out.count() if name == "sets" else 0)
+        return out
+
+    monkeypatch.setattr(duplicates.Scratch, "save", counted)
+    for n in (20, 150):
+        docs = [(k, " ".join(["seldom said so"] + [f"w{rng.randrange(10**6)}" for _ in range(60 + k % 3)])) for k in range(n)]
+        docs += [(n, docs[0][1] + " more"), (n + 1, docs[1][1])]
+        made.clear()
+        found = {r.cluster: (r.ids, float(r.similarity)) for r in duplicate_clusters(spark.createDataFrame(docs, "doc_id int, text string")).collect()}
+        assert found == brute_force(docs, 0.85) and sorted(found) == [0, 1] and 0 < max(made) <= 4
+
+
+def test_sketches_never_leave_out_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5, 63, 64, 65, 127, 129, 1000, 1030):
+        for share in (0.8, 0.85, 0.9, 1.0):
+            a = np.unique(rng.integers(-(1 << 62), 1 << 62, size))
+            b = np.unique(np.concatenate([a[: int(np.ceil(len(a) * share))], rng.integers(-(1 << 62), 1 << 62, int(len(a) * (1 - share)))]))
+            x, y = (np.frombuffer(duplicates._sketch(s), dtype=np.uint64) for s in (a, b))
+            width = min(len(x), len(y))
+            differ = int(np.bitwise_count(duplicates._folded(x, width) ^ duplicates._folded(y, width)).sum())
+            assert differ <= len(np.setxor1d(a, b))
+            common = len(np.intersect1d(a, b))
+            if common >= 0.85 * (len(a) + len(b) - common):
+                assert differ <= duplicates._apart(len(a) + len(b), 0.84995)
