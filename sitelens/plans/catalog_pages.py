@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.extract import extract_pages, page_assets, page_meta
+from ..functions.extract import META, extract_pages, page_assets, page_meta
 from ..operators.rules import Rule, evaluate_rules, page_rules
 from ..sources import ingest
 from ..sources.tables import read_table
@@ -81,7 +81,7 @@ SELECT page_id, a.type, a.url, CASE alt WHEN '*' THEN p_brand ELSE alt END AS al
 FROM part JOIN v_markup ON page_id = p_partkey JOIN a ON (k = 1 AND page_id % 5 = 3) OR (k = 2 AND page_id % 11 = 4) OR (k = 3 AND page_id % 2 = 0) OR (k = 4 AND page_id % 8 < 3)""",
 )
 def page_asset_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_assets(extract_pages(view(spark, sf_dir, "v_markup")))
+    return page_assets(extract_pages(view(spark, sf_dir, "v_markup"), wanted=("assets",)))
 
 
 @query(
@@ -94,7 +94,7 @@ def page_asset_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM part""",
 )
 def page_meta_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page_meta(extract_pages(view(spark, sf_dir, "v_markup")))
+    found = page_meta(extract_pages(view(spark, sf_dir, "v_markup"), wanted=META))
     alternates = F.transform("hreflang", lambda x: F.concat_ws(" ", x["language"], x["target"]))
     return found.select("page_id", F.array_join("json_ld", "|").alias("blocks"), F.array_join(alternates, "|").alias("alternates"), F.to_json("open_graph").alias("open_graph"), F.to_json("twitter").alias("twitter"))
 

@@ -78,3 +78,15 @@ def test_visibility_reads_pages_once(spark):
 
     plan = QUERIES["site_visibility"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_wanted_evidence_without_page_texts(spark):
+    """Evidence that isn't made of page texts is the same without them, and they aren't gathered for it."""
+    html = '<head><title>a <b>b</b></title><script type="application/ld+json">{"@type":"x"}</script><meta property="og:title" content="t"><link rel="alternate" hreflang="de" href="/de"></head><body><h1>h</h1><p>' + "<b>w</b> text " * 50
+    html += '<a href="/x">in<i>side</i></a><img src="/i.png" alt="y"><p>more &amp; more'
+    whole, some = extract.page_row("https://x.example/", html), extract.page_row("https://x.example/", html, texts=False)
+    assert {k: v for k, v in some.items() if k not in ("h1", "headings")} == {k: v for k, v in whole.items() if k not in ("h1", "headings", "text", "word_count")}
+    rows = spark.createDataFrame([(1, "https://x.example/", html), (2, None, None)], "page_id int, url string, html string")
+    every = {r.page_id: r for r in extract.extract_pages(rows).collect()}
+    for r in extract.extract_pages(rows, wanted=extract.META).collect():
+        assert all(r[c] == every[r.page_id][c] for c in r.__fields__) and set(r.__fields__) == {"page_id", "url", *extract.META, "error"}
