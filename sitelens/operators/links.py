@@ -10,6 +10,15 @@ from ..functions.text import blank, is_generic_anchor, utrim
 from ..plans.durable import Scratch
 
 
+#: Tables of a row a page are broadcast up to this many pages (a few MB), so that what the driver gets doesn't grow with the pages.
+BROADCAST_PAGES = 50_000
+
+
+def _by_page(rows: DataFrame, pages: int) -> DataFrame:
+    """One side of a join on pages: with very many pages it is shuffled, whatever its size on disk."""
+    return rows if pages <= BROADCAST_PAGES else rows.hint("shuffle_merge")
+
+
 def resolve_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Links (source_id, target_url, anchor) with the id of the page they lead to; the lowest id wins."""
     at = pages.groupBy(F.lower("url").alias("key")).agg(F.min("page_id").alias("target_id"))
@@ -43,30 +52,31 @@ def internal_authority(pages: DataFrame, links: DataFrame, iterations: int = 20,
 
     Each round is one join on the source and one aggregation, and is written; the
     lost mass is observed while the round before is written, so no round reads
-    another twice.
+    another twice.  Of very many pages nothing is broadcast.
     """
     scratch = Scratch(pages.sparkSession, "authority")
-    nodes = pages.select("page_id").distinct()
-    known = edges(pages, links)
-    out = known.groupBy("source_id").agg(F.count(F.lit(1)).alias("out"))
-    weighted = scratch.save(known.join(out, "source_id").select("source_id", "target_id", (1 / F.col("out")).alias("share")), "edges")
+    nodes = scratch.save(pages.select("page_id").distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("authority", F.lit(0.0))
-    leads = out.select(F.col("source_id").alias("page_id"), F.lit(True).alias("leads"))
-    first = nodes.join(leads, "page_id", "left").select("page_id", F.lit(1.0 / n).alias("rank"), F.coalesce("leads", F.lit(False)).alias("leads"))
+    known = scratch.save(edges(_by_page(nodes, n), links), "known")
+    out = known.groupBy("source_id").agg(F.count(F.lit(1)).alias("out"))
+    weighted = scratch.save(known.join(_by_page(out, n), "source_id").select("source_id", "target_id", (1 / F.col("out")).alias("share")), "edges")
+    leads = known.select(F.col("source_id").alias("page_id"), F.lit(True).alias("leads")).distinct()
+    first = nodes.join(_by_page(leads, n), "page_id", "left").select("page_id", F.lit(1.0 / n).alias("rank"), F.coalesce("leads", F.lit(False)).alias("leads"))
     top = 0.0
     rank = None
     for i in range(iterations + 1):
         if rank is None:
             now = first
         else:
-            passed = rank.join(weighted, F.col("page_id") == F.col("source_id")).groupBy(F.col("target_id").alias("page_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-            now = rank.join(passed, "page_id", "left").select("page_id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "leads")
+            passed = _by_page(rank, n).join(weighted, F.col("page_id") == F.col("source_id")).groupBy(F.col("target_id").alias("page_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            now = rank.join(_by_page(passed, n), "page_id", "left").select("page_id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "leads")
         seen = Observation()
         rank = scratch.save(now.observe(seen, F.sum(F.when(~F.col("leads"), F.col("rank"))).alias("lost"), F.max("rank").alias("top")), f"rank-{i}")
         lost, top = seen.get["lost"] or 0.0, seen.get["top"]
         scratch.drop(f"rank-{i - 1}")
+    scratch.drop("nodes", "known", "edges")
     return rank.select("page_id", F.bround(F.col("rank") / F.lit(top) * 100, 2).alias("authority"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelens.functions.extract import extract_pages, page_links
+from sitelens.operators import links as links_module
 from sitelens.operators.components import connected_components
 from sitelens.operators.duplicates import duplicate_clusters
 from sitelens.operators.links import internal_authority, link_graph
@@ -77,6 +78,24 @@ def test_link_graph(spark):
     assert max(authority.values()) == 100.0 and authority[3] == 100.0 and authority[4] < authority[2]
 
 
+def test_authority_of_many_pages_broadcasts_nothing(spark, monkeypatch):
+    """Beyond the bound on pages every join is shuffled, with the same values."""
+    pages = spark.range(300).select(F.col("id").alias("page_id"))
+    links = pages.select(F.col("page_id").alias("source_id"), F.explode(F.array((F.col("page_id") * 7) % 300, (F.col("page_id") * 13 + 5) % 300)).alias("target_id")).filter("source_id % 10 <> 3")
+    few = {r.page_id: r.authority for r in internal_authority(pages, links).collect()}
+    plans, real = [], links_module.Scratch.save
+
+    def seen(self, df, name):
+        out = real(self, df, name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(links_module.Scratch, "save", seen)
+    monkeypatch.setattr(links_module, "BROADCAST_PAGES", 100)
+    many = {r.page_id: r.authority for r in internal_authority(pages, links).collect()}
+    assert many == few and len(few) == 300 and not any("BroadcastHashJoin" in p for p in plans) and any("SortMergeJoin" in p for p in plans)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (7, 8), (6, 6), (8, 7), (None, 1)], "a int, b int")
     assert {r.node: r.component for r in connected_components(edges).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 7: 7, 8: 7}
