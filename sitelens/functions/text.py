@@ -5,14 +5,18 @@ from __future__ import annotations
 import heapq
 import unicodedata
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 from itertools import pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.durable import small_batches
+
 # Words too common to be key terms.
 STOP_WORDS = [
     "در", "به", "از", "که", "این", "را", "با", "است", "برای", "آن", "یک", "شود", "شده",
@@ -97,6 +101,38 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.bround(share, 4)).cast("decimal(6,4)")
 
 
+def _triples(normalized: str) -> set:
+    words = [w for w in normalized.split(" ") if w]
+    return set(zip(words, words[1:], words[2:], strict=False)) if len(words) >= 3 else set(words)
+
+
+def _share(a: str | None, b: str | None) -> Decimal | None:
+    """``jaccard`` of the shingles of two normalised texts, which may be null."""
+    if a is None or b is None:
+        rest = a if b is None else b
+        return Decimal(0) if rest is not None and not rest.strip(" ") else None
+    x, y = _triples(a), _triples(b)
+    both = len(x & y)
+    union = len(x) + len(y) - both
+    if not union:
+        return Decimal(1)
+    part, rest = divmod(both * 10_000, union)
+    return Decimal(part + (2 * rest > union or (2 * rest == union and part % 2 == 1))).scaleb(-4)  # half to even
+
+
+def similarity(pairs: DataFrame, key: str, one: str, other: str) -> DataFrame:
+    """Key and ``jaccard`` of the shingles of two normalised texts, whose sets are made where the pair lies."""
+    small_batches(pairs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_share(x.as_py(), y.as_py()) for x, y in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.decimal128(6, 4))], [key, "similarity"])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.select(key, one, other).mapInArrow(run, f"{key} {kind}, similarity decimal(6,4)")
+
+
 def word_list(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 

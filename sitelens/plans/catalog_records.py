@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.evidence import is_indexable, question_heading, structured_data
 from ..functions.extract import extract_pages
-from ..functions.text import STOP_WORDS, content_hash, csv_safe, jaccard, normalize_text, shingles
+from ..functions.text import STOP_WORDS, content_hash, csv_safe, normalize_text, shingles, similarity
 from ..functions.urls import is_wildcard_query
 from ..operators import evidence, robots
 from ..operators.duplicates import duplicate_clusters, duplicate_issues
@@ -19,7 +19,7 @@ from ..sources import ingest
 from ..sources.tables import read_raw_pages, read_table, report, reports_list, write_crawl_rows, write_report
 from ..streaming import streams
 from . import accounts, audit, catalog, competitors, snapshots, visibility
-from .durable import fresh_path
+from .durable import Scratch, fresh_path
 from .expected import markup_text, rule_ctes
 from .registry import ORACLES, QUERIES, plain, query
 from .views import ctes, rule_pages, view
@@ -121,10 +121,11 @@ p AS (SELECT a.doc_id, len(list_intersect(a.s, b.s)) AS c, len(a.s) AS x, len(b.
 SELECT doc_id, CASE WHEN x = 0 AND y = 0 THEN 1.0 WHEN x = 0 OR y = 0 THEN 0.0 ELSE round_even(c / (x + y - c), 4) END AS similarity FROM p""",
 )
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of each document and the one behind it."""
-    sets = read_table(spark, sf_dir, "documents").select("doc_id", shingles(normalize_text(F.col("text"))).alias("s"))
-    after = sets.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
-    return plain(sets.join(after, "doc_id").select("doc_id", jaccard(F.col("s"), F.col("t")).alias("similarity")))
+    """Similarity of each document and the one behind it; texts are normalised once, and travel as they are."""
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", normalize_text(F.col("text")).alias("s"))
+    texts = Scratch(spark, "similarity").save(texts, "texts")
+    after = texts.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
+    return plain(similarity(texts.join(after, "doc_id"), "doc_id", "s", "t"))
 
 
 _CLUSTERS = f"""n AS (SELECT doc_id, coalesce({_NORM}, '') AS t FROM documents), h AS (SELECT t, min(doc_id) AS rep FROM n GROUP BY t),

@@ -1,5 +1,7 @@
 """Column functions on literal cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,16 @@ def test_schema_types_open_arrays_and_graphs(spark):
 def test_question_headings(spark):
     rows = spark.createDataFrame([(1, [(1, "How it works")]), (2, [(1, "Ready?")]), (3, [(1, "About us")])], "i int, h array<struct<level:int,text:string>>")
     assert [r.q for r in rows.orderBy("i").select(evidence.question_heading(F.col("h")).alias("q")).collect()] == [True, True, False]
+
+
+def test_similarity_of_texts_equals_that_of_their_shingles(spark):
+    """Nulls, empty texts, fewer than three words, repeated triples, and shares that lie between two places."""
+    rng = random.Random(8)
+    texts = [None, "", "a", "a b", "b a", "a b c", "a b c a b c", "a b c d"] + [" ".join(rng.choices("abc", k=rng.randrange(3, 40))) for _ in range(25)]
+    texts += [" ".join(f"w{i}" for i in range(a, b)) for a, b in ((0, 34), (0, 66), (1, 162))]
+    rows = [(i * len(texts) + j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    pairs = spark.createDataFrame(rows, "k int, a string, b string")
+    expected = {r.k: r.s for r in pairs.select("k", text.jaccard(text.shingles(F.col("a")), text.shingles(F.col("b"))).alias("s")).collect()}
+    found = {r.k: r.similarity for r in text.similarity(pairs, "k", "a", "b").collect()}
+    assert {k: found[k] for k, a, b in rows if a is not None and b is not None} == {k: expected[k] for k, a, b in rows if a is not None and b is not None}
+    assert {(a, b): found[k] for k, a, b in rows if found[k] is not None and None in (a, b)} == {(None, ""): 0, ("", None): 0}

@@ -90,3 +90,9 @@ def test_meta_data_of_pages_made_of_parts(spark, tmp_path):
     part = {"p_partkey": pa.array(range(n), pa.int64()), "p_name": [f"part {i}" for i in range(n)], "p_brand": ["b"] * n, "p_type": ["t"] * n, "p_size": pa.array([1] * n, pa.int32()), "p_retailprice": [1.0] * n}
     assert differences(spark, tmp_path, "page_meta_data", part=part) == (Counter(), Counter())
     assert QUERIES["page_meta_data"](spark, f"file://{tmp_path}").select("page_id").withColumn("t", F.spark_partition_id()).select("t").distinct().count() > 1
+
+
+def test_similarity_on_odd_texts(spark, tmp_path):
+    """Null, empty and short texts beside one another, and such as share some triples."""
+    texts = [None, None, "", None, "a", "", "", "a b", "b a", "A, b!", "a b c d", "a b c e", None, "a b c a b c a b", LONG, SHORT * 3, SHORT * 2]
+    assert differences(spark, tmp_path, "text_similarity", documents=documents(texts)) == (Counter(), Counter())
