@@ -170,6 +170,37 @@ def test_minhash_joins_chains_across_components(spark, monkeypatch):
     test_minhash_against_all_pairs(spark)
 
 
+def test_minhash_sends_sets_only_where_texts_look_alike(spark, monkeypatch):
+    """Texts that share a third of their shingles meet in buckets, but none of their sets needs to travel."""
+    import sitelens.llm.minhash as m
+
+    passage, seen, save = " ".join(words(100)), {}, m.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(m.Scratch, "save", counted)
+    rows = [(i, f"{passage} {' '.join(words(90))}") for i in range(60)]
+    assert all(r.component_id == r.doc_id and r.kept for r in near_duplicates(table(spark, rows)).collect())
+    assert seen["homes"] > 40
+    assert seen["full"] == 0
+
+
+def test_marks_agree_where_registers_do():
+    import numpy as np
+
+    import sitelens.llm.minhash as m
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 1 << 16, (2, 500, m.BUCKETS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.75, a, b)
+    same, found = (a == b).sum(axis=1), m.agreeing(m.marks(a), m.marks(b))
+    assert (found >= same).all() and (found >= m.MARKED).all()
+    assert abs((found - same).mean() / (m.BUCKETS - same).mean() - 0.25) < 0.02
+
+
 def test_substring_against_all_windows(spark):
     words_of = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in CORPUS}
     seen = {}
