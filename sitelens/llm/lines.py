@@ -36,7 +36,7 @@ from ..operators.groups import groups
 from ..plans.durable import Scratch, small_batches
 from .bits import bit_table, hits
 from .documents import keyed
-from .words import mix, of_text, pieces, split, texts_of
+from .words import mix, pieces, split, texts_of
 
 #: Lines match where 100 * common words >= PERCENT * all words.
 PERCENT = 75
@@ -385,11 +385,27 @@ def _settled(open_lines: DataFrame, near: DataFrame, words: DataFrame) -> DataFr
     return blocks.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_settle, "doc bigint, line bigint")
 
 
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the sorted hashes of their line's distinct words, found for whole batches at once."""
+    for batch in batches:
+        for part in pieces(batch, batch.schema.get_field_index("words")):
+            words = split(*texts_of(part.column("words")), lower=True)
+            order = np.lexsort((words.hashes, words.text))
+            h, owner = words.hashes[order], words.text[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            at = np.concatenate(([0], np.cumsum(8 * np.bincount(owner[new], minlength=part.num_rows)))).astype(np.int32)
+            sets = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at), pa.py_buffer(h[new].tobytes())])
+            yield pa.RecordBatch.from_arrays([*part.columns, sets], [*part.schema.names, "set"])
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in groups(batches, ["key", "p", "q"]):
+    for rows in groups(_with_sets(batches), ["key", "p", "q"]):
         side, asked = rows["side"].to_numpy(), rows["open"].to_numpy(zero_copy_only=False)
+        if not asked.any():
+            continue
         docs, lines, whole = rows["doc"].to_numpy(), rows["line"].to_numpy(), rows["words"].to_pylist()
-        sets = [np.unique(of_text(x, lower=True)) for x in whole]
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"].to_pylist()]
         n = np.array([len(x) for x in sets])
         codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
         first = np.cumsum(n) - n

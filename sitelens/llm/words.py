@@ -106,9 +106,3 @@ def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + TOGETHER, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
-
-
-def of_text(text: str | bytes | None, lower: bool) -> np.ndarray:
-    """Hashes of the words of one text."""
-    data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-    return split(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]), lower).hashes

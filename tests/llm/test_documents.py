@@ -241,6 +241,26 @@ def test_lines_with_small_limits_give_the_same(spark, monkeypatch):
     test_lines_against_all_pairs(spark)
 
 
+def test_lines_that_meet_in_blocks_are_hashed_together(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    import sitelens.llm.lines as m
+    import sitelens.llm.words as w
+
+    calls, split = [], w.split
+    for module in (m, w):
+        monkeypatch.setattr(module, "split", lambda *a, **b: calls.append(1) or split(*a, **b))
+    base, rng = [f"B{i}" for i in range(12)], random.Random(3)
+    lines = [" ".join(x if rng.random() > 0.15 else f"n{rng.randrange(40)}" for x in base) for _ in range(120)] + [" B0\tb0 B1 ", "x" * 200]
+    keys = [i // 61 for i in range(len(lines))]
+    columns = {"key": keys, "p": [0] * len(lines), "q": [0] * len(lines), "side": np.zeros(len(lines), np.int32), "doc": range(len(lines)), "line": [0] * len(lines), "open": [True] * len(lines), "words": [x.encode() for x in lines]}
+    rows = pa.table({k: pa.array(v) for k, v in columns.items()})
+    found = sorted(x for batch in m._settle(iter(rows.to_batches(max_chunksize=50))) for x in batch.column(0).to_pylist())
+    assert found == [i for i in range(len(lines)) if any(keys[i] == keys[j] and m._alike(rows["words"][i].as_py(), rows["words"][j].as_py()) for j in range(i))] != []
+    assert len(calls) <= 5
+
+
 def test_lines_that_only_match_a_partner_that_differs_more(spark):
     """Families in which the closest earlier line is just below the threshold, and ties of it."""
     rng = random.Random(8)
