@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..operators.groups import groups
 from ..plans.durable import Scratch, small_batches
+from .bits import among
 from .documents import by_id, keyed
 from .words import Words, mix, pieces, split, texts_of
 
@@ -158,7 +159,8 @@ def _screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) that are linked, from the full sets of both texts (id, body)."""
-    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = among(texts, "id", ends).join(ends, "id", "left_semi")
     both = (
         pairs.select("a", "b")
         .join(texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
@@ -205,7 +207,8 @@ def _across_components(scratch: Scratch, across: DataFrame, reps: DataFrame, tex
                 found = [x.tobytes() for x in shingle_sets(split(*texts_of(part.column(1)), lower=True))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
-    wanted = texts.join(asked.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id bigint, shingles binary")
+    ids = asked.select("id").distinct()
+    wanted = among(texts, "id", ids).join(ids, "id", "left_semi").mapInArrow(sets, "id bigint, shingles binary")
     full = scratch.save(homes.select("id", "component").join(wanted, "id"), "full")
     blocks = asked.join(full, "id").select("p", "q", "side", "id", "component", "marks", "shingles").repartition("p", "q").sortWithinPartitions("p", "q", "side")
     return blocks.mapInArrow(_linked_blocks, "a bigint, b bigint")
@@ -314,12 +317,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).select("id", F.xxhash64("pos", "col").alias("bucket"))
     leads = bands.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = scratch.save(bands.join(leads, "bucket"), "members")
+    # Most texts share no bucket; the registers of the others are all that is read from here on.
+    near = scratch.save(among(reps, "id", members.select("id")), "near")
     # The member with the most neighbours over all its buckets is the likeliest original of the others.
     weight = members.groupBy("id").agg(F.sum("members").alias("weight"))
     centres = members.join(weight, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"))
     stars = members.join(centres, "bucket").select("id", F.explode(F.array("lead", "centre")).alias("b")).filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     # One confirmation a document: with the lead or centre most like it.
-    best = _screened(stars, reps).groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
+    best = _screened(stars, near).groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
     tried = scratch.save(best, "tried")
     links = scratch.save(_confirmed(tried, texts), "links")
     found = scratch.save(connected_components(links), "components")
@@ -327,8 +332,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     across = scratch.save(placed.join(mixed, "bucket"), "across")
-    more = scratch.save(_across_components(scratch, across, reps, texts), "more")
-    scratch.drop("reps", "members", "tried", "across", "largest", "homes", "inside", "meet", "light", "asked", "full")
+    more = scratch.save(_across_components(scratch, across, near, texts), "more")
+    scratch.drop("reps", "members", "near", "tried", "across", "largest", "homes", "inside", "meet", "light", "asked", "full")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +189,40 @@ def test_minhash_sends_sets_only_where_texts_look_alike(spark, monkeypatch):
     assert seen["full"] == 0
 
 
+def test_minhash_shuffles_only_texts_with_a_partner(spark):
+    """Texts that nothing is like stay where they lie, also where their keys are too many to be broadcast."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.getrandbits(128):x}" for _ in range(600))) for i in range(300)]
+    rows += [(i + 1000, t + " more") for i, t in rows[:3]]
+    docs = table(spark, rows)
+    stages = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        found = stages.executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before, least = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert kept == {i: (i % 1000, i < 1000) for i, _ in rows}
+    time.sleep(1)  # what tasks report is added up behind their end
+    assert written() - before < 0.3 * sum(len(t) for _, t in rows)
+
+
+def test_rows_among_keys(spark):
+    from sitelens.llm.bits import among
+
+    rows = spark.range(20_000).withColumn("body", F.lit("x")).union(spark.createDataFrame([(None, "y"), (-5, "z")], "id bigint, body string"))
+    keys = spark.range(0, 20_000, 10).union(spark.createDataFrame([(-5,)], "id bigint"))
+    found = among(rows, "id", keys.union(keys))
+    assert keys.join(found, "id", "left_anti").isEmpty() and found.filter("id = -5 and body = 'z'").count() == 1
+    assert found.count() < 2_001 + 18_000 / 30
+    assert among(rows, "id", keys.limit(0)).count() == 0
+
+
 def test_marks_agree_where_registers_do():
     import numpy as np
 
